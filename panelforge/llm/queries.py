@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..session import table
+from . import byte_bpe
 from .token_counts import count_tokens, sampled
 
 
@@ -16,5 +18,14 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(docs, public_tokenizers.path("word_bpe_49k.json"), 2048, sample=sampled(spark, docs))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts,)}
+def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Byte-level BPE ids of every document and their decoding, as digests."""
+    import public_tokenizers
+
+    docs = table(spark, sf_dir, "documents")
+    out = byte_bpe.encode(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, with_decoded=True)
+    return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op1_token_counts, op4_byte_bpe)}
 ORACLE: dict[str, str] = {}
