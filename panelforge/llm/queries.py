@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import byte_bpe
+from . import byte_bpe, quality_rules
 from .token_counts import count_tokens, sampled
 
 
@@ -27,5 +27,11 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op4_byte_bpe)}
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base rules and boosted trees over the statistics of every document."""
+    docs = table(spark, sf_dir, "documents")
+    return quality_rules.apply_rules(docs, quality_rules.train(docs, table(spark, sf_dir, "labels")))
+
+
+QUERIES = {f.__name__: f for f in (op1_token_counts, op4_byte_bpe, op10_quality_rules)}
 ORACLE: dict[str, str] = {}
