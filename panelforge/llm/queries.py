@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import byte_bpe, quality_rules
+from . import byte_bpe, pii, quality_rules
 from .token_counts import count_tokens, sampled
 
 
@@ -33,5 +33,13 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.apply_rules(docs, quality_rules.train(docs, table(spark, sf_dir, "labels")))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op4_byte_bpe, op10_quality_rules)}
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document: counts of all spans, the base spans' digest, and all spans."""
+    found = pii.find(table(spark, sf_dir, "documents"))
+    counts = [F.size(F.filter("spans", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in pii.KINDS]
+    base = F.sha2(pii.joined(F.filter("spans", lambda s: s["base"])), 256)
+    return found.select("doc_id", *counts, base.alias("base_sha256"), pii.joined(F.col("spans")).alias("spans"))
+
+
+QUERIES = {f.__name__: f for f in (op1_token_counts, op4_byte_bpe, op10_quality_rules, op6_pii)}
 ORACLE: dict[str, str] = {}
