@@ -80,7 +80,7 @@ _PLUS = re.compile(r"(?<!\w)plus\s+(?=[0-9])", re.I)
 _AT_WORD, _DOT_WORD = "at|arroba|ät|@", r"dot|punkt|punto|point|\."
 _AT_BOXED = re.compile(rf"\s*[\[({{<]\s*(?:{_AT_WORD})\s*[\])}}>]\s*", re.I)
 _DOT_BOXED = re.compile(rf"\s*[\[({{<]\s*(?:{_DOT_WORD})\s*[\])}}>]\s*", re.I)
-_BARE = re.compile(rf"(?<![\w.%+-])[\w.%+-]++(?:\s+dot\s+[\w.%+-]++){0,4}\s+(?:at|arroba)\s+[\w-]++(?:(?:\s+(?:dot|punkt|punto|point)\s+|\.)[\w-]++){0,8}?\s+(?:dot|punkt|punto|point)\s+[A-Za-z]{{2,24}}(?!\w)", re.I)
+_BARE = re.compile(r"(?<![\w.%+-])[\w.%+-]++(?:\s+dot\s+[\w.%+-]++){0,4}\s+(?:at|arroba)\s+[\w-]++(?:(?:\s+(?:dot|punkt|punto|point)\s+|\.)[\w-]++){0,8}?\s+(?:dot|punkt|punto|point)\s+[A-Za-z]{2,24}(?!\w)", re.I)
 _BARE_DOT = re.compile(r"\s+(?:dot|punkt|punto|point)\s+", re.I)
 _BARE_AT = re.compile(r"\s+(?:at|arroba)\s+", re.I)
 _INVISIBLE = "­​‌‍⁠﻿"
