@@ -50,3 +50,24 @@ def shared_dir(spark: SparkSession) -> str:
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(given)
     return sc.getCheckpointDir()
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """The rows of df, written once to the shared folder and read back: a short lineage that survives lost executors."""
+    import uuid
+
+    path = f"{shared_dir(df.sparkSession)}/kept-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._kept_path = path
+    return out
+
+
+def drop_kept(*dfs: DataFrame | None) -> None:
+    """Delete the files behind frames of kept() that nothing needs any more."""
+    for df in dfs:
+        path = getattr(df, "_kept_path", None)
+        if path:
+            jvm = df.sparkSession.sparkContext._jvm
+            there = jvm.org.apache.hadoop.fs.Path(path)
+            there.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(there, True)
