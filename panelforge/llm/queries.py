@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import byte_bpe, chat_format, pii, quality_rules
+from . import byte_bpe, chat_format, mixing, pii, quality_rules
 from .token_counts import count_tokens, sampled
 
 
@@ -59,5 +59,11 @@ def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op4_byte_bpe, op10_quality_rules, op6_pii, op3_chat_format)}
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents mixed to weights 5, 2, 1 over their sources, 3 epochs at most."""
+    out = mixing.mix(table(spark, sf_dir, "documents"), (5.0, 2.0, 1.0), 3.0, exact=True)
+    return out.select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
+
+
+QUERIES = {f.__name__: f for f in (op1_token_counts, op4_byte_bpe, op10_quality_rules, op6_pii, op3_chat_format, op5_mixing)}
 ORACLE: dict[str, str] = {}
