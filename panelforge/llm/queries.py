@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import byte_bpe, chat_format, mixing, pii, quality_rules
+from . import byte_bpe, chat_format, mixing, ngram_join, pii, quality_rules
 from .token_counts import count_tokens, sampled
 
 
@@ -65,5 +65,10 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op4_byte_bpe, op10_quality_rules, op6_pii, op3_chat_format, op5_mixing)}
+def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Classes of documents linked by 5-word shingles at Jaccard 0.8."""
+    return ngram_join.join_groups(table(spark, sf_dir, "documents"), 5, 80)
+
+
+QUERIES = {f.__name__: f for f in (op1_token_counts, op4_byte_bpe, op10_quality_rules, op6_pii, op3_chat_format, op5_mixing, op7_ngram_join)}
 ORACLE: dict[str, str] = {}
