@@ -65,3 +65,15 @@ def spaced_files(docs: DataFrame, most: int) -> list[str]:
     """At most `most` of the files that `docs` reads, evenly spaced over their sorted names."""
     files = sorted(docs.inputFiles())
     return files if len(files) <= most else [files[i * len(files) // most] for i in range(most)]
+
+
+#: Rows of (id, hash) that a filter broadcasts at most; beyond that both sides are shuffled.
+BROADCAST_ROWS = 500_000
+
+
+def without(docs: DataFrame, rejected: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs without the rows whose id and text hash stand in rejected (doc_id, hash); columns stay as they are."""
+    gone = rejected.select(F.col("doc_id").alias("gone_id"), F.col("hash").alias("gone_hash")).distinct()
+    if gone.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        gone = F.broadcast(gone)
+    return docs.join(gone, docs[id_col].eqNullSafe(F.col("gone_id")) & (F.xxhash64(docs[text_col]) == F.col("gone_hash")), "left_anti")

@@ -16,7 +16,7 @@ from bisect import bisect, bisect_left
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_texts
+from .common import map_texts, slices
 
 KINDS = ("email", "ip", "card", "phone")
 
@@ -258,6 +258,25 @@ def mask(text: str, spans: list[tuple]) -> str:
     return "".join(parts) + text[at:] if parts else text
 
 
+def mask_column(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """docs with personal data in the text column masked; all other columns and null texts stay."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            at = batch.schema.get_field_index(text_col)
+            for part in slices(batch, text_col):
+                out = []
+                for text in part.column(at).to_pylist():
+                    base = base_spans(text) if text else []
+                    out.append(mask(text, sorted(base + added_spans(text, base))) if text else text)
+                columns = [pa.array(out, part.schema.field(at).type) if i == at else c for i, c in enumerate(part.columns)]
+                yield pa.RecordBatch.from_arrays(columns, schema=part.schema)
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def joined(spans: Column) -> Column:
     """kind:start:end of each span, comma-joined in their order."""
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")

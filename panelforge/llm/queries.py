@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import ann, byte_bpe, chat_format, mixing, ngram_join, pii, quality_rules, toxicity
+from . import ann, byte_bpe, chat_format, mixing, ngram_join, pii, quality_classifier, quality_rules, toxicity
 from .token_counts import count_tokens, sampled
 
 
@@ -81,5 +81,12 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")), 0.3)
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op4_byte_bpe, op10_quality_rules, op6_pii, op3_chat_format, op5_mixing, op7_ngram_join, op9_nearest, op2_toxicity)}
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document from its own evidence and the posteriors of its source and source/lang."""
+    docs = table(spark, sf_dir, "documents")
+    out = quality_classifier.classify(docs, quality_classifier.train(docs, table(spark, sf_dir, "labels")))
+    return out.select("doc_id", "score", "kept", "doc_score", "host_quality", "path_quality", "host", "path")
+
+
+QUERIES = {f.__name__: f for f in (op1_token_counts, op4_byte_bpe, op10_quality_rules, op6_pii, op3_chat_format, op5_mixing, op7_ngram_join, op9_nearest, op2_toxicity, op8_quality_classifier)}
 ORACLE: dict[str, str] = {}
