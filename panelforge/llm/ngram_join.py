@@ -8,9 +8,11 @@ tokens are dealt into subsets, and each pair of one subset is a signature (p tok
 p - 2 losses). Two linked documents always share a signature, whatever the list of frequent tokens
 holds, so that list is a bounded summary and steers cost only.
 
-Signatures only link a document to the first one of its bucket (no pairs are emitted); components of
-those links are small groups of look-alikes, inside which every pair is verified exactly, in blocks, and
-only a spanning forest of the true links comes out. Equal token sets are one vertex throughout.
+The few documents of a small bucket are paired (NEAR partners each at most) and a pair goes unless sizes
+and parity bitmaps, whose differing bits are a lower bound of differing tokens, allow the threshold; in a
+larger bucket each document is tied to the first only. Components of these ties are groups of
+look-alikes. Inside a group every pair is verified exactly, in blocks, and only a spanning forest of the
+true links comes out, so a large group costs no pair rows. Equal token sets are one vertex throughout.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ from __future__ import annotations
 from itertools import combinations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import drop_kept, kept
@@ -29,6 +31,8 @@ _SALTS = (np.random.default_rng(5).integers(1, 2**63, 64, dtype=np.uint64) << np
 _CACHE: dict = {}
 #: Frequent tokens that are listed at most; the least count of one; tokens that one slice of a task reports at most.
 LISTED, LEAST, REPORTED = 262_144, 8, 16_384
+#: Documents of a bucket that are paired rather than tied to the first, less one; sets that are fetched by a broadcast at most.
+NEAR, FETCHED = 63, 500_000
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -70,6 +74,23 @@ def fingerprint(toks: np.ndarray) -> int:
     return int(h.view(np.int64)[0])
 
 
+def parity(toks: np.ndarray) -> bytes:
+    """Parity of the tokens in each of at least 2n places (a power of two, 256 at least)."""
+    places = max(256, 1 << (2 * len(toks)).bit_length())
+    return np.packbits(np.bincount((toks & np.uint64(places - 1)).astype(np.int64), minlength=places).astype(np.uint8) & 1, bitorder="little").tobytes()
+
+
+def may_link(a: bytes, b: bytes, n: int, percent: int) -> bool:
+    """False only if sets with these parities and n tokens in all are surely below the threshold."""
+    if len(a) < len(b):
+        a, b = b, a
+    x, bits = int.from_bytes(a, "little"), 8 * len(a)
+    while bits > 8 * len(b):
+        bits //= 2
+        x = (x >> bits) ^ (x & ((1 << bits) - 1))
+    return (100 + percent) * (x ^ int.from_bytes(b, "little")).bit_count() <= (100 - percent) * n
+
+
 def _size_class(n: int) -> int:
     return max(n, 1).bit_length()
 
@@ -117,13 +138,13 @@ def _census(docs: DataFrame, width: int, id_col: str, text_col: str) -> DataFram
                 top = np.argsort(-times, kind="stable")[:REPORTED]
                 found, times = found[top], times[top]
             none = [None] * len(found)
-            return {"kind": [0] * len(ids) + [1] * len(found), "id": ids + none, "n": n + times.tolist(), "key": key + found.view(np.int64).tolist(), "hash": hashes + none}
+            return {"kind": [0] * len(ids) + [1] * len(found), "id": ids + none, "n": n + times.tolist(), "key": key + found.view(np.int64).tolist(), "hash": hashes + none, "parity": [parity(x) for x in sets] + none}
 
         return run
 
     kind = docs.schema[id_col].dataType.simpleString()
     hashed = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("hash"))
-    return map_texts(hashed, make, f"kind int, id {kind}, n bigint, key bigint, hash bigint", "doc", "text", binary=True, extra=("hash",))
+    return map_texts(hashed, make, f"kind int, id {kind}, n bigint, key bigint, hash bigint, parity binary", "doc", "text", binary=True, extra=("hash",))
 
 
 def _listed(census: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -135,14 +156,14 @@ def _listed(census: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _signed(docs: DataFrame, listed, width: int, percent: int, id_col: str, text_col: str) -> DataFrame:
-    """(sig, key) for each distinct token set of each task."""
+    """(sig, key, n) for each distinct token set of each task."""
     shared = docs.sparkSession.sparkContext.broadcast(listed)
 
     def make():
         seen: set[int] = set()
 
         def run(ids, texts):
-            sig, key = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+            sig, key, n = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int32)]
             for t in texts:
                 s = tokens(t, width)
                 k = fingerprint(s)
@@ -151,25 +172,56 @@ def _signed(docs: DataFrame, listed, width: int, percent: int, id_col: str, text
                     found = signatures(s, *shared.value, percent)
                     sig.append(found)
                     key.append(np.full(len(found), k, np.int64))
-            return {"sig": np.concatenate(sig).view(np.int64), "key": np.concatenate(key)}
+                    n.append(np.full(len(found), len(s), np.int32))
+            return {"sig": np.concatenate(sig).view(np.int64), "key": np.concatenate(key), "n": np.concatenate(n)}
 
         return run
 
-    return map_texts(docs, make, "sig bigint, key bigint", id_col, text_col, binary=True)
+    return map_texts(docs, make, "sig bigint, key bigint, n int", id_col, text_col, binary=True)
+
+
+def _ties(sigs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b) ties whose components hold every link: filtered pairs of small buckets, stars of large ones."""
+    whole, ordered = Window.partitionBy("sig"), Window.partitionBy("sig").orderBy("n", "key")
+    shared = sigs.withColumn("rows", F.count("*").over(whole)).where("rows > 1")  # most signatures end here
+    once = shared.withColumn("last", F.lag("key").over(ordered)).where("last is null or last != key")
+    ahead = F.collect_list(F.struct("key", "n")).over(ordered.rowsBetween(1, NEAR))
+    bucket = once.select("key", "n", F.count("*").over(whole).alias("members"), F.min("key").over(whole).alias("hub"), ahead.alias("ahead")).where("members > 1")
+    fits = F.filter("ahead", lambda o: 100 * F.col("n") >= percent * o["n"])
+    small = F.col("members") <= NEAR + 1
+    star = F.filter(F.array(F.struct(F.col("hub").alias("key"), F.lit(0).alias("n"))), lambda o: o["key"] != F.col("key"))
+    ties = kept(bucket.select(F.col("key").alias("a"), small.alias("pair"), F.explode(F.when(small, fits).otherwise(star)).alias("o")).select("pair", "a", F.col("o.key").alias("b")).distinct())
+    sides = sets.select("key", "n", "parity")
+    both = ties.where("pair").join(sides.select(F.col("key").alias("a"), F.col("n").alias("an"), F.col("parity").alias("ap")), "a")
+    both = both.join(sides.select(F.col("key").alias("b"), F.col("n").alias("bn"), F.col("parity").alias("bp")), "b")
+
+    def close(batches):
+        import pyarrow as pa
 
+        for t in batches:
+            columns = [t.column(c).to_pylist() for c in ("ap", "bp", "an", "bn")]
+            yield t.filter(pa.array([may_link(x, y, n + m, percent) for x, y, n, m in zip(*columns, strict=True)], pa.bool_())).select(["a", "b"])
 
-def _token_rows(docs: DataFrame, wanted: DataFrame, width: int, text_col: str) -> DataFrame:
-    """(key, toks) for the wanted sets, each found by the hash of one of its texts."""
-    texts = docs.select(F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text")).join(wanted, F.col("text_hash") == F.col("hash"))
+    near = both.select("a", "b", "ap", "bp", "an", "bn").mapInArrow(close, "a bigint, b bigint")
+    return near.unionByName(ties.where("not pair").select("a", "b"))
+
+
+def _token_rows(docs: DataFrame, wanted: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame:
+    """(key, toks, place) for the wanted sets, each from one document of that id and text hash."""
+    texts = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("text_hash"))
+    few = wanted.limit(FETCHED + 1).count() <= FETCHED  # small rows; beyond that both sides are shuffled
+    wanted = F.broadcast(wanted) if few else wanted
+    texts = texts.join(wanted, (F.col("text_hash") == F.col("hash")) & F.col("doc").eqNullSafe(F.col("id")))
 
     def make():
-        def run(keys, texts):
-            out = {k: s.tobytes() for k, s in ((k, tokens(t, width)) for k, t in dict(zip(keys, texts, strict=True)).items()) if fingerprint(s) == k}
-            return {"key": list(out), "toks": list(out.values())}
+        def run(keys, texts, label, blocks, own):
+            sets = [tokens(t, width) for t in texts]
+            good = [i for i, s in enumerate(sets) if fingerprint(s) == keys[i]]
+            return {"key": [keys[i] for i in good], "label": [label[i] for i in good], "blocks": [blocks[i] for i in good], "own": [own[i] for i in good], "toks": [sets[i].tobytes() for i in good]}
 
         return run
 
-    return map_texts(texts.select("key", "text"), make, "key bigint, toks binary", "key", "text", binary=True).dropDuplicates(["key"])
+    return map_texts(texts, make, "key bigint, label bigint, blocks int, own int, toks binary", "key", "text", binary=True, extra=("label", "blocks", "own"))
 
 
 def linked_pairs(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, percent: int = 80) -> np.ndarray:
@@ -214,10 +266,11 @@ def _forest(pairs: np.ndarray, n: int) -> list[tuple[int, int]]:
 
 
 def join_groups(docs: DataFrame, width: int = 5, percent: int = 80, block: int = 64, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, component_id, copies) for each row of docs.
+    """(doc_id, n_shingles, component_id, copies, hash) for each row of docs.
 
     Documents link when their shingle sets' Jaccard similarity is at least percent / 100; component_id
-    is the smallest id that links reach, the document's own included; copies: rows with the same set.
+    is the smallest id that links reach, the document's own included; copies: rows with the same set;
+    hash: xxhash64 of the text.
     A text without words (or null) has no shingles and links with nothing; null ids keep their row and
     never become a component_id unless alone. Rows of equal id are separate documents that share a
     name. Other columns are not read. `block` bounds the documents that one task compares with as many
@@ -226,24 +279,20 @@ def join_groups(docs: DataFrame, width: int = 5, percent: int = 80, block: int =
     census = kept(_census(docs, width, id_col, text_col))
     listed = _listed(census)
     sigs = _signed(docs, listed, width, percent, id_col, text_col)
-    from pyspark.sql import Window
-
-    bucket = Window.partitionBy("sig")
-    stars = sigs.withColumn("hub", F.min("key").over(bucket)).where("key != hub").select(F.col("key").alias("a"), F.col("hub").alias("b")).distinct()
-    loose = components(stars)
+    one = census.where("kind = 0").groupBy("key").agg(F.min(F.struct("id", "hash")).alias("first"), F.count("*").alias("copies"), F.max("n").alias("n"), F.min("parity").alias("parity"))
+    one = kept(one.select("key", "first.*", "copies", "n", "parity"))
+    loose = components(_ties(sigs, one, percent))
     sizes = kept(loose.groupBy("label").agg(F.count("*").alias("members")))
-    one = census.where("kind = 0").groupBy("key").agg(F.min("id").alias("id"), F.count("*").alias("copies"), F.min("hash").alias("hash"))
-    one = kept(one)
-    l, s = loose.alias("l"), sizes.alias("s")
-    blocks = F.ceil(F.col("s.members") / F.lit(block)).cast("int")
-    placed = kept(l.join(s, "label").select(F.col("l.id").alias("key"), "label", blocks.alias("blocks"), F.pmod(F.xxhash64("l.id"), blocks).cast("int").alias("own")))
-    toks = kept(_token_rows(docs, placed.join(one, "key").select("key", "hash"), width, text_col))
-    rows = toks.join(placed, "key").select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    blocks = F.ceil(F.col("members") / F.lit(block)).cast("int")
+    placed = loose.join(sizes, "label").select(F.col("id").alias("key"), "label", blocks.alias("blocks"), F.pmod(F.xxhash64("id"), blocks).cast("int").alias("own"))
+    wanted = kept(placed.join(one, "key").select("key", "label", "blocks", "own", "id", "hash"))
+    rows = _token_rows(docs, wanted, width, id_col, text_col).select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     rows = rows.select("label", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "key", "toks")
 
     def verify(table):
         import pyarrow as pa
 
+        table = table.take(pa.array(np.unique(table.column("key").to_numpy(), return_index=True)[1]))  # repeated rows
         first = table.column("i")[0].as_py()
         same = first == table.column("j")[0].as_py()
         key = table.column("key").to_pylist()
@@ -262,6 +311,6 @@ def join_groups(docs: DataFrame, width: int = 5, percent: int = 80, block: int =
     named = kept(classes.join(least, "class").select("key", "copies", "component_id"))
     rows = census.where("kind = 0").alias("c").join(named.alias("m"), F.col("c.key") == F.col("m.key"))
     empty = F.col("c.n") == 0
-    out = rows.select(F.col("c.id").alias("doc_id"), F.col("c.n").alias("n_shingles"), F.when(empty, F.col("c.id")).otherwise(F.col("m.component_id")).alias("component_id"), F.when(empty, 1).otherwise(F.col("m.copies")).cast("long").alias("copies"))
-    drop_kept(loose, sizes, placed, toks, links, found)
+    out = rows.select(F.col("c.id").alias("doc_id"), F.col("c.n").alias("n_shingles"), F.when(empty, F.col("c.id")).otherwise(F.col("m.component_id")).alias("component_id"), F.when(empty, 1).otherwise(F.col("m.copies")).cast("long").alias("copies"), F.col("c.hash").alias("hash"))
+    drop_kept(loose, sizes, wanted, links, found)
     return out
