@@ -44,8 +44,8 @@ def neighbours(queries: DataFrame, anchors: DataFrame, query_key: str, value: st
         pairs = pairs.select(query_key, *by, distance.alias("distance"), F.col("v_"))
     else:
         blocks = -(-n // BLOCK)
-        a = a.withColumn("block_", F.pmod(F.xxhash64("ax_", "ay_"), F.lit(blocks)))
-        q = q.withColumn("block_", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).cast("long"))
+        a = a.withColumn("block_", F.pmod(F.xxhash64("ax_", "ay_"), F.lit(blocks)).cast("int"))
+        q = q.withColumn("block_", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
         pairs = q.join(a, [*by, "block_"]).select(query_key, *by, "block_", distance.alias("distance"), "v_")
         pairs = pairs.withColumn("r_", nearest(["block_"])).where(F.col("r_") <= k).drop("r_")
     best = pairs.withColumn("r_", nearest([])).where(F.col("r_") <= k)
