@@ -7,6 +7,7 @@ import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
+BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 
 
@@ -30,7 +31,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def on_workers(spark: SparkSession) -> None:
-    """Let Python workers find this package when the driver has it on sys.path only."""
+    """Let Python workers find this package when the driver has it on sys.path only, and bound Arrow batches.
+
+    Rows of text differ a lot in length, so batches are cut by bytes as well; a session's own choice stays.
+    """
+    if spark.conf.get(BATCH, None) is None:
+        spark.conf.set(BATCH, "16m")
     env = spark.sparkContext.environment
     if ROOT not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(x for x in (ROOT, env.get("PYTHONPATH", "")) if x)
