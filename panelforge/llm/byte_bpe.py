@@ -15,11 +15,10 @@ import heapq
 import numpy as np
 from pyspark.sql import DataFrame
 
-from .common import map_texts
+from .common import map_texts, worker_state
 
 NONE = np.iinfo(np.int32).max
 WIDTH = 1 << 20
-_STATE: dict = {}
 
 
 class MergeRanks:
@@ -204,7 +203,7 @@ def encode(
     id_col: str = "doc_id",
     text_col: str = "text",
     with_decoded: bool = False,
-    most_words: int = 300_000,
+    most_words: int = 200_000,
 ) -> DataFrame:
     """(doc_id, n_tokens, ids[, decoded]): ids as binary, little-endian unsigned 32-bit integers.
 
@@ -217,9 +216,10 @@ def encode(
     shared = docs.sparkSession.sparkContext.broadcast((lines, pattern, most_words))
 
     def make():
-        if _STATE.get("key") != shared.value:
-            _STATE.update(key=shared.value, encoder=Encoder(*shared.value))
-        encoder = _STATE["encoder"]
+        state = worker_state("byte_bpe")
+        if state.get("key") != shared.value:
+            state.update(key=shared.value, encoder=Encoder(*shared.value))
+        encoder = state["encoder"]
         token = encoder.table.token.__getitem__
 
         def run(ids, texts):
@@ -234,7 +234,7 @@ def encode(
         return run
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return map_texts(docs, make, f"doc_id {kind}, n_tokens bigint, ids binary" + ", decoded binary" * with_decoded, id_col, text_col, limit=16 << 20)
+    return map_texts(docs, make, f"doc_id {kind}, n_tokens bigint, ids binary" + ", decoded binary" * with_decoded, id_col, text_col, owner="byte_bpe")
 
 
 def decode(encoded: DataFrame, ranks_path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -243,10 +243,10 @@ def decode(encoded: DataFrame, ranks_path: str, id_col: str = "doc_id", ids_col:
         shared = encoded.sparkSession.sparkContext.broadcast(f.read())
 
     def make():
-        key = ("decode", shared.value)
-        if _STATE.get("decode_key") != key:
-            _STATE.update(decode_key=key, token=MergeRanks(shared.value).token)
-        token = _STATE["token"].__getitem__
+        state = worker_state("byte_bpe decode")
+        if state.get("key") != shared.value:
+            state.update(key=shared.value, token=MergeRanks(shared.value).token)
+        token = state["token"].__getitem__
 
         def run(ids, rows):
             return {"doc_id": ids, "decoded": [b"".join(map(token, np.frombuffer(r, "<u4").tolist())) for r in rows]}

@@ -13,6 +13,27 @@ from pyspark.sql import functions as F
 SLICE_BYTES = 8 << 20
 
 
+_WORKER: dict[str, dict] = {}
+
+
+def worker_state(owner: str) -> dict:
+    """What a Python worker keeps between tasks of one operator; another operator's state goes first."""
+    if owner not in _WORKER:
+        _WORKER.clear()
+        _WORKER[owner] = {}
+    return _WORKER[owner]
+
+
+def give_back() -> None:
+    """Return freed memory to the system, so that idle workers do not hold what their last task needed."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim:
+        trim(0)
+
+
 def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut a batch so that each part has at most `limit` bytes of `column`, or one row."""
     lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()
@@ -35,15 +56,17 @@ def map_texts(
     binary: bool = False,
     extra: tuple[str, ...] = (),
     limit: int = SLICE_BYTES,
+    owner: str = "",
 ) -> DataFrame:
     """Map (id, text) rows in Arrow slices, without a shuffle.
 
     `make` runs once in each task and returns f(ids, texts, *extras) -> {column: list or array}, the
-    columns of `schema` in order. Null texts arrive as empty ones; other columns of `docs` are not read.
+    columns of `schema` in order; what it keeps for later tasks is worker_state(owner). Null texts arrive as empty ones; other columns of `docs` are not read.
     """
     kept = docs.select(F.col(id_col).alias("id_"), F.coalesce(F.col(text_col), F.lit("")).alias("text_"), *[F.col(c).alias(f"x{i}_") for i, c in enumerate(extra)])
 
     def run(batches):
+        worker_state(owner)
         f = make()
         for batch in batches:
             for part in slices(batch, "text_", limit):
@@ -53,6 +76,9 @@ def map_texts(
                 out = f(part.column("id_").to_pylist(), texts, *more)
                 if len(next(iter(out.values()))):
                     yield pa.RecordBatch.from_pydict(out, schema=arrow)
+                del out, texts, more
+        del f
+        give_back()
 
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType

@@ -24,11 +24,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import drop_kept, kept
-from .common import map_texts
+from .common import map_texts, worker_state
 from .components import components
 
 _SALTS = (np.random.default_rng(5).integers(1, 2**63, 64, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
-_CACHE: dict = {}
 #: Frequent tokens that are listed at most; the least count of one; tokens that one slice of a task reports at most.
 LISTED, LEAST, REPORTED = 262_144, 8, 16_384
 #: Documents of a bucket that are paired rather than tied to the first, less one; sets that are fetched by a broadcast at most.
@@ -46,7 +45,7 @@ class _WordHashes(dict):
     def __missing__(self, word: bytes) -> int:
         import xxhash
 
-        if len(self) > 400_000:
+        if len(self) > 200_000:
             self.clear()
         self[word] = h = xxhash.xxh3_64_intdigest(word)
         return h
@@ -58,7 +57,7 @@ def tokens(text: bytes, width: int = 5) -> np.ndarray:
     n = len(words)
     if not n:
         return np.zeros(0, np.uint64)
-    hashes = np.fromiter(map(_CACHE.setdefault("words", _WordHashes()).__getitem__, words), np.uint64, n)
+    hashes = np.fromiter(map(worker_state("ngram_join").setdefault("words", _WordHashes()).__getitem__, words), np.uint64, n)
     if n < width:
         return _mix(np.array([(hashes * _SALTS[32 : 32 + n]).sum() + np.uint64(n)], np.uint64))
     out = hashes[: n - width + 1] * _SALTS[0]
@@ -144,7 +143,7 @@ def _census(docs: DataFrame, width: int, id_col: str, text_col: str) -> DataFram
 
     kind = docs.schema[id_col].dataType.simpleString()
     hashed = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("hash"))
-    return map_texts(hashed, make, f"kind int, id {kind}, n bigint, key bigint, hash bigint, parity binary", "doc", "text", binary=True, extra=("hash",))
+    return map_texts(hashed, make, f"kind int, id {kind}, n bigint, key bigint, hash bigint, parity binary", "doc", "text", binary=True, extra=("hash",), owner="ngram_join")
 
 
 def _listed(census: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -177,7 +176,7 @@ def _signed(docs: DataFrame, listed, width: int, percent: int, id_col: str, text
 
         return run
 
-    return map_texts(docs, make, "sig bigint, key bigint, n int", id_col, text_col, binary=True)
+    return map_texts(docs, make, "sig bigint, key bigint, n int", id_col, text_col, binary=True, owner="ngram_join")
 
 
 def _ties(sigs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -221,7 +220,7 @@ def _token_rows(docs: DataFrame, wanted: DataFrame, width: int, id_col: str, tex
 
         return run
 
-    return map_texts(texts, make, "key bigint, label bigint, blocks int, own int, toks binary", "key", "text", binary=True, extra=("label", "blocks", "own"))
+    return map_texts(texts, make, "key bigint, label bigint, blocks int, own int, toks binary", "key", "text", binary=True, extra=("label", "blocks", "own"), owner="ngram_join")
 
 
 def linked_pairs(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, percent: int = 80) -> np.ndarray:

@@ -16,7 +16,7 @@ from bisect import bisect, bisect_left
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_texts, slices
+from .common import give_back, map_texts, slices, worker_state
 
 KINDS = ("email", "ip", "card", "phone")
 
@@ -264,6 +264,7 @@ def mask_column(docs: DataFrame, text_col: str = "text") -> DataFrame:
     def run(batches):
         import pyarrow as pa
 
+        worker_state("")
         for batch in batches:
             at = batch.schema.get_field_index(text_col)
             for part in slices(batch, text_col):
@@ -273,6 +274,8 @@ def mask_column(docs: DataFrame, text_col: str = "text") -> DataFrame:
                     out.append(mask(text, sorted(base + added_spans(text, base))) if text else text)
                 columns = [pa.array(out, part.schema.field(at).type) if i == at else c for i, c in enumerate(part.columns)]
                 yield pa.RecordBatch.from_arrays(columns, schema=part.schema)
+                del out, columns
+        give_back()
 
     return docs.mapInArrow(run, docs.schema)
 

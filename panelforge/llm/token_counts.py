@@ -15,9 +15,7 @@ from itertools import chain
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_texts, spaced_files
-
-_STATE: dict = {}
+from .common import map_texts, spaced_files, worker_state
 
 
 def frequent_pieces(sample: DataFrame, size: int = 65_536, text_col: str = "text") -> list[bytes]:
@@ -48,7 +46,7 @@ def count_tokens(
     text_col: str = "text",
     sample: DataFrame | None = None,
     table_size: int = 65_536,
-    cache_size: int = 400_000,
+    cache_size: int = 250_000,
 ) -> DataFrame:
     """(doc_id, n_bytes, n_tokens, over_limit) for each row of `docs`.
 
@@ -71,15 +69,16 @@ def count_tokens(
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         key = shared.id if hasattr(shared, "id") else id(shared)
-        if _STATE.get("key") != key:
+        state = worker_state("token_counts")
+        if state.get("key") != key:
             spec, table = shared.value
-            _STATE.update(key=key, tokenizer=Tokenizer.from_str(spec), table=table, lengths=dict(table))
-        tokenizer = _STATE["tokenizer"]
+            state.update(key=key, tokenizer=Tokenizer.from_str(spec), table=table, lengths=dict(table))
+        tokenizer = state["tokenizer"]
 
         def count(ids, texts):
-            lengths = _STATE["lengths"]
-            if len(lengths) > len(_STATE["table"]) + cache_size:
-                lengths = _STATE["lengths"] = dict(_STATE["table"])
+            lengths = state["lengths"]
+            if len(lengths) > len(state["table"]) + cache_size:
+                lengths = state["lengths"] = dict(state["table"])
             n_tokens = []
             for at in range(0, len(texts), 256):
                 words = [t.split() for t in texts[at : at + 256]]
@@ -91,7 +90,7 @@ def count_tokens(
         return count
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return map_texts(docs, make, f"doc_id {kind}, n_bytes bigint, n_tokens bigint, over_limit boolean", id_col, text_col, binary=True)
+    return map_texts(docs, make, f"doc_id {kind}, n_bytes bigint, n_tokens bigint, over_limit boolean", id_col, text_col, binary=True, owner="token_counts")
 
 
 def sampled(spark: SparkSession, docs: DataFrame, rows: int = 20_000, files: int = 4) -> DataFrame:

@@ -40,7 +40,7 @@ class _Hits(dict):
         self.number = {v: i for i, v in enumerate(voters)}
 
     def __missing__(self, word: str) -> tuple[int, ...]:
-        if len(self) > 400_000:
+        if len(self) > 200_000:
             self.clear()
         self[word] = hit = tuple(self.number[k] for k in word_keys(word) if k in self.number)
         return hit
