@@ -278,8 +278,8 @@ def join_groups(docs: DataFrame, width: int = 5, percent: int = 80, block: int =
     census = kept(_census(docs, width, id_col, text_col))
     listed = _listed(census)
     sigs = _signed(docs, listed, width, percent, id_col, text_col)
-    one = census.where("kind = 0").groupBy("key").agg(F.min(F.struct("id", "hash")).alias("first"), F.count("*").alias("copies"), F.max("n").alias("n"), F.min("parity").alias("parity"))
-    one = kept(one.select("key", "first.*", "copies", "n", "parity"))
+    one = census.where("kind = 0").groupBy("key").agg(F.min(F.struct("id", "hash")).alias("first"), F.min("id").alias("least"), F.count("*").alias("copies"), F.max("n").alias("n"), F.min("parity").alias("parity"))
+    one = kept(one.select("key", "first.*", "least", "copies", "n", "parity"))
     loose = components(_ties(sigs, one, percent))
     sizes = kept(loose.groupBy("label").agg(F.count("*").alias("members")))
     blocks = F.ceil(F.col("members") / F.lit(block)).cast("int")
@@ -305,8 +305,8 @@ def join_groups(docs: DataFrame, width: int = 5, percent: int = 80, block: int =
 
     links = kept(rows.groupBy("label", "i", "j").applyInArrow(verify, "a bigint, b bigint"))
     found = components(links)
-    classes = one.join(found.withColumnRenamed("id", "key"), "key", "left").select("key", "id", "copies", F.coalesce("label", "key").alias("class"))
-    least = classes.groupBy("class").agg(F.min("id").alias("component_id"))
+    classes = one.join(found.withColumnRenamed("id", "key"), "key", "left").select("key", "least", "copies", F.coalesce("label", "key").alias("class"))
+    least = classes.groupBy("class").agg(F.min("least").alias("component_id"))
     named = kept(classes.join(least, "class").select("key", "copies", "component_id"))
     rows = census.where("kind = 0").alias("c").join(named.alias("m"), F.col("c.key") == F.col("m.key"))
     empty = F.col("c.n") == 0
