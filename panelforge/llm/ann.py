@@ -84,7 +84,7 @@ def usable(vectors: DataFrame, id_col: str, vector_col: str, size: int | None =
     fine = F.col(id_col).isNotNull() & v.isNotNull() & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
     if size is not None:
         fine = fine & (F.size(v) == size)
-    return vectors.where(fine).select(F.col(id_col).alias("vec_id"), v.cast("array<double>").alias("v"))
+    return vectors.where(fine).select(F.col(id_col).cast("long").alias("vec_id"), v.cast("array<double>").alias("v"))
 
 
 def _matrix(column) -> np.ndarray:

@@ -96,7 +96,7 @@ def plan(rows: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), most: fl
     found = rows.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("n")).limit(max_sources + 1).collect()
     if len(found) > max_sources:
         raise ValueError(f"more than {max_sources} sources")
-    found.sort(key=lambda r: (r.source is None, r.source or ""))
+    found.sort(key=lambda r: (r.source is None, "" if r.source is None else r.source))
     goal = targets([r["size"] for r in found], weights, most, share)
     table = []
     for r, t in zip(found, goal, strict=True):

@@ -29,17 +29,17 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, most: in
 
 
 def sample_features(sample: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Feature rows and labels of a bounded labelled sample, on the driver, ordered by id and content."""
+    """Feature rows and labels of a bounded labelled sample, on the driver, in a fixed order."""
 
     def make():
         def run(ids, texts, label):
-            return {"id": ids, "label": label, "x": [[float(v) for v in Stats(t).features] for t in texts]}
+            return {"label": label, "x": [[float(v) for v in Stats(t).features] for t in texts]}
 
         return run
 
-    rows = map_texts(sample, make, "id bigint, label int, x array<double>", "doc_id", "text", binary=True, extra=("label",)).collect()
-    rows.sort(key=lambda r: (r[0], r[2]))
-    return np.array([r[2] for r in rows], np.float64).reshape(-1, len(FEATURES)), np.array([r[1] for r in rows], np.int64)
+    rows = map_texts(sample, make, "label int, x array<double>", "doc_id", "text", binary=True, extra=("label",)).collect()
+    rows.sort(key=lambda r: (r[1], r[0]))
+    return np.array([r[1] for r in rows], np.float64).reshape(-1, len(FEATURES)), np.array([r[0] for r in rows], np.int64)
 
 
 def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", most: int = 20_000, id_col: str = "doc_id", text_col: str = "text"):

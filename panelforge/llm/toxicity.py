@@ -189,14 +189,14 @@ def train(docs: DataFrame, labels: DataFrame, most: int = 20_000, trust: float =
 
         def run(ids, texts, label):
             found = [counts(t, hits) for t in texts]
-            return {"id": ids, "label": label, "at": [sorted(c) for c, _ in found], "times": [[c[j] for j in sorted(c)] for c, _ in found], "n": [w for _, w in found]}
+            return {"label": label, "at": [sorted(c) for c, _ in found], "times": [[c[j] for j in sorted(c)] for c, _ in found], "n": [w for _, w in found]}
 
         return run
 
-    rows = map_texts(sample, make, "id bigint, label int, at array<int>, times array<int>, n int", "doc_id", "text", extra=("label",)).collect()
-    rows.sort(key=lambda r: (r[0], r[4]))
-    x = np.array([features(Counter(dict(zip(r[2], r[3], strict=True))), r[4], len(voters)) for r in rows])
-    y = np.array([r[1] for r in rows], np.float64)
+    rows = map_texts(sample, make, "label int, at array<int>, times array<int>, n int", "doc_id", "text", extra=("label",)).collect()
+    rows.sort(key=lambda r: (r[3], r[1], r[2], r[0]))
+    x = np.array([features(Counter(dict(zip(r[1], r[2], strict=True))), r[3], len(voters)) for r in rows])
+    y = np.array([r[0] for r in rows], np.float64)
     votes = (x[:, : len(voters) + len(PATTERNS)] > 0).astype(np.float64)
     silent = (votes[:, : len(voters)].sum(1) == 0).astype(np.float64)  # one more voter: no word voter fires
     votes = np.concatenate((votes, silent[:, None]), 1)
