@@ -264,6 +264,54 @@ def _forest(pairs: np.ndarray, n: int) -> list[tuple[int, int]]:
     return out
 
 
+def _verified(rows: DataFrame, percent: int) -> DataFrame:
+    """(a, b): a spanning forest of the true links in each group (label, i, j) of rows with own block, key and toks."""
+
+    def verify(table):
+        import pyarrow as pa
+
+        table = table.take(pa.array(np.unique(table.column("key").to_numpy(), return_index=True)[1]))  # repeated rows
+        first = table.column("i")[0].as_py()
+        same = first == table.column("j")[0].as_py()
+        key = table.column("key").to_pylist()
+        own = np.array(table.column("own").to_pylist())
+        sets = [np.frombuffer(x, np.uint64) for x in table.column("toks").to_pylist()]
+        order = np.argsort(own != first, kind="stable")  # the first block's rows come first
+        sets, key, n = [sets[k] for k in order], [key[k] for k in order], int((own == first).sum())
+        left, right = np.arange(n), np.arange(len(sets)) if same else np.arange(n, len(sets))
+        links = _forest(linked_pairs(sets, left, right, percent), len(sets)) if len(right) else []
+        return pa.table({"a": pa.array([key[a] for a, _ in links], pa.int64()), "b": pa.array([key[b] for _, b in links], pa.int64())})
+
+    return rows.groupBy("label", "i", "j").applyInArrow(verify, "a bigint, b bigint")
+
+
+def _rest(toks: DataFrame, found: DataFrame, block: int) -> DataFrame:
+    """Rows for the pairs of a large group that may still join two classes (found so far).
+
+    Classes of at least `block` sets fill blocks of their own, which need not meet each other; the sets
+    of smaller classes share blocks, which meet all blocks. So a group whose sets mostly link with its
+    first block costs its few others times its size, not its size squared.
+    """
+    t, f = toks.alias("t"), found.alias("f")
+    toks = t.join(f, F.col("t.key") == F.col("f.id"), "left").select("t.label", "key", "toks", F.coalesce("f.label", "t.key").alias("class"))
+    size = toks.groupBy("label", "class").agg(F.count("*").alias("n"))
+    size = kept(size.select("label", "class", "n", (F.col("n") >= block).alias("pure")))
+    small = size.where("not pure").groupBy("label").agg(F.sum("n").alias("small")).withColumnRenamed("label", "l")
+    deal = size.join(small, F.col("label") == F.col("l"), "left").select("label", F.col("class").alias("c"), "pure", F.ceil(F.when(F.col("pure"), F.col("n")).otherwise(F.col("small")) / F.lit(block)).alias("parts"))
+    t, d = toks.alias("t"), deal.withColumnRenamed("label", "l")
+    part = F.pmod(F.when(F.col("pure"), F.xxhash64("key")).otherwise(F.xxhash64("class")), F.col("parts"))
+    name = F.when(F.col("pure"), F.concat_ws("/", "class", part)).otherwise(F.concat_ws("/", F.lit("shared"), part))
+    placed = kept(t.join(d, (F.col("t.label") == F.col("l")) & (F.col("class") == F.col("c"))).select("t.label", "key", "toks", "pure", F.when(F.col("pure"), F.col("class")).alias("class"), name.alias("block")))
+    order = F.dense_rank().over(Window.partitionBy("label").orderBy("block"))
+    names = kept(placed.select("label", "block", "pure", "class").distinct().withColumn("own", order.cast("int")))
+    a, b = names.alias("a"), names.alias("b")
+    meets = (F.col("a.own") <= F.col("b.own")) & ~(F.col("a.pure") & F.col("b.pure") & (F.col("a.class") == F.col("b.class")))
+    pairs = a.join(b, "label").where(meets).select("label", F.col("a.own").alias("i"), F.col("b.own").alias("j"))
+    pairs = pairs.withColumn("own", F.explode(F.array_distinct(F.array("i", "j"))))
+    numbered = placed.join(names.select("label", "block", "own"), ["label", "block"])
+    return numbered.join(pairs, ["label", "own"]).select("label", "i", "j", "own", "key", "toks")
+
+
 def join_groups(docs: DataFrame, width: int = 5, percent: int = 80, block: int = 64, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, copies, hash) for each row of docs.
 
@@ -285,31 +333,22 @@ def join_groups(docs: DataFrame, width: int = 5, percent: int = 80, block: int =
     blocks = F.ceil(F.col("members") / F.lit(block)).cast("int")
     placed = loose.join(sizes, "label").select(F.col("id").alias("key"), "label", blocks.alias("blocks"), F.pmod(F.xxhash64("id"), blocks).cast("int").alias("own"))
     wanted = kept(placed.join(one, "key").select("key", "label", "blocks", "own", "id", "hash"))
-    rows = _token_rows(docs, wanted, width, id_col, text_col).select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    rows = rows.select("label", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "key", "toks")
-
-    def verify(table):
-        import pyarrow as pa
-
-        table = table.take(pa.array(np.unique(table.column("key").to_numpy(), return_index=True)[1]))  # repeated rows
-        first = table.column("i")[0].as_py()
-        same = first == table.column("j")[0].as_py()
-        key = table.column("key").to_pylist()
-        own = np.array(table.column("own").to_pylist())
-        sets = [np.frombuffer(x, np.uint64) for x in table.column("toks").to_pylist()]
-        order = np.argsort(own != first, kind="stable")  # the first block's rows come first
-        sets, key, n = [sets[k] for k in order], [key[k] for k in order], int((own == first).sum())
-        left, right = np.arange(n), np.arange(len(sets)) if same else np.arange(n, len(sets))
-        links = _forest(linked_pairs(sets, left, right, percent), len(sets)) if len(right) else []
-        return pa.table({"a": pa.array([key[a] for a, _ in links], pa.int64()), "b": pa.array([key[b] for _, b in links], pa.int64())})
-
-    links = kept(rows.groupBy("label", "i", "j").applyInArrow(verify, "a bigint, b bigint"))
+    toks = kept(_token_rows(docs, wanted, width, id_col, text_col))
+    # the first block of a group meets all of it
+    partner = F.when(F.col("own") == 0, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("own"))
+    first = toks.select("label", F.lit(0).alias("i"), F.explode(partner).alias("j"), "own", "key", "toks")
+    links = kept(_verified(first, percent))
     found = components(links)
+    if not sizes.where(F.col("members") > block).isEmpty():
+        more = kept(_verified(_rest(toks.where("blocks > 1 and own > 0"), found, block), percent))
+        drop_kept(found)
+        found = components(links.unionByName(more))
+        drop_kept(more)
     classes = one.join(found.withColumnRenamed("id", "key"), "key", "left").select("key", "least", "copies", F.coalesce("label", "key").alias("class"))
     least = classes.groupBy("class").agg(F.min("least").alias("component_id"))
     named = kept(classes.join(least, "class").select("key", "copies", "component_id"))
     rows = census.where("kind = 0").alias("c").join(named.alias("m"), F.col("c.key") == F.col("m.key"))
     empty = F.col("c.n") == 0
     out = rows.select(F.col("c.id").alias("doc_id"), F.col("c.n").alias("n_shingles"), F.when(empty, F.col("c.id")).otherwise(F.col("m.component_id")).alias("component_id"), F.when(empty, 1).otherwise(F.col("m.copies")).cast("long").alias("copies"), F.col("c.hash").alias("hash"))
-    drop_kept(loose, sizes, wanted, links, found)
+    drop_kept(loose, sizes, wanted, toks, links, found)
     return out
