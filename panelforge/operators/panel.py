@@ -100,3 +100,17 @@ def fill_from_donor(series: DataFrame, choice: DataFrame, key: str) -> DataFrame
 def dedupe_first(df: DataFrame, keys: list[str], order: list) -> DataFrame:
     rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
     return df.withColumn("rank_", rank).where("rank_ = 1").drop("rank_")
+
+
+def first_match(left: DataFrame, right: DataFrame, keys: list[str], order: list, how: str = "left") -> DataFrame:
+    """Equi-join that keeps only the first row of `right` for each key."""
+    return left.join(dedupe_first(right, keys, order), keys, how)
+
+
+def audit(df: DataFrame, **tests: Column) -> DataFrame:
+    """Rows in all, and rows that pass each test together with the tests before it; one pass."""
+    passed, counts = F.lit(True), [F.count("*").alias("raw")]
+    for name, test in tests.items():
+        passed = passed & F.coalesce(test, F.lit(False))
+        counts.append(F.count_if(passed).alias(name))
+    return df.agg(*counts)

@@ -90,3 +90,17 @@ def feature_json(lon: Column, lat: Column, properties: list[str]) -> Column:
     """A point Feature as a JSON string."""
     geometry = F.struct(F.lit("Point").alias("type"), F.array(lon, lat).alias("coordinates"))
     return F.to_json(F.struct(F.lit("Feature").alias("type"), geometry.alias("geometry"), F.struct(*properties).alias("properties")))
+
+
+def capped_distance(points: DataFrame, marks: DataFrame, key: str, cap: float) -> DataFrame:
+    """(key, distance): to the nearest mark (cells of rasterised lines), at most `cap`; x and y in the same units.
+
+    Marks are looked for in cells of the cap's size only, so far marks never meet a point.
+    """
+    size = lambda c: F.floor(F.col(c) / cap)
+    m = marks.select(F.col("x").alias("mx_"), F.col("y").alias("my_"), F.explode(F.sequence(size("x") - 1, size("x") + 1)).alias("cx_"), size("y").alias("y0_"))
+    m = m.withColumn("cy_", F.explode(F.sequence(F.col("y0_") - 1, F.col("y0_") + 1)))
+    p = points.withColumns({"cx_": size("x"), "cy_": size("y")})
+    distance = F.sqrt((F.col("x") - F.col("mx_")) ** 2 + (F.col("y") - F.col("my_")) ** 2)
+    best = p.join(m, ["cx_", "cy_"]).groupBy(key).agg(F.min(distance).alias("d_"))
+    return points.select(key).join(best, key, "left").select(key, F.least(F.coalesce("d_", F.lit(float(cap))), F.lit(float(cap))).alias("distance"))

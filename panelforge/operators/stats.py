@@ -114,3 +114,15 @@ def ensemble(frames: list[DataFrame], keys: list[str], value: str) -> DataFrame:
     joined = reduce(lambda a, b: a.join(b, keys), named)
     mean = reduce(lambda a, b: a + b, [F.col(f"{value}_{i}") for i in range(len(frames))]) / len(frames)
     return joined.withColumn(f"{value}_mean", mean)
+
+
+def correlation_table(df: DataFrame, target: str, features: list[str], least: int = 20) -> DataFrame:
+    """(feature, n, missing_share, four coefficients, abs_spearman_log) of features against a target and its log1p."""
+    rows = df.withColumn("log_target_", F.log1p(target))
+    counts = rows.agg(F.count("*").alias("rows_"), *[F.count(f).alias(f) for f in features]).unpivot("rows_", features, "feature", "present_")
+    share = counts.select("feature", F.when(F.col("rows_") > 0, 1 - F.col("present_") / F.col("rows_")).alias("missing_share"))
+    out = share
+    for t, end in ((target, ""), ("log_target_", "_log")):
+        out = out.join(pearson_table(rows, t, features, least).withColumnRenamed("pearson", f"pearson{end}").drop(*(["n"] if end else [])), "feature")
+        out = out.join(spearman_table(rows, t, features).withColumnRenamed("spearman", f"spearman{end}").drop("n"), "feature")
+    return out.withColumn("abs_spearman_log", F.abs("spearman_log"))

@@ -153,3 +153,10 @@ def geojson_features(spark, sf_dir):
 @query("""SELECT 'g_' || CAST(round(500000.0 + i * 5000.0) AS BIGINT) || '_' || CAST(round(1000000.0 + j * 5000.0) AS BIGINT) AS grid_id, 500000.0::DOUBLE + i * 5000.0::DOUBLE AS x, 1000000.0::DOUBLE + j * 5000.0::DOUBLE AS y FROM range(40) a(i), range(30) b(j)""")
 def grid_generator(spark, sf_dir):
     return G.grid_points(spark, 500000.0, 1000000.0, 5000.0, 40, 30)
+
+
+@query(f"WITH {POINTS} SELECT p.vec_id, round(least(min(sqrt((p.lon - r.lon) ** 2 + (p.lat - r.lat) ** 2)), 0.05), 6) AS distance FROM pts p CROSS JOIN (SELECT * FROM pts WHERE label = 1) r GROUP BY 1")
+def distance_transform(spark, sf_dir):
+    """Distance to the nearest marked cell, capped."""
+    p = points(spark, sf_dir).select("vec_id", "label", F.col("lon").alias("x"), F.col("lat").alias("y"))
+    return rounded(G.capped_distance(p.drop("label"), p.where("label = 1"), "vec_id", 0.05), "distance")

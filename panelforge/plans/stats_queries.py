@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..operators import rollup as R, stats, windows
+from ..operators import panel as P, rollup as R, stats, windows
 from ..session import table
 from .base import DAILY, FILLED, KEYS, PANEL, W, daily, day_text, panel, query, r6
 from .panel_queries import SCORES, filled_panel, rounded
@@ -283,3 +283,27 @@ def entity_index(spark, sf_dir):
 @query("SELECT o_orderpriority, count(*) AS n FROM orders GROUP BY 1")
 def histogram(spark, sf_dir):
     return table(spark, sf_dir, "orders").groupBy("o_orderpriority").agg(F.count("*").alias("n"))
+
+
+_LOG = "ln(1 + l_extendedprice)"
+
+
+@query(" UNION ALL ".join(f"SELECT '{f}' AS feature, n, 0.0::DOUBLE AS missing_share, round(corr(x, t), 6) AS pearson, round(corr(a, b), 6) AS spearman, round(corr(x, lt), 6) AS pearson_log, round(corr(a, b), 6) AS spearman_log, round(abs(corr(a, b)), 6) AS abs_spearman_log FROM (SELECT {f} AS x, l_extendedprice AS t, {_LOG} AS lt, {_rank(f)} AS a, {_rank('l_extendedprice')} AS b, count(*) OVER () AS n FROM lineitem) GROUP BY n" for f in _FEATURES))
+def correlation_table(spark, sf_dir):
+    """Support, missing share and four coefficients of each feature."""
+    out = stats.correlation_table(table(spark, sf_dir, "lineitem"), "l_extendedprice", list(_FEATURES))
+    return rounded(out, "pearson", "spearman", "pearson_log", "spearman_log", "abs_spearman_log")
+
+
+@query("SELECT count(*) AS raw, count(*) FILTER (c_acctbal > 0) AS water, count(*) FILTER (c_acctbal > 0 AND c_nationkey < 10) AS near_river, count(*) FILTER (c_acctbal > 0 AND c_nationkey < 10 AND c_mktsegment <> 'BUILDING') AS mapped FROM customer")
+def grid_audit(spark, sf_dir):
+    """Rows left after each filter of a grid, in one pass."""
+    c = F.col
+    return P.audit(table(spark, sf_dir, "customer"), water=c("c_acctbal") > 0, near_river=c("c_nationkey") < 10, mapped=c("c_mktsegment") != "BUILDING")
+
+
+@query("SELECT o_orderkey, l_partkey, l_suppkey FROM orders LEFT JOIN (SELECT l_orderkey, l_partkey, l_suppkey FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) = 1) ON l_orderkey = o_orderkey")
+def save_first_join(spark, sf_dir):
+    """Each order with the first of its lines."""
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_linenumber", "l_partkey", "l_suppkey")
+    return P.first_match(table(spark, sf_dir, "orders").select("o_orderkey"), lines, ["o_orderkey"], ["l_linenumber", "l_partkey", "l_suppkey"]).drop("l_linenumber")
