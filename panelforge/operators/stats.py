@@ -61,15 +61,33 @@ def pearson_table(df: DataFrame, target: str, features: list[str], least: int =
     return sums.unpivot([], features, "feature", "s").select("feature", "s.n", "s.pearson").where(F.col("n") >= least)
 
 
-def average_ranks(df: DataFrame, groups: list[str], value: str, name: str) -> DataFrame:
-    """Rank within groups where ties share their mean rank.
+def running_totals(df: DataFrame, groups: list[str], value: str, count: str, ties: list[str] | None = None, parts: int = 32) -> DataFrame:
+    """df with before_: the sum of `count` over the rows of its group that come earlier by value (then `ties`).
 
-    Counts by value come first, so the window runs over distinct values and a frequent value is one row.
+    Each group is cut into ranges at approximate quantiles; sums run inside a range in one task and are
+    shifted by the totals of the ranges before, so no task sorts a whole group. The cuts do not affect
+    the result. Values are numbers and not null.
     """
+    cuts = df.groupBy(*groups).agg(F.percentile_approx(value, [k / parts for k in range(1, parts)], 1000).alias("cuts_"))
+    rows = df.join(cuts, groups) if groups else df.crossJoin(F.broadcast(cuts))
+    rows = rows.withColumn("range_", F.size(F.filter("cuts_", lambda c: c < F.col(value)))).drop("cuts_")
+    inside = Window.partitionBy(*groups, "range_").orderBy(value, *(ties or []))
+    rows = rows.withColumn("inside_", F.sum(count).over(inside.rowsBetween(Window.unboundedPreceding, 0)) - F.col(count))
+    totals = rows.groupBy(*groups, "range_").agg(F.sum(count).alias("total_"))
+    shift = F.sum("total_").over(Window.partitionBy(*groups).orderBy("range_")) - F.col("total_")
+    starts = totals.select(*groups, "range_", shift.alias("start_"))
+    return rows.join(starts, [*groups, "range_"]).withColumn("before_", F.col("start_") + F.col("inside_")).drop("range_", "inside_", "start_")
+
+
+def value_ranks(df: DataFrame, groups: list[str], value: str, name: str) -> DataFrame:
+    """(groups, value, name): the rank of each distinct value, ties sharing their mean rank."""
     by_value = df.groupBy(*groups, value).agg(F.count("*").alias("ties_"))
-    before = F.sum("ties_").over(Window.partitionBy(*groups).orderBy(value)) - F.col("ties_")
-    ranks = by_value.select(*groups, value, (before + (F.col("ties_") + 1) / 2).alias(name))
-    return df.join(ranks, [*groups, value])
+    return running_totals(by_value, groups, value, "ties_").select(*groups, value, (F.col("before_") + (F.col("ties_") + 1) / 2).alias(name))
+
+
+def average_ranks(df: DataFrame, groups: list[str], value: str, name: str) -> DataFrame:
+    """df with each row's rank in its group; a frequent value is one row of the running totals."""
+    return df.join(value_ranks(df, groups, value, name), [*groups, value])
 
 
 def spearman_table(df: DataFrame, target: str, features: list[str], groups: list[str] | None = None) -> DataFrame:
@@ -78,7 +96,7 @@ def spearman_table(df: DataFrame, target: str, features: list[str], groups: list
     long = df.select(*groups, F.col(target).cast("double").alias("t_"), *[F.col(f).cast("double").alias(f) for f in features])
     long = long.unpivot([*groups, "t_"], features, "feature", "x_").where("x_ is not null and t_ is not null")
     keys = [*groups, "feature"]
-    ranked = average_ranks(average_ranks(long, keys, "x_", "rx_"), keys, "t_", "rt_")
+    ranked = long.join(value_ranks(long, keys, "x_", "rx_"), [*keys, "x_"]).join(value_ranks(long, keys, "t_", "rt_"), [*keys, "t_"])
     return ranked.groupBy(*keys).agg(F.count("*").alias("n"), F.corr("rx_", "rt_").alias("spearman"))
 
 
@@ -89,16 +107,12 @@ def correlation_groups(table: DataFrame, group: str, value: str) -> DataFrame:
 
 
 def terciles(df: DataFrame, value: str, tie: str, names: tuple[str, str, str] = ("near", "mid", "far")) -> DataFrame:
-    """Three bins by first-come rank, with the integer rule that equals quantile edges on ranks.
-
-    A rank over the whole table needs its total order; counts of value ranges are not needed because the
-    rank comes from a window over the (small) table of distinct keys that the caller passes.
-    """
-    r = F.row_number().over(Window.orderBy(value, tie))
-    n = F.count("*").over(Window.partitionBy())
-    ranked = df.withColumns({"r_": r, "n_": n})
-    bin_ = F.when(3 * (F.col("r_") - 1) < F.col("n_") - 1, names[0]).when(3 * (F.col("r_") - 1) < 2 * (F.col("n_") - 1), names[1]).otherwise(names[2])
-    return ranked.withColumn("tercile", F.when(F.col("n_") == 1, names[0]).otherwise(bin_)).drop("r_", "n_")
+    """Three bins by first-come rank (ties by another column), with the integer rule that equals quantile edges on ranks."""
+    ranked = running_totals(df.withColumn("one_", F.lit(1)), [], value, "one_", [tie])
+    r, n = F.col("before_"), F.col("n_")  # rank less one, and rows in all
+    ranked = ranked.crossJoin(F.broadcast(df.agg(F.count("*").alias("n_"))))
+    bin_ = F.when((3 * r < n - 1) | (n == 1), names[0]).when(3 * r < 2 * (n - 1), names[1]).otherwise(names[2])
+    return ranked.withColumn("tercile", bin_).drop("before_", "n_", "one_")
 
 
 def classification_scores(truth: Column, guess: Column) -> list[Column]:
