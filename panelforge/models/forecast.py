@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import stats, windows
+from ..session import drop_kept, kept
 from . import linear
 
 
@@ -20,7 +21,7 @@ def samples(df: DataFrame, keys: list[str], day: str, value: str, target: str, l
 
 def compare(df: DataFrame, keys: list[str], day: str, value: str, target: str, lookback: int, horizon: int, train_end: str, valid_end: str) -> DataFrame:
     """Scores by split and model on the rows that have a baseline."""
-    rows = samples(df, keys, day, value, target, lookback, horizon, train_end, valid_end).where("baseline is not null")
+    rows = kept(samples(df, keys, day, value, target, lookback, horizon, train_end, valid_end).where("baseline is not null"))
     model = linear.ridge(rows.where("split = 'train'"), [f"x{i}" for i in range(lookback)], "target")
     guess = model.predict()
     long = rows.withColumns({"persistence": F.col("baseline"), "ridge": F.when(guess < 0, 0.0).otherwise(guess)}).unpivot(["split", "target"], ["persistence", "ridge"], "model", "guess")
@@ -31,10 +32,11 @@ def tune(df: DataFrame, keys: list[str], day: str, value: str, target: str, tria
     """One row for each (lookback, alpha) trial, least validation error first; each trial is a few aggregations."""
     out = []
     for lookback, alpha in trials:
-        rows = samples(df, keys, day, value, target, lookback, horizon, train_end, valid_end)
+        rows = kept(samples(df, keys, day, value, target, lookback, horizon, train_end, valid_end))
         model = linear.ridge(rows.where("split = 'train'"), [f"x{i}" for i in range(lookback)], "target", alphas=[alpha])
         score = stats.regression_scores("target", "guess", ["split"])(rows.withColumn("guess", model.predict()))
         found = {r.split: r for r in score.collect()}
+        drop_kept(rows)
         out.append((lookback, float(alpha), *(float(found[s].rmse) if s in found else None for s in ("val", "test"))))
     spark = df.sparkSession
     return spark.createDataFrame(out, "lookback int, alpha double, val_rmse double, test_rmse double").orderBy(F.asc_nulls_last("val_rmse"))

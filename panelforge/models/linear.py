@@ -67,11 +67,31 @@ class Ridge:
         return list(zip(self.scaler.outputs, map(float, self.weights), strict=True))
 
 
+def _total(rows: DataFrame, size: int, part) -> np.ndarray:
+    """The sum of part(X, y) (`size` numbers) over Arrow batches of rows (x_, y_): one partial sum leaves each task."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        total = np.zeros(size)
+        for b in batches:
+            if b.num_rows:
+                y = b.column("y_").to_numpy(zero_copy_only=False)
+                total += part(np.asarray(b.column("x_").flatten(), np.float64).reshape(len(y), -1), y)
+        yield pa.RecordBatch.from_pydict({"s": [total.tolist()]})
+
+    sums = rows.select("x_", "y_").mapInArrow(run, "s array<double>").select(F.posexplode("s").alias("i", "v"))
+    out = np.zeros(size)
+    for r in sums.groupBy("i").agg(F.sum("v").alias("v")).collect():
+        out[r["i"]] = r["v"]
+    return out
+
+
 def ridge(df: DataFrame, columns: list[str], target: str, alphas=None, indicators: bool = True, log_target: bool = True) -> Ridge:
     """Ridge regression, alpha by leave-one-out error over all rows, the intercept free.
 
-    One aggregation gives the Gram matrix; a second gives every alpha's leave-one-out error at once: in the
-    eigenbasis of the Gram matrix a row's leverage and residual for each alpha are short sums of columns.
+    One pass gives the Gram matrix; a second gives every alpha's leave-one-out error at once, as in the
+    eigenbasis of the Gram matrix a row's leverages and residuals for all alphas are two small products.
     """
     alphas = np.logspace(-3, 4, 40) if alphas is None else np.asarray(alphas, float)
     rows = df.where(F.col(target).isNotNull())
@@ -79,32 +99,21 @@ def ridge(df: DataFrame, columns: list[str], target: str, alphas=None, indicator
     y = F.log1p(target) if log_target else F.col(target).cast("double")
     x = scaler.transform(rows.withColumn("y_", y), "x_").select("x_", "y_")
     p = len(scaler.outputs)
-    at = lambda i: F.col("x_")[i]
-    sums = x.agg(
-        F.count("*").alias("n"),
-        F.avg("y_").alias("y"),
-        *[F.sum(at(i) * F.col("y_")).alias(f"b{i}") for i in range(p)],
-        *[F.sum(at(i) * at(j)).alias(f"g{i}_{j}") for i in range(p) for j in range(i + 1)],
-    ).first()
-    n = sums["n"]
+    sums = _total(x, 2 + p + p * p, lambda m, t: np.concatenate(([len(t), t.sum()], m.T @ t, (m.T @ m).ravel())))
+    n = sums[0]
     if not n:
         raise ValueError("no row has a target")
-    b = np.array([sums[f"b{i}"] for i in range(p)])
-    g = np.zeros((p, p))
-    for i in range(p):
-        for j in range(i + 1):
-            g[i, j] = g[j, i] = sums[f"g{i}_{j}"]
+    middle, b, g = sums[1] / n, sums[2 : 2 + p], sums[2 + p :].reshape(p, p)
     values, vectors = np.linalg.eigh(g)
     values = np.maximum(values, 0)
     turned = vectors.T @ b
-    z = [sum((at(i) * F.lit(float(vectors[i, k])) for i in range(p)), F.lit(0.0)) for k in range(p)]
-    turned_rows = x.select("y_", F.array(*z).alias("z_"))
-    errors = []
-    for m, alpha in enumerate(alphas):
-        fit = sum((F.col("z_")[k] * F.lit(float(turned[k] / (values[k] + alpha))) for k in range(p)), F.lit(float(sums["y"])))
-        leverage = sum((F.col("z_")[k] * F.col("z_")[k] * F.lit(float(1 / (values[k] + alpha))) for k in range(p)), F.lit(1.0 / n))
-        errors.append(F.avg(((F.col("y_") - fit) / F.greatest(1 - leverage, F.lit(1e-12))) ** 2).alias(f"a{m}"))
-    loo = turned_rows.agg(*errors).first()
-    best = int(np.argmin([loo[f"a{m}"] for m in range(len(alphas))]))
-    weights = vectors @ (turned / (values + alphas[best]))
-    return Ridge(scaler, weights, float(sums["y"]), float(alphas[best]), log_target)
+    shrink = 1 / np.maximum(values[:, None] + alphas, 1e-300)
+
+    def errors(m, t):
+        z = m @ vectors
+        leverage = 1 / n + (z * z) @ shrink
+        e = (t[:, None] - middle - (z * turned) @ shrink) / np.maximum(1 - leverage, 1e-12)
+        return (e * e).sum(0)
+
+    best = int(np.argmin(_total(x, len(alphas), errors)))
+    return Ridge(scaler, vectors @ (turned * shrink[:, best]), float(middle), float(alphas[best]), log_target)
