@@ -101,9 +101,6 @@ def bands(spark, sf_dir):
     return table(spark, sf_dir, "embeddings").select("vec_id", *[e(i, b) for i, b in enumerate(("blue", "green", "red", "nir", "s1", "s2"))])
 
 
-_SIX = [F.col for _ in range(6)]
-
-
 @query(f"WITH {_BANDS} SELECT vec_id, " + ", ".join(f'round({x}, 4) AS "{n}"' for n, x in _INDEX.items()) + " FROM bands")
 def spectral_indices(spark, sf_dir):
     cols = [F.col(b) for b in ("blue", "green", "red", "nir", "s1", "s2")]

@@ -35,9 +35,6 @@ def station_month_stats(spark, sf_dir):
     return rows.groupBy("c_nationkey", "year_month").agg(F.count("*").alias("n"), r6(F.avg(v), "mean"), r6(F.median(v), "median"), r6(F.stddev_samp(v), "std"), F.min(v).alias("least"), F.max(v).alias("most"))
 
 
-_COLS = ("value", "filled", "target", "last_day")
-
-
 @query(f"{FILLED} " + " UNION ALL ".join(f"SELECT '{c}' AS \"column\", count(*) - count({c}) AS missing_rows, round_even(100.0::DOUBLE * (count(*) - count({c})) / count(*), 2) AS missing_pct, count({c}) AS non_missing_rows FROM filled" for c in ("value", "filled", "target")))
 def missingness(spark, sf_dir):
     """Missing rows of each column, in one pass."""
@@ -228,9 +225,6 @@ def safe_percent(spark, sf_dir):
     return rows.groupBy("n_name").agg(F.count_if(F.col("c_acctbal") < 0).alias("a"), F.count("c_custkey").alias("b")).select("n_name", S.safe_percent(F.col("a"), F.col("b")).alias("debt_pct"))
 
 
-_SEGMENTS = ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")
-
-
 @query("SELECT o_orderkey, " + ", ".join(f"CAST(o_orderstatus = '{v}' AS INTEGER) AS status_{v}" for v in "FOP") + " FROM orders")
 def one_hot(spark, sf_dir):
     return S.one_hot(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus"), "o_orderstatus", "status").drop("o_orderstatus")
