@@ -68,11 +68,10 @@ def count_tokens(
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        key = shared.id if hasattr(shared, "id") else id(shared)
         state = worker_state("token_counts")
-        if state.get("key") != key:
-            spec, table = shared.value
-            state.update(key=key, tokenizer=Tokenizer.from_str(spec), table=table, lengths=dict(table))
+        spec, table = shared.value
+        if (state.get("spec"), state.get("table")) != (spec, table):
+            state.update(spec=spec, tokenizer=Tokenizer.from_str(spec), table=table, lengths=dict(table))
         tokenizer = state["tokenizer"]
 
         def count(ids, texts):
