@@ -203,7 +203,7 @@ def encode(
     id_col: str = "doc_id",
     text_col: str = "text",
     with_decoded: bool = False,
-    most_words: int = 200_000,
+    most_words: int = 150_000,
 ) -> DataFrame:
     """(doc_id, n_tokens, ids[, decoded]): ids as binary, little-endian unsigned 32-bit integers.
 
@@ -234,7 +234,7 @@ def encode(
         return run
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return map_texts(docs, make, f"doc_id {kind}, n_tokens bigint, ids binary" + ", decoded binary" * with_decoded, id_col, text_col, owner="byte_bpe")
+    return map_texts(docs, make, f"doc_id {kind}, n_tokens bigint, ids binary" + ", decoded binary" * with_decoded, id_col, text_col, limit=5 << 20, owner="byte_bpe")
 
 
 def decode(encoded: DataFrame, ranks_path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
