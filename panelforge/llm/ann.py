@@ -1,10 +1,13 @@
-"""Approximate nearest neighbours with balanced posting lists.
+"""Nearest neighbours: balanced posting lists, then an exact scan of what they did not show.
 
 Centroids come from a size-penalised k-means over a bounded sample. Every vector is indexed: it goes to
 its nearest centroid's list and, near a boundary, to further ones. Centroids are found by beam search
 on an in-memory neighbour graph, and a query probes the lists whose centroids are not much farther than
 its nearest. Long lists are split, so that no task gets more of one than its share; scores are exact
 cosines in double precision on the original vectors.
+
+The k-th score that the lists give a query is a floor: the scan meets blocks of queries with every vector
+and passes on what reaches the floor, so the result is exact and few rows are shuffled for it.
 """
 
 from __future__ import annotations
@@ -15,6 +18,11 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import drop_kept, kept
+
+#: Bytes of query vectors that the scan broadcasts at once, rows that it multiplies at once, and pairs that it scores at once.
+SCAN_BYTES, SCAN_ROWS, SCAN_PAIRS = 32 << 20, 2_048, 1 << 16
+
 
 @dataclass
 class Centroids:
@@ -110,6 +118,79 @@ def _listed(rows: DataFrame, shared, width: int, ratio: float) -> DataFrame:
     return rows.mapInArrow(run, "list int, vec_id bigint, v array<double>")
 
 
+def _best(i: np.ndarray, ids: np.ndarray, exact: np.ndarray, k: int) -> np.ndarray:
+    """Positions of the k best of each i, by score and then smaller id, each id once; in order of i and rank."""
+    order = np.lexsort((-exact, ids, i))
+    order = order[np.concatenate(([True], (np.diff(i[order]) != 0) | (np.diff(ids[order]) != 0)))]
+    order = order[np.lexsort((ids[order], -exact[order], i[order]))]
+    first = np.searchsorted(i[order], i[order])
+    return order[np.arange(len(order)) - first < k]
+
+
+def _scan(rows: DataFrame, asked: DataFrame, k: int, size: int) -> DataFrame:
+    """(query_id, vec_id, score) of all vectors that reach a query's floor, the k best of a slice at most.
+
+    asked: (vec_id, v, floor, last), the k-th score known for the query and its id; -inf: fewer than k known.
+    """
+    spark, schema = rows.sparkSession, "query_id bigint, vec_id bigint, score double"
+    blocks = -(-asked.count() * size * 8 // SCAN_BYTES)
+    margin = 4e-7 * (size + 8)  # more than single precision can be off
+
+    def block(b: int) -> DataFrame:
+        part = asked.where(F.pmod(F.xxhash64(F.lit(21), "vec_id", "v"), F.lit(blocks)) == b).toArrow()
+        if not part.num_rows:
+            return spark.createDataFrame([], schema)
+        numbers = [part.column(c).to_numpy() for c in ("vec_id", "floor", "last")]
+        shared = spark.sparkContext.broadcast((_matrix(part.column("v")), *numbers))
+
+        def run(batches):
+            import pyarrow as pa
+
+            q, q_id, *known = shared.value
+            floor, last = (x.copy() for x in known)  # they rise with what this task finds
+            q_norm = np.sqrt((q * q).sum(1))
+            q_unit = (q / q_norm[:, None]).astype(np.float32)
+            for batch in batches:
+                for a in range(0, batch.num_rows, SCAN_ROWS):
+                    piece = batch.slice(a, SCAN_ROWS)
+                    p, p_id = _matrix(piece.column("v")), piece.column("vec_id").to_numpy()
+                    p_norm = np.sqrt((p * p).sum(1))
+                    p_unit = np.ascontiguousarray((p / p_norm[:, None]).astype(np.float32).T)
+                    least = k * np.unique(p_id, return_counts=True)[1].max()  # rows that hold k ids, if any do
+                    for c in range(0, len(q), SCAN_ROWS):
+                        here = slice(c, c + SCAN_ROWS)
+                        rough = q_unit[here] @ p_unit
+                        cut = (floor[here] - margin).astype(np.float32)
+                        free = np.flatnonzero(np.isinf(cut))
+                        if len(free) and least < len(p_id):
+                            other = np.where(q_id[here][free, None] == p_id, -np.inf, rough[free])
+                            cut[free] = -np.partition(-other, least - 1, 1)[:, least - 1] - 2 * margin
+                        i, j = np.nonzero(rough >= cut[:, None])
+                        i += c
+                        i, j = (x[q_id[i] != p_id[j]] for x in (i, j))
+                        if not len(i):
+                            continue
+                        exact = np.concatenate([(q[i[s : s + SCAN_PAIRS]] * p[j[s : s + SCAN_PAIRS]]).sum(1) for s in range(0, len(i), SCAN_PAIRS)]) / (q_norm[i] * p_norm[j])
+                        fine = np.flatnonzero((exact > floor[i]) | (exact >= floor[i] - 1e-14) & (p_id[j] <= last[i]))
+                        if not len(fine):
+                            continue
+                        best = fine[_best(i[fine], p_id[j[fine]], exact[fine], k)]
+                        i, ids, exact = i[best], p_id[j[best]], exact[best]
+                        yield pa.RecordBatch.from_arrays([pa.array(q_id[i]), pa.array(ids), pa.array(exact)], ["query_id", "vec_id", "score"])
+                        full = np.flatnonzero(np.arange(len(i)) - np.searchsorted(i, i) == k - 1)
+                        full = full[(exact[full] > floor[i[full]]) | (exact[full] == floor[i[full]]) & (ids[full] < last[i[full]])]
+                        floor[i[full]], last[i[full]] = exact[full], ids[full]
+
+        return rows.mapInArrow(run, schema)
+
+    found = [block(b) for b in range(blocks)]
+    out = found[0] if found else spark.createDataFrame([], schema)
+    for more in found[1:]:
+        out = out.unionByName(more)
+    drop_kept(asked)
+    return out
+
+
 def search(
     vectors: DataFrame,
     is_query,
@@ -125,14 +206,14 @@ def search(
     prune: float = 1.3,
     part: int = 256,
 ) -> DataFrame:
-    """(query_id, rank, vec_id, score): each query's k nearest vectors found, by cosine, ties to the smaller id.
+    """(query_id, rank, vec_id, score): each query's k nearest vectors, by cosine, ties to the smaller id.
 
     `is_query` is a condition on the id column; the candidates are all rows with other ids than the
     query's. Rows without id, and vectors that are null, zero, not finite, hold nulls or differ in
     length from the commonest length, take no part; ids that repeat give one result, their best.
     `sample_rows` (those of least hash) bound what fits the centroids, `max_lists` their number; all
-    rows are indexed, to at most `replicas` lists, and a query reads at most `probes` lists. Fewer than
-    k candidates: all found. No usable vector: no rows.
+    rows are indexed, to at most `replicas` lists, and a query reads at most `probes` lists, which gives
+    its floor; then it meets all rows. Fewer than k candidates: all. No usable vector: no rows.
     """
     spark = vectors.sparkSession
     lengths = usable(vectors, id_col, vector_col).groupBy(F.size("v").alias("size")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "size").limit(1).collect()
@@ -173,6 +254,14 @@ def search(
         return pa.table({"query_id": pa.array(out[0], pa.int64()), "vec_id": pa.array(out[1], pa.int64()), "score": pa.array(out[2], pa.float64())})
 
     found = queries.groupBy("list", "part").cogroup(posted.groupBy("list", "part")).applyInArrow(score, "query_id bigint, vec_id bigint, score double")
+    floors = _ranked(found, k).where(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), F.col("score").alias("floor"), F.col("vec_id").alias("last"))
+    asked = rows.where(is_query).join(floors, "vec_id", "left")
+    asked = kept(asked.select("vec_id", "v", F.coalesce("floor", F.lit(float("-inf"))).alias("floor"), F.coalesce("last", F.lit(0)).cast("long").alias("last")))
+    return _ranked(_scan(rows, asked, k, size), k)
+
+
+def _ranked(found: DataFrame, k: int) -> DataFrame:
+    """Each query's k best of the pairs found, a pair once."""
     once = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return once.withColumn("rank", rank.cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

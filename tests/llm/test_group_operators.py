@@ -238,6 +238,17 @@ def test_nearest_finds_most(spark):
     assert got[3000] == want[3000]  # all ties: the smallest ids
 
 
+def test_nearest_is_exact_beyond_the_lists_read(spark):
+    """Far more lists than probes, and vectors without clusters: the nearest often lie in lists that are not read."""
+    rng = np.random.default_rng(21)
+    rows = [(i, rng.normal(size=8).tolist()) for i in range(4000)]
+    df = spark.createDataFrame(rows + rows[::7], "vec_id long, embedding array<double>")  # with repeated rows
+    got = defaultdict(list)
+    for r in ann.search(df, F.col("vec_id") % 50 == 0, 5, per_list=10, probes=3).orderBy("query_id", "rank").collect():
+        got[r.query_id].append(r.vec_id)
+    assert got == brute_nearest(rows)
+
+
 def test_nearest_edges(spark):
     nan = float("nan")
     rows = [(0, [1.0] * 8), (50, [0.0] * 8), (100, None), (150, [nan] * 8), (200, [None] * 8), (None, [1.0] * 8), (1, [2.0] * 8), (2, [1.0] + [0.0] * 7), (2, [1.0] + [0.0] * 7), (3, [1.0, 2.0]), (250, [-1.0] * 8)]
