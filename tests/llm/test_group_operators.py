@@ -249,6 +249,19 @@ def test_nearest_is_exact_beyond_the_lists_read(spark):
     assert got == brute_nearest(rows)
 
 
+def test_nearest_of_isolated_queries(spark):
+    """A query whose list holds fewer than 5 others still gets its 5 nearest of all rows."""
+    rng = np.random.default_rng(22)
+    rows = [(i, (np.eye(8)[0] + 0.05 * rng.normal(size=8)).tolist()) for i in range(1, 1200) if i % 50]
+    rows += [(50 * i, (-np.eye(8)[i] + 1e-9 * rng.normal(size=8)).tolist()) for i in range(1, 8)]  # alone
+    rows += [(50 * i + 2001, (-np.eye(8)[i]).tolist()) for i in range(1, 4)]  # or one of a tight pair
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = defaultdict(list)
+    for r in ann.search(df, F.col("vec_id") % 50 == 0, 5, per_list=10).orderBy("query_id", "rank").collect():
+        got[r.query_id].append(r.vec_id)
+    assert got == brute_nearest(rows)
+
+
 def test_nearest_edges(spark):
     nan = float("nan")
     rows = [(0, [1.0] * 8), (50, [0.0] * 8), (100, None), (150, [nan] * 8), (200, [None] * 8), (None, [1.0] * 8), (1, [2.0] * 8), (2, [1.0] + [0.0] * 7), (2, [1.0] + [0.0] * 7), (3, [1.0, 2.0]), (250, [-1.0] * 8)]
