@@ -76,6 +76,10 @@ DIGIT_WORDS = {
 _WORD = "|".join(sorted(DIGIT_WORDS, key=lambda w: (-len(w), w)))
 _SPELLED = re.compile(rf"(?<!\w)(?:{_WORD})(?:[\s,.-]{{1,3}}(?:{_WORD})){{2,}}(?!\w)", re.I)
 _ONE_WORD = re.compile(rf"(?<!\w)(?:{_WORD})(?!\w)", re.I)
+# Digit words among figures: between them, or joined to them without white space.
+_LOOSE = rf"(?<![^\W\d_])(?:{_WORD})(?![^\W\d_])"
+_LOOSE_WORD = re.compile(_LOOSE, re.I)
+_MIXED = re.compile(rf"(?<=[0-9])(?:[\s,.-]{{0,3}}{_LOOSE})+[\s,.-]{{0,3}}(?=[0-9])|(?<=[0-9])(?:[.-]?{_LOOSE})+(?![\w-])|(?<![\w.-]){_LOOSE}(?:[.-]?{_LOOSE})*[.-]?(?=[0-9])", re.I)
 _PLUS = re.compile(r"(?<!\w)plus\s+(?=[0-9])", re.I)
 _AT_WORD, _DOT_WORD = "at|arroba|ät|@", r"dot|punkt|punto|point|\."
 _AT_BOXED = re.compile(rf"\s*[\[({{<]\s*(?:{_AT_WORD})\s*[\])}}>]\s*", re.I)
@@ -140,8 +144,8 @@ def _within(spans: list[tuple[int, int]]):
     return test
 
 
-def normalise(tape: Tape) -> Tape:
-    """The chain: look-alikes and invisible characters, boxed and bare at/dot, spelled digits."""
+def normalise(tape: Tape, mixed: bool = False) -> Tape:
+    """The chain: look-alikes and invisible characters, boxed and bare at/dot, spelled digits; `mixed`: also those among figures."""
     tape = tape.rewrite(_ODD, _fold)
     tape = tape.rewrite(_AT_BOXED, lambda m: "@").rewrite(_DOT_BOXED, lambda m: ".")
     if _BARE.search(tape.text):
@@ -153,32 +157,65 @@ def normalise(tape: Tape) -> Tape:
         within = _within(spelled)
         tape = tape.rewrite(_ONE_WORD, lambda m: DIGIT_WORDS[m[0].lower()] if within(m) else m[0])
         tape = tape.rewrite(re.compile(r"(?<=[0-9])(?:,\x20?|\x20{2,})(?=[0-9])"), lambda m: " ")
+    if mixed and (spans := [m.span() for m in _MIXED.finditer(tape.text)]):
+        within = _within(spans)
+        tape = tape.rewrite(_LOOSE_WORD, lambda m: DIGIT_WORDS[m[0].lower()] if within(m) else m[0])
     return tape.rewrite(_PLUS, lambda m: "+")
 
 
-def suspicious(text: str) -> list[tuple[int, int]]:
-    """Places that may disguise an identifier."""
+def _folded(text: str):
+    """The text with look-alike and invisible characters folded, and a function from its places to those of the source."""
+    parts, new, old, at, size = [], [0], [0], 0, 0
+    for m in _ODD.finditer(text):
+        parts += [text[at : m.start()], _fold(m)]
+        size += m.start() - at + len(parts[-1])
+        at = m.end()
+        new.append(size)
+        old.append(at)
+
+    def source(place: int) -> int:
+        i = bisect(new, place) - 1
+        return old[i] + place - new[i]
+
+    return "".join(parts) + text[at:], source
+
+
+def _worded(text: str) -> list[tuple[int, int]]:
+    """Written-out at and dot, and spelled digits."""
     out = []
-    if not text.isascii() and _ODD.search(text):
-        for m in _ODD.finditer(text):  # only beside an at sign or a digit of any kind
-            a, b = max(0, m.start() - REACH), m.end() + REACH
-            if _ANCHOR.search(text, a, b):
-                out.append(m.span())
     low = text.lower()
     if any(w in low for w in ("dot", "punkt", "punto", "point", "at)", "at]", "at}", "at>", "arroba", "(@", "[@", "{@", "<@")):
         out += [m.span() for m in _AT_BOXED.finditer(text)]
         out += [m.span() for m in _DOT_BOXED.finditer(text)]
         out += [m.span() for m in _BARE.finditer(text)]
     out += [m.span() for m in _SPELLED.finditer(text)]
+    if _DIGIT.search(text):
+        out += [m.span() for m in _MIXED.finditer(text)]
     return out
 
 
+def suspicious(text: str) -> list[tuple[int, int]]:
+    """Places that may disguise an identifier."""
+    if text.isascii() or not _ODD.search(text):
+        return _worded(text)
+    out = []
+    for m in _ODD.finditer(text):  # only beside an at sign or a digit of any kind
+        a, b = max(0, m.start() - REACH), m.end() + REACH
+        if _ANCHOR.search(text, a, b):
+            out.append(m.span())
+    plain, source = _folded(text)
+    return out + [(source(a), source(b)) for a, b in _worded(plain)]
+
+
 def windows(text: str, places: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """The places with what is beside them, grown to white space and merged."""
     out: list[tuple[int, int]] = []
     for a, b in sorted(places):
         a, b = max(0, a - REACH), min(len(text), b + REACH)
-        while a and not text[a - 1].isspace():
+        done = out[-1][1] if out else 0
+        if b <= done:
+            continue
+        while a > done and not text[a - 1].isspace():
             a -= 1
         m = _GAP.search(text, b)
         b = m.start() if m else len(text)
@@ -206,14 +243,17 @@ def added_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int,
                 i += 1
 
     for a, b in windows(text, places):
-        tape = normalise(Tape.of(text, a, b))
-        if tape.text == text[a:b]:
-            continue
-        for s, kind, e in base_spans(tape.text):
-            start, end = tape.source(s, e)
-            near = list(touching(start, end))
-            if not near or any(k == kind and start <= x and y <= end and (x, y) != (start, end) for k, x, y in near):
-                out.append((start, kind, end))
+        seen = text[a:b]
+        for mixed in (False, True):
+            tape = normalise(Tape.of(text, a, b), mixed)
+            if tape.text == seen:
+                continue
+            seen = tape.text
+            for s, kind, e in base_spans(tape.text):
+                start, end = tape.source(s, e)
+                near = list(touching(start, end))
+                if not near or any(k == kind and start <= x and y <= end and (x, y) != (start, end) for k, x, y in near):
+                    out.append((start, kind, end))
     return sorted(set(out))
 
 

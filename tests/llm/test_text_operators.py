@@ -225,6 +225,34 @@ def test_disguises(text, kind, found):
     assert found not in pii.mask(text, sorted(base + spans))
 
 
+@pytest.mark.parametrize(
+    ("text", "kind", "found"),
+    [
+        ("write to john [аt] example [dоt] com please", 0, "john [аt] example [dоt] com"),  # Cyrillic a and o
+        ("write to john аt example dоt com", 0, "john аt example dоt com"),
+        ("write to john [a\u200bt] example [d\u200bot] com", 0, "john [a\u200bt] example [d\u200bot] com"),
+        ("so plus fоur nіne one seven zero one two three four five six it is", 3, "plus fоur nіne one seven zero one two three four five six"),
+        ("card 4845 1681 one440 7329 ok", 2, "4845 1681 one440 7329"),
+        ("card 48four5 1681 1 four four 0 7329 ok", 2, "48four5 1681 1 four four 0 7329"),
+        ("host 192.one68.1.seven up", 1, "192.one68.1.seven"),
+        ("call +49 170 one two 34567 now", 3, "+49 170 one two 34567"),
+    ],
+)
+def test_stacked_disguises(text, kind, found):
+    base = pii.base_spans(text)
+    assert (kind, found) in [(k, text[a:b]) for a, k, b in pii.added_spans(text, base)]
+
+
+@pytest.mark.parametrize("text", ["call +49 170 1234567 one of us", "one +49 170 1234567", "un 192.168.1.7 dos", "two 4845168114407329 four", "see 3 one 4", "Привет аt dоt"])
+def test_words_beside_figures_stay(text):
+    assert pii.added_spans(text, pii.base_spans(text)) == []
+
+
+@pytest.mark.parametrize("text", ["1 one " * 30_000, "one1" * 30_000, "1-one-" * 30_000 + "x", "1" + "one" * 50_000, "1 " + "one " * 30_000, "о" * 50_000 + "1", "one-" * 30_000 + "x 1"])
+def test_long_mixed_runs_take_linear_time(text):
+    pii.added_spans(text, pii.base_spans(text))
+
+
 @pytest.mark.parametrize("text", ["look at the dot", "one two three and four", "meet at noon (at) home", "Привет, как дела", "plus one", "version 1.2.3 at 10"])
 def test_plain_texts_stay(text):
     assert pii.base_spans(text) == [] and pii.added_spans(text, []) == []
