@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -236,6 +237,11 @@ def test_disguises(text, kind, found):
         ("card 48four5 1681 1 four four 0 7329 ok", 2, "48four5 1681 1 four four 0 7329"),
         ("host 192.one68.1.seven up", 1, "192.one68.1.seven"),
         ("call +49 170 one two 34567 now", 3, "+49 170 one two 34567"),
+        ("host 192 dot 168 dot 1 dot 7 up", 1, "192 dot 168 dot 1 dot 7"),
+        ("ask bob at mail.example.com now", 0, "bob at mail.example.com"),
+        ("to " + "a dot " * 9 + "b at " + "c dot " * 12 + "museum now", 0, "a dot " * 9 + "b at " + "c dot " * 12 + "museum"),
+        ("to jо" + "n" * 300 + "@example.com now", 0, "jо" + "n" * 300 + "@example.com"),  # an odd letter far from the at sign
+        ("to jo\u200bhn [at]" + " " * 500 + "example dot com", 0, "jo\u200bhn [at]" + " " * 500 + "example dot com"),
     ],
 )
 def test_stacked_disguises(text, kind, found):
@@ -253,7 +259,14 @@ def test_long_mixed_runs_take_linear_time(text):
     pii.added_spans(text, pii.base_spans(text))
 
 
-@pytest.mark.parametrize("text", ["look at the dot", "one two three and four", "meet at noon (at) home", "Привет, как дела", "plus one", "version 1.2.3 at 10"])
+@pytest.mark.parametrize("text", [c * 1_000_000 for c in " \n\t("] + ["point of" + " " * 1_000_000, "x at" + "\n" * 1_000_000, "a dot b at " * 90_000, "( " * 500_000, "(at)" + " " * 1_000_000 + "(dot)"])
+def test_a_million_characters_take_seconds(text):
+    start = time.time()
+    assert pii.added_spans(text, pii.base_spans(text)) == []
+    assert time.time() - start < 5  # about one second here
+
+
+@pytest.mark.parametrize("text", ["look at example.com", "meet at www.example.com", "look at the dot", "one two three and four", "meet at noon (at) home", "Привет, как дела", "plus one", "version 1.2.3 at 10"])
 def test_plain_texts_stay(text):
     assert pii.base_spans(text) == [] and pii.added_spans(text, []) == []
 
