@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Bytes of text that one slice of an Arrow batch holds at most (one longer text is a slice of its own).
@@ -93,13 +93,41 @@ def spaced_files(docs: DataFrame, most: int) -> list[str]:
     return files if len(files) <= most else [files[i * len(files) // most] for i in range(most)]
 
 
+def least_hashed(rows: DataFrame, key: Column, most: int, n: int | None = None, ties: tuple[str, ...] = ()) -> DataFrame:
+    """At most `most` of the rows, those of least `key` (a 64-bit hash); n: their number, if known.
+
+    Rows beyond about the share wanted are filtered out by the hash before any sort, so a task passes on
+    its part of `most` rows, not `most` rows.
+    """
+    n = rows.count() if n is None else n
+    if n > most:
+        share = min(1.0, (most + 8 * most**0.5 + 8) / n)
+        rows = rows.where(key <= int(share * 2**64) - 2**63 - (share == 1.0))
+    return rows.orderBy(key, *ties).limit(most)
+
+
 #: Rows of (id, hash) that a filter broadcasts at most; beyond that both sides are shuffled.
 BROADCAST_ROWS = 500_000
 
 
+def small(rows: DataFrame) -> DataFrame:
+    """rows, marked for broadcast if a count shows at most BROADCAST_ROWS of them; beyond that a join shuffles them."""
+    return F.broadcast(rows) if rows.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else rows
+
+
+def free_name(taken: Iterable[str], wanted: str) -> str:
+    """`wanted`, lengthened until it is no name in `taken` (case does not tell names apart)."""
+    low = {c.lower() for c in taken}
+    while wanted.lower() in low:
+        wanted += "_"
+    return wanted
+
+
 def without(docs: DataFrame, rejected: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without the rows whose id and text hash stand in rejected (doc_id, hash); columns stay as they are."""
-    gone = rejected.select(F.col("doc_id").alias("gone_id"), F.col("hash").alias("gone_hash")).distinct()
-    if gone.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
-        gone = F.broadcast(gone)
-    return docs.join(gone, docs[id_col].eqNullSafe(F.col("gone_id")) & (F.xxhash64(docs[text_col]) == F.col("gone_hash")), "left_anti")
+    """docs without the rows whose id and text hash stand in rejected (doc_id, hash); columns stay as they are.
+
+    Null ids and texts match null ones; repeated rows go or stay together; no column name is reserved.
+    """
+    gone_id, gone_hash = free_name(docs.columns, "gone_id"), free_name(docs.columns, "gone_hash")
+    gone = small(rejected.select(F.col("doc_id").alias(gone_id), F.col("hash").alias(gone_hash)).distinct())
+    return docs.join(gone, F.col(id_col).eqNullSafe(F.col(gone_id)) & (F.xxhash64(text_col) == F.col(gone_hash)), "left_anti")

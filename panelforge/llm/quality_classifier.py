@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import kept
-from .common import map_texts
+from .common import BROADCAST_ROWS, map_texts
 from .quality_rules import labelled_sample, sample_features
 from .text_stats import FEATURES, Stats
 
@@ -78,10 +78,12 @@ def evidence(docs: DataFrame, model: Linear | None, host: Column, path: Column,
 
 
 def site_posteriors(rows: DataFrame, path_strength: float = 20.0) -> DataFrame:
-    """(host, path, n, host_quality, path_quality, base) for each path of `rows` (host, path, log_odds).
+    """(host, path, n, s, hn, hs, strength, base, host_quality, path_quality) for each path of `rows` (host, path, log_odds).
 
-    The prior's strength comes from the variance of host means beyond what documents explain (method of
-    moments, between 2 and 1000 documents); no host is gathered anywhere, only its sums.
+    n and s are the documents and summed quality of the path, hn and hs those of the host. The prior's
+    strength comes from the variance of host means beyond what documents explain (method of moments,
+    between 2 and 1000 documents); no host is gathered anywhere, only its sums, which combine before
+    they shuffle. Null hosts and paths are a site of their own; no rows in, no rows out.
     """
     p = 1 / (1 + F.exp(-F.col("log_odds")))
     paths = rows.groupBy("host", "path").agg(F.count("*").alias("n"), F.sum(p).alias("s"))
@@ -92,26 +94,48 @@ def site_posteriors(rows: DataFrame, path_strength: float = 20.0) -> DataFrame:
     extra = F.greatest(F.col("between") - F.col("noise"), F.lit(1e-9))
     strength = F.least(F.greatest(F.col("base") * (1 - F.col("base")) / extra - 1, F.lit(2.0)), F.lit(1000.0))
     prior = spread.select("base", strength.alias("strength"))
-    hosts = hosts.crossJoin(F.broadcast(prior)).select(F.col("host").alias("h"), "base", ((F.col("hs") + F.col("strength") * F.col("base")) / (F.col("hn") + F.col("strength"))).alias("host_quality"))
-    joined = paths.join(hosts, F.col("host").eqNullSafe(F.col("h")))
-    quality = (F.col("s") + path_strength * F.col("host_quality")) / (F.col("n") + path_strength)
-    return joined.select("host", "path", "n", "host_quality", quality.alias("path_quality"), "base")
+    hosts = hosts.crossJoin(F.broadcast(prior)).select(F.col("host").alias("h"), "hn", "hs", "strength", "base")
+    joined = paths.join(hosts, F.col("host").eqNullSafe(F.col("h"))).drop("h")
+    host_quality, path_quality = shrunken(path_strength)
+    return joined.withColumn("host_quality", host_quality).withColumn("path_quality", path_quality)
 
 
-def classify(docs: DataFrame, model: Linear | None, host: Column | None = None, path: Column | None = None, site_weight: float = 0.5, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def shrunken(path_strength: float, own: Column | None = None) -> tuple[Column, Column]:
+    """Posterior qualities of host and path from the columns of site_posteriors, without the quality `own` of one document."""
+    q, one = (F.lit(0.0), 0) if own is None else (own, 1)
+    host = (F.col("hs") - q + F.col("strength") * F.col("base")) / (F.col("hn") - one + F.col("strength"))
+    return host, (F.col("s") - q + path_strength * host) / (F.col("n") - one + path_strength)
+
+
+#: Parts that the documents of one site are dealt to when sites are too many to broadcast.
+SALTS = 32
+
+
+def classify(docs: DataFrame, model: Linear | None, host: Column | None = None, path: Column | None = None, site_weight: float = 0.5, threshold: float = 0.5, path_strength: float = 20.0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, hash, host, path, doc_score, host_quality, path_quality, score, kept) for each row of docs.
 
     host and path default to column source, and to source and lang. score is the logistic of the
     document's log odds plus `site_weight` times the log odds of its path's posterior against the global
-    mean; kept: score >= threshold. Null hosts and paths are a site of their own; a null text counts as
-    empty; equal ids each keep their row. Without a model all documents score alike and are kept.
+    mean; the posteriors are those of the site's other documents, so no document speaks twice. kept:
+    score >= threshold. Null hosts and paths are a site of their own; a null text counts as empty; equal
+    ids each keep their row; no rows in, no rows out; other columns are not read. Without a model all
+    documents score alike and are kept. A counted number of sites is broadcast; beyond it each site meets
+    its documents in SALTS parts.
     """
     host = F.col("source") if host is None else host
     path = F.concat_ws("/", F.col("source"), F.col("lang")) if path is None else path
     rows = kept(evidence(docs, model, host, path, id_col, text_col))
-    sites = kept(site_posteriors(rows)).select(F.col("host").alias("h"), F.col("path").alias("p"), "host_quality", "path_quality", "base")
-    joined = rows.join(sites, F.col("host").eqNullSafe(F.col("h")) & F.col("path").eqNullSafe(F.col("p")))
+    sites = kept(site_posteriors(rows, path_strength).drop("host_quality", "path_quality")).withColumnsRenamed({"host": "h", "path": "p"})
+    same = F.col("host").eqNullSafe(F.col("h")) & F.col("path").eqNullSafe(F.col("p"))
+    if sites.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        sites = F.broadcast(sites)
+    else:
+        rows = rows.withColumn("salt", F.pmod(F.xxhash64("doc_id", "hash"), F.lit(SALTS)))
+        sites = sites.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        same = same & (F.col("salt") == F.col("part"))
+    logistic = lambda z: 1 / (1 + F.exp(-z))
+    host_quality, path_quality = shrunken(path_strength, logistic(F.col("log_odds")))
+    joined = rows.join(sites, same).withColumn("host_quality", host_quality).withColumn("path_quality", path_quality)
     odds = lambda c: F.log(F.col(c) / (1 - F.col(c)))
     total = F.col("log_odds") + site_weight * (odds("path_quality") - odds("base"))
-    logistic = lambda z: 1 / (1 + F.exp(-z))
     return joined.select("doc_id", "hash", "host", "path", logistic(F.col("log_odds")).alias("doc_score"), "host_quality", "path_quality", logistic(total).alias("score"), (F.lit(model is None) | (total >= float(np.log(threshold / (1 - threshold))))).alias("kept"))

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import boosted_trees
-from .common import map_texts
+from .common import least_hashed, map_texts
 from .text_stats import FEATURES, Stats
 
 #: Quality never rises with these shares.
@@ -16,16 +16,19 @@ MONOTONE = {FEATURES.index(f): -1 for f in FALLING}
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, most: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, text, label) of at most `most` labelled rows, those of least hash, outside the held-out fold.
+    """(doc_id, text, label) of at most `most` labelled ids, those of least hash, one row each, outside the held-out fold.
 
     The held-out fold (crc32 of the id as text, modulo 4, is 2) never trains. At most `most` small rows
-    are broadcast; null labels and ids take no part; the least label counts where an id has several.
+    are broadcast; null labels and ids take no part. Where an id has several labels the least counts, and
+    where it has several documents the least text: minima combine before they shuffle, so an id that
+    repeats without end still gives one row.
     """
     fold = F.crc32(F.col(id_col).cast("string")) % 4
-    few = labels.where(F.col(label_col).isin(0, 1) & (fold != 2)).groupBy(id_col).agg(F.min(label_col).cast("int").alias("label_"))
-    few = few.orderBy(F.xxhash64(F.lit(11), id_col), id_col).limit(most).withColumnRenamed(id_col, "id_of_label_")
-    kept = docs.select(F.col(id_col).alias("id_"), F.col(text_col).alias("text_"))
-    return kept.join(F.broadcast(few), F.col("id_") == F.col("id_of_label_")).select(F.col("id_").alias("doc_id"), F.col("text_").alias("text"), F.col("label_").alias("label"))
+    few = labels.where(F.col(label_col).isin(0, 1) & (fold != 2)).groupBy(F.col(id_col).alias("id_of_label_")).agg(F.min(label_col).cast("int").alias("label_"))
+    few = least_hashed(few, F.xxhash64(F.lit(11), "id_of_label_"), most, ties=("id_of_label_",))
+    rows = docs.select(F.col(id_col).alias("id_"), F.coalesce(F.col(text_col), F.lit("")).alias("text_"))
+    found = rows.join(F.broadcast(few), F.col("id_") == F.col("id_of_label_"))
+    return found.groupBy(F.col("id_").alias("doc_id"), F.col("label_").alias("label")).agg(F.min("text_").alias("text")).select("doc_id", "text", "label")
 
 
 def sample_features(sample: DataFrame) -> tuple[np.ndarray, np.ndarray]:

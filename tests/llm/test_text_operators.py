@@ -48,6 +48,16 @@ def labelled(spark):
     return table(spark, LEARNED, "documents"), table(spark, LEARNED, "labels")
 
 
+def test_label_sample_is_bounded_by_rows(spark, labelled):
+    docs = spark.range(10_000).select(F.lit(1).cast("long").alias("doc_id"), F.concat(F.lit("t"), F.col("id")).alias("text"))
+    labels = spark.createDataFrame([(1, 1), (1, 0), (3, 1), (None, 1)], "doc_id long, toxic int")
+    assert [tuple(r) for r in quality_rules.labelled_sample(docs, labels, "toxic", 10).collect()] == [(1, "t0", 0)]
+    docs, labels = labelled
+    some = quality_rules.labelled_sample(docs, labels, "quality", 50).collect()
+    again = quality_rules.labelled_sample(docs.unionByName(docs), labels, "quality", 50).collect()
+    assert 0 < len(some) <= 50 and sorted(some) == sorted(again)
+
+
 @pytest.fixture(scope="module")
 def tik():
     with open(RANKS, "rb") as f:
@@ -175,6 +185,35 @@ def test_quality_classifier(spark, edges, nothing, labelled):
     assert quality_classifier.classify(null_site, model).count() == 1
 
 
+def test_quality_posteriors_equal_brute_force(spark, labelled, monkeypatch):
+    docs, labels = labelled
+    model = quality_classifier.train(docs, labels)
+    rows = [tuple(r) for r in docs.where("doc_id % 3 = 0").select("doc_id", "text", "source", "lang").collect()]
+    rows += [(-1, None, None, None), (-2, "", None, "en"), (-3, "a " * 50_000, "src0", None), rows[0]]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    p = {i: 1 / (1 + np.exp(-model.log_odds(np.array([text_stats.Stats((t or "").encode()).features]))[0])) for i, t, _, _ in rows}
+    site = lambda r: (r[2], "/".join(x for x in r[2:] if x is not None))
+    host, path = {}, {}
+    for r in rows:
+        host.setdefault(r[2], []).append(p[r[0]])
+        path.setdefault(site(r), []).append(p[r[0]])
+    base = (sum(map(sum, host.values())) + 1) / (len(rows) + 2)
+    between = sum(len(v) * (np.mean(v) - base) ** 2 for v in host.values()) / len(rows)
+    noise = len(host) * base * (1 - base) / len(rows)
+    k = min(max(base * (1 - base) / max(between - noise, 1e-9) - 1, 2.0), 1000.0)
+    want = []
+    for r in rows:
+        q, h, s = p[r[0]], host[r[2]], path[site(r)]
+        hq = (sum(h) - q + k * base) / (len(h) - 1 + k)
+        pq = (sum(s) - q + 20 * hq) / (len(s) - 1 + 20)
+        z = np.log(q / (1 - q)) + 0.5 * (np.log(pq / (1 - pq)) - np.log(base / (1 - base)))
+        want.append((r[0], round(hq, 9), round(pq, 9), round(1 / (1 + np.exp(-z)), 9)))
+    for most in (500_000, 3):  # broadcast sites, and salted ones
+        monkeypatch.setattr(quality_classifier, "BROADCAST_ROWS", most)
+        got = quality_classifier.classify(df, model).collect()
+        assert sorted((r.doc_id, round(r.host_quality, 9), round(r.path_quality, 9), round(r.score, 9)) for r in got) == sorted(want)
+
+
 def test_site_shrinkage(spark):
     rows = [("big", "big/a", 4.0)] * 300 + [("bad", "bad/a", -4.0)] * 300 + [("new", "new/a", -4.0)]
     sites = {r.host: r for r in quality_classifier.site_posteriors(spark.createDataFrame(rows, "host string, path string, log_odds double")).collect()}
