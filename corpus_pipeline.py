@@ -12,8 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelforge.llm import byte_bpe, mixing, ngram_join, pii, quality_classifier
-from panelforge.llm.common import without
-from panelforge.session import kept, on_workers, shared_dir, table
+from panelforge.llm.common import free_name, without
+from panelforge.session import drop_kept, kept, on_workers, shared_dir, table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,9 +40,12 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeat or leave out whole documents so that sources share the words by weights 5, 2, 1 (3 epochs at most)."""
     on_workers(spark)
-    plan = mixing.plan(kept(mixing.sized(docs)), (5.0, 2.0, 1.0), 3.0)
-    taken = plan.take(docs).where("copies_ > 0")
-    return taken.withColumn("epoch_", F.explode(F.sequence(F.lit(1), F.col("copies_")))).select(*docs.columns)
+    sizes = kept(mixing.sized(docs))
+    taken = mixing.plan(sizes, (5.0, 2.0, 1.0), 3.0).take(docs)
+    drop_kept(sizes)
+    copies, _ = mixing.taken_names(docs)
+    times = F.explode(F.sequence(F.lit(1), F.col(copies))).alias(free_name([*docs.columns, copies], "epoch_"))
+    return taken.where(F.col(copies) > 0).select("*", times).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -123,17 +123,26 @@ def test_components(spark):
     assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
-def test_targets():
-    assert mixing.targets([10, 10, 10], (5, 2, 1), 3) == pytest.approx([18.75, 7.5, 3.75])
-    assert mixing.targets([1, 100, 0], (5, 2, 1), 3) == pytest.approx([3, 98, 0])
-    assert mixing.targets([], (5,), 3) == [] and mixing.targets([0, 0], (5, 2), 3) == [0, 0]
+def spread(sizes, weights, most):
+    """Targets by resharing what caps leave, on lists."""
+    out, open_ = [0.0] * len(sizes), dict(enumerate(weights[i % len(weights)] for i in range(len(sizes))))
+    while open_:
+        left = sum(sizes) - sum(x for i, x in enumerate(out) if i not in open_)
+        full = [i for i, w in open_.items() if left * w / sum(open_.values()) > most * sizes[i]]
+        for i in full or list(open_):
+            out[i] = float(most * sizes[i]) if full else left * open_[i] / sum(open_.values())
+        open_ = {i: w for i, w in open_.items() if i not in full} if full else {}
+    return out
+
+
+def test_targets(spark):
     rng = np.random.default_rng(13)
-    for _ in range(50):
-        sizes = rng.integers(0, 1000, 12).tolist()
-        t = mixing.targets(sizes, (5, 2, 1), 3)
-        assert sum(t) == pytest.approx(sum(sizes)) and all(x <= 3 * s + 1e-9 for x, s in zip(t, sizes, strict=True))
-        free = [x / (5, 2, 1)[i % 3] for i, x in enumerate(t) if x < 3 * sizes[i] - 1e-6]
-        assert max(free, default=0) - min(free, default=0) < 1e-6
+    for sizes in ([10, 10, 10], [1, 100, 0], [0, 0], [], *(rng.integers(0, 1000, n).tolist() for n in (12, 12, 300))):
+        names = sorted(f"s{i}" for i in range(len(sizes)))[: max(0, len(sizes) - 1)] + [None] * bool(sizes)
+        df = spark.createDataFrame(list(zip(names, sizes, sizes, strict=True)), "source string, size long, n long").repartition(5)
+        got = mixing.with_targets(df, (5.0, 2.0, 1.0), 3.0).orderBy("rank").collect()
+        assert [r.source for r in got] == names
+        assert [r.target for r in got] == pytest.approx(spread(sizes, (5, 2, 1), 3))
 
 
 def mix_rows(df, **more):
@@ -164,8 +173,8 @@ def test_mixture_edges(spark):
     out = {(r.doc_id, r.source): r for r in mixing.mix(df).collect()}
     assert out[4, "z"].taken == 3 and out[2, "x"].copies == 1 and out[1, None].copies == 3 and out[None, "y"].taken == 50
     assert mixing.mix(df.where("false")).count() == 0
-    with pytest.raises(ValueError):
-        mixing.plan(mixing.sized(df), max_sources=2)
+    many = spark.range(3_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("s"), F.col("id") % 1_000).alias("source"), F.lit("a b c").alias("text"))
+    assert mixing.mix(many, exact=True).agg(F.sum("taken")).first()[0] == pytest.approx(9_000, abs=1_000)  # a word a source at most
 
 
 def conversation_rows(spark):
