@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import ann, byte_bpe, chat_format, mixing, ngram_join, pii, quality_classifier, quality_rules, toxicity
+from . import ann, byte_bpe, chat_format, mixing, ngram_join, oracles, pii, quality_classifier, quality_rules, toxicity
 from .token_counts import count_tokens, sampled
 
 
@@ -67,7 +67,7 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Classes of documents linked by 5-word shingles at Jaccard 0.8."""
-    return ngram_join.join_groups(table(spark, sf_dir, "documents"), 5, 80)
+    return ngram_join.join_groups(table(spark, sf_dir, "documents"), 5, 80).select("doc_id", "n_shingles", "component_id")
 
 
 def op9_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -89,4 +89,4 @@ def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_token_counts, op4_byte_bpe, op10_quality_rules, op6_pii, op3_chat_format, op5_mixing, op7_ngram_join, op9_nearest, op2_toxicity, op8_quality_classifier)}
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op3_chat_format": oracles.CHAT_FORMAT, "op5_mixing": oracles.MIXING, "op7_ngram_join": oracles.NGRAM_JOIN}
