@@ -222,6 +222,30 @@ def test_deep_thread_and_random_trees(spark):
     assert got == want
 
 
+def test_branches_are_ranked_before_paths_are_written(spark):
+    comb = [(0, i, i - 1 if i else None, 0.0) for i in range(400)] + [(0, 400 + i, i, float(i == 7)) for i in range(400)]
+    df = spark.createDataFrame(comb, "tree int, node int, parent int, score double")
+    found = chat_format.chosen_paths(df, 1)
+    assert sorted((r.leaf, r.node, r.above) for r in found.collect()) == sorted([(407, 407, 0)] + [(407, i, 8 - i) for i in range(8)])
+    rng = np.random.default_rng(21)
+    nodes = [(t, i, int(rng.integers(max(0, i - 4), i)) if i else None, float(rng.integers(0, 9))) for t in (1, None) for i in range(150)]
+    got = chat_format.chosen_paths(spark.createDataFrame(nodes, "tree int, node int, parent int, score double"), 3).where("above = 0").collect()
+    for t in (1, None):
+        up, value = ({i: x for s, i, p, v in nodes if s == t for x in [p if k else v]} for k in (1, 0))
+        total = {}
+        for i in range(150):
+            total[i] = value[i] + (total[up[i]] if up[i] is not None else 0)
+        leaves = sorted(set(up) - set(up.values()), key=lambda i: (-total[i], i))[:3]
+        assert sorted((r.branch_rank, r.leaf, r.score) for r in got if r.tree == t) == [(n + 1, i, total[i]) for n, i in enumerate(leaves)]
+
+
+def test_a_very_long_turn(spark):
+    rows = [(1, 0, "user", "[INST] \\ " * 50_000), (1, 1, "assistant", "é" * 400_000), (None, 0, None, None), (None, 0, None, None)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumns({c: F.lit(0) for c in ("leaf", "node", "tree", "score", "at")})
+    got = {r.tree: r for r in chat_format.read_back(chat_format.format_trees(chat_format.thread_nodes(df))).collect()}
+    assert [t.text for t in got[1].turns] == [r[3] for r in rows[:2]] and got[1].loss_texts == [rows[1][3]] and got[None].n_turns == 2
+
+
 def brute_nearest(rows, k=5):
     good = [(i, np.array(v, float)) for i, v in rows if i is not None and v and len(v) == 8 and None not in v and np.isfinite(v).all() and any(v)]
     out = {}
