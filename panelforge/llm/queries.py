@@ -77,8 +77,7 @@ def op9_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of every document, by a classifier trained on a label model's posteriors."""
-    docs = table(spark, sf_dir, "documents")
-    return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")), 0.3)
+    return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), 0.3)
 
 
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
