@@ -1,6 +1,6 @@
 """Nearest neighbours: balanced posting lists, then an exact scan of what they did not show.
 
-Centroids come from a size-penalised k-means over a bounded sample. Every vector is indexed: it goes to
+Centroids, a bounded number, come from a size-penalised k-means over a bounded sample. Every vector is indexed: it goes to
 its nearest centroid's list and, near a boundary, to further ones. Centroids are found by beam search
 on an in-memory neighbour graph, and a query probes the lists whose centroids are not much farther than
 its nearest. Long lists are split, so that no task gets more of one than its share; scores are exact
@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import drop_kept, kept
+from .common import least_hashed
 
 #: Bytes of query vectors that the scan broadcasts at once, rows that it multiplies at once, and pairs that it scores at once.
 SCAN_BYTES, SCAN_ROWS, SCAN_PAIRS = 32 << 20, 2_048, 1 << 16
@@ -41,27 +42,37 @@ class Centroids:
         return at, far
 
     def _search(self, x: np.ndarray, width: int):
+        """A beam of the nearest found; each hop opens four of it and meets their neighbours once."""
         n, k = len(x), len(self.points)
-        beam = max(width, 16)
-        distance = lambda c: 2 - 2 * np.einsum("nd,ncd->nc", x, self.points[c])
-        found = np.full((n, k), np.inf, np.float32)
+        beam = min(k, max(width, 16) + 16)
         rows = np.arange(n)[:, None]
-        front = np.broadcast_to(self.entry, (n, len(self.entry)))
-        found[rows, front] = distance(front)
-        opened = np.zeros((n, k), bool)
+        seen = np.zeros((n, k), bool)
+
+        def measured(c: np.ndarray) -> np.ndarray:
+            """Distances, infinite where a centroid was met before or stands twice in a row of c (sorted)."""
+            far = np.maximum(2 - 2 * np.einsum("nd,ncd->nc", x, self.points[c]), 0).astype(np.float32)
+            again = seen[rows, c]
+            again[:, 1:] |= c[:, 1:] == c[:, :-1]
+            seen[rows, c] = True
+            return np.where(again, np.inf, far)
+
+        at = np.repeat(np.sort(self.entry)[None], n, 0)
+        far = measured(at)
+        done = np.zeros(at.shape, bool)
         while True:
-            best = np.argpartition(found, min(beam, k) - 1, 1)[:, : min(beam, k)] if k > beam else np.broadcast_to(np.arange(k), (n, k))
-            score = np.where(opened[rows, best], np.inf, found[rows, best])
+            score = np.where(done, np.inf, far)
             take = np.argsort(score, 1, kind="stable")[:, :4]
-            fresh = np.take_along_axis(best, take, 1)
             usable = np.isfinite(np.take_along_axis(score, take, 1))
             if not usable.any():
                 break
-            opened[rows, fresh] |= usable
-            near = self.graph[fresh].reshape(n, -1)
-            found[rows, near] = distance(near)
-        order = np.argsort(found, 1, kind="stable")[:, :width]
-        return order, np.maximum(np.take_along_axis(found, order, 1), 0)
+            np.put_along_axis(done, take, np.take_along_axis(done, take, 1) | usable, 1)
+            near = np.sort(self.graph[np.take_along_axis(at, take, 1)].reshape(n, -1), 1)
+            at, far, done = np.concatenate((at, near), 1), np.concatenate((far, measured(near)), 1), np.concatenate((done, np.zeros(near.shape, bool)), 1)
+            if at.shape[1] > beam:
+                best = np.argpartition(far, beam - 1, 1)[:, :beam]
+                at, far, done = (np.take_along_axis(m, best, 1) for m in (at, far, done))
+        order = np.argsort(far, 1, kind="stable")[:, :width]
+        return np.take_along_axis(at, order, 1), np.take_along_axis(far, order, 1)
 
 
 def fit_centroids(sample: np.ndarray, k: int, rounds: int = 10, degree: int = 16, penalty: float = 0.3, seed: int = 3) -> Centroids:
@@ -81,7 +92,8 @@ def fit_centroids(sample: np.ndarray, k: int, rounds: int = 10, degree: int = 16
         lost = (norm[:, 0] < 1e-9) | (load == 0)
         points = np.where(lost[:, None], x[rng.permutation(len(x))[:k]], total / np.maximum(norm, 1e-9)).astype(np.float32)
     points /= np.linalg.norm(points, axis=1, keepdims=True)
-    close = np.argsort(-(points @ points.T), 1, kind="stable")[:, 1 : degree + 1] if k > 1 else np.zeros((1, 1), np.int64)
+    near = [np.argsort(-(part @ points.T), 1, kind="stable")[:, 1 : degree + 1] for part in np.array_split(points, max(1, k // 512))]
+    close = np.concatenate(near) if k > 1 else np.zeros((1, 1), np.int64)
     graph = np.concatenate((close, rng.integers(0, k, (k, 4))), 1)
     return Centroids(points, graph, rng.permutation(k)[: min(k, 32)])
 
@@ -101,7 +113,7 @@ def _matrix(column) -> np.ndarray:
 
 
 def _listed(rows: DataFrame, shared, width: int, ratio: float) -> DataFrame:
-    """(list, vec_id, v) for each list whose centroid's distance is within `ratio` of the nearest, `width` at most."""
+    """(list, place, vec_id, v) for each list whose centroid's distance is within `ratio` of the nearest, `width` at most, the nearest in place 0."""
 
     def run(batches):
         import pyarrow as pa
@@ -111,11 +123,11 @@ def _listed(rows: DataFrame, shared, width: int, ratio: float) -> DataFrame:
                 continue
             v = _matrix(b.column("v"))
             at, far = shared.value.nearest((v / np.linalg.norm(v, axis=1, keepdims=True)).astype(np.float32), width)
-            i, j = np.nonzero(np.sqrt(far) <= ratio * np.sqrt(far[:, :1]) + 1e-6)
+            i, j = np.nonzero(np.isfinite(far) & (np.sqrt(far) <= ratio * np.sqrt(far[:, :1]) + 1e-6))
             part = b.take(pa.array(i))
-            yield pa.RecordBatch.from_arrays([pa.array(at[i, j].astype(np.int32)), part.column("vec_id"), part.column("v")], ["list", "vec_id", "v"])
+            yield pa.RecordBatch.from_arrays([pa.array(at[i, j].astype(np.int32)), pa.array(j.astype(np.int32)), part.column("vec_id"), part.column("v")], ["list", "place", "vec_id", "v"])
 
-    return rows.mapInArrow(run, "list int, vec_id bigint, v array<double>")
+    return rows.mapInArrow(run, "list int, place int, vec_id bigint, v array<double>")
 
 
 def _best(i: np.ndarray, ids: np.ndarray, exact: np.ndarray, k: int) -> np.ndarray:
@@ -199,12 +211,13 @@ def search(
     vector_col: str = "embedding",
     sample_rows: int = 20_000,
     per_list: int = 128,
-    max_lists: int = 16_384,
+    max_lists: int = 2_048,
     replicas: int = 4,
     boundary: float = 1.1,
     probes: int = 48,
     prune: float = 1.3,
     part: int = 256,
+    parts_read: int = 64,
 ) -> DataFrame:
     """(query_id, rank, vec_id, score): each query's k nearest vectors, by cosine, ties to the smaller id.
 
@@ -213,7 +226,10 @@ def search(
     length from the commonest length, take no part; ids that repeat give one result, their best.
     `sample_rows` (those of least hash) bound what fits the centroids, `max_lists` their number; all
     rows are indexed, to at most `replicas` lists, and a query reads at most `probes` lists, which gives
-    its floor; then it meets all rows. Fewer than k candidates: all. No usable vector: no rows.
+    its floor; then it meets all rows. Lists grow with the table and are cut into parts of about `part`
+    vectors; a query reads at most `parts_read` of its nearest list, half as many of the next, and so on,
+    and what it does not read there the scan shows it. Fewer than k candidates: all. No usable vector:
+    no rows. The driver holds the sample, and distances of 512 centroids to all at once.
     """
     spark = vectors.sparkSession
     lengths = usable(vectors, id_col, vector_col).groupBy(F.size("v").alias("size")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "size").limit(1).collect()
@@ -222,7 +238,7 @@ def search(
         return spark.createDataFrame([], schema)
     size, n = lengths[0]
     rows = usable(vectors, id_col, vector_col, size)
-    sample = rows.orderBy(F.xxhash64(F.lit(9), "vec_id"), "vec_id").limit(sample_rows).toArrow()
+    sample = least_hashed(rows, F.xxhash64(F.lit(9), "vec_id"), sample_rows, n, ("vec_id",)).toArrow()
     index = fit_centroids(_matrix(sample.column("v")), min(max_lists, max(1, n // per_list)))
     shared = spark.sparkContext.broadcast(index)
     posted = _listed(rows, shared, replicas, boundary)
@@ -230,7 +246,8 @@ def search(
     counts = posted.groupBy("list").agg(F.ceil(F.count("*") / F.lit(part)).cast("int").alias("parts"))
     counts = F.broadcast(counts)  # one row for each list, max_lists at most
     posted = posted.join(counts, "list").select("list", F.pmod(F.xxhash64("vec_id"), F.col("parts")).cast("int").alias("part"), "vec_id", "v")
-    queries = queries.join(counts, "list").select("list", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "vec_id", "v")
+    read = F.least(F.col("parts"), F.greatest(F.lit(1), F.floor(F.lit(float(parts_read)) / F.pow(F.lit(2.0), F.col("place"))).cast("int")))
+    queries = queries.join(counts, "list").select("list", F.explode(F.sequence(F.lit(0), read - 1)).alias("part"), "vec_id", "v")
 
     def score(left, right):
         import pyarrow as pa

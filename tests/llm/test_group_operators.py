@@ -295,6 +295,20 @@ def test_nearest_of_isolated_queries(spark):
     assert got == brute_nearest(rows)
 
 
+def test_graph_search_finds_nearest_centroids():
+    rng = np.random.default_rng(22)
+    index = ann.fit_centroids(rng.normal(size=(6_000, 16)), 600, rounds=3)
+    x = rng.normal(size=(700, 16))
+    x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    at, far = index.nearest(x, 12)
+    true = 2 - 2 * x @ index.points.T
+    assert all(len(set(r)) == 12 for r in at.tolist()) and np.allclose(np.take_along_axis(true, at, 1), far, atol=1e-5)
+    best = np.argsort(true, 1)[:, :12]
+    assert np.mean([len(set(a) & set(b)) / 12 for a, b in zip(at.tolist(), best.tolist(), strict=True)]) > 0.9
+    few = ann.fit_centroids(rng.normal(size=(3, 16)), 600)
+    assert few.nearest(x, 12)[0].shape == (700, 3)
+
+
 def test_nearest_edges(spark):
     nan = float("nan")
     rows = [(0, [1.0] * 8), (50, [0.0] * 8), (100, None), (150, [nan] * 8), (200, [None] * 8), (None, [1.0] * 8), (1, [2.0] * 8), (2, [1.0] + [0.0] * 7), (2, [1.0] + [0.0] * 7), (3, [1.0, 2.0]), (250, [-1.0] * 8)]
