@@ -32,6 +32,8 @@ _SALTS = (np.random.default_rng(5).integers(1, 2**63, 64, dtype=np.uint64) << np
 LISTED, LEAST, REPORTED = 262_144, 8, 16_384
 #: Documents of a bucket that are paired rather than tied to the first, less one; sets that are fetched by a broadcast at most.
 NEAR, FETCHED = 63, 500_000
+#: Sets of one signature that a slice sends on at most; sets and bytes of tokens in a block of a large group's second pass.
+GATHERED, WIDE, WIDE_BYTES = 32, 256, 8 << 20
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -154,11 +156,36 @@ def _listed(census: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return keys[by], (len(keys) - 1 - np.arange(len(keys)))[by]
 
 
+def gathered(sig: np.ndarray, key: np.ndarray, n: np.ndarray, most: int) -> tuple[np.ndarray, int, np.ndarray, np.ndarray]:
+    """Signature rows of one slice, where a signature of more than `most` sets keeps its least key's row only.
+
+    Returned are the numbers of the rows that stay, those that speak for others last, how many these are,
+    and the (key, hub) ties of what they speak for.
+    """
+    _, place, times = np.unique(sig, return_inverse=True, return_counts=True)
+    hot = times[place] > most
+    if not hot.any():
+        return np.arange(len(sig)), 0, key[:0], key[:0]
+    order = np.lexsort((key[hot], place[hot]))
+    rows = np.flatnonzero(hot)[order]
+    first = np.concatenate(([True], np.diff(place[rows]) != 0))
+    hub = key[rows][np.maximum.accumulate(np.where(first, np.arange(len(rows)), 0))]
+    stay = np.concatenate((np.flatnonzero(~hot), rows[first]))
+    ties = np.unique(np.stack((key[rows], hub), 1)[key[rows] != hub], axis=0)
+    return stay, int(first.sum()), ties[:, 0], ties[:, 1]
+
+
 def _signed(docs: DataFrame, listed, width: int, percent: int, id_col: str, text_col: str) -> DataFrame:
-    """(sig, key, n) for each distinct token set of each task."""
+    """(sig, key, n, hub) for each distinct token set of each task.
+
+    A signature of more than GATHERED sets in a slice of texts sends one row, whose hub is its own key; the
+    other sets are tied to that key by rows with that hub and a sig of their own. Elsewhere hub is null.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(listed)
 
     def make():
+        import pyarrow as pa
+
         seen: set[int] = set()
 
         def run(ids, texts):
@@ -172,24 +199,33 @@ def _signed(docs: DataFrame, listed, width: int, percent: int, id_col: str, text
                     sig.append(found)
                     key.append(np.full(len(found), k, np.int64))
                     n.append(np.full(len(found), len(s), np.int32))
-            return {"sig": np.concatenate(sig).view(np.int64), "key": np.concatenate(key), "n": np.concatenate(n)}
+            sig, key, n = np.concatenate(sig), np.concatenate(key), np.concatenate(n)
+            stay, crowds, tied, hub = gathered(sig, key, n, GATHERED)
+            sig, key, n = sig[stay], key[stay], n[stay]
+            own = _mix(np.ascontiguousarray(tied).view(np.uint64) ^ _SALTS[55])
+            none = np.arange(len(sig) + len(tied)) < len(sig) - crowds
+            return {"sig": np.concatenate((sig, own)).view(np.int64), "key": np.concatenate((key, tied)), "n": np.concatenate((n, np.zeros(len(tied), np.int32))), "hub": pa.array(np.concatenate((key, hub)), pa.int64(), mask=none)}
 
         return run
 
-    return map_texts(docs, make, "sig bigint, key bigint, n int", id_col, text_col, binary=True, owner="ngram_join")
+    return map_texts(docs, make, "sig bigint, key bigint, n int, hub bigint", id_col, text_col, binary=True, owner="ngram_join")
 
 
 def _ties(sigs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """(a, b) ties whose components hold every link: filtered pairs of small buckets, stars of large ones."""
-    whole, ordered = Window.partitionBy("sig"), Window.partitionBy("sig").orderBy("n", "key")
-    shared = sigs.withColumn("rows", F.count("*").over(whole)).where("rows > 1")  # most signatures end here
+    whole, ordered = Window.partitionBy("sig"), Window.partitionBy("sig").orderBy("n", "key", F.asc_nulls_last("hub"))
+    crowd, tied = F.col("hub") == F.col("key"), F.col("hub") != F.col("key")
+    shared = sigs.withColumn("rows", F.count("*").over(whole)).where(F.col("hub").isNotNull() | (F.col("rows") > 1))  # most signatures end here
     once = shared.withColumn("last", F.lag("key").over(ordered)).where("last is null or last != key")
-    ahead = F.collect_list(F.struct("key", "n")).over(ordered.rowsBetween(1, NEAR))
-    bucket = once.select("key", "n", F.count("*").over(whole).alias("members"), F.min("key").over(whole).alias("hub"), ahead.alias("ahead")).where("members > 1")
+    free = ~F.coalesce(tied, F.lit(False))
+    members, least = F.count(F.when(free, 1)).over(whole), F.min(F.when(free, F.col("key"))).over(whole)
+    bucket = once.select("sig", "key", "n", "hub", members.alias("members"), least.alias("least"), F.max(F.coalesce(crowd, F.lit(False))).over(whole).alias("crowd"))
+    small = free & (F.col("members") <= NEAR + 1) & ~F.col("crowd")  # a row that speaks for others cannot be ruled out by its own tokens
+    ahead = F.collect_list(F.when(small, F.struct("key", "n"))).over(ordered.rowsBetween(1, NEAR))  # nothing in large buckets
+    bucket = bucket.where("members > 1 or hub is not null").select("key", "n", small.alias("pair"), F.when(free, F.col("least")).otherwise(F.col("hub")).alias("hub"), ahead.alias("ahead"))
     fits = F.filter("ahead", lambda o: 100 * F.col("n") >= percent * o["n"])
-    small = F.col("members") <= NEAR + 1
     star = F.filter(F.array(F.struct(F.col("hub").alias("key"), F.lit(0).alias("n"))), lambda o: o["key"] != F.col("key"))
-    ties = kept(bucket.select(F.col("key").alias("a"), small.alias("pair"), F.explode(F.when(small, fits).otherwise(star)).alias("o")).select("pair", "a", F.col("o.key").alias("b")).distinct())
+    ties = kept(bucket.select(F.col("key").alias("a"), "pair", F.explode(F.when(F.col("pair"), fits).otherwise(star)).alias("o")).select("pair", "a", F.col("o.key").alias("b")).distinct())
     sides = sets.select("key", "n", "parity")
     both = ties.where("pair").join(sides.select(F.col("key").alias("a"), F.col("n").alias("an"), F.col("parity").alias("ap")), "a")
     both = both.join(sides.select(F.col("key").alias("b"), F.col("n").alias("bn"), F.col("parity").alias("bp")), "b")
@@ -202,7 +238,9 @@ def _ties(sigs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             yield t.filter(pa.array([may_link(x, y, n + m, percent) for x, y, n, m in zip(*columns, strict=True)], pa.bool_())).select(["a", "b"])
 
     near = both.select("a", "b", "ap", "bp", "an", "bn").mapInArrow(close, "a bigint, b bigint")
-    return near.unionByName(ties.where("not pair").select("a", "b"))
+    out = near.unionByName(ties.where("not pair").select("a", "b"))
+    out._kept_path = ties._kept_path
+    return out
 
 
 def _token_rows(docs: DataFrame, wanted: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame:
@@ -285,31 +323,37 @@ def _verified(rows: DataFrame, percent: int) -> DataFrame:
     return rows.groupBy("label", "i", "j").applyInArrow(verify, "a bigint, b bigint")
 
 
-def _rest(toks: DataFrame, found: DataFrame, block: int) -> DataFrame:
+def _rest(toks: DataFrame, found: DataFrame, block: int, percent: int) -> DataFrame:
     """Rows for the pairs of a large group that may still join two classes (found so far).
 
-    Classes of at least `block` sets fill blocks of their own, which need not meet each other; the sets
-    of smaller classes share blocks, which meet all blocks. So a group whose sets mostly link with its
-    first block costs its few others times its size, not its size squared.
+    Blocks hold sets of one size range, so that only blocks of equal or adjacent ranges can link. Classes
+    of at least `block` sets fill blocks of their own, which need not meet each other; the sets of smaller
+    classes share blocks. So a group whose sets mostly link with its first block costs its few others
+    times its size; one of m look-alikes of like size that do not link sends m * m / WIDE rows.
     """
     t, f = toks.alias("t"), found.alias("f")
-    toks = t.join(f, F.col("t.key") == F.col("f.id"), "left").select("t.label", "key", "toks", F.coalesce("f.label", "t.key").alias("class"))
-    size = toks.groupBy("label", "class").agg(F.count("*").alias("n"))
-    size = kept(size.select("label", "class", "n", (F.col("n") >= block).alias("pure")))
-    small = size.where("not pure").groupBy("label").agg(F.sum("n").alias("small")).withColumnRenamed("label", "l")
-    deal = size.join(small, F.col("label") == F.col("l"), "left").select("label", F.col("class").alias("c"), "pure", F.ceil(F.when(F.col("pure"), F.col("n")).otherwise(F.col("small")) / F.lit(block)).alias("parts"))
-    t, d = toks.alias("t"), deal.withColumnRenamed("label", "l")
-    part = F.pmod(F.when(F.col("pure"), F.xxhash64("key")).otherwise(F.xxhash64("class")), F.col("parts"))
-    name = F.when(F.col("pure"), F.concat_ws("/", "class", part)).otherwise(F.concat_ws("/", F.lit("shared"), part))
-    placed = kept(t.join(d, (F.col("t.label") == F.col("l")) & (F.col("class") == F.col("c"))).select("t.label", "key", "toks", "pure", F.when(F.col("pure"), F.col("class")).alias("class"), name.alias("block")))
-    order = F.dense_rank().over(Window.partitionBy("label").orderBy("block"))
-    names = kept(placed.select("label", "block", "pure", "class").distinct().withColumn("own", order.cast("int")))
+    span = F.floor(F.log(F.octet_length("toks") / 8.0) / F.lit(float(np.log(100.1 / percent)))).cast("int")
+    toks = t.join(f, F.col("t.key") == F.col("f.id"), "left").select("t.label", "key", "toks", F.coalesce("f.label", "t.key").alias("class"), span.alias("span"))
+    size = kept(toks.groupBy("label", "class").agg(F.count("*").alias("n")).where(F.col("n") >= block).select(F.col("label").alias("l"), F.col("class").alias("pure")))
+    t, d = toks.alias("t"), size.alias("d")
+    named = kept(t.join(d, (F.col("t.label") == F.col("d.l")) & (F.col("t.class") == F.col("d.pure")), "left").select("label", "key", "toks", "span", "pure"))
+    deal = named.groupBy("label", "span", "pure").agg(F.ceil(F.greatest(F.count("*") / F.lit(WIDE), F.sum(F.octet_length("toks")) / F.lit(WIDE_BYTES))).cast("int").alias("parts"))
+    deal = deal.select(F.col("label").alias("l"), F.col("span").alias("s"), F.col("pure").alias("p"), "parts")
+    n, d = named.alias("n"), deal.alias("d")
+    same = (F.col("n.label") == F.col("d.l")) & (F.col("n.span") == F.col("d.s")) & F.col("n.pure").eqNullSafe(F.col("d.p"))
+    placed = kept(n.join(d, same).select("label", "key", "toks", "span", "pure", F.pmod(F.xxhash64("key"), "parts").cast("int").alias("part")))
+    order = F.row_number().over(Window.partitionBy("label").orderBy("span", F.asc_nulls_first("pure"), "part"))
+    names = kept(placed.select("label", "span", "pure", "part").distinct().withColumn("own", order))
     a, b = names.alias("a"), names.alias("b")
-    meets = (F.col("a.own") <= F.col("b.own")) & ~(F.col("a.pure") & F.col("b.pure") & (F.col("a.class") == F.col("b.class")))
-    pairs = a.join(b, "label").where(meets).select("label", F.col("a.own").alias("i"), F.col("b.own").alias("j"))
+    meets = (F.col("a.own") <= F.col("b.own")) & (F.col("b.span") <= F.col("a.span") + 1) & F.coalesce(F.col("a.pure") != F.col("b.pure"), F.lit(True))
+    pairs = a.join(b, F.col("a.label") == F.col("b.label")).where(meets).select("a.label", F.col("a.own").alias("i"), F.col("b.own").alias("j"))
     pairs = pairs.withColumn("own", F.explode(F.array_distinct(F.array("i", "j"))))
-    numbered = placed.join(names.select("label", "block", "own"), ["label", "block"])
-    return numbered.join(pairs, ["label", "own"]).select("label", "i", "j", "own", "key", "toks")
+    p, o = placed.alias("p"), names.alias("o")
+    mine = (F.col("p.label") == F.col("o.label")) & (F.col("p.span") == F.col("o.span")) & F.col("p.pure").eqNullSafe(F.col("o.pure")) & (F.col("p.part") == F.col("o.part"))
+    numbered = p.join(o, mine).select("p.label", "own", "key", "toks")
+    out = numbered.join(pairs, ["label", "own"]).select("label", "i", "j", "own", "key", "toks")
+    out.kept_ = (size, named, placed, names)
+    return out
 
 
 def join_groups(docs: DataFrame, width: int = 5, percent: int = 80, block: int = 64, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -328,7 +372,9 @@ def join_groups(docs: DataFrame, width: int = 5, percent: int = 80, block: int =
     sigs = _signed(docs, listed, width, percent, id_col, text_col)
     one = census.where("kind = 0").groupBy("key").agg(F.min(F.struct("id", "hash")).alias("first"), F.min("id").alias("least"), F.count("*").alias("copies"), F.max("n").alias("n"), F.min("parity").alias("parity"))
     one = kept(one.select("key", "first.*", "least", "copies", "n", "parity"))
-    loose = components(_ties(sigs, one, percent))
+    ties = _ties(sigs, one, percent)
+    loose = components(ties)
+    drop_kept(ties)
     sizes = kept(loose.groupBy("label").agg(F.count("*").alias("members")))
     blocks = F.ceil(F.col("members") / F.lit(block)).cast("int")
     placed = loose.join(sizes, "label").select(F.col("id").alias("key"), "label", blocks.alias("blocks"), F.pmod(F.xxhash64("id"), blocks).cast("int").alias("own"))
@@ -340,8 +386,9 @@ def join_groups(docs: DataFrame, width: int = 5, percent: int = 80, block: int =
     links = kept(_verified(first, percent))
     found = components(links)
     if not sizes.where(F.col("members") > block).isEmpty():
-        more = kept(_verified(_rest(toks.where("blocks > 1 and own > 0"), found, block), percent))
-        drop_kept(found)
+        rest = _rest(toks.where("blocks > 1 and own > 0"), found, block, percent)
+        more = kept(_verified(rest, percent))
+        drop_kept(found, *rest.kept_)
         found = components(links.unionByName(more))
         drop_kept(more)
     classes = one.join(found.withColumnRenamed("id", "key"), "key", "left").select("key", "least", "copies", F.coalesce("label", "key").alias("class"))
@@ -350,5 +397,5 @@ def join_groups(docs: DataFrame, width: int = 5, percent: int = 80, block: int =
     rows = census.where("kind = 0").alias("c").join(named.alias("m"), F.col("c.key") == F.col("m.key"))
     empty = F.col("c.n") == 0
     out = rows.select(F.col("c.id").alias("doc_id"), F.col("c.n").alias("n_shingles"), F.when(empty, F.col("c.id")).otherwise(F.col("m.component_id")).alias("component_id"), F.when(empty, 1).otherwise(F.col("m.copies")).cast("long").alias("copies"), F.col("c.hash").alias("hash"))
-    drop_kept(loose, sizes, wanted, toks, links, found)
+    drop_kept(loose, sizes, wanted, toks, links, found, one)
     return out

@@ -76,8 +76,29 @@ def test_join_of_a_dense_group(spark, monkeypatch, listed):
     assert joined(df, block=32) == Counter(brute_components(docs))
 
 
+@pytest.mark.parametrize("gathered", [1, 4])
+def test_join_when_slices_gather(spark, monkeypatch, gathered):
+    """Signatures that one slice holds often: one row speaks for the others, in small and in large buckets."""
+    monkeypatch.setattr(ngram_join, "GATHERED", gathered)
+    monkeypatch.setattr(ngram_join, "LEAST", 2)
+    monkeypatch.setattr(ngram_join, "WIDE", 16)
+    rng = np.random.default_rng(19)
+    texts = near_copies(rng, 150) + near_copies(rng, 60, 60, 9) + near_copies(rng, 40, 12, 2) + [" ".join(f"u{rng.integers(0, 3000)}" for _ in range(60)) for _ in range(30)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    assert joined(df, block=16) == Counter(brute_components(list(enumerate(texts))))
+
+
+def test_lookalikes_that_do_not_link_send_few_rows(spark):
+    rng = np.random.default_rng(20)
+    sets = [np.unique(rng.integers(1, 2**62, 60, dtype=np.uint64)) for _ in range(5_000)]
+    rows = [(7, i, s.tobytes()) for i, s in enumerate(sets)]
+    toks = spark.createDataFrame(rows, "label long, key long, toks binary")
+    rest = ngram_join._rest(toks, spark.createDataFrame([], "id long, label long"), 64, 80)
+    assert rest.count() < 5_000 * 5_000 / 150  # m * m / 64 was three times that
+
+
 def test_join_edges(spark):
-    docs = [(5, None), (6, ""), (6, ""), (7, "a b"), (8, "A  b"), (9, "a b c"), (None, "one two three four five six"), (3, "one two three four five six"), (2, "p q r s t u v w x y"), (1, "p q r s t u v w x y z"), (1, "other text here that is long enough"), (4, " ".join(f"k{i}" for i in range(50_000))), (10, "\x1ca b")]
+    docs = [(5, None), (6, ""), (6, ""), (7, "a b"), (8, "A  b"), (9, "a b c"), (None, "one two three four five six"), (3, "one two three four five six"), (2, "p q r s t u v w x y"), (1, "p q r s t u v w x y z"), (1, "other text here that is long enough"), (4, " ".join(f"k{i}" for i in range(50_000))), (11, " ".join(f"k{i}" for i in range(300_000))), (12, " ".join(f"k{i}" for i in range(299_000))), (10, "\x1ca b")]
     df = spark.createDataFrame(docs, "doc_id long, text string").withColumns({c: F.lit("clash") for c in ("key", "hash", "n", "id", "sig", "label", "text_hash")})
     assert joined(df) == Counter(brute_components(docs))
     assert ngram_join.join_groups(df.where("false")).count() == 0
