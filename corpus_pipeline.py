@@ -12,33 +12,56 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelforge.llm import byte_bpe, mixing, ngram_join, pii, quality_classifier
-from panelforge.llm.common import free_name, without
+from panelforge.llm.common import chosen, free_name, without
 from panelforge.session import drop_kept, kept, on_workers, shared_dir, table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop the documents that the quality classifier rejects."""
+    """Drop the documents that the quality classifier rejects.
+
+    Null and empty texts are scored like any other; equal rows go or stay together; extra columns stay,
+    whatever they are called; an empty table stays empty.
+    """
     on_workers(spark)
     scored = quality_classifier.classify(docs, quality_classifier.train(docs, table(spark, sf_dir, "labels")))
     return without(docs, kept(scored.where("not kept").select("doc_id", "hash")))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document of smallest id of each class of linked documents; rows of one id are one document."""
+    """Keep one row of each class of linked documents: that of least id (null last), then text hash, then row hash.
+
+    Texts without words (and null ones) link with nothing and all stay. Rows of one id are documents of
+    their own. Columns stay as they are; an empty table stays empty.
+    """
     on_workers(spark)
-    classes = ngram_join.join_groups(docs, 5, 80)
-    return without(docs, kept(classes.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id", "hash")))
+    classes = kept(ngram_join.join_groups(docs, 5, 80).select("doc_id", "hash", "first", "n_shingles"))
+    single = without(docs, kept(classes.where("not first").select("doc_id", "hash")))
+    again = classes.where("first and n_shingles > 0").groupBy("doc_id", "hash").agg(F.count("*").alias("n")).where("n > 1")
+    again = kept(again.select("doc_id", "hash"))
+    if again.isEmpty():
+        return single
+    row, whole = free_name(docs.columns, "row_"), [F.col(f"`{c}`") for c in docs.columns]
+    repeated = chosen(docs, again).groupBy(F.col("doc_id"), F.xxhash64("text")).agg(F.min_by(F.struct(*whole), F.xxhash64(*whole)).alias(row))
+    return without(single, again).unionByName(repeated.select(f"{row}.*"))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Mask personal data; n_chars follows the new text."""
+    """Mask personal data; n_chars follows the new text.
+
+    Null and empty texts stay as they are, equal rows are masked alike, long texts are masked whole, and
+    other columns are not touched; an empty table stays empty.
+    """
     on_workers(spark)
     masked = pii.mask_column(docs)
     return masked.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else masked
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeat or leave out whole documents so that sources share the words by weights 5, 2, 1 (3 epochs at most)."""
+    """Repeat or leave out whole documents so that sources share the words by weights 5, 2, 1 (3 epochs at most).
+
+    A null source is a source, null and empty texts cost nothing, equal rows go together, a long document
+    is taken whole or not. Columns stay as they are, whatever they are called; an empty table stays empty.
+    """
     on_workers(spark)
     sizes = kept(mixing.sized(docs))
     taken = mixing.plan(sizes, (5.0, 2.0, 1.0), 3.0).take(docs)
@@ -49,7 +72,11 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """(doc_id, n_tokens, ids, ids_sha256, decoded_sha256): byte-level BPE of each text, ids as little-endian 32-bit integers."""
+    """(doc_id, n_tokens, ids, ids_sha256, decoded_sha256): byte-level BPE of each text, ids as little-endian 32-bit integers.
+
+    Null texts count as empty and have no ids; every row gives one, repeated ones too; other columns are
+    not read; an empty table stays empty.
+    """
     import public_tokenizers
 
     on_workers(spark)

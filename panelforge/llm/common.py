@@ -123,11 +123,20 @@ def free_name(taken: Iterable[str], wanted: str) -> str:
     return wanted
 
 
+def _by_hash(docs: DataFrame, rows: DataFrame, how: str, id_col: str, text_col: str) -> DataFrame:
+    told_id, told_hash = free_name(docs.columns, "told_id"), free_name(docs.columns, "told_hash")
+    told = small(rows.select(F.col("doc_id").alias(told_id), F.col("hash").alias(told_hash)).distinct())
+    return docs.join(told, F.col(id_col).eqNullSafe(F.col(told_id)) & (F.xxhash64(text_col) == F.col(told_hash)), how)
+
+
 def without(docs: DataFrame, rejected: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without the rows whose id and text hash stand in rejected (doc_id, hash); columns stay as they are.
 
     Null ids and texts match null ones; repeated rows go or stay together; no column name is reserved.
     """
-    gone_id, gone_hash = free_name(docs.columns, "gone_id"), free_name(docs.columns, "gone_hash")
-    gone = small(rejected.select(F.col("doc_id").alias(gone_id), F.col("hash").alias(gone_hash)).distinct())
-    return docs.join(gone, F.col(id_col).eqNullSafe(F.col(gone_id)) & (F.xxhash64(text_col) == F.col(gone_hash)), "left_anti")
+    return _by_hash(docs, rejected, "left_anti", id_col, text_col)
+
+
+def chosen(docs: DataFrame, wanted: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs that without() would drop."""
+    return _by_hash(docs, wanted, "left_semi", id_col, text_col)

@@ -357,21 +357,23 @@ def _rest(toks: DataFrame, found: DataFrame, block: int, percent: int) -> DataFr
 
 
 def join_groups(docs: DataFrame, width: int = 5, percent: int = 80, block: int = 64, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, component_id, copies, hash) for each row of docs.
+    """(doc_id, n_shingles, component_id, copies, hash, first) for each row of docs.
 
     Documents link when their shingle sets' Jaccard similarity is at least percent / 100; component_id
     is the smallest id that links reach, the document's own included; copies: rows with the same set;
-    hash: xxhash64 of the text.
+    hash: xxhash64 of the text; first: the row is the one of least id (null last) and then hash in its
+    class, or equal to it.
     A text without words (or null) has no shingles and links with nothing; null ids keep their row and
     never become a component_id unless alone. Rows of equal id are separate documents that share a
     name. Other columns are not read. `block` bounds the documents that one task compares with as many
-    others; larger groups are compared block by block.
+    others; larger groups are compared block by block. Token sets are told apart by 64-bit fingerprints:
+    of m distinct sets about m * m / 2^65 pairs are taken for one set (one pair at 6 billion sets).
     """
     census = kept(_census(docs, width, id_col, text_col))
     listed = _listed(census)
     sigs = _signed(docs, listed, width, percent, id_col, text_col)
-    one = census.where("kind = 0").groupBy("key").agg(F.min(F.struct("id", "hash")).alias("first"), F.min("id").alias("least"), F.count("*").alias("copies"), F.max("n").alias("n"), F.min("parity").alias("parity"))
-    one = kept(one.select("key", "first.*", "least", "copies", "n", "parity"))
+    one = census.where("kind = 0").groupBy("key").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "hash")).alias("first"), F.count("*").alias("copies"), F.max("n").alias("n"), F.min("parity").alias("parity"))
+    one = kept(one.select("key", "first", "first.id", "first.hash", "copies", "n", "parity"))
     ties = _ties(sigs, one, percent)
     loose = components(ties)
     drop_kept(ties)
@@ -391,11 +393,19 @@ def join_groups(docs: DataFrame, width: int = 5, percent: int = 80, block: int =
         drop_kept(found, *rest.kept_)
         found = components(links.unionByName(more))
         drop_kept(more)
-    classes = one.join(found.withColumnRenamed("id", "key"), "key", "left").select("key", "least", "copies", F.coalesce("label", "key").alias("class"))
-    least = classes.groupBy("class").agg(F.min("least").alias("component_id"))
-    named = kept(classes.join(least, "class").select("key", "copies", "component_id"))
+    classes = one.join(found.withColumnRenamed("id", "key"), "key", "left").select("key", "first", "copies", F.coalesce("label", "key").alias("class"))
+    least = classes.groupBy("class").agg(F.min("first").alias("least"))
+    named = kept(classes.join(least, "class").select("key", "copies", "least"))
     rows = census.where("kind = 0").alias("c").join(named.alias("m"), F.col("c.key") == F.col("m.key"))
     empty = F.col("c.n") == 0
-    out = rows.select(F.col("c.id").alias("doc_id"), F.col("c.n").alias("n_shingles"), F.when(empty, F.col("c.id")).otherwise(F.col("m.component_id")).alias("component_id"), F.when(empty, 1).otherwise(F.col("m.copies")).cast("long").alias("copies"), F.col("c.hash").alias("hash"))
+    first = F.col("c.id").eqNullSafe(F.col("m.least.id")) & (F.col("c.hash") == F.col("m.least.hash"))
+    out = rows.select(
+        F.col("c.id").alias("doc_id"),
+        F.col("c.n").alias("n_shingles"),
+        F.when(empty, F.col("c.id")).otherwise(F.col("m.least.id")).alias("component_id"),
+        F.when(empty, 1).otherwise(F.col("m.copies")).cast("long").alias("copies"),
+        F.col("c.hash").alias("hash"),
+        (empty | first).alias("first"),
+    )
     drop_kept(loose, sizes, wanted, toks, links, found, one)
     return out

@@ -2,6 +2,8 @@
 
 import hashlib
 import re
+import tempfile
+import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -347,8 +349,8 @@ def test_pipeline_against_brute_force(spark):
     docs = table(spark, SMALL, "documents")
     kept = [docs]
     for _, stage in p.STAGES:
-        path = f"/tmp/pipeline-test-{hashlib.md5(str(len(kept)).encode()).hexdigest()}"
-        stage(spark, kept[-1], SMALL).write.mode("overwrite").parquet(path)
+        path = f"{tempfile.mkdtemp()}/stage"
+        stage(spark, kept[-1], SMALL).write.parquet(path)
         kept.append(spark.read.parquet(path))
     assert all(k.columns == docs.columns for k in kept[:-1])
     quality, unique, clean, mixed, ids = [[r.asDict() for r in k.collect()] for k in kept[1:]]
@@ -368,7 +370,7 @@ def test_pipeline_against_brute_force(spark):
     sizes, names = defaultdict(int), sorted({r["source"] for r in clean})
     for r in clean:
         sizes[r["source"]] += len(WORDS.findall(r["text"]))
-    for name, target in zip(names, mixing.targets([sizes[n] for n in names], (5.0, 2.0, 1.0), 3.0), strict=True):
+    for name, target in zip(names, spread([sizes[n] for n in names], (5.0, 2.0, 1.0), 3.0), strict=True):
         own = [len(WORDS.findall(r["text"])) for r in clean if r["source"] == name]
         taken = sum(len(WORDS.findall(r["text"])) for r in mixed if r["source"] == name)
         assert abs(taken - target) <= max(own) / 2 + 1e-6
@@ -376,6 +378,74 @@ def test_pipeline_against_brute_force(spark):
     assert all(r["decoded_sha256"] == hashlib.sha256(masked[r["doc_id"]].encode()).hexdigest() for r in ids)
 
 
+CLASHES = ("gone_id", "gone_hash", "told_id", "told_hash", "epochs_", "copies_", "epoch_", "rest_", "source_", "ranges_", "target_", "part_", "cut_", "row_", "hash", "key", "first", "label", "id_", "text_", "size", "kept", "score", "doc", "n")
+
+
+def test_pipeline_stages_with_nulls_repeats_and_clashing_names(spark):
+    import corpus_pipeline as p
+
+    good = [r.text for r in table(spark, SMALL, "documents").where("n_chars > 400").orderBy("doc_id").limit(6).collect()]
+    rows = [(1, good[0], "en", "a"), (1, good[0], "en", "a"), (1, good[0], "de", "b"), (2, good[0] + " more", None, None), (None, good[1], "en", "a"), (None, good[1], "en", "a"), (3, None, "en", None), (3, None, "en", None), (4, "", None, "b"), (None, None, None, None)]
+    rows += [(5, good[2], "en", "b"), (5, good[3], "fr", "b"), (6, "w " * 200_000, "en", "c"), (7, good[4], "en", "c"), (8, good[4], "en", "c")]
+    docs = spark.createDataFrame([(*r, len(r[1] or "")) for r in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    docs = docs.withColumns({c: F.lit(f"own {c}") for c in CLASHES})
+    out = {}
+    for name, stage in p.STAGES[:-1]:
+        got = stage(spark, docs, SMALL)
+        assert got.columns == docs.columns
+        out[name] = got.collect()
+        assert all(r[c] == f"own {c}" for r in out[name] for c in CLASHES)
+    told = Counter((r.doc_id, r.text) for r in out["n-gram Jaccard join"])
+    want = {(1, good[0]): 1, (None, good[1]): 1, (3, None): 2, (4, ""): 1, (None, None): 1, (5, good[2]): 1, (5, good[3]): 1, (6, "w " * 200_000): 1, (7, good[4]): 1}
+    assert told == Counter(want)
+    assert Counter((r.doc_id, r.source) for r in out["PII"]) == Counter((r[0], r[3]) for r in rows)
+    assert p.STAGES[-1][1](spark, docs, SMALL).count() == len(rows)
+
+
+def test_registered_queries_meet_their_contracts(spark):
+    """Each query as registered: its columns, one row a document, and what is fixed in it."""
+    from panelforge.llm.queries import QUERIES
+
+    docs = table(spark, SMALL, "documents").count()
+    columns = {
+        "op1_token_counts": "doc_id n_bytes n_tokens over_limit",
+        "op2_toxicity": "doc_id held_out score predicted",
+        "op3_chat_format": "conv_id n_turns turns_sha256 loss_chars loss_sha256 formatted_chars",
+        "op4_byte_bpe": "doc_id n_tokens ids_sha256 decoded_sha256",
+        "op5_mixing": "doc_id size source_size target taken",
+        "op6_pii": "doc_id n_email n_ip n_card n_phone base_sha256 spans",
+        "op7_ngram_join": "doc_id n_shingles component_id",
+        "op8_quality_classifier": "doc_id score kept",
+        "op9_nearest": "query_id rank vec_id score",
+        "op10_quality_rules": "doc_id n_words word_chars n_symbols n_dup_lines n_repeat_words base_failed kept",
+    }
+    assert set(columns) == set(QUERIES)
+    for name, wanted in columns.items():
+        got = QUERIES[name](spark, SMALL)
+        assert got.columns[: len(wanted.split())] == wanted.split()
+        rows = got.collect()
+        if name == "op3_chat_format":
+            said = "</s>[INST] ok [/INST]"
+            one = next(r for r in rows if r.conv_id == -1)
+            assert (one.n_turns, one.loss_chars, one.loss_sha256) == (2, len(said), hashlib.sha256(said.encode()).hexdigest())
+            assert one.turns_sha256 == hashlib.sha256(f"user\n{said}\nassistant\n{said}\n".encode()).hexdigest()
+        elif name == "op9_nearest":
+            assert {r.query_id % 50 for r in rows} == {0} and Counter(r.query_id for r in rows).most_common()[-1][1] == 5
+        else:
+            assert len(rows) == docs
+        if name == "op2_toxicity":
+            assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) for r in rows)
+
+
+@pytest.mark.parametrize("name", ["op3_chat_format", "op5_mixing", "op7_ngram_join"])
+def test_twins(spark, name):
+    import oracle
+
+    from panelforge.llm.queries import ORACLE, QUERIES
+
+    assert oracle.differ(QUERIES[name](spark, SMALL), oracle.connect(SMALL), ORACLE[name]) is None
+
+
 def test_pipeline_on_an_empty_table(spark):
     import corpus_pipeline as p
 
