@@ -104,17 +104,67 @@ def flip_if_median_negative(df: DataFrame, column: str) -> DataFrame:
 
 
 def weather_units(df: DataFrame) -> DataFrame:
-    """Kelvin, metres, pascals and joules of a reanalysis day into C, mm, hPa and MJ; wind speed from its parts."""
+    """Kelvin, metres, pascals and joules of a reanalysis day into C, mm, hPa and MJ; wind speed from its parts.
+
+    Precipitation, runoff and radiation are not below 0; evaporation comes as its size and with its sign.
+    Only the columns that df has are converted.
+    """
     c = F.col
-    return df.select(
-        "*",
-        (c("temperature_2m") - 273.15).alias("temperature_2m_c"),
-        (clip(c("total_precipitation"), 0.0) * 1000).alias("precipitation_mm"),
-        (F.abs(c("potential_evaporation")) * 1000).alias("potential_evaporation_mm"),
-        (c("surface_pressure") / 100).alias("surface_pressure_hpa"),
-        (c("solar_radiation") / 1e6).alias("solar_radiation_mj_m2"),
-        F.hypot(c("wind_u"), c("wind_v")).alias("wind_speed_10m_ms"),
-    )
+    celsius, positive_mm = lambda x: c(x) - 273.15, lambda x: clip(c(x), 0.0) * 1000
+    known = {
+        "temperature_2m_c": (("temperature_2m",), celsius),
+        "temperature_2m_min_c": (("temperature_2m_min",), celsius),
+        "temperature_2m_max_c": (("temperature_2m_max",), celsius),
+        "dewpoint_temperature_2m_c": (("dewpoint_temperature_2m",), celsius),
+        "precipitation_mm": (("total_precipitation",), positive_mm),
+        "runoff_mm": (("runoff",), positive_mm),
+        "potential_evaporation_mm": (("potential_evaporation",), lambda x: F.abs(c(x)) * 1000),
+        "potential_evaporation_mm_signed": (("potential_evaporation",), lambda x: c(x) * 1000),
+        "surface_pressure_hpa": (("surface_pressure",), lambda x: c(x) / 100),
+        "solar_radiation_mj_m2": (("solar_radiation",), lambda x: clip(c(x), 0.0) / 1e6),
+        "wind_u_10m_ms": (("wind_u",), c),
+        "wind_v_10m_ms": (("wind_v",), c),
+        "wind_speed_10m_ms": (("wind_u", "wind_v"), lambda u, v: F.hypot(c(u), c(v))),
+    }
+    return df.select("*", *[f(*inputs).alias(name) for name, (inputs, f) in known.items() if set(inputs) <= set(df.columns)])
+
+
+def scale_bands(df: DataFrame, bands: Sequence[str], factor: float = 10_000.0) -> DataFrame:
+    """Stored integers of reflectance bands as shares of 1."""
+    return df.withColumns({b: F.col(b) / F.lit(factor) for b in bands})
+
+
+def mask_bands(df: DataFrame, bands: Sequence[str], clear: Column) -> DataFrame:
+    """Bands of pixels that are not clear become null; the rows stay."""
+    return df.withColumns({b: F.when(clear, F.col(b)) for b in bands})
+
+
+def joined_values(column: str, separator: str = ",") -> Column:
+    """The sorted distinct values of a column as one string (an aggregate)."""
+    return F.array_join(F.array_sort(F.collect_set(F.col(column).cast("string"))), separator)
+
+
+#: Semi-major axis and flattening of WGS 84, scale on the central meridian, false easting.
+_AXIS, _FLAT, _SCALE, _EAST = 6_378_137.0, 1 / 298.257223563, 0.9996, 500_000.0
+
+
+def utm(lon: Column, lat: Column, zone: int = 48) -> tuple[Column, Column]:
+    """Easting and northing in metres of degrees in a northern UTM zone (zone 48: EPSG 32648).
+
+    Krueger's series to the third power of the third flattening: good to a millimetre inside the zone.
+    """
+    n = _FLAT / (2 - _FLAT)
+    radius = _AXIS / (1 + n) * (1 + n**2 / 4 + n**4 / 64)
+    series = (n / 2 - 2 * n**2 / 3 + 5 * n**3 / 16, 13 * n**2 / 48 - 3 * n**3 / 5, 61 * n**3 / 240)
+    e = 2 * math.sqrt(n) / (1 + n)
+    phi, away = F.radians(lat), F.radians(lon - F.lit(float(zone * 6 - 183)))
+    t = F.sinh(F.atanh(F.sin(phi)) - F.lit(e) * F.atanh(F.lit(e) * F.sin(phi)))
+    xi, eta = F.atan2(t, F.cos(away)), F.atanh(F.sin(away) / F.sqrt(1 + t * t))
+    east, north = eta, xi
+    for j, a in enumerate(series, 1):
+        east = east + F.lit(a) * F.cos(2 * j * xi) * F.sinh(2 * j * eta)
+        north = north + F.lit(a) * F.sin(2 * j * xi) * F.cosh(2 * j * eta)
+    return F.lit(_EAST) + F.lit(_SCALE * radius) * east, F.lit(_SCALE * radius) * north
 
 
 def _ratio(a: Column, b: Column) -> Column:

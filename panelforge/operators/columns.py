@@ -56,3 +56,42 @@ def group_of(groups: dict[str, Sequence[str]], default: str = "other"):
         test = F.col("feature").isin(*members)
         out = F.when(test, name) if out is None else out.when(test, name)
     return F.lit(default) if out is None else out.otherwise(default)
+
+
+def branches(df: DataFrame, history: Sequence[str], calendar: Sequence[str], weather: Sequence[str], place: Sequence[str], composite: Sequence[str], no_composite: bool = False, history_only: bool = False, without_history: bool = False) -> tuple[list[str], list[str], str]:
+    """Columns of the dynamic and the context branch that df has, and the prediction mode, under the ablation switches.
+
+    history_only drops weather and composites, no_composite the composites, without_history the target's
+    own past (then the calendar stays and the target is predicted directly, not as a residual); the last
+    does not combine with the others.
+    """
+    if without_history and (history_only or no_composite):
+        raise ValueError("without_history is an ablation of its own")
+    dynamic = [*(calendar if without_history else history), *([] if history_only else weather)]
+    context = [*place, *([] if history_only or no_composite else composite)]
+    there = lambda names: [c for c in dict.fromkeys(names) if c in df.columns]
+    return there(dynamic), there(context), "direct" if without_history else "residual"
+
+
+def ordinal(df: DataFrame, column: str, name: str = "entity") -> DataFrame:
+    """(column, name): the place, from 0, of each distinct value that is not null in their order.
+
+    Values are sorted by range and numbered inside each part; the parts' counts (one small row each) give
+    the offsets, so no task holds all values.
+    """
+    from ..session import kept
+
+    placed = df.select(column).where(F.col(column).isNotNull()).distinct().orderBy(column).withColumn("at_", F.monotonically_increasing_id())
+    placed = kept(placed.withColumns({"part_": F.shiftright("at_", 33), "at_": F.col("at_").bitwiseAND(F.lit((1 << 33) - 1))}))
+    starts, total = [], 0
+    for part, n in sorted((r[0], r[1]) for r in placed.groupBy("part_").count().collect()):
+        starts.append((part, total))
+        total += n
+    offsets = df.sparkSession.createDataFrame(starts, "p_ bigint, start_ bigint")
+    joined = placed.join(F.broadcast(offsets), F.col("part_") == F.col("p_"))
+    return joined.select(column, (F.col("start_") + F.col("at_")).cast("int").alias(name))
+
+
+def with_ordinal(df: DataFrame, column: str, name: str = "entity") -> DataFrame:
+    """df with the ordinal of its column's value; a null value has none."""
+    return df.join(ordinal(df, column, name), column, "left")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .spatial import neighbours
+
 
 def calendar(spark, start: str, end: str, step: str = "1 day") -> DataFrame:
     """One row for each date of [start, end]."""
@@ -80,14 +82,12 @@ def missing_keys(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
 def nearest_donor(missing: DataFrame, donors: DataFrame, key: str, x: str, y: str) -> DataFrame:
     """For each missing key the donor at least squared distance (in the units of x, y), ties to the smaller key.
 
-    Both sides hold one row for each station; the smaller one is broadcast only while the planner finds
-    it small. Returns (key, donor_key, d2).
+    Both sides hold one row for each station; few donors are broadcast, more are met through cells.
+    Returns (key, donor_key, d2).
     """
-    d = donors.select(F.col(key).alias("donor_key"), F.col(x).alias("dx_"), F.col(y).alias("dy_"))
-    d2 = (F.col(x) - F.col("dx_")) ** 2 + (F.col(y) - F.col("dy_")) ** 2
-    pairs = missing.select(key, x, y).crossJoin(d).withColumn("d2", d2)
-    best = pairs.groupBy(key).agg(F.min(F.struct("d2", "donor_key")).alias("best"))
-    return best.select(key, F.col("best.donor_key").alias("donor_key"), F.col("best.d2").alias("d2"))
+    place = lambda df, name: df.select(F.col(key).alias(name), F.col(x).cast("double").alias("x_km"), F.col(y).cast("double").alias("y_km"))
+    best = neighbours(place(missing, key), place(donors, "donor_key"), key, "donor_key", 1)
+    return best.select(key, F.col("value").alias("donor_key"), (F.col("distance") ** 2).alias("d2"))
 
 
 def fill_from_donor(series: DataFrame, choice: DataFrame, key: str) -> DataFrame:

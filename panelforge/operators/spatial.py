@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import kept
+
 KM_LON, KM_LAT = 111.32, 110.57
-#: Anchors in one block of a neighbour join; a block is broadcast only while it is the only one.
-BLOCK = 20_000
+#: Anchors that a neighbour join broadcasts at most.
+BLOCK = 2_000
 
 
 def project(df: DataFrame, lon: str, lat: str, groups: list[str] | None = None) -> DataFrame:
@@ -27,29 +30,48 @@ def finite_points(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def neighbours(queries: DataFrame, anchors: DataFrame, query_key: str, value: str, k: int, by: list[str] | None = None) -> DataFrame:
-    """(query_key, distance, value) of each query's k nearest anchors, of the same group if `by` is given.
+    """(query_key, by, distance, value) of each query's k nearest anchors, of the same group if `by` is given.
 
-    Both frames have x_km and y_km. Few anchors (a counted bound) are broadcast. More are dealt into
-    blocks: each query meets each block in a task of its own, keeps k there, and the k of all blocks are
-    cut to k, so no task holds all anchors or all pairs of a query.
+    Both frames have x_km and y_km; rows whose places are not finite take no part. At most BLOCK anchors
+    (counted) are broadcast. More are met through square cells: a query sees the anchors of the nine cells
+    around it, and is done once its k-th is no farther than a cell is wide; what is left sees cells twice
+    as wide, until they span everything.
     """
     by = by or []
-    a = anchors.select(*by, F.col("x_km").alias("ax_"), F.col("y_km").alias("ay_"), F.col(value).alias("v_"))
-    q = queries.select(query_key, *by, "x_km", "y_km")
+    a = finite_points(anchors, ["x_km", "y_km"]).select(*by, F.col("x_km").alias("ax_"), F.col("y_km").alias("ay_"), F.col(value).alias("v_"))
+    q = finite_points(queries, ["x_km", "y_km"]).select(query_key, *by, "x_km", "y_km")
     distance = F.sqrt((F.col("x_km") - F.col("ax_")) ** 2 + (F.col("y_km") - F.col("ay_")) ** 2)
-    nearest = lambda keys: F.row_number().over(Window.partitionBy(query_key, *by, *keys).orderBy("distance", "v_"))
+    rank = F.row_number().over(Window.partitionBy(query_key, *by).orderBy("distance", "v_"))
+    out = [query_key, *by, "distance", F.col("v_").alias("value")]
     n = a.count()
     if n <= BLOCK:
         pairs = q.join(F.broadcast(a), by) if by else q.crossJoin(F.broadcast(a))
-        pairs = pairs.select(query_key, *by, distance.alias("distance"), F.col("v_"))
-    else:
-        blocks = -(-n // BLOCK)
-        a = a.withColumn("block_", F.pmod(F.xxhash64("ax_", "ay_"), F.lit(blocks)).cast("int"))
-        q = q.withColumn("block_", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-        pairs = q.join(a, [*by, "block_"]).select(query_key, *by, "block_", distance.alias("distance"), "v_")
-        pairs = pairs.withColumn("r_", nearest(["block_"])).where(F.col("r_") <= k).drop("r_")
-    best = pairs.withColumn("r_", nearest([])).where(F.col("r_") <= k)
-    return best.select(query_key, *by, "distance", F.col("v_").alias("value"))
+        return pairs.select(query_key, *by, distance.alias("distance"), "v_").withColumn("r_", rank).where(F.col("r_") <= k).select(*out)
+    a = kept(a)
+    low = a.agg(F.min("ax_"), F.max("ax_"), F.min("ay_"), F.max("ay_")).first()
+    far = q.agg(F.min("x_km"), F.max("x_km"), F.min("y_km"), F.max("y_km")).first()
+    if far[0] is None:
+        return q.select(query_key, *by, F.lit(0.0).alias("distance"), F.lit(None).cast(a.schema["v_"].dataType).alias("value")).where("false")
+    span = max(max(low[1], far[1]) - min(low[0], far[0]), max(low[3], far[3]) - min(low[2], far[2])) or 1.0
+    width = span / max(1.0, (n / max(k, 4)) ** 0.5)
+    left, found = q, []
+    while True:
+        last = width >= span
+        cell = lambda c: F.floor(F.col(c) / F.lit(width))  # noqa: B023, E731
+        near = a.withColumn("cx_", F.explode(F.sequence(cell("ax_") - 1, cell("ax_") + 1))).withColumn("cy_", F.explode(F.sequence(cell("ay_") - 1, cell("ay_") + 1)))
+        met = left.withColumns({"cx_": cell("x_km"), "cy_": cell("y_km")}).join(near, [*by, "cx_", "cy_"])
+        best = met.withColumn("distance", distance).withColumn("r_", rank).where(F.col("r_") <= k)
+        best = kept(best.select(query_key, *by, "distance", "v_", "r_"))
+        if last:
+            found.append(best)
+            break
+        done = best.where((F.col("r_") == k) & (F.col("distance") <= width)).select(query_key, *by)
+        found.append(best.join(done, [query_key, *by], "left_semi"))
+        left = kept(left.join(done, [query_key, *by], "left_anti"))
+        if left.isEmpty():
+            break
+        width = min(2 * width, span)
+    return reduce(lambda x, y: x.unionByName(y), found).select(*out)
 
 
 def idw(near: DataFrame, query_key: str, name: str, power: float = 2.0, by: list[str] | None = None) -> DataFrame:
@@ -104,3 +126,18 @@ def capped_distance(points: DataFrame, marks: DataFrame, key: str, cap: float) -
     distance = F.sqrt((F.col("x") - F.col("mx_")) ** 2 + (F.col("y") - F.col("my_")) ** 2)
     best = p.join(m, ["cx_", "cy_"]).groupBy(key).agg(F.min(distance).alias("d_"))
     return points.select(key).join(best, key, "left").select(key, F.least(F.coalesce("d_", F.lit(float(cap))), F.lit(float(cap))).alias("distance"))
+
+
+def rasterise(lines: DataFrame, key: str, path: str, step: float) -> DataFrame:
+    """(key, x, y): the distinct grid cells (lower corners on multiples of `step`) that polylines pass.
+
+    path is an array of (x, y) structs; a segment is sampled at half a cell, so no cell that it crosses by
+    more than a corner is missed.
+    """
+    parts = F.zip_with(F.slice(path, 1, F.size(path) - 1), F.slice(path, 2, F.size(path) - 1), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+    seg = lines.where(F.size(path) > 1).select(key, F.explode(parts).alias("s"))
+    x0, y0, x1, y1 = (F.col(f"s.{e}.{c}") for e in "ab" for c in "xy")
+    n = F.ceil(F.greatest(F.abs(x1 - x0), F.abs(y1 - y0)) * 2 / F.lit(step)).cast("int")
+    marks = seg.withColumn("n", F.greatest(n, F.lit(1))).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("n"))))
+    at = lambda a, b: F.floor((a + (b - a) * F.col("i") / F.col("n")) / F.lit(step)) * F.lit(step)
+    return marks.select(key, at(x0, x1).alias("x"), at(y0, y1).alias("y")).distinct()

@@ -7,6 +7,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import kept
+from .checks import join_one_to_one
+
 
 def describe(x: str, name: str = "") -> list[Column]:
     """Exact count, mean, std, min, quartiles and max."""
@@ -16,14 +19,14 @@ def describe(x: str, name: str = "") -> list[Column]:
 
 
 def missingness(df: DataFrame) -> DataFrame:
-    """(column, dtype, missing_rows, missing_pct, non_missing_rows), most missing first; one pass."""
+    """(column, dtype, missing_rows, missing_pct, non_missing_rows), most missing first, then by name; one pass."""
     names = df.columns
     counts = df.agg(F.count("*").alias("rows_"), *[F.count(c).alias(c) for c in names])
     kinds = F.create_map(*[x for c, k in df.dtypes for x in (F.lit(c), F.lit(k))])
     long = counts.unpivot("rows_", names, "column", "non_missing_rows")
     missing = F.col("rows_") - F.col("non_missing_rows")
     share = F.when(F.col("rows_") > 0, F.bround(100.0 * missing / F.col("rows_"), 2)).otherwise(0.0)
-    return long.select("column", kinds[F.col("column")].alias("dtype"), missing.alias("missing_rows"), share.alias("missing_pct"), "non_missing_rows")
+    return long.select("column", kinds[F.col("column")].alias("dtype"), missing.alias("missing_rows"), share.alias("missing_pct"), "non_missing_rows").orderBy(F.desc("missing_rows"), "column")
 
 
 def key_values(df: DataFrame, **metrics: Column) -> DataFrame:
@@ -31,8 +34,57 @@ def key_values(df: DataFrame, **metrics: Column) -> DataFrame:
     return df.agg(*[c.cast("string").alias(n) for n, c in metrics.items()]).unpivot([], list(metrics), "metric", "value")
 
 
-def regression_scores(truth: str, guess: str, groups: list[str] | None = None, log_r2: bool = False):
-    """Function of a frame: n, rmse, mae, bias, r2 by group, over rows where both are not null.
+def preview(df: DataFrame, rows: int = 10) -> DataFrame:
+    """Some first rows, for the eye."""
+    return df.limit(rows)
+
+
+def summary(df: DataFrame, **metrics: Column) -> list[str]:
+    """Lines for the console from one aggregation: `name: value`."""
+    return [f"{r.metric}: {r.value}" for r in key_values(df, **metrics).collect()]
+
+
+def without_label(df: DataFrame, column: str, label: str) -> DataFrame:
+    """Rows of all labels but one; null labels stay."""
+    return df.where(~F.col(column).eqNullSafe(F.lit(label)))
+
+
+def fold_means(df: DataFrame, by: list[str], values: list[str]) -> DataFrame:
+    """Means of values over folds, by model or feature, with the number of folds."""
+    return df.groupBy(*by).agg(F.count("*").alias("folds"), *[F.avg(v).alias(v) for v in values])
+
+
+def panel_overview(df: DataFrame, key: str, day: str, observed: str, filled: str, invalid: str, weather: list[str], months_seen: DataFrame, month: str) -> DataFrame:
+    """(metric, value): size, span, observation, gap filling, weather gaps and composite months of a panel.
+
+    months_seen has one row for each composite, with its month as yyyy-MM; the months between the panel's
+    first and last day that begin in it are expected.
+    """
+    share = lambda c: F.bround(100.0 * F.sum(F.col(c).cast("int")) / F.count("*"), 2)
+    gaps = reduce(lambda a, b: a | b, [F.col(c).isNull() for c in weather])
+    own = key_values(
+        df,
+        station_count=F.count_distinct(key),
+        grid_rows=F.count("*"),
+        date_start=F.date_format(F.min(day), "yyyy-MM-dd"),
+        date_end=F.date_format(F.max(day), "yyyy-MM-dd"),
+        observed_rows=F.sum(F.col(observed).cast("int")),
+        observed_pct=share(observed),
+        invalid_rows=F.coalesce(F.sum(F.col(invalid).cast("int")), F.lit(0)),
+        filled_rows=F.sum(F.col(filled).cast("int")),
+        weather_rows_with_gaps=F.count_if(gaps),
+    )
+    seen = key_values(months_seen, composite_rows=F.count("*"), composite_months=F.count_distinct(month), composite_month_start=F.min(month), composite_month_end=F.max(month))
+    low, high = F.min(day), F.max(day)
+    first = F.when(F.trunc(low, "month") == low.cast("date"), low.cast("date")).otherwise(F.add_months(F.trunc(low, "month"), 1))
+    expected = df.agg(first.alias("a"), F.trunc(high, "month").alias("b")).where("a <= b").select(F.date_format(F.explode(F.sequence("a", "b", F.expr("interval 1 month"))), "yyyy-MM").alias("m"))
+    missing = expected.join(months_seen.select(F.col(month).alias("m")).distinct(), "m", "left_anti")
+    gone = key_values(missing, composite_months_missing=F.array_join(F.array_sort(F.collect_set("m")), ","))
+    return own.unionByName(seen).unionByName(gone)
+
+
+def regression_scores(truth: str, guess: str, groups: list[str] | None = None, log_r2: bool = False, least: int = 0):
+    """Function of a frame: n, rmse, mae, bias, r2 by group of at least `least` rows, over rows where both are not null.
 
     r2 is null where the truth does not vary. With log_r2 the guess is clipped at 0 and r2 is taken of
     log(1 + x); the errors stay on the natural scale.
@@ -49,7 +101,7 @@ def regression_scores(truth: str, guess: str, groups: list[str] | None = None, l
             F.count("*").alias("n"), F.sqrt(F.avg(F.col("e_") ** 2)).alias("rmse"), F.avg(F.abs("e_")).alias("mae"), F.avg("e_").alias("bias"), F.sum("s_").alias("ss_"), F.var_pop("a_").alias("v_")
         )
         r2 = F.when(F.col("v_") > 0, 1 - F.col("ss_") / (F.col("n") * F.col("v_")))
-        return out.select(*(groups or []), "n", "rmse", "mae", "bias", r2.alias("r2"))
+        return out.select(*(groups or []), "n", "rmse", "mae", "bias", r2.alias("r2")).where(F.col("n") >= least)
 
     return score
 
@@ -79,9 +131,9 @@ def running_totals(df: DataFrame, groups: list[str], value: str, count: str, tie
     return rows.join(starts, [*groups, "range_"]).withColumn("before_", F.col("start_") + F.col("inside_")).drop("range_", "inside_", "start_")
 
 
-def value_ranks(df: DataFrame, groups: list[str], value: str, name: str) -> DataFrame:
-    """(groups, value, name): the rank of each distinct value, ties sharing their mean rank."""
-    by_value = df.groupBy(*groups, value).agg(F.count("*").alias("ties_"))
+def value_ranks(df: DataFrame, groups: list[str], value: str, name: str, times: str | None = None) -> DataFrame:
+    """(groups, value, name): the rank of each distinct value, ties sharing their mean rank; a row counts `times` times."""
+    by_value = df.groupBy(*groups, value).agg((F.sum(times) if times else F.count("*")).alias("ties_"))
     return running_totals(by_value, groups, value, "ties_").select(*groups, value, (F.col("before_") + (F.col("ties_") + 1) / 2).alias(name))
 
 
@@ -91,13 +143,23 @@ def average_ranks(df: DataFrame, groups: list[str], value: str, name: str) -> Da
 
 
 def spearman_table(df: DataFrame, target: str, features: list[str], groups: list[str] | None = None) -> DataFrame:
-    """(groups, feature, n, spearman): Pearson of average ranks among each feature's complete pairs."""
+    """(groups, feature, n, spearman): Pearson of average ranks among each feature's complete pairs.
+
+    The pairs are written once, as (feature, x, target, times); both rankings and the weighted correlation
+    come from that table, so the source is scanned once and a frequent pair is one row.
+    """
     groups = groups or []
+    keys = [*groups, "feature"]
     long = df.select(*groups, F.col(target).cast("double").alias("t_"), *[F.col(f).cast("double").alias(f) for f in features])
     long = long.unpivot([*groups, "t_"], features, "feature", "x_").where("x_ is not null and t_ is not null")
-    keys = [*groups, "feature"]
-    ranked = long.join(value_ranks(long, keys, "x_", "rx_"), [*keys, "x_"]).join(value_ranks(long, keys, "t_", "rt_"), [*keys, "t_"])
-    return ranked.groupBy(*keys).agg(F.count("*").alias("n"), F.corr("rx_", "rt_").alias("spearman"))
+    pairs = kept(long.groupBy(*keys, "x_", "t_").agg(F.count("*").alias("w_")))
+    ranked = pairs.join(value_ranks(pairs, keys, "x_", "rx_", "w_"), [*keys, "x_"]).join(value_ranks(pairs, keys, "t_", "rt_", "w_"), [*keys, "t_"])
+    w, x, t = F.col("w_"), F.col("rx_"), F.col("rt_")
+    middle = (F.sum("w_") + 1) / 2  # the mean of ranks
+    sums = ranked.groupBy(*keys).agg(F.sum("w_").alias("n"), F.sum(w * x * t).alias("xt"), F.sum(w * x * x).alias("xx"), F.sum(w * t * t).alias("tt"), middle.alias("m"))
+    spread = lambda a: F.col(a) - F.col("n") * F.col("m") ** 2
+    fine = (spread("xx") > 0) & (spread("tt") > 0)
+    return sums.select(*keys, "n", F.when(fine, spread("xt") / F.sqrt(spread("xx") * spread("tt"))).alias("spearman"))
 
 
 def correlation_groups(table: DataFrame, group: str, value: str) -> DataFrame:
@@ -123,9 +185,9 @@ def classification_scores(truth: Column, guess: Column) -> list[Column]:
 
 
 def ensemble(frames: list[DataFrame], keys: list[str], value: str) -> DataFrame:
-    """Inner join of one-to-one predictions, renamed by position, with their mean."""
+    """Inner join of predictions, renamed by position, with their mean; a key that a frame repeats is an error."""
     named = [f.select(*keys, F.col(value).alias(f"{value}_{i}")) for i, f in enumerate(frames)]
-    joined = reduce(lambda a, b: a.join(b, keys), named)
+    joined = reduce(lambda a, b: join_one_to_one(a, b, keys, "inner"), named)
     mean = reduce(lambda a, b: a + b, [F.col(f"{value}_{i}") for i in range(len(frames))]) / len(frames)
     return joined.withColumn(f"{value}_mean", mean)
 
