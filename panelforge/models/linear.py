@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -9,6 +10,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def save_record(spark, record: dict, path: str) -> None:
+    """A small model as one line of JSON, written by Spark, so that remote paths work."""
+    spark.createDataFrame([(json.dumps(record),)], "value string").coalesce(1).write.mode("overwrite").text(path)
+
+
+def load_record(spark, path: str) -> dict:
+    return json.loads(spark.read.text(path).first()[0])
+
+
 @dataclass
 class Scaler:
     """Medians fill nulls, then (x - mean) / std with population (or sample) std, 0 and null counting as 1.
@@ -63,6 +73,17 @@ class Ridge:
             total = total + x * F.lit(float(w))
         return F.expm1(total) if self.log_target else total
 
+    def save(self, spark, path: str) -> None:
+        save_record(spark, self.to_record(), path)
+
+    def to_record(self) -> dict:
+        return {"scaler": self.scaler.__dict__, "weights": [float(w) for w in self.weights], "intercept": self.intercept, "alpha": self.alpha, "log_target": self.log_target}
+
+    @classmethod
+    def load(cls, spark, path: str) -> Ridge:
+        r = load_record(spark, path)
+        return cls(Scaler(**r["scaler"]), np.array(r["weights"]), r["intercept"], r["alpha"], r["log_target"])
+
     def coefficients(self) -> list[tuple[str, float]]:
         return list(zip(self.scaler.outputs, map(float, self.weights), strict=True))
 

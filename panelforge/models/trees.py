@@ -9,7 +9,7 @@ from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .linear import Scaler
+from .linear import Scaler, load_record, save_record
 
 
 def _features(df: DataFrame, scaler: Scaler) -> DataFrame:
@@ -51,5 +51,18 @@ def importances(spark, model: tuple[Scaler, PipelineModel], columns: list[str])
     return spark.createDataFrame(list(zip(scaler.outputs, values, strict=True)), "feature string, importance double").orderBy(F.desc("importance"))
 
 
-def save(model: tuple[Scaler, PipelineModel], path: str) -> None:
-    model[1].write().overwrite().save(path)
+def save(spark, model: tuple[Scaler, PipelineModel], path: str) -> None:
+    """The trees and the scaler that fills and names their inputs."""
+    model[1].write().overwrite().save(f"{path}/trees")
+    save_record(spark, model[0].__dict__, f"{path}/scaler")
+
+
+def load(spark, path: str) -> tuple[Scaler, PipelineModel]:
+    return Scaler(**load_record(spark, f"{path}/scaler")), PipelineModel.load(f"{path}/trees")
+
+
+def fold_importances(spark, models: list[tuple[Scaler, PipelineModel]]) -> DataFrame:
+    """(feature, importance, folds): the mean importance over the models of several folds, greatest first."""
+    rows = [(n, v) for scaler, p in models for n, v in zip(scaler.outputs, p.stages[-1].featureImportances.toArray().tolist(), strict=True)]
+    frame = spark.createDataFrame(rows, "feature string, importance double")
+    return frame.groupBy("feature").agg((F.sum("importance") / len(models)).alias("importance"), F.count("*").alias("folds")).orderBy(F.desc("importance"), "feature")

@@ -25,15 +25,15 @@ def group_folds(df: DataFrame, group: str, folds: int, most: int = 100_000) -> D
     return df.sparkSession.createDataFrame(placed, f"{group} {df.schema[group].dataType.simpleString()}, fold int")
 
 
-def fold_parts(df: DataFrame, folds: DataFrame, group: str, n: int, train: Column, valid: Column, test: Column) -> DataFrame:
+def fold_parts(df: DataFrame, folds: DataFrame, group: str, n: int, train: Column, valid: Column, test: Column, require: tuple[str, ...] = ("train", "val", "test")) -> DataFrame:
     """Rows once for each fold with part train / val (other groups) or test (the fold's groups); unused rows go.
 
-    Folds without rows in all three parts are dropped. The fold table has one row for each group.
+    Folds without rows in a required part are dropped. The fold table has one row for each group.
     """
-    mine = df.join(F.broadcast(folds.withColumnRenamed("fold", "own_")), group)
+    mine = df.join(folds.withColumnRenamed("fold", "own_"), group)
     rows = mine.withColumn("fold", F.explode(F.sequence(F.lit(1), F.lit(n))))
     held = F.col("own_") == F.col("fold")
     part = F.when(held & test, "test").when(~held & valid, "val").when(~held & train, "train")
     rows = rows.withColumn("part", part).where("part is not null").drop("own_")
-    full = rows.groupBy("fold").agg(F.count_distinct("part").alias("parts_")).where("parts_ = 3").select("fold")
+    full = rows.groupBy("fold").agg(F.collect_set("part").alias("parts_")).where(F.size(F.array_intersect("parts_", F.array(*map(F.lit, require)))) == len(require)).select("fold")
     return rows.join(F.broadcast(full), "fold")

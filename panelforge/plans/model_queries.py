@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from ..models import forecast, linear, trees
-from ..operators import spatial as G, stats
-from ..session import table
+from ..operators import kriging, stats
+from ..session import shared_dir, table
 from .base import KEYS, query
 from .panel_queries import filled_panel, rounded
-from .spatial_queries import points
+from .spatial_queries import POINTS, points
 
 
 @query("SELECT round(regr_slope(l_extendedprice, l_quantity), 6) AS slope, round(regr_intercept(l_extendedprice, l_quantity), 4) AS intercept FROM lineitem")
@@ -28,29 +31,103 @@ def ridge_loo(spark, sf_dir):
     return spark.createDataFrame([(n, w, m.alpha) for n, w in m.coefficients()], "feature string, weight double, alpha double")
 
 
-@query()
+def readings(spark, sf_dir):
+    """Points as readings of 40 stations in ten months of three years; the target is positive."""
+    p = points(spark, sf_dir)
+    day = F.make_date(2020 + F.col("vec_id") % 3, F.col("label") + 1, F.lit(1))
+    return p.select(F.col("vec_id").alias("row_id"), (F.col("vec_id") % 40).alias("station_id"), day.alias("date"), F.year(day).alias("year"), "lon", "lat", (F.abs("value") + 1).alias("y"))
+
+
+_READINGS = f"""{POINTS}, readings AS (SELECT vec_id AS row_id, vec_id % 40 AS station_id, make_date(2020 + vec_id % 3, CAST(label + 1 AS BIGINT), 1) AS date, 2020 + vec_id % 3 AS year, lon, lat, abs(value) + 1 AS y FROM pts)"""
+_TREND = "greatest(0.0, exp(a + b * lon) - 1)"
+
+
+def _idw_sql(sides: str, by: str, k: int) -> str:
+    """Columns correction and plain for each (fold, row_id) of q, from anchors a of the same fold (and day)."""
+    return f"""{sides}, d AS (SELECT q.fold, q.row_id, sqrt((q.x - a.x) ** 2 + (q.y_km - a.y_km) ** 2) AS distance, a.residual, a.y FROM q JOIN a USING ({by})),
+r AS (SELECT fold, row_id, sum(residual / distance ** 2) / sum(1 / distance ** 2) AS correction FROM (SELECT * FROM d QUALIFY row_number() OVER (PARTITION BY fold, row_id ORDER BY distance, residual) <= {k}) GROUP BY 1, 2),
+p AS (SELECT fold, row_id, sum(y / distance ** 2) / sum(1 / distance ** 2) AS plain FROM (SELECT * FROM d QUALIFY row_number() OVER (PARTITION BY fold, row_id ORDER BY distance, y) <= {k}) GROUP BY 1, 2)"""
+
+
+def _placed(name: str, source: str, by: str) -> str:
+    return f"{name} AS (SELECT *, lon * 111.32 * cos(radians(lat0)) AS x, lat * 110.57 AS y_km FROM (SELECT *, median(lat) OVER (PARTITION BY {by}) AS lat0 FROM {source}))"
+
+
+_KRIGING = f"""WITH {_READINGS}, f AS (SELECT CAST(i AS INTEGER) AS fold FROM range(1, 5) t(i)),
+fit AS (SELECT fold, regr_intercept(ln(1 + y), lon) AS a, regr_slope(ln(1 + y), lon) AS b FROM readings JOIN f ON station_id % 4 + 1 <> fold GROUP BY 1),
+every AS (SELECT f.fold, r.*, {_TREND} AS trend, y - {_TREND} AS residual, station_id % 4 + 1 = f.fold AS held FROM readings r CROSS JOIN f JOIN fit ON fit.fold = f.fold),
+{_idw_sql(_placed('q', "(SELECT * FROM every WHERE held)", "fold, date") + ", " + _placed('a', "(SELECT * FROM every WHERE NOT held)", "fold, date"), "fold, date", 8)},
+out AS (SELECT e.fold, e.row_id, e.station_id, CAST(e.date AS VARCHAR) AS date, e.y AS y_true, correction AS residual_correction, trend AS pred_ridge, plain AS pred_idw, greatest(0.0, trend + coalesce(correction, 0)) AS pred_ridge_residual_idw
+FROM every e LEFT JOIN r USING (fold, row_id) LEFT JOIN p USING (fold, row_id) WHERE held)"""
+
+
+def kriged(spark, sf_dir, mode="spatial", residuals="contemporaneous", features=("lon",), alphas=(0.0,)):
+    rows = readings(spark, sf_dir)
+    folds = rows.select("station_id").distinct().withColumn("fold", (F.col("station_id") % 4 + 1).cast("int"))
+    year = F.col("year")
+    parts = (year != 2022, year == 2022, F.lit(True)) if mode == "spatial" else (year < 2021, year == 2021, year == 2022)
+    return kriging.cross_validate(rows, folds, 4, list(features), "y", parts=parts, mode=mode, residuals=residuals, alphas=alphas)
+
+
+_SIX = ("y_true", "residual_correction", "pred_ridge", "pred_idw", "pred_ridge_residual_idw")
+
+
+@query(f"{_KRIGING} SELECT fold, row_id, station_id, date, {', '.join(f'round({c}, 6) AS {c}' for c in _SIX)} FROM out")
 def regression_kriging(spark, sf_dir):
-    """Ridge trend plus inverse-distance residuals of the anchors, by zone of distance to the nearest anchor.
-
-    Anchors are the even labels; a missing correction counts as 0 and estimates are not below 0.
-    """
-    p = points(spark, sf_dir).withColumn("y", F.abs("value") + 1)
-    fit, rest = p.where("label % 2 = 0"), p.where("label % 2 = 1")
-    model = linear.ridge(fit, ["lon", "lat"], "y")
-    anchors = G.project(fit.withColumn("residual", F.col("y") - model.predict()), "lon", "lat")
-    queries = G.project(rest.withColumn("trend", model.predict()), "lon", "lat")
-    near = G.neighbours(queries, anchors, "vec_id", "residual", 8)
-    far = near.groupBy("vec_id").agg(F.min("distance").alias("nearest_km"))
-    out = queries.join(G.idw(near, "vec_id", "correction"), "vec_id", "left").join(far, "vec_id", "left")
-    total = F.col("trend") + F.coalesce("correction", F.lit(0.0))
-    return out.select("vec_id", "y", "trend", "correction", F.when(total < 0, 0.0).otherwise(total).alias("estimate"), "nearest_km", G.zone(F.col("nearest_km")).alias("zone"))
+    """Held-out stations: a trend of one feature without penalty, and residuals of the same day's other stations."""
+    return rounded(kriged(spark, sf_dir).withColumn("date", F.date_format("date", "yyyy-MM-dd")), *_SIX)
 
 
-@query()
+@query(f"""{_KRIGING}, long AS (SELECT fold, 'ridge' AS model, y_true AS t, pred_ridge AS p FROM out UNION ALL SELECT fold, 'idw', y_true, pred_idw FROM out UNION ALL SELECT fold, 'ridge_residual_idw', y_true, pred_ridge_residual_idw FROM out)
+SELECT fold, model, count(*) AS n, round(sqrt(avg((p - t) ** 2)), 6) AS rmse, round(avg(abs(p - t)), 6) AS mae, round(avg(p - t), 6) AS bias, round(1 - sum((ln(1 + p) - ln(1 + t)) ** 2) / (count(*) * var_pop(ln(1 + t))), 6) AS r2 FROM long WHERE p IS NOT NULL GROUP BY 1, 2""")
 def kriging_scores(spark, sf_dir):
-    """Scores of trend and trend with correction, long by model."""
-    out = regression_kriging(spark, sf_dir).unpivot(["vec_id", "y"], ["trend", "estimate"], "model", "guess")
-    return stats.regression_scores("y", "guess", ["model"], log_r2=True)(out)
+    """Scores of trend, interpolation and both, by fold."""
+    return rounded(kriging.fold_scores(kriged(spark, sf_dir)), "rmse", "mae", "bias", "r2")
+
+
+@query()
+def kriging_modes(spark, sf_dir):
+    """Means over folds of penalised trends: spatial and spatiotemporal folds, residuals of the day and of the past."""
+    out = []
+    for mode in ("spatial", "spatiotemporal"):
+        for residuals in ("contemporaneous", "historical"):
+            scores = kriging.fold_scores(kriged(spark, sf_dir, mode, residuals, ("lon", "lat"), None))
+            out.append(stats.fold_means(scores, ["model"], ["rmse", "mae", "bias", "r2"]).select(F.lit(mode).alias("folds_of"), F.lit(residuals).alias("residuals"), "*"))
+    return reduce(lambda a, b: a.unionByName(b), out)
+
+
+_MAP = f"""WITH {_READINGS}, st AS (SELECT * FROM readings WHERE row_id % 2 = 0), g AS (SELECT row_id, lon, lat, 0 AS fold FROM readings WHERE row_id % 2 = 1),
+fit AS (SELECT regr_intercept(ln(1 + y), lon) AS a, regr_slope(ln(1 + y), lon) AS b FROM st WHERE date < DATE '2022-05-01'),
+anchor AS (SELECT 0 AS fold, st.*, y - {_TREND} AS residual FROM st CROSS JOIN fit WHERE date_trunc('month', date) = DATE '2022-05-01'), cells AS (SELECT g.*, {_TREND} AS trend FROM g CROSS JOIN fit),
+{_idw_sql(_placed('q', 'cells', 'fold') + ', ' + _placed('a', 'anchor', 'fold'), 'fold', 8)}, near AS (SELECT row_id, min(distance) AS km FROM d GROUP BY 1)
+SELECT c.row_id AS grid_id, round(trend, 6) AS pred_ridge, round(correction, 6) AS residual_correction, round(greatest(0.0, trend + coalesce(correction, 0)), 6) AS pred_ridge_residual_idw, round(plain, 6) AS pred_idw, round(km, 6) AS nearest_anchor_km,
+CASE WHEN km <= 25 THEN 'near_0_25km' WHEN km <= 50 THEN 'medium_25_50km' WHEN km IS NOT NULL THEN 'far_over_50km' END AS zone FROM cells c LEFT JOIN r USING (row_id) LEFT JOIN p USING (row_id) LEFT JOIN near USING (row_id)"""
+
+
+@query(_MAP)
+def grid_map(spark, sf_dir):
+    """A map of one month: a trend of the past, residuals of the month's stations, distance zones."""
+    rows = readings(spark, sf_dir)
+    cells = rows.where("row_id % 2 = 1").select(F.col("row_id").alias("grid_id"), "lon", "lat")
+    out, _ = kriging.map_grid(rows.where("row_id % 2 = 0"), cells, ["lon"], "y", "2022-05-01", alphas=[0.0])
+    return rounded(out.drop("lon", "lat"), "pred_ridge", "residual_correction", "pred_ridge_residual_idw", "pred_idw", "nearest_anchor_km")
+
+
+@query(f"""WITH {_READINGS}, st AS (SELECT * FROM readings WHERE row_id % 2 = 0) SELECT 'target_date' AS metric, '2022-05-01' AS value UNION ALL SELECT 'past_training_rows', CAST(count(*) AS VARCHAR) FROM st WHERE date < DATE '2022-05-01'
+UNION ALL SELECT 'anchor_station_count', CAST(count(DISTINCT station_id) AS VARCHAR) FROM st WHERE date_trunc('month', date) = DATE '2022-05-01' UNION ALL SELECT 'grid_cells', CAST(count(*) AS VARCHAR) FROM readings WHERE row_id % 2 = 1""")
+def grid_map_audit(spark, sf_dir):
+    rows = readings(spark, sf_dir)
+    return kriging.map_audit(rows.where("row_id % 2 = 0"), rows.where("row_id % 2 = 1"), "y", "2022-05-01")
+
+
+@query("SELECT round(regr_slope(l_extendedprice, l_quantity), 6) AS slope, round(regr_intercept(l_extendedprice, l_quantity), 4) AS intercept FROM lineitem")
+def saved_model(spark, sf_dir):
+    """A ridge written, read again, and asked for its line."""
+    path = f"{shared_dir(spark)}/ridge-{uuid.uuid4().hex}"
+    linear.ridge(table(spark, sf_dir, "lineitem"), ["l_quantity"], "l_extendedprice", alphas=[0.0], log_target=False).save(spark, path)
+    at = spark.range(2).select(F.col("id").cast("double").alias("l_quantity")).select("l_quantity", linear.Ridge.load(spark, path).predict().alias("y"))
+    line = at.agg(F.max(F.when(F.col("l_quantity") == 0, F.col("y"))).alias("a"), F.max(F.when(F.col("l_quantity") == 1, F.col("y"))).alias("b"))
+    return line.select(F.round(F.col("b") - F.col("a"), 6).alias("slope"), F.round("a", 4).alias("intercept"))
 
 
 @query()

@@ -212,13 +212,28 @@ def calendar_days(spark, sf_dir):
     return P.calendar(spark, str(low), str(high)).select(day_text("date", "date"))
 
 
-@query()
+def fold_sql(key: str, source: str, folds: int = 5) -> str:
+    """CTEs up to `folds` (key, fold): the largest group first (ties: the larger key), each to the lightest fold."""
+    return f"""sizes AS (SELECT {key} AS k, count(*) AS n FROM {source} GROUP BY 1), ordered AS (SELECT k, n, row_number() OVER (ORDER BY n DESC, k DESC) AS i FROM sizes),
+dealt AS (SELECT CAST(0 AS BIGINT) AS i, NULL::BIGINT AS k, CAST(0 AS BIGINT) AS fold, list_transform(range({folds}), lambda x: CAST(0 AS BIGINT)) AS loads UNION ALL
+SELECT o.i, CAST(o.k AS BIGINT), list_position(d.loads, list_min(d.loads)), list_transform(d.loads, lambda x, j: CASE WHEN j = list_position(d.loads, list_min(d.loads)) THEN x + o.n ELSE x END) FROM dealt d JOIN ordered o ON o.i = d.i + 1),
+folds AS (SELECT k, CAST(fold AS INTEGER) AS fold FROM dealt WHERE i > 0)"""
+
+
+def _cv_sql(train: str, test: str) -> str:
+    return f"""WITH RECURSIVE rows AS (SELECT c_nationkey, year(o_orderdate) AS year FROM orders JOIN customer ON o_custkey = c_custkey), {fold_sql('c_nationkey', 'rows')},
+parts AS (SELECT f.fold, c_nationkey, CASE WHEN own.fold = f.fold AND {test} THEN 'test' WHEN own.fold <> f.fold AND year = 2000 THEN 'val' WHEN own.fold <> f.fold AND {train} THEN 'train' END AS part
+FROM rows JOIN folds own ON own.k = c_nationkey CROSS JOIN (SELECT DISTINCT fold FROM folds) f)
+SELECT fold, part, count(*) AS n, count(DISTINCT c_nationkey) AS nations FROM parts WHERE part IS NOT NULL AND fold IN (SELECT fold FROM parts WHERE part IS NOT NULL GROUP BY fold HAVING count(DISTINCT part) = 3) GROUP BY 1, 2"""
+
+
+@query(f"WITH RECURSIVE {fold_sql('c_nationkey', 'customer')} SELECT k AS c_nationkey, fold FROM folds")
 def group_kfold(spark, sf_dir):
     """Folds of nations by their customers, no nation on both sides."""
     return splits.group_folds(table(spark, sf_dir, "customer"), "c_nationkey", 5)
 
 
-@query()
+@query(_cv_sql("year <> 2000", "true"))
 def spatial_cv(spark, sf_dir):
     """Rows of each fold by part: other nations before and in the validation year, the fold's nations in all years."""
     t = lambda n: table(spark, sf_dir, n)
@@ -229,7 +244,7 @@ def spatial_cv(spark, sf_dir):
     return parts.groupBy("fold", "part").agg(F.count("*").alias("n"), F.count_distinct("c_nationkey").alias("nations"))
 
 
-@query()
+@query(_cv_sql("year < 2000", "year = 2001"))
 def spatiotemporal_cv(spark, sf_dir):
     """As spatial_cv, but trained on the past and tested on the last year only."""
     t = lambda n: table(spark, sf_dir, n)
