@@ -1,7 +1,9 @@
-"""Forecasts from sliding windows: persistence, ridge on the flattened window, and a small recurrent network."""
+"""Forecasts from sliding windows: persistence, ridge on the flattened window, and recurrent networks trained by all tasks at once."""
 
 from __future__ import annotations
 
+from dataclasses import asdict, dataclass
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -9,6 +11,7 @@ from pyspark.sql import functions as F
 from ..operators import stats, windows
 from ..session import drop_kept, kept
 from . import linear
+from .network import AdamW, Network
 
 
 def samples(df: DataFrame, keys: list[str], day: str, value: str, target: str, lookback: int, horizon: int, train_end: str, valid_end: str) -> DataFrame:
@@ -42,99 +45,209 @@ def tune(df: DataFrame, keys: list[str], day: str, value: str, target: str, tria
     return spark.createDataFrame(out, "lookback int, alpha double, val_rmse double, test_rmse double").orderBy(F.asc_nulls_last("val_rmse"))
 
 
-class Recurrent:
-    """A one-layer gated recurrent network for scalar sequences, trained by full back-propagation and Adam."""
-
-    def __init__(self, units: int = 12, seed: int = 1):
-        rng = np.random.default_rng(seed)
-        self.h = units
-        self.p = {k: rng.normal(0, s, shape) for k, s, shape in (("wx", 0.5, (1, 2 * units)), ("wh", units**-0.5, (units, 2 * units)), ("b", 0.0, (2 * units,)), ("v", units**-0.5, (units,)), ("c", 0.0, (1,)))}
-
-    def forward(self, x: np.ndarray):
-        h, trace = np.zeros((len(x), self.h)), []
-        for t in range(x.shape[1]):
-            a = x[:, t : t + 1] @ self.p["wx"] + h @ self.p["wh"] + self.p["b"]
-            gate, new = 1 / (1 + np.exp(-a[:, : self.h])), np.tanh(a[:, self.h :])
-            trace.append((h, gate, new))
-            h = gate * new + (1 - gate) * h
-        return h @ self.p["v"] + self.p["c"], h, trace
-
-    def gradient(self, x: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
-        """Gradient of the mean Huber loss (delta 1)."""
-        out, h, trace = self.forward(x)
-        e = np.clip(out - y, -1, 1) / len(y)
-        g = {k: np.zeros_like(v) for k, v in self.p.items()}
-        g["v"], g["c"] = h.T @ e, np.array([e.sum()])
-        back = e[:, None] * self.p["v"]
-        for t in range(x.shape[1] - 1, -1, -1):
-            old, gate, new = trace[t]
-            da = np.concatenate((back * (new - old) * gate * (1 - gate), back * gate * (1 - new**2)), 1)
-            g["wx"] += x[:, t : t + 1].T @ da
-            g["wh"] += old.T @ da
-            g["b"] += da.sum(0)
-            back = back * (1 - gate) + da @ self.p["wh"].T
-        return g
-
-    def fit(self, x: np.ndarray, y: np.ndarray, epochs: int = 60, batch: int = 256, rate: float = 0.01, seed: int = 1) -> None:
-        rng = np.random.default_rng(seed)
-        m = {k: np.zeros_like(v) for k, v in self.p.items()}
-        s = {k: np.zeros_like(v) for k, v in self.p.items()}
-        step = 0
-        for _ in range(epochs):
-            for rows in np.array_split(rng.permutation(len(y)), max(1, len(y) // batch)):
-                step += 1
-                g = self.gradient(x[rows], y[rows])
-                norm = np.sqrt(sum((v**2).sum() for v in g.values()))
-                for k, v in g.items():
-                    v = v / max(1.0, norm)
-                    m[k] = 0.9 * m[k] + 0.1 * v
-                    s[k] = 0.999 * s[k] + 0.001 * v * v
-                    self.p[k] -= rate * (m[k] / (1 - 0.9**step)) / (np.sqrt(s[k] / (1 - 0.999**step)) + 1e-8)
-
-
-def recurrent_scores(df: DataFrame, keys: list[str], day: str, value: str, target: str, lookback: int, horizon: int, train_end: str, group: str, most: int = 5_000, seeds: tuple[int, ...] = (1, 2)) -> DataFrame:
-    """(group, n_train, n_test, rmse, baseline_rmse): a network for each group, the mean of several seeds.
-
-    A group's network is fitted on at most `most` training windows, those of least hash; all later windows
-    are scored, in Arrow batches against the broadcast weights.
+@dataclass(frozen=True)
+class Spec:
+    """What a sequence network reads and how it is trained."""
+
+    dynamic: tuple[str, ...]
+    context: tuple[str, ...] = ()
+    entity: str | None = None
+    lookback: int = 7
+    horizon: int = 3
+    mode: str = "direct"  # or "residual": the change from the last valid value
+    hidden: int = 16
+    context_hidden: int = 8
+    fusion: int = 16
+    embedding: int = 4
+    dropout: float = 0.0
+    rate: float = 0.01
+    decay: float = 1e-4
+    clip: float = 1.0
+    delta: float | None = 1.0
+    epochs: int = 10
+    patience: int = 4
+    batch: int = 128
+    tasks: int = 4
+    seed: int = 1
+
+
+@dataclass
+class Fitted:
+    """A trained network with what it takes to read a panel; epochs: (epoch, train loss, validation RMSE, rate)."""
+
+    spec: Spec
+    scaler: linear.Scaler
+    entities: dict
+    mean: float
+    std: float
+    weights: np.ndarray
+    epochs: list[tuple]
+
+    def to_record(self) -> dict:
+        return {"spec": asdict(self.spec), "scaler": asdict(self.scaler), "entities": list(self.entities.items()), "mean": self.mean, "std": self.std, "weights": self.weights.tolist(), "epochs": self.epochs}
+
+    def save(self, spark, path: str) -> None:
+        linear.save_record(spark, self.to_record(), path)
+
+    @classmethod
+    def load(cls, spark, path: str) -> Fitted:
+        r = linear.load_record(spark, path)
+        spec = Spec(**{k: tuple(v) if isinstance(v, list) else v for k, v in r["spec"].items()})
+        return cls(spec, linear.Scaler(**r["scaler"]), dict(map(tuple, r["entities"])), r["mean"], r["std"], np.array(r["weights"]), [tuple(e) for e in r["epochs"]])
+
+    def network(self) -> Network:
+        s = self.spec
+        net = Network(len(s.dynamic), len(s.context), len(self.entities), s.hidden, s.context_hidden, s.fusion, s.embedding, s.seed)
+        net.load(self.weights)
+        return net
+
+
+#: Entities that an embedding names at most; later ones (by order) share its last row.
+ENTITIES = 10_000
+
+
+def network_samples(df: DataFrame, keys: list[str], day: str, value: str, target: str, spec: Spec, scaler: linear.Scaler, train_end: str, valid_end: str) -> DataFrame:
+    """(keys, target_date, split, y_true, baseline, x_, c_, e_): scaled windows, and the scaled context of their last day."""
+    scaled = dict(zip(scaler.columns, scaler.expressions(), strict=False))
+    named = {f"s{i}_": scaled[c] for i, c in enumerate((*spec.dynamic, *spec.context))}
+    entity = {"e_": F.col(spec.entity)} if spec.entity else {}
+    rows = windows.sequences(df.withColumns(named | entity | {"value_": F.col(value)}), keys, day, ["value_", *named, *entity], target, spec.lookback, spec.horizon)
+    n, last = len(spec.dynamic), F.element_at("sequence", -1)
+    x = F.flatten(F.transform("sequence", lambda s: F.array(*[s[f"s{i}_"] for i in range(n)])))
+    context = F.array(*[last[f"s{n + i}_"] for i in range(len(spec.context))]).cast("array<double>")
+    valid = F.filter(F.transform("sequence", lambda s: s["value_"]), lambda v: v.isNotNull())
+    baseline = F.when(F.size(valid) > 0, F.element_at(valid, -1))
+    out = rows.select(*keys, "target_date", windows.split_by_date(F.col("target_date"), train_end, valid_end).alias("split"), F.col("target").alias("y_true"), baseline.alias("baseline"), x.alias("x_"), context.alias("c_"), (last["e_"] if spec.entity else F.lit(None).cast("string")).cast("string").alias("e_"))
+    return out.where("baseline is not null") if spec.mode == "residual" else out
+
+
+def _arrays(batch, fitted: Fitted):
+    """x, context, entity, target (scaled) and baseline of an Arrow batch or table."""
+    s, n = fitted.spec, batch.num_rows
+    flat = lambda c: np.asarray(batch.column(c).combine_chunks().flatten() if hasattr(batch.column(c), "combine_chunks") else batch.column(c).flatten(), np.float64)
+    x, context = flat("x_").reshape(n, s.lookback, len(s.dynamic)), flat("c_").reshape(n, len(s.context))
+    most = max(len(fitted.entities) - 1, 0)
+    entity = np.array([fitted.entities.get(e, most) for e in batch.column("e_").to_pylist()], np.int64)
+    y, base = (np.array(batch.column(c).to_pylist(), np.float64) for c in ("y_true", "baseline"))
+    return x, context, entity, ((y - base if s.mode == "residual" else y) - fitted.mean) / fitted.std, base
+
+
+def _epoch(rows: DataFrame, fitted: Fitted, state: np.ndarray, epoch: int, step: float, rate: float) -> tuple[np.ndarray, dict[str, float]]:
+    """One pass of every task over its own windows in small batches; the mean of the tasks' weights and moments by windows.
+
+    Validation errors are those of the weights that the pass starts from.
+    """
+    shared = rows.sparkSession.sparkContext.broadcast((fitted, state))
+    size = len(state) // 3
+
+    def run(batches):
+        import pyarrow as pa
+
+        fitted, state = shared.value
+        s, net = fitted.spec, fitted.network()
+        net.load(state[:size])
+        before = fitted.network()
+        before.load(state[:size])
+        opt = AdamW(net, state[size : 2 * size], state[2 * size :], step, rate, s.decay, s.clip)
+        rng = np.random.default_rng((s.seed, epoch))
+        sums = np.zeros(4)  # windows, loss, validation windows, squared validation error
+        for b in batches:
+            x, c, e, y, _ = _arrays(b, fitted)
+            split = np.array(b.column("split").to_pylist())
+            held = split == "val"
+            if held.any():
+                out = before.forward(x[held], c[held], e[held])[0]
+                sums[2:] += held.sum(), (((out - y[held]) * fitted.std) ** 2).sum()
+            train = rng.permutation(np.flatnonzero(split == "train"))
+            for part in np.array_split(train, max(1, -(-len(train) // s.batch))) if len(train) else []:
+                g, loss = net.gradient(x[part], c[part], e[part], y[part], rng, s.dropout, s.delta)
+                opt.apply(g)
+                sums[:2] += len(part), loss * len(part)
+        whole = np.concatenate((net.flat(), opt.m, opt.v, [opt.step])) * sums[0]
+        yield pa.RecordBatch.from_pydict({"s": [np.concatenate((whole, sums)).tolist()]})
+
+    parts = rows.select("split", "x_", "c_", "e_", "y_true", "baseline").mapInArrow(run, "s array<double>").select(F.posexplode("s").alias("i", "v"))
+    total = np.zeros(len(state) + 5)
+    for r in parts.groupBy("i").agg(F.sum("v").alias("v")).collect():
+        total[r["i"]] = r["v"]
+    shared.unpersist()
+    n, loss, held, squares = total[-4:]
+    return total[:-4] / max(n, 1), {"loss": loss / max(n, 1), "rmse": float((squares / held) ** 0.5) if held else float("nan")}
+
+
+def fit_network(df: DataFrame, keys: list[str], day: str, value: str, target: str, spec: Spec, train_end: str, valid_end: str) -> tuple[Fitted, DataFrame]:
+    """A network trained on all training windows, and the written windows.
+
+    Each epoch is one job: tasks train on their own windows from the common weights, and the weights are
+    averaged; only the weights travel. The rate halves when the validation error has not fallen for a
+    third of the patience (3 epochs at least), training stops after `patience` such epochs, and the
+    weights of the least validation error are kept (without validation windows: the last).
     """
-    rows = samples(df, keys, day, value, target, lookback, horizon, train_end, train_end).where("baseline is not null")
-    names = [f"x{i}" for i in range(lookback)]
-    filled = rows.select(group, "split", "target", "baseline", *[F.coalesce(n, "baseline").alias(n) for n in names], F.xxhash64(*keys, "input_end").alias("key_"))
-    from pyspark.sql import Window
-
-    train = filled.where("split = 'train'").withColumn("r_", F.row_number().over(Window.partitionBy(group).orderBy("key_"))).where(F.col("r_") <= most)
-
-    def fit(pdf):
-        import pandas as pd
-        import pickle
-
-        x, y = pdf[names].to_numpy(float), pdf["target"].to_numpy(float)
-        mean, std = x.mean(), x.std() or 1.0
-        nets = [Recurrent(seed=s) for s in seeds]
-        for s, n in zip(seeds, nets, strict=True):
-            n.fit((x - mean) / std, (y - mean) / std, seed=s)
-        return pd.DataFrame({group: [pdf[group].iloc[0]], "n_train": [len(pdf)], "model": [pickle.dumps((mean, std, nets))]})
-
-    kind = df.schema[group].dataType.simpleString()
-    models = train.groupBy(group).applyInPandas(fit, f"{group} {kind}, n_train bigint, model binary")
-
-    def score(batches):
-        import pickle
-
-        known: dict[bytes, tuple] = {}  # one model for each group
-        for pdf in batches:
-            pdf["guess"] = 0.0
-            for blob in pdf["model"].unique():
-                if blob not in known:
-                    known[blob] = pickle.loads(blob)
-                mean, std, nets = known[blob]
-                at = pdf["model"] == blob
-                x = (pdf.loc[at, names].to_numpy(float) - mean) / std
-                pdf.loc[at, "guess"] = np.mean([n.forward(x)[0] for n in nets], 0) * std + mean
-            yield pdf[[group, "n_train", "target", "baseline", "guess"]]
-
-    scored = filled.where("split != 'train'").join(F.broadcast(models), group).select(group, "n_train", "model", "target", "baseline", *names)
-    out = scored.mapInPandas(score, f"{group} {kind}, n_train bigint, target double, baseline double, guess double")
-    rmse = lambda c: F.sqrt(F.avg((F.col(c) - F.col("target")) ** 2))
-    return out.groupBy(group).agg(F.max("n_train").alias("n_train"), F.count("*").alias("n_test"), rmse("guess").alias("rmse"), rmse("baseline").alias("baseline_rmse"))
+    scaler = linear.Scaler.fit(df.where(F.col(day) <= F.lit(train_end).cast("date")), [*spec.dynamic, *spec.context])
+    rows = network_samples(df, keys, day, value, target, spec, scaler, train_end, valid_end)
+    rows = kept(rows.repartition(spec.tasks, *keys).sortWithinPartitions(F.xxhash64(*keys, "target_date")))
+    entities = {}
+    if spec.entity:
+        names = rows.where("split = 'train'").groupBy("e_").count().select("e_").orderBy("e_").limit(ENTITIES).collect()
+        entities = {r[0]: i for i, r in enumerate(names)} | {"\0 other": len(names)}
+    goal = F.col("y_true") - F.col("baseline") if spec.mode == "residual" else F.col("y_true")
+    m = rows.where("split = 'train'").agg(F.avg(goal).alias("mean"), F.stddev_pop(goal).alias("std")).first()
+    if m["mean"] is None:
+        raise ValueError("no training window")
+    net = Network(len(spec.dynamic), len(spec.context), len(entities), spec.hidden, spec.context_hidden, spec.fusion, spec.embedding, spec.seed)
+    fitted = Fitted(spec, scaler, entities, m["mean"], m["std"] or 1.0, net.flat(), [])
+    state, step, rate = np.concatenate((net.flat(), np.zeros(2 * len(net.flat())))), 0.0, spec.rate
+    best, stale, size = float("inf"), 0, len(net.flat())
+    for epoch in range(spec.epochs + 1):  # the last pass only measures
+        new, told = _epoch(rows, fitted, state, epoch, step, rate)
+        fitted.epochs.append((epoch, told["loss"], told["rmse"], rate))
+        if not told["rmse"] >= best:  # less, or not known
+            fitted.weights, best, stale = state[:size].copy(), min(best, told["rmse"] if told["rmse"] == told["rmse"] else best), 0
+        else:
+            stale += 1
+            if stale % max(3, spec.patience // 3) == 0:
+                rate /= 2
+            if stale >= spec.patience:
+                break
+        state, step = new[:-1], float(new[-1])
+    return fitted, rows
+
+
+def predict_network(fitted: Fitted, rows: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, target_date, split, y_true, baseline, y_pred) of windows, in Arrow batches against the broadcast weights; not below 0."""
+    shared = rows.sparkSession.sparkContext.broadcast(fitted)
+    names = [*keys, "target_date", "split", "y_true", "baseline"]
+
+    def run(batches):
+        import pyarrow as pa
+
+        f = shared.value
+        net = f.network()
+        for b in batches:
+            x, c, e, _, base = _arrays(b, f)
+            out = net.forward(x, c, e)[0] * f.std + f.mean + (base if f.spec.mode == "residual" else 0)
+            yield pa.RecordBatch.from_arrays([*[b.column(n) for n in names], pa.array(np.maximum(out, 0.0))], [*names, "y_pred"])
+
+    kinds = ", ".join(f"{n} {rows.schema[n].dataType.simpleString()}" for n in names)
+    return rows.select(*names, "x_", "c_", "e_").mapInArrow(run, f"{kinds}, y_pred double")
+
+
+def network_scores(df: DataFrame, keys: list[str], day: str, value: str, target: str, spec: Spec, train_end: str, valid_end: str) -> DataFrame:
+    """(split, model, n, rmse, mae, bias, r2) of the network and of last-value persistence, on windows that have a last value."""
+    fitted, rows = fit_network(df, keys, day, value, target, spec, train_end, valid_end)
+    out = predict_network(fitted, rows, keys).where("baseline is not null")
+    long = out.withColumnsRenamed({"y_pred": "network", "baseline": "persistence"}).unpivot(["split", "y_true"], ["network", "persistence"], "model", "guess")
+    return stats.regression_scores("y_true", "guess", ["split", "model"])(long)
+
+
+def tune_networks(df: DataFrame, keys: list[str], day: str, value: str, target: str, trials: list[Spec], train_end: str, valid_end: str) -> DataFrame:
+    """(trial, lookback, hidden, rate, dropout, epochs, val_rmse, test_rmse), least validation error first; the test error never chooses."""
+    out = []
+    for i, spec in enumerate(trials):
+        fitted, rows = fit_network(df, keys, day, value, target, spec, train_end, valid_end)
+        scored = stats.regression_scores("y_true", "y_pred", ["split"])(predict_network(fitted, rows, keys)).collect()
+        found = {r.split: r.rmse for r in scored}
+        drop_kept(rows)
+        out.append((i, spec.lookback, spec.hidden, spec.rate, spec.dropout, len(fitted.epochs) - 1, found.get("val"), found.get("test")))
+    schema = "trial int, lookback int, hidden int, rate double, dropout double, epochs int, val_rmse double, test_rmse double"
+    return df.sparkSession.createDataFrame(out, schema).orderBy(F.asc_nulls_last("val_rmse"), "trial")

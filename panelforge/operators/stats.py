@@ -77,7 +77,7 @@ def panel_overview(df: DataFrame, key: str, day: str, observed: str, filled: str
     seen = key_values(months_seen, composite_rows=F.count("*"), composite_months=F.count_distinct(month), composite_month_start=F.min(month), composite_month_end=F.max(month))
     low, high = F.min(day), F.max(day)
     first = F.when(F.trunc(low, "month") == low.cast("date"), low.cast("date")).otherwise(F.add_months(F.trunc(low, "month"), 1))
-    expected = df.agg(first.alias("a"), F.trunc(high, "month").alias("b")).where("a <= b").select(F.date_format(F.explode(F.sequence("a", "b", F.expr("interval 1 month"))), "yyyy-MM").alias("m"))
+    expected = df.agg(first.alias("a"), F.trunc(high, "month").alias("b")).where("a <= b").select(F.explode(F.sequence("a", "b", F.expr("interval 1 month"))).alias("d")).select(F.date_format("d", "yyyy-MM").alias("m"))
     missing = expected.join(months_seen.select(F.col(month).alias("m")).distinct(), "m", "left_anti")
     gone = key_values(missing, composite_months_missing=F.array_join(F.array_sort(F.collect_set("m")), ","))
     return own.unionByName(seen).unionByName(gone)

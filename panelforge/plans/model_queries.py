@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import functions as F
 
 from ..models import forecast, linear, trees
-from ..operators import kriging, stats
+from ..operators import columns, kriging, stats
 from ..session import shared_dir, table
 from .base import KEYS, query
 from .panel_queries import filled_panel, rounded
@@ -135,7 +135,7 @@ def gbt_regression(spark, sf_dir):
     """Boosted regression trees on line items, scored on the last years."""
     rows = table(spark, sf_dir, "lineitem").withColumn("month", F.month("l_shipdate"))
     year = F.year("l_shipdate")
-    model = trees.fit_regression(rows.where(year < 2000), ["l_quantity", "l_discount", "l_tax", "month"], "l_extendedprice", validation=rows.where(year == 2000), iterations=10)
+    model = trees.fit_regression(rows.where(year < 2000), ["l_quantity", "l_discount", "l_tax", "month"], "l_extendedprice", validation=rows.where(year == 2000), iterations=50)
     return stats.regression_scores("l_extendedprice", "prediction", log_r2=True)(trees.predict(model, rows.where(year > 2000), log_target=True))
 
 
@@ -144,7 +144,7 @@ def gbt_importance(spark, sf_dir):
     """Feature importances of the regression trees."""
     rows = table(spark, sf_dir, "lineitem").withColumn("month", F.month("l_shipdate"))
     names = ["l_quantity", "l_discount", "l_tax", "month"]
-    return trees.importances(spark, trees.fit_regression(rows, names, "l_extendedprice", iterations=5), names)
+    return trees.importances(spark, trees.fit_regression(rows, names, "l_extendedprice", iterations=50), names)
 
 
 @query()
@@ -152,7 +152,7 @@ def gbt_classifier(spark, sf_dir):
     """Weighted boosted classification of expensive lines, as precision, recall and F1."""
     rows = table(spark, sf_dir, "lineitem").withColumns({"label": (F.col("l_extendedprice") >= 50000).cast("double"), "weight": F.when(F.col("l_returnflag") == "N", 1.0).otherwise(0.4)})
     year = F.year("l_shipdate")
-    model = trees.fit_classifier(rows.where(year < 2000), ["l_quantity", "l_discount", "l_tax"], "label", "weight", iterations=5)
+    model = trees.fit_classifier(rows.where(year < 2000), ["l_quantity", "l_discount", "l_tax"], "label", "weight")
     scored = trees.predict(model, rows.where(year >= 2000))
     return scored.agg(*stats.classification_scores(F.col("label") == 1, F.col("prediction") == 1))
 
@@ -163,10 +163,33 @@ def sequence_model(spark, sf_dir):
     return forecast.compare(filled_panel(spark, sf_dir).select(*KEYS, "day", "filled", "value"), KEYS, "day", "filled", "value", 7, 3, "2024-01-18", "2024-01-24")
 
 
+def series_panel(spark, sf_dir):
+    """The panel with its calendar, for networks."""
+    rows = filled_panel(spark, sf_dir).select(*KEYS, "day", "filled", "value", "observed", "imputed", "days_since")
+    return rows.withColumns({"week_sin": F.sin(F.dayofweek("day") * (6.283185307179586 / 7)), "week_cos": F.cos(F.dayofweek("day") * (6.283185307179586 / 7)), "user_part": F.col("user_id") % 10})
+
+
 @query()
 def lstm_model(spark, sf_dir):
-    """A small recurrent network trained per event type on bounded samples of windows."""
-    return forecast.recurrent_scores(filled_panel(spark, sf_dir).select(*KEYS, "day", "filled", "value"), KEYS, "day", "filled", "value", 7, 3, "2024-01-18", group="event_type")
+    """An LSTM over seven days with an embedding of the event type, trained on all windows; direct prediction."""
+    spec = forecast.Spec(dynamic=("filled", "imputed", "days_since"), entity="event_type", epochs=6)
+    return forecast.network_scores(series_panel(spark, sf_dir), KEYS, "day", "filled", "value", spec, "2024-01-18", "2024-01-24")
+
+
+@query()
+def multi_branch_model(spark, sf_dir):
+    """A dynamic and a context branch with an embedding, fused; the change from the last valid value is predicted."""
+    df = series_panel(spark, sf_dir)
+    dynamic, context, mode = columns.branches(df, ["filled", "imputed", "days_since"], ["week_sin", "week_cos"], ["observed"], ["user_part"], ["week_sin", "week_cos"])
+    spec = forecast.Spec(dynamic=tuple(dynamic), context=tuple(context), entity="event_type", mode=mode, dropout=0.1, epochs=6)
+    return forecast.network_scores(df, KEYS, "day", "filled", "value", spec, "2024-01-18", "2024-01-24")
+
+
+@query()
+def network_tuning(spark, sf_dir):
+    """Eight trials of a network, the least validation error first."""
+    trials = [forecast.Spec(dynamic=("filled", "days_since"), entity="event_type", lookback=n, hidden=h, rate=r, dropout=d, epochs=3) for n, h, r, d in ((5, 8, 0.01, 0.0), (7, 8, 0.01, 0.0), (10, 8, 0.01, 0.0), (7, 16, 0.01, 0.0), (7, 16, 0.003, 0.0), (7, 16, 0.01, 0.2), (10, 16, 0.01, 0.1), (5, 16, 0.003, 0.0))]
+    return forecast.tune_networks(series_panel(spark, sf_dir), KEYS, "day", "filled", "value", trials, "2024-01-18", "2024-01-24")
 
 
 @query()

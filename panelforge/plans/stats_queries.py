@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..operators import panel as P, rollup as R, stats, windows
+from ..operators import columns, panel as P, rollup as R, stats, windows
 from ..session import table
 from .base import DAILY, FILLED, KEYS, PANEL, W, daily, day_text, panel, query, r6
 from .panel_queries import SCORES, filled_panel, rounded
@@ -139,7 +139,7 @@ def regression_metrics_log(spark, sf_dir):
 
 @query(f"SELECT l_suppkey, {SCORES.replace('6)', '4)')} FROM ({_GUESS}) GROUP BY 1 HAVING count(*) >= 5")
 def metrics_by_group(spark, sf_dir):
-    out = stats.regression_scores("l_extendedprice", "guess", ["l_suppkey"])(guesses(spark, sf_dir)).where("n >= 5")
+    out = stats.regression_scores("l_extendedprice", "guess", ["l_suppkey"], least=5)(guesses(spark, sf_dir))
     return out.select("l_suppkey", "n", *[F.round(c, 4).alias(c) for c in ("rmse", "mae", "bias", "r2")])
 
 
@@ -268,10 +268,7 @@ def wide_to_long(spark, sf_dir):
 @query("SELECT n_name, CAST(dense_rank() OVER (ORDER BY n_name) - 1 AS INTEGER) AS entity FROM nation")
 def entity_index(spark, sf_dir):
     """Ordinal index of sorted entity names."""
-    from pyspark.sql import Window
-
-    names = table(spark, sf_dir, "nation").select("n_name").distinct()
-    return names.select("n_name", (F.row_number().over(Window.orderBy("n_name")) - 1).cast("int").alias("entity"))
+    return columns.ordinal(table(spark, sf_dir, "nation"), "n_name")
 
 
 @query("SELECT o_orderpriority, count(*) AS n FROM orders GROUP BY 1")

@@ -36,6 +36,11 @@ def read_runs(spark: SparkSession, pattern: str, schema: str = RUN_METRICS) -> D
     return df.select(F.regexp_extract(F.input_file_name(), r"/([^/]+)/[^/]+$", 1).alias("run_id"), "*")
 
 
+def with_horizon(runs: DataFrame, *horizons: int, column: str = "horizon") -> DataFrame:
+    """The runs whose record names one of the horizons."""
+    return runs.where(F.col(column).isin(*horizons))
+
+
 def stations(spark: SparkSession, rows: list[tuple[str, float, float]]) -> DataFrame:
     """An inline table of places."""
     return spark.createDataFrame(rows, "station_id string, lon double, lat double")

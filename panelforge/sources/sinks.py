@@ -55,8 +55,9 @@ def write_record(record, path: str) -> None:
     _write(path, json.dumps(value, indent=2, ensure_ascii=False, default=str))
 
 
-def write_lines(lines: Sequence[str], path: str) -> None:
-    _write(path, "".join(f"{x}\n" for x in lines))
+def write_list(spark, lines: Sequence[str], path: str) -> None:
+    """A short list, one entry a line in order, written by Spark, so that remote paths work."""
+    spark.createDataFrame([(x,) for x in lines], "value string").coalesce(1).write.mode("overwrite").text(path)
 
 
 def feature_lines(df: DataFrame, lon: str, lat: str, properties: list[str]) -> DataFrame:
@@ -123,6 +124,3 @@ def _svg(title: str, width: int, height: int, body: str) -> str:
     head = f'<svg xmlns="http://www.w3.org/2000/svg" width="{width}" height="{height}"><text x="{width // 2}" y="24" font-size="16" text-anchor="middle">{html.escape(title)}</text>'
     return f"{head}{body}</svg>"
 
-
-def write_text(text: str, path: str) -> None:
-    _write(path, text)

@@ -10,9 +10,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from panelforge.functions import scalars as S
-from panelforge.models import linear
-from panelforge.models.forecast import Recurrent
-from panelforge.operators import checks, columns, panel, rollup, spatial, splits, stats, windows
+from panelforge.models import linear, trees
+from panelforge.models import forecast
+from panelforge.models.network import Network
+from panelforge.operators import checks, columns, kriging, panel, rollup, spatial, splits, stats, windows
 from panelforge.sources import readers, sinks
 
 
@@ -196,23 +197,40 @@ def test_ridge_leave_one_out_equals_brute_force(spark):
     assert np.allclose(guess, np.expm1(z @ w + t.mean()))
 
 
-def test_recurrent_gradient():
-    net, rng = Recurrent(4), np.random.default_rng(3)
-    x, y = rng.normal(size=(6, 5)), rng.normal(size=6) * 0.1
-
-    def loss():
-        e = np.abs(net.forward(x)[0] - y)
-        return np.where(e <= 1, e * e / 2, e - 0.5).mean()
-
-    g = net.gradient(x, y)
+@pytest.mark.parametrize("delta", [1.0, None])
+def test_network_gradient(delta):
+    net, rng = Network(3, 2, 4, 5, 3, 4, 2), np.random.default_rng(3)
+    x, c, e, y = rng.normal(size=(6, 5, 3)), rng.normal(size=(6, 2)), np.array([0, 1, 1, 2, 3, 0]), rng.normal(size=6) * 2
+    g, loss = net.gradient(x, c, e, y, delta=delta)
     for k, v in net.p.items():
-        at = tuple(0 for _ in v.shape)
-        v[at] += 1e-6
-        up = loss()
-        v[at] -= 2e-6
-        down = loss()
-        v[at] += 1e-6
-        assert math.isclose(g[k][at], (up - down) / 2e-6, rel_tol=1e-4, abs_tol=1e-7)
+        for at in {tuple(0 for _ in v.shape), tuple(n - 1 for n in v.shape)}:
+            v[at] += 1e-6
+            up = net.gradient(x, c, e, y, delta=delta)[1]
+            v[at] -= 2e-6
+            down = net.gradient(x, c, e, y, delta=delta)[1]
+            v[at] += 1e-6
+            assert math.isclose(g[k][at], (up - down) / 2e-6, rel_tol=1e-4, abs_tol=1e-7), k
+    flat = net.flat()
+    net.load(flat)
+    assert (net.flat() == flat).all() and loss > 0
+
+
+def test_network_learns_and_is_kept(spark, tmp_path):
+    rng = np.random.default_rng(5)
+    rows = []
+    for k in range(24):
+        level = rng.normal(5, 1, 40).cumsum() * 0 + 5 + (k % 3) + 2 * np.sin(np.arange(40) * 2 * np.pi / 8 + k)
+        rows += [(k, f"g{k % 3}", dt.date(2024, 1, 1) + dt.timedelta(i), None if i % 13 == 5 else float(v)) for i, v in enumerate(level)]
+    df = spark.createDataFrame(rows, "k int, g string, day date, v double").withColumn("place", F.col("k") % 3)
+    for mode in ("direct", "residual"):
+        spec = forecast.Spec(dynamic=("v",), context=("place",), entity="g", lookback=8, horizon=2, mode=mode, epochs=12, tasks=2, rate=0.02)
+        fitted, windows_ = forecast.fit_network(df, ["k", "g"], "day", "v", "v", spec, "2024-01-25", "2024-01-31")
+        out = forecast.predict_network(fitted, windows_, ["k", "g"]).where("split = 'test'")
+        err = out.agg(F.sqrt(F.avg((F.col("y_pred") - F.col("y_true")) ** 2)), F.sqrt(F.avg((F.col("baseline") - F.col("y_true")) ** 2))).first()
+        assert err[0] < 0.5 * err[1] and len(fitted.epochs) <= 13 and windows_.where("split = 'train'").count() > 300
+        fitted.save(spark, str(tmp_path / mode))
+        again = forecast.predict_network(forecast.Fitted.load(spark, str(tmp_path / mode)), windows_, ["k", "g"]).where("split = 'test'")
+        assert sorted(again.collect()) == sorted(out.collect())
 
 
 def test_column_choice(spark):
@@ -275,3 +293,55 @@ def test_streams(spark, tmp_path):
     q.stop()
     got = spark.sql("select * from filled").orderBy("day").collect()
     assert [(r.baseline, r.gap) for r in got] == [(None, None), (4.0, 2), (None, None)]
+
+
+def test_utm_against_another_series(spark):
+    """The classic expansion in powers of the distance from the central meridian."""
+    rng = np.random.default_rng(3)
+    places = [(float(a), float(b)) for a, b in zip(rng.uniform(102.5, 107.5, 20), rng.uniform(0, 40, 20), strict=True)]
+    east, north = S.utm(F.col("lon"), F.col("lat"))
+    got = spark.createDataFrame(places, "lon double, lat double").select("lon", "lat", east.alias("e"), north.alias("n")).collect()
+    a, f, k = 6_378_137.0, 1 / 298.257223563, 0.9996
+    e2 = f * (2 - f)
+    for r in got:
+        phi, lam = np.radians(r.lat), np.radians(r.lon - 105)
+        v, t, c = a / np.sqrt(1 - e2 * np.sin(phi) ** 2), np.tan(phi) ** 2, e2 / (1 - e2) * np.cos(phi) ** 2
+        x = lam * np.cos(phi)
+        m = a * ((1 - e2 / 4 - 3 * e2**2 / 64 - 5 * e2**3 / 256) * phi - (3 * e2 / 8 + 3 * e2**2 / 32 + 45 * e2**3 / 1024) * np.sin(2 * phi) + (15 * e2**2 / 256 + 45 * e2**3 / 1024) * np.sin(4 * phi) - 35 * e2**3 / 3072 * np.sin(6 * phi))
+        e = k * v * (x + (1 - t + c) * x**3 / 6 + (5 - 18 * t + t**2 + 72 * c - 58 * e2 / (1 - e2)) * x**5 / 120) + 500_000
+        n = k * (m + v * np.tan(phi) * (x**2 / 2 + (5 - t + 9 * c + 4 * c**2) * x**4 / 24 + (61 - 58 * t + t**2 + 600 * c - 330 * e2 / (1 - e2)) * x**6 / 720))
+        assert abs(r.e - e) < 0.01 and abs(r.n - n) < 0.01
+
+
+def test_neighbours_through_cells_equal_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(spatial, "BLOCK", 10)
+    rng = np.random.default_rng(4)
+    a = [(i, float(x), float(y), i % 2) for i, (x, y) in enumerate(np.concatenate((rng.normal(0, 1, (150, 2)), rng.normal(90, 2, (50, 2)))))]
+    q = [(i, float(x), float(y), i % 2) for i, (x, y) in enumerate(rng.uniform(-20, 120, (60, 2)))]
+    anchors, queries = spark.createDataFrame(a, "v long, x_km double, y_km double, g int"), spark.createDataFrame(q, "q long, x_km double, y_km double, g int")
+    for by in ([], ["g"]):
+        got = {}
+        for r in spatial.neighbours(queries, anchors.withColumn("v", F.col("v")), "q", "v", 4, by).collect():
+            got.setdefault(r.q, []).append((round(r.distance, 9), r.value))
+        for i, x, y, g in q:
+            near = sorted((round(((x - u) ** 2 + (y - w) ** 2) ** 0.5, 9), j) for j, u, w, h in a if not by or g == h)[:4]
+            assert sorted(got[i]) == near
+
+
+def test_kriging_modes_and_saved_trees(spark, tmp_path):
+    assert kriging.fit_parts("spatial") == ("train", "val") and kriging.fit_parts("spatiotemporal") == ("train",)
+    with pytest.raises(ValueError):
+        kriging.fit_parts("other")
+    df = spark.createDataFrame([(float(i % 7), None if i % 5 == 0 else float(i), float(i % 7) * 3 + 1) for i in range(200)], "a double, b double, y double")
+    models = [trees.fit_regression(df.where(F.col("a") != i), ["a", "b"], "y", iterations=3) for i in (0, 1)]
+    trees.save(spark, models[0], str(tmp_path / "model"))
+    again = trees.predict(trees.load(spark, str(tmp_path / "model")), df).select("prediction").collect()
+    assert again == trees.predict(models[0], df).select("prediction").collect()
+    means = {r.feature: (r.importance, r.folds) for r in trees.fold_importances(spark, models).collect()}
+    assert set(means) == {"a", "b", "b__null"} and all(n == 2 for _, n in means.values()) and abs(sum(v for v, _ in means.values()) - 1) < 1e-9
+
+
+def test_branches_refuse_mixed_ablations(spark):
+    df = spark.createDataFrame([(1, 2)], "a int, b int")
+    with pytest.raises(ValueError):
+        columns.branches(df, ["a"], [], [], [], ["b"], no_composite=True, without_history=True)
