@@ -2,27 +2,37 @@
 
 from __future__ import annotations
 
+import heapq
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import shared_dir
+
 
-def group_folds(df: DataFrame, group: str, folds: int, most: int = 100_000) -> DataFrame:
+def group_folds(df: DataFrame, group: str, folds: int, batch: int = 100_000) -> DataFrame:
     """(group, fold): groups by size, largest first (ties: larger key first), each to the lightest fold.
 
-    One row for each group is balanced on the driver; over `most` groups are refused.
+    Groups come to the driver one by one in that order and leave in batches, so it holds the folds' loads
+    and one batch, however many groups there are.
     """
-    sizes = df.groupBy(group).agg(F.count("*").alias("n")).limit(most + 1).collect()
-    if len(sizes) > most:
-        raise ValueError(f"more than {most} groups")
-    if len(sizes) < folds:
-        raise ValueError("fewer groups than folds")
-    load = [0] * folds
-    placed = []
-    for r in sorted(sizes, key=lambda r: (r["n"], r[group]), reverse=True):
-        fold = min(range(folds), key=lambda f: (load[f], f))
-        load[fold] += r["n"]
+    spark = df.sparkSession
+    schema = f"{group} {df.schema[group].dataType.simpleString()}, fold int"
+    sizes = df.groupBy(group).agg(F.count("*").alias("n")).orderBy(F.desc("n"), F.desc(group))
+    load, placed, path, count = [(0, f) for f in range(folds)], [], f"{shared_dir(spark)}/folds-{uuid.uuid4().hex}", 0
+    for r in sizes.toLocalIterator():
+        weight, fold = heapq.heappop(load)
+        heapq.heappush(load, (weight + r["n"], fold))
         placed.append((r[group], fold + 1))
-    return df.sparkSession.createDataFrame(placed, f"{group} {df.schema[group].dataType.simpleString()}, fold int")
+        count += 1
+        if len(placed) == batch:
+            spark.createDataFrame(placed, schema).write.mode("append").parquet(path)
+            placed = []
+    if count < folds:
+        raise ValueError("fewer groups than folds")
+    rest = spark.createDataFrame(placed, schema)
+    return spark.read.schema(schema).parquet(path).unionByName(rest) if count > len(placed) else rest
 
 
 def fold_parts(df: DataFrame, folds: DataFrame, group: str, n: int, train: Column, valid: Column, test: Column, require: tuple[str, ...] = ("train", "val", "test")) -> DataFrame:

@@ -50,7 +50,7 @@ def shared_dir(spark: SparkSession) -> str:
     sc = spark.sparkContext
     given = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if not given:
-        if not sc.master.startswith("local["):
+        if sc.master != "local" and not sc.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         given = tempfile.mkdtemp(prefix="panelforge-")
     if not sc.getCheckpointDir():

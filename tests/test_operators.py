@@ -165,6 +165,7 @@ def test_folds_are_disjoint_and_balanced(spark):
     parts = splits.fold_parts(df, folds, "g", 3, y < 2022, y == 2022, y == 2023)
     both = parts.where("part = 'test'").select("fold", "g").join(parts.where("part != 'test'").select("fold", "g"), ["fold", "g"])
     assert both.count() == 0
+    assert sorted(splits.group_folds(df, "g", 3, batch=2).collect()) == sorted(folds.collect())
     with pytest.raises(ValueError):
         splits.group_folds(df, "g", 8)
 
