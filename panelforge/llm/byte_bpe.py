@@ -45,16 +45,27 @@ class MergeRanks:
         return np.where(self.keys[at] == key, self.values[at], NONE)
 
     def encode_word(self, word: bytes) -> list[int]:
-        """One word, pair by pair: the lowest rank first, the leftmost of equal ones."""
+        """One word, pair by pair: the lowest rank first, the leftmost of equal ones; a heap of pairs, so long words take n log n."""
         if word in self.ranks:
             return [self.ranks[word]]
-        parts = [word[i : i + 1] for i in range(len(word))]
-        while len(parts) > 1:
-            best, at = min((self.ranks.get(parts[i] + parts[i + 1], NONE), i) for i in range(len(parts) - 1))
-            if best == NONE:
-                break
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
-        return [self.ranks[p] for p in parts]
+        n = len(word)
+        start, end, after, before = list(range(n)), list(range(1, n + 1)), list(range(1, n + 1)), list(range(-1, n - 1))
+        rank = lambda i: self.ranks.get(word[start[i] : end[after[i]]]) if after[i] < n else None
+        heap = [(r, i, i + 1, i + 2) for i in range(n - 1) if (r := rank(i)) is not None]  # the ends of both parts tell whether a pair still stands
+        heapq.heapify(heap)
+        gone = [False] * n
+        while heap:
+            _, i, left_end, right_end = heapq.heappop(heap)
+            if gone[i] or end[i] != left_end or after[i] >= n or end[after[i]] != right_end:
+                continue
+            j = after[i]
+            end[i], after[i], gone[j] = end[j], after[j], True
+            if after[i] < n:
+                before[after[i]] = i
+            for k in (before[i], i):
+                if k >= 0 and (r := rank(k)) is not None:
+                    heapq.heappush(heap, (r, k, end[k], end[after[k]]))
+        return [self.ranks[word[start[i] : end[i]]] for i in range(n) if not gone[i]]
 
     def replay(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all words in a row, and the number of ids of each. Words must not be empty."""

@@ -106,6 +106,21 @@ def test_replay_on_any_text(texts):
     assert [x.tolist() for x in ours.encode(texts)] == [lib.encode_ordinary(t) for t in texts]
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.text(alphabet="aabcthe ing日é'1!=", min_size=1, max_size=60))
+def test_one_word_equals_library(text):
+    table_ = byte_bpe.MergeRanks(open(RANKS, "rb").read()) if not hasattr(test_one_word_equals_library, "t") else test_one_word_equals_library.t
+    test_one_word_equals_library.t = table_
+    word = text.encode()
+    parts = [word[i : i + 1] for i in range(len(word))]
+    while len(parts) > 1 and word not in table_.ranks:
+        best, at = min((table_.ranks.get(parts[i] + parts[i + 1], byte_bpe.NONE), i) for i in range(len(parts) - 1))
+        if best == byte_bpe.NONE:
+            break
+        parts[at : at + 2] = [parts[at] + parts[at + 1]]
+    assert table_.encode_word(word) == ([table_.ranks[word]] if word in table_.ranks else [table_.ranks[p] for p in parts])
+
+
 def test_replay_with_ranks_out_of_order():
     """Ranks where a longer token comes before its parts: the replay must re-do words that it may have merged too soon."""
     tokens = [bytes([b]) for b in range(256)] + [b"aba", b"ab", b"abab", b"ba", b"aa"]
