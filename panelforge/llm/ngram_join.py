@@ -68,13 +68,19 @@ def tokens(text: bytes, width: int = 5) -> np.ndarray:
     return np.unique(_mix(out))
 
 
-def fingerprint(toks: np.ndarray) -> int:
-    """A hash of the token set (as a signed 64-bit integer)."""
+def fingerprint(toks: np.ndarray, which: int = 0) -> int:
+    """A hash of the token set (as a signed 64-bit integer); `which` names one of two independent ones."""
     with np.errstate(over="ignore"):
-        h = _mix(np.array([(_mix(toks ^ _SALTS[40]) * _SALTS[41]).sum() + np.uint64(len(toks))], np.uint64))
+        h = _mix(np.array([(_mix(toks ^ _SALTS[40 + 2 * which]) * _SALTS[41 + 2 * which]).sum() + np.uint64(len(toks))], np.uint64))
     return int(h.view(np.int64)[0])
 
 
+def vertex(toks: np.ndarray, shared: frozenset[int]) -> int:
+    """The key of a token set: its first fingerprint, or the second where different sets share the first."""
+    first = fingerprint(toks)
+    return fingerprint(toks, 1) if first in shared else first
+
+
 def parity(toks: np.ndarray) -> bytes:
     """Parity of the tokens in each of at least 2n places (a power of two, 256 at least)."""
     places = max(256, 1 << (2 * len(toks)).bit_length())
@@ -126,12 +132,12 @@ def signatures(toks: np.ndarray, listed: np.ndarray, order: np.ndarray, percent:
 
 
 def _census(docs: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame:
-    """One row for each document (kind 0: id, n tokens, key fingerprint, hash of the text) and for tokens that a slice repeats (kind 1: n times, key)."""
+    """One row for each document (kind 0: id, n tokens, key and check fingerprints, hash of the text) and for tokens that a slice repeats (kind 1: n times, key)."""
 
     def make():
         def run(ids, texts, hashes):
             sets = [tokens(t, width) for t in texts]
-            n, key = [len(s) for s in sets], [fingerprint(s) for s in sets]
+            n, key, check = [len(s) for s in sets], [fingerprint(s) for s in sets], [fingerprint(s, 1) for s in sets]
             once = {k: s for k, s in zip(key, sets, strict=True) if len(s)}
             found, times = np.unique(np.concatenate(list(once.values())), return_counts=True) if once else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
             found, times = found[times > 1], times[times > 1]
@@ -139,13 +145,21 @@ def _census(docs: DataFrame, width: int, id_col: str, text_col: str) -> DataFram
                 top = np.argsort(-times, kind="stable")[:REPORTED]
                 found, times = found[top], times[top]
             none = [None] * len(found)
-            return {"kind": [0] * len(ids) + [1] * len(found), "id": ids + none, "n": n + times.tolist(), "key": key + found.view(np.int64).tolist(), "hash": hashes + none, "parity": [parity(x) for x in sets] + none}
+            return {"kind": [0] * len(ids) + [1] * len(found), "id": ids + none, "n": n + times.tolist(), "key": key + found.view(np.int64).tolist(), "check": check + none, "hash": hashes + none, "parity": [parity(x) for x in sets] + none}
 
         return run
 
     kind = docs.schema[id_col].dataType.simpleString()
     hashed = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("hash"))
-    return map_texts(hashed, make, f"kind int, id {kind}, n bigint, key bigint, hash bigint, parity binary", "doc", "text", binary=True, extra=("hash",), owner="ngram_join")
+    return map_texts(hashed, make, f"kind int, id {kind}, n bigint, key bigint, check bigint, hash bigint, parity binary", "doc", "text", binary=True, extra=("hash",), owner="ngram_join")
+
+
+def _vertices(census: DataFrame) -> DataFrame:
+    """One row for each key: its first document, rows, tokens and parity, and whether it is one set alone."""
+    alone = (F.min("check") == F.max("check")).alias("alone")
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "hash")).alias("first")
+    one = census.where("kind = 0").groupBy("key").agg(first, F.count("*").alias("copies"), F.max("n").alias("n"), F.min("parity").alias("parity"), alone)
+    return one.select("key", "first", "first.id", "first.hash", "copies", "n", "parity", "alone")
 
 
 def _listed(census: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -175,27 +189,29 @@ def gathered(sig: np.ndarray, key: np.ndarray, n: np.ndarray, most: int) -> tupl
     return stay, int(first.sum()), ties[:, 0], ties[:, 1]
 
 
-def _signed(docs: DataFrame, listed, width: int, percent: int, id_col: str, text_col: str) -> DataFrame:
+def _signed(docs: DataFrame, listed, twins: frozenset[int], width: int, percent: int, id_col: str, text_col: str) -> DataFrame:
     """(sig, key, n, hub) for each distinct token set of each task.
 
     A signature of more than GATHERED sets in a slice of texts sends one row, whose hub is its own key; the
     other sets are tied to that key by rows with that hub and a sig of their own. Elsewhere hub is null.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(listed)
+    shared = docs.sparkSession.sparkContext.broadcast((listed, twins))
 
     def make():
         import pyarrow as pa
 
+        listed, twins = shared.value
+
         seen: set[int] = set()
 
         def run(ids, texts):
             sig, key, n = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int32)]
             for t in texts:
                 s = tokens(t, width)
-                k = fingerprint(s)
+                k = vertex(s, twins)
                 if len(s) and k not in seen:
                     seen.add(k)
-                    found = signatures(s, *shared.value, percent)
+                    found = signatures(s, *listed, percent)
                     sig.append(found)
                     key.append(np.full(len(found), k, np.int64))
                     n.append(np.full(len(found), len(s), np.int32))
@@ -243,7 +259,7 @@ def _ties(sigs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return out
 
 
-def _token_rows(docs: DataFrame, wanted: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame:
+def _token_rows(docs: DataFrame, wanted: DataFrame, twins: frozenset[int], width: int, id_col: str, text_col: str) -> DataFrame:
     """(key, toks, place) for the wanted sets, each from one document of that id and text hash."""
     texts = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("text_hash"))
     few = wanted.limit(FETCHED + 1).count() <= FETCHED  # small rows; beyond that both sides are shuffled
@@ -253,7 +269,7 @@ def _token_rows(docs: DataFrame, wanted: DataFrame, width: int, id_col: str, tex
     def make():
         def run(keys, texts, label, blocks, own):
             sets = [tokens(t, width) for t in texts]
-            good = [i for i, s in enumerate(sets) if fingerprint(s) == keys[i]]
+            good = [i for i, s in enumerate(sets) if vertex(s, twins) == keys[i]]
             return {"key": [keys[i] for i in good], "label": [label[i] for i in good], "blocks": [blocks[i] for i in good], "own": [own[i] for i in good], "toks": [sets[i].tobytes() for i in good]}
 
         return run
@@ -366,14 +382,19 @@ def join_groups(docs: DataFrame, width: int = 5, percent: int = 80, block: int =
     A text without words (or null) has no shingles and links with nothing; null ids keep their row and
     never become a component_id unless alone. Rows of equal id are separate documents that share a
     name. Other columns are not read. `block` bounds the documents that one task compares with as many
-    others; larger groups are compared block by block. Token sets are told apart by 64-bit fingerprints:
-    of m distinct sets about m * m / 2^65 pairs are taken for one set (one pair at 6 billion sets).
+    others; larger groups are compared block by block. Token sets are told apart by two 64-bit
+    fingerprints: where different sets share the first, the second is their key.
     """
     census = kept(_census(docs, width, id_col, text_col))
     listed = _listed(census)
-    sigs = _signed(docs, listed, width, percent, id_col, text_col)
-    one = census.where("kind = 0").groupBy("key").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "hash")).alias("first"), F.count("*").alias("copies"), F.max("n").alias("n"), F.min("parity").alias("parity"))
-    one = kept(one.select("key", "first", "first.id", "first.hash", "copies", "n", "parity"))
+    one = kept(_vertices(census))
+    twins = frozenset(r[0] for r in one.where("not alone").select("key").collect())  # pairs of sets in 2^64; hardly ever one
+    if twins:
+        again = census.where(F.col("kind") == 0).join(F.broadcast(one.where("not alone").select(F.col("key").alias("twin"))), F.col("key") == F.col("twin"), "left")
+        named = kept(again.withColumn("key", F.when(F.col("twin").isNull(), F.col("key")).otherwise(F.col("check"))).drop("twin"))
+        drop_kept(one, census)
+        census, one = named, kept(_vertices(named))
+    sigs = _signed(docs, listed, twins, width, percent, id_col, text_col)
     ties = _ties(sigs, one, percent)
     loose = components(ties)
     drop_kept(ties)
@@ -381,7 +402,7 @@ def join_groups(docs: DataFrame, width: int = 5, percent: int = 80, block: int =
     blocks = F.ceil(F.col("members") / F.lit(block)).cast("int")
     placed = loose.join(sizes, "label").select(F.col("id").alias("key"), "label", blocks.alias("blocks"), F.pmod(F.xxhash64("id"), blocks).cast("int").alias("own"))
     wanted = kept(placed.join(one, "key").select("key", "label", "blocks", "own", "id", "hash"))
-    toks = kept(_token_rows(docs, wanted, width, id_col, text_col))
+    toks = kept(_token_rows(docs, wanted, twins, width, id_col, text_col))
     # the first block of a group meets all of it
     partner = F.when(F.col("own") == 0, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("own"))
     first = toks.select("label", F.lit(0).alias("i"), F.explode(partner).alias("j"), "own", "key", "toks")

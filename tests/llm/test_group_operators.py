@@ -90,6 +90,28 @@ def test_join_when_slices_gather(spark, monkeypatch, gathered):
     assert joined(df, block=16) == Counter(brute_components(list(enumerate(texts))))
 
 
+def test_join_when_fingerprints_collide(spark, monkeypatch):
+    """Different sets with one first fingerprint stay different."""
+    rows = [(i, f"a{i // 2} b c d e f g h") for i in range(12)] + [(20, "x y"), (21, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    census = ngram_join._census(df, 5, "doc_id", "text").withColumn("key", F.when(F.col("kind") == 0, F.col("key") % 3).otherwise(F.col("key")))
+    one = ngram_join._vertices(census).collect()
+    assert any(not r.alone for r in one) and sum(r.copies for r in one) == len(rows)
+    sets = [ngram_join.tokens(t.encode()) for _, t in rows[:-1]]
+    twins = frozenset(map(ngram_join.fingerprint, sets))
+    assert len({ngram_join.vertex(s, twins) for s in sets}) == len({ngram_join.vertex(s, frozenset()) for s in sets}) == 7
+    assert all(ngram_join.vertex(s, twins) == ngram_join.fingerprint(s, 1) for s in sets)
+    real = ngram_join._vertices
+    calls = []
+
+    def first_time(census):
+        calls.append(1)
+        return real(census).withColumn("alone", F.lit(False)) if len(calls) == 1 else real(census)
+
+    monkeypatch.setattr(ngram_join, "_vertices", first_time)
+    assert joined(df) == Counter(brute_components(rows)) and len(calls) == 2
+
+
 def test_lookalikes_that_do_not_link_send_few_rows(spark):
     rng = np.random.default_rng(20)
     sets = [np.unique(rng.integers(1, 2**62, 60, dtype=np.uint64)) for _ in range(5_000)]
