@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import ann, byte_bpe, chat_format, mixing, ngram_join, oracles, pii, quality_classifier, quality_rules, toxicity
+from . import ann, byte_bpe, chat_format, mixing, ngram_join, oracles, pii, quality_classifier, quality_rules, spelling, toxicity
 from .token_counts import count_tokens, sampled
 
 
@@ -87,5 +87,11 @@ def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "score", "kept", "doc_score", "host_quality", "path_quality", "host", "path")
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op4_byte_bpe, op10_quality_rules, op6_pii, op3_chat_format, op5_mixing, op7_ngram_join, op9_nearest, op2_toxicity, op8_quality_classifier)}
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of all documents with their commonest near word, near words and the root of their chain of forms."""
+    out = spelling.variants(spelling.count_words(table(spark, sf_dir, "documents")))
+    return out.select("word", "form", "root", "n", "n_near", "form_n")
+
+
+QUERIES = {f.__name__: f for f in (op1_token_counts, op4_byte_bpe, op10_quality_rules, op6_pii, op3_chat_format, op5_mixing, op7_ngram_join, op9_nearest, op2_toxicity, op8_quality_classifier, op11_spelling)}
 ORACLE: dict[str, str] = {"op3_chat_format": oracles.CHAT_FORMAT, "op5_mixing": oracles.MIXING, "op7_ngram_join": oracles.NGRAM_JOIN}
