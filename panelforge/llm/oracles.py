@@ -77,3 +77,26 @@ WITH RECURSIVE words AS (
 SELECT d.doc_id, coalesce(n, 0) AS n_shingles, least_id AS component_id
 FROM documents d LEFT JOIN sizes s ON s.doc_id = d.doc_id JOIN (SELECT a, min(b) AS least_id FROM reached GROUP BY a) r ON r.a = d.doc_id
 """
+
+
+def _rounds(rounds: int) -> str:
+    """Lloyd's rounds over v (row, number, component), from centroids c0 (cluster, number, component)."""
+    out = []
+    for r in range(rounds + 1):
+        far = f"d{r} AS (SELECT v.r, c.cluster, sum((v.x - c.x) * (v.x - c.x)) AS distance FROM v JOIN c{r} AS c USING (i) GROUP BY 1, 2)"
+        near = f"a{r} AS (SELECT r, arg_min(cluster, (distance, cluster)) AS cluster, min(distance) AS distance FROM d{r} GROUP BY 1)"
+        out += [far, near]
+        if r < rounds:
+            mean = f"m{r} AS (SELECT a.cluster, v.i, sum(v.x) AS s, count(*) AS n FROM v JOIN a{r} AS a USING (r) GROUP BY 1, 2)"
+            floor = "CAST((s - ((s % n) + n) % n) // n AS BIGINT)"
+            out += [mean, f"c{r + 1} AS (SELECT c.cluster, c.i, coalesce({floor}, c.x) AS x FROM c{r} AS c LEFT JOIN m{r} USING (cluster, i))"]
+    return ", ".join(f"{x[: x.index(' AS ')]} AS MATERIALIZED {x[x.index(' AS ') + 4 :]}" for x in out)
+
+
+DUAL_TREE = f"""WITH kept AS (SELECT row_number() OVER () AS r, vec_id, embedding AS e FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda y: y IS NOT NULL AND isfinite(y))) = 64),
+v AS MATERIALIZED (SELECT r, vec_id, unnest(range(64)) AS i, CAST(floor(64 * CAST(unnest(e) AS DOUBLE)) AS BIGINT) AS x FROM kept),
+f AS (SELECT r, row_number() OVER (ORDER BY sha256('1:' || vec_id)) - 1 AS cluster FROM kept QUALIFY cluster < 16),
+c0 AS MATERIALIZED (SELECT cluster, i, x FROM v JOIN f USING (r)), {_rounds(3)},
+names AS (SELECT cluster, sha256(string_agg(CAST(x AS VARCHAR), ',' ORDER BY i)) AS centroid_sha256 FROM c3 GROUP BY 1)
+SELECT vec_id, CAST(cluster AS INTEGER) AS cluster, CAST(distance AS BIGINT) AS distance, CAST(sum(distance) OVER (PARTITION BY cluster) AS BIGINT) AS cluster_inertia, CAST(sum(distance) OVER () AS BIGINT) AS inertia, centroid_sha256
+FROM a3 JOIN kept USING (r) JOIN names USING (cluster)"""

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import ann, byte_bpe, chat_format, mixing, ngram_join, oracles, pii, quality_classifier, quality_rules, spelling, token_files, toxicity
+from . import ann, byte_bpe, chat_format, dual_tree, mixing, ngram_join, oracles, pii, quality_classifier, quality_rules, spelling, token_files, toxicity
 from .token_counts import count_tokens, sampled
 
 
@@ -100,5 +100,10 @@ def op12_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), 0)
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op4_byte_bpe, op10_quality_rules, op6_pii, op3_chat_format, op5_mixing, op7_ngram_join, op9_nearest, op2_toxicity, op8_quality_classifier, op11_spelling, op12_token_files)}
-ORACLE: dict[str, str] = {"op3_chat_format": oracles.CHAT_FORMAT, "op5_mixing": oracles.MIXING, "op7_ngram_join": oracles.NGRAM_JOIN}
+def op13_dual_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """16 clusters of all embeddings after three rounds."""
+    return dual_tree.cluster(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (op1_token_counts, op4_byte_bpe, op10_quality_rules, op6_pii, op3_chat_format, op5_mixing, op7_ngram_join, op9_nearest, op2_toxicity, op8_quality_classifier, op11_spelling, op12_token_files, op13_dual_tree)}
+ORACLE: dict[str, str] = {"op3_chat_format": oracles.CHAT_FORMAT, "op5_mixing": oracles.MIXING, "op7_ngram_join": oracles.NGRAM_JOIN, "op13_dual_tree": oracles.DUAL_TREE}
