@@ -28,7 +28,7 @@ Q = 3
 #: Counters of the fixed table that orders grams by how common they are.
 SLOTS = 1 << 16
 #: A gram of more words than this is met in pairs of grams only.
-RARE = 400
+RARE = 1500
 #: Words of one posting group that one task indexes at most; larger groups meet in pairs of blocks.
 SPLIT = 4096
 #: Runs longer than this are hashed one by one.

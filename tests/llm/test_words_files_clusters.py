@@ -66,7 +66,7 @@ def test_spelling_query_equals_brute_force(spark):
     assert len(got) == len(set(got)) and set(got) == brute_variants(brute_words(docs))
 
 
-@pytest.mark.parametrize(("rare", "split"), [(400, 4096), (0, 4096), (2, 7), (10_000, 16)])
+@pytest.mark.parametrize(("rare", "split"), [(1500, 4096), (0, 4096), (2, 7), (10_000, 16)])
 def test_variants_of_dense_words(spark, monkeypatch, rare, split):
     """Words of few letters, whose grams are common: pairs of grams, and groups cut into blocks."""
     monkeypatch.setattr(spelling, "RARE", rare)
