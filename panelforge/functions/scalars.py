@@ -9,6 +9,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.ranges import medians
+
 
 def cyclic(x: Column, period: float, name: str) -> list[Column]:
     """name_sin and name_cos of x on a circle of `period`."""
@@ -99,8 +101,8 @@ def unstandardise(x: Column, mean: float, std: float) -> Column:
 
 def flip_if_median_negative(df: DataFrame, column: str) -> DataFrame:
     """Change the sign of a column whose median over all rows is below 0."""
-    sign = df.agg(F.when(F.median(column) < 0, -1.0).otherwise(1.0).alias("sign_"))
-    return df.crossJoin(F.broadcast(sign)).withColumn(column, F.col(column) * F.col("sign_")).drop("sign_")
+    sign = -1.0 if medians(df, [column]).get(column, 0.0) < 0 else 1.0
+    return df.withColumn(column, F.col(column) * F.lit(sign))
 
 
 def weather_units(df: DataFrame) -> DataFrame:

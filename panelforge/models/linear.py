@@ -9,6 +9,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.ranges import medians
+
 
 def save_record(spark, record: dict, path: str) -> None:
     """A small model as one line of JSON, written by Spark, so that remote paths work."""
@@ -36,8 +38,8 @@ class Scaler:
     def fit(cls, df: DataFrame, columns: list[str], indicators: bool = False, population: bool = True) -> Scaler:
         clean = [F.when(~F.isnan(F.col(c).cast("double")) & (F.abs(c) != float("inf")), F.col(c).cast("double")).alias(c) for c in columns]
         rows = df.select(*clean)
-        first = rows.agg(F.count("*").alias("n_"), *[F.median(c).alias(c) for c in columns], *[F.count(c).alias(f"{c}__n") for c in columns]).first()
-        median = {c: first[c] if first[c] is not None else 0.0 for c in columns}
+        first = rows.agg(F.count("*").alias("n_"), *[F.count(c).alias(f"{c}__n") for c in columns]).first()
+        median = dict.fromkeys(columns, 0.0) | medians(rows, columns)
         missing = [c for c in columns if indicators and first[f"{c}__n"] < first["n_"]]
         named = {c: F.coalesce(F.col(c), F.lit(median[c])) for c in columns} | {f"{c}__null": F.col(c).isNull().cast("double") for c in missing}
         std = F.stddev_pop if population else F.stddev_samp

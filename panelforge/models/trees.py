@@ -1,68 +1,41 @@
-"""Boosted trees with Spark ML; nulls are filled with medians and flagged, as the trees have no missing branch."""
+"""Boosted trees for panels: regression on log1p of a target, and weighted classification; nulls stay nulls."""
 
 from __future__ import annotations
 
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .linear import Scaler, load_record, save_record
+from .boosting import Booster, Params, fit
 
 
-def _features(df: DataFrame, scaler: Scaler) -> DataFrame:
-    return df.withColumns({f"f_{c}": x for c, x in zip(scaler.outputs, scaler.expressions(), strict=True)})
-
-
-def _assembler(scaler: Scaler) -> VectorAssembler:
-    return VectorAssembler(inputCols=[f"f_{c}" for c in scaler.outputs], outputCol="features_")
-
-
-def fit_regression(df: DataFrame, columns: list[str], target: str, validation: DataFrame | None = None, iterations: int = 100, rate: float = 0.1, depth: int = 4, share: float = 0.8, seed: int = 7):
-    """Trees on log1p of the target; a validation frame stops early. Returns (scaler, model)."""
-    scaler = Scaler.fit(df, columns, indicators=True)
+def fit_regression(df: DataFrame, columns: list[str], target: str, validation: DataFrame | None = None, iterations: int = 2500, rate: float = 0.03, depth: int = 4, share: float = 0.8, columns_share: float = 0.8, patience: int = 60, seed: int = 42) -> Booster:
+    """Trees on log1p of the target, with rows and columns drawn for each tree; a validation frame stops them early."""
     rows = df.withColumn("held_", F.lit(False))
     if validation is not None:
         rows = rows.unionByName(validation.withColumn("held_", F.lit(True)))
-    rows = _features(rows.where(F.col(target).isNotNull()), scaler).withColumn("log_target_", F.log1p(target))
-    trees = GBTRegressor(featuresCol="features_", labelCol="log_target_", maxIter=iterations, stepSize=rate, maxDepth=depth, subsamplingRate=share, featureSubsetStrategy="onethird" if len(columns) > 8 else "all", seed=seed)
-    if validation is not None:
-        trees = trees.setValidationIndicatorCol("held_")
-    return scaler, Pipeline(stages=[_assembler(scaler), trees]).fit(rows)
+    p = Params(rounds=iterations, rate=rate, depth=depth, row_share=share, column_share=columns_share, patience=patience if validation is not None else 0, seed=seed)
+    return fit(rows, columns, F.log1p(target), p, held=F.col("held_"))
 
 
-def fit_classifier(df: DataFrame, columns: list[str], label: str, weight: str, iterations: int = 50, depth: int = 4, seed: int = 7):
-    scaler = Scaler.fit(df, columns, indicators=True)
-    trees = GBTClassifier(featuresCol="features_", labelCol=label, weightCol=weight, maxIter=iterations, maxDepth=depth, seed=seed)
-    return scaler, Pipeline(stages=[_assembler(scaler), trees]).fit(_features(df.where(F.col(label).isNotNull()), scaler))
+def fit_classifier(df: DataFrame, columns: list[str], label: str, weight: str, iterations: int = 800, rate: float = 0.03, depth: int = 4, share: float = 0.8, columns_share: float = 0.8, seed: int = 42) -> Booster:
+    """Trees for a 0/1 label with row weights."""
+    p = Params(rounds=iterations, rate=rate, depth=depth, row_share=share, column_share=columns_share, loss="logistic", seed=seed)
+    return fit(df, columns, F.col(label), p, weight=F.col(weight))
 
 
-def predict(model: tuple[Scaler, PipelineModel], df: DataFrame, log_target: bool = False) -> DataFrame:
-    scaler, pipeline = model
-    out = pipeline.transform(_features(df, scaler)).drop("features_", *[f"f_{c}" for c in scaler.outputs])
+def predict(model: Booster, df: DataFrame, log_target: bool = False) -> DataFrame:
+    """df with `prediction`: the target (log_target), the margin, or for a classifier 0 or 1, with `probability`."""
+    out = model.predict("prediction")(df)
+    if model.params.loss == "logistic":
+        return out.withColumn("probability", F.col("prediction")).withColumn("prediction", (F.col("prediction") >= 0.5).cast("double"))
     return out.withColumn("prediction", F.expm1("prediction")) if log_target else out
 
 
-def importances(spark, model: tuple[Scaler, PipelineModel], columns: list[str]) -> DataFrame:
-    scaler, pipeline = model
-    values = pipeline.stages[-1].featureImportances.toArray().tolist()
-    return spark.createDataFrame(list(zip(scaler.outputs, values, strict=True)), "feature string, importance double").orderBy(F.desc("importance"))
-
-
-def save(spark, model: tuple[Scaler, PipelineModel], path: str) -> None:
-    """The trees and the scaler that fills and names their inputs."""
-    model[1].write().overwrite().save(f"{path}/trees")
-    save_record(spark, model[0].__dict__, f"{path}/scaler")
-
-
-def load(spark, path: str) -> tuple[Scaler, PipelineModel]:
-    return Scaler(**load_record(spark, f"{path}/scaler")), PipelineModel.load(f"{path}/trees")
+def importances(spark, model: Booster) -> DataFrame:
+    return spark.createDataFrame(model.importances(), "feature string, importance double").orderBy(F.desc("importance"), "feature")
 
 
-def fold_importances(spark, models: list[tuple[Scaler, PipelineModel]]) -> DataFrame:
+def fold_importances(spark, models: list[Booster]) -> DataFrame:
     """(feature, importance, folds): the mean importance over the models of several folds, greatest first."""
-    rows = [(n, v) for scaler, p in models for n, v in zip(scaler.outputs, p.stages[-1].featureImportances.toArray().tolist(), strict=True)]
-    frame = spark.createDataFrame(rows, "feature string, importance double")
+    frame = spark.createDataFrame([r for m in models for r in m.importances()], "feature string, importance double")
     return frame.groupBy("feature").agg((F.sum("importance") / len(models)).alias("importance"), F.count("*").alias("folds")).orderBy(F.desc("importance"), "feature")

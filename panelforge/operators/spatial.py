@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import kept
+from .ranges import medians
 
 KM_LON, KM_LAT = 111.32, 110.57
 #: Anchors that a neighbour join broadcasts at most.
@@ -17,8 +18,10 @@ BLOCK = 2_000
 
 def project(df: DataFrame, lon: str, lat: str, groups: list[str] | None = None) -> DataFrame:
     """x_km and y_km around the median latitude of the frame (or of each group)."""
-    middle = df.groupBy(*(groups or [])).agg(F.median(lat).alias("lat0_"))
-    joined = df.join(middle, groups) if groups else df.crossJoin(F.broadcast(middle))
+    if groups:
+        joined = df.join(df.groupBy(*groups).agg(F.median(lat).alias("lat0_")), groups)
+    else:
+        joined = df.withColumn("lat0_", F.lit(medians(df, [lat]).get(lat)))
     scale = F.cos(F.col("lat0_") * F.lit(math.pi / 180.0))
     return joined.withColumns({"x_km": F.col(lon) * KM_LON * scale, "y_km": F.col(lat) * KM_LAT}).drop("lat0_")
 

@@ -9,13 +9,18 @@ from pyspark.sql import functions as F
 
 from ..session import kept
 from .checks import join_one_to_one
+from .ranges import quantiles, running_totals
 
 
-def describe(x: str, name: str = "") -> list[Column]:
-    """Exact count, mean, std, min, quartiles and max."""
-    p = f"{name}_" if name else ""
-    q = lambda share: F.percentile(x, share)
-    return [F.count(x).alias(f"{p}count"), F.avg(x).alias(f"{p}mean"), F.stddev_samp(x).alias(f"{p}std"), F.min(x).alias(f"{p}min"), q(0.25).alias(f"{p}q25"), q(0.5).alias(f"{p}q50"), q(0.75).alias(f"{p}q75"), F.max(x).alias(f"{p}max")]
+def describe(df: DataFrame, column: str, groups: list[str] | None = None) -> DataFrame:
+    """(groups, count, mean, std, min, q25, q50, q75, max) of a column; quartiles by selection, whatever a group's size."""
+    groups = groups or []
+    x = F.col(column)
+    sums = df.groupBy(*groups).agg(F.count(x).alias("count"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"), F.min(x).alias("min"), F.max(x).alias("max"))
+    at = lambda s: F.max(F.when(F.col("share") == s, F.col("value")))
+    quarters = quantiles(df, [column], [0.25, 0.5, 0.75], groups).groupBy(*groups).agg(at(0.25).alias("q25"), at(0.5).alias("q50"), at(0.75).alias("q75"))
+    out = sums.alias("a").join(quarters.alias("b"), reduce(lambda p, q: p & q, [F.col(f"a.{g}").eqNullSafe(F.col(f"b.{g}")) for g in groups], F.lit(True)), "left")
+    return out.select(*[F.col(f"a.{g}").alias(g) for g in groups], "count", "mean", "std", "min", "q25", "q50", "q75", "max")
 
 
 def missingness(df: DataFrame) -> DataFrame:
@@ -113,28 +118,10 @@ def pearson_table(df: DataFrame, target: str, features: list[str], least: int =
     return sums.unpivot([], features, "feature", "s").select("feature", "s.n", "s.pearson").where(F.col("n") >= least)
 
 
-def running_totals(df: DataFrame, groups: list[str], value: str, count: str, ties: list[str] | None = None, parts: int = 32) -> DataFrame:
-    """df with before_: the sum of `count` over the rows of its group that come earlier by value (then `ties`).
-
-    Each group is cut into ranges at approximate quantiles; sums run inside a range in one task and are
-    shifted by the totals of the ranges before, so no task sorts a whole group. The cuts do not affect
-    the result. Values are numbers and not null.
-    """
-    cuts = df.groupBy(*groups).agg(F.percentile_approx(value, [k / parts for k in range(1, parts)], 1000).alias("cuts_"))
-    rows = df.join(cuts, groups) if groups else df.crossJoin(F.broadcast(cuts))
-    rows = rows.withColumn("range_", F.size(F.filter("cuts_", lambda c: c < F.col(value)))).drop("cuts_")
-    inside = Window.partitionBy(*groups, "range_").orderBy(value, *(ties or []))
-    rows = rows.withColumn("inside_", F.sum(count).over(inside.rowsBetween(Window.unboundedPreceding, 0)) - F.col(count))
-    totals = rows.groupBy(*groups, "range_").agg(F.sum(count).alias("total_"))
-    shift = F.sum("total_").over(Window.partitionBy(*groups).orderBy("range_")) - F.col("total_")
-    starts = totals.select(*groups, "range_", shift.alias("start_"))
-    return rows.join(starts, [*groups, "range_"]).withColumn("before_", F.col("start_") + F.col("inside_")).drop("range_", "inside_", "start_")
-
-
-def value_ranks(df: DataFrame, groups: list[str], value: str, name: str, times: str | None = None) -> DataFrame:
+def value_ranks(df: DataFrame, groups: list[str], value: str, name: str, times: str | None = None, most: int | None = None) -> DataFrame:
     """(groups, value, name): the rank of each distinct value, ties sharing their mean rank; a row counts `times` times."""
     by_value = df.groupBy(*groups, value).agg((F.sum(times) if times else F.count("*")).alias("ties_"))
-    return running_totals(by_value, groups, value, "ties_").select(*groups, value, (F.col("before_") + (F.col("ties_") + 1) / 2).alias(name))
+    return running_totals(by_value, groups, value, "ties_", most=most).select(*groups, value, (F.col("before_") + (F.col("ties_") + 1) / 2).alias(name))
 
 
 def average_ranks(df: DataFrame, groups: list[str], value: str, name: str) -> DataFrame:
@@ -142,6 +129,26 @@ def average_ranks(df: DataFrame, groups: list[str], value: str, name: str) -> Da
     return df.join(value_ranks(df, groups, value, name), [*groups, value])
 
 
+def _ranked(pairs: DataFrame, keys: list[str], most: int) -> DataFrame:
+    """pairs (keys, x_, t_, w_; keys not null) with rx_ and rt_, the mean ranks of both sides; a pair counts w_ times."""
+    x, t = value_ranks(pairs, keys, "x_", "rx_", "w_", most), value_ranks(pairs, keys, "t_", "rt_", "w_", most)
+    return pairs.join(x, [*keys, "x_"]).join(t, [*keys, "t_"])
+
+
+def _weighted_corr(rows: DataFrame, keys: list[str], w: str, pairs: dict[str, tuple[str, str]]) -> DataFrame:
+    """(keys, n, a coefficient by name) of pairs of columns without nulls, around their weighted means; null without spread."""
+    names = sorted({c for p in pairs.values() for c in p})
+    weight = F.col(w)
+    means = rows.groupBy(*keys).agg(*[(F.sum(weight * F.col(c)) / F.sum(weight)).alias(f"{c}__m") for c in names])
+    met = rows.join(means, keys) if keys else rows.crossJoin(F.broadcast(means))
+    off = lambda c: F.col(c) - F.col(f"{c}__m")
+    products = {(a, b) for p in pairs.values() for a, b in (p, (p[0], p[0]), (p[1], p[1]))}
+    sums = met.groupBy(*keys).agg(F.sum(weight).alias("n"), *[F.sum(weight * off(a) * off(b)).alias(f"{a}*{b}") for a, b in sorted(products)])
+    s = lambda a, b: F.col(f"`{a}*{b}`")
+    out = [F.when((s(a, a) > 0) & (s(b, b) > 0), s(a, b) / F.sqrt(s(a, a) * s(b, b))).alias(name) for name, (a, b) in pairs.items()]
+    return sums.select(*keys, "n", *out)
+
+
 def spearman_table(df: DataFrame, target: str, features: list[str], groups: list[str] | None = None) -> DataFrame:
     """(groups, feature, n, spearman): Pearson of average ranks among each feature's complete pairs.
 
@@ -153,13 +160,7 @@ def spearman_table(df: DataFrame, target: str, features: list[str], groups: list
     long = df.select(*groups, F.col(target).cast("double").alias("t_"), *[F.col(f).cast("double").alias(f) for f in features])
     long = long.unpivot([*groups, "t_"], features, "feature", "x_").where("x_ is not null and t_ is not null")
     pairs = kept(long.groupBy(*keys, "x_", "t_").agg(F.count("*").alias("w_")))
-    ranked = pairs.join(value_ranks(pairs, keys, "x_", "rx_", "w_"), [*keys, "x_"]).join(value_ranks(pairs, keys, "t_", "rt_", "w_"), [*keys, "t_"])
-    w, x, t = F.col("w_"), F.col("rx_"), F.col("rt_")
-    middle = (F.sum("w_") + 1) / 2  # the mean of ranks
-    sums = ranked.groupBy(*keys).agg(F.sum("w_").alias("n"), F.sum(w * x * t).alias("xt"), F.sum(w * x * x).alias("xx"), F.sum(w * t * t).alias("tt"), middle.alias("m"))
-    spread = lambda a: F.col(a) - F.col("n") * F.col("m") ** 2
-    fine = (spread("xx") > 0) & (spread("tt") > 0)
-    return sums.select(*keys, "n", F.when(fine, spread("xt") / F.sqrt(spread("xx") * spread("tt"))).alias("spearman"))
+    return _weighted_corr(_ranked(pairs, keys, pairs.count()), keys, "w_", {"spearman": ("rx_", "rt_")})
 
 
 def correlation_groups(table: DataFrame, group: str, value: str) -> DataFrame:
@@ -192,13 +193,38 @@ def ensemble(frames: list[DataFrame], keys: list[str], value: str) -> DataFrame:
     return joined.withColumn(f"{value}_mean", mean)
 
 
+def correlation_sets(df: DataFrame, target: str, features: list[str], by: dict[str, str] | None = None, least: int = 20) -> DataFrame:
+    """(group_type, group, feature, n, missing_share, four coefficients, abs_spearman_log) over all rows and in each group.
+
+    by: group_type -> column. One scan makes all groupings: pairs are counted under GROUPING SETS and written;
+    shares, ranks and coefficients come from that table. Ranks of log1p(target) are those of the target, unless a
+    target is at or below -1, which has none: then they are taken anew. Null groups are groups ("null");
+    features with under `least` complete pairs in a group are left out of it.
+    """
+    by = by or {}
+    names = [f"g{i}_" for i in range(len(by))]
+    long = df.select(*[F.coalesce(F.col(c).cast("string"), F.lit("null")).alias(n) for n, c in zip(names, by.values(), strict=True)], F.col(target).cast("double").alias("t_"), *[F.col(f).cast("double").alias(f) for f in features])
+    long = long.unpivot([*names, "t_"], features, "feature", "x_")
+    base = ["feature", "x_", "t_"]
+    counted = long.groupingSets([base, *[[*base, n] for n in names]], *base, *names).agg(F.count("*").alias("w_"), *[F.grouping(n).alias(f"off_{n}") for n in names])
+    which = lambda pick, none: reduce(lambda rest, n: F.when(F.col(f"off_{n}") == 0, pick(n)).otherwise(rest), names, F.lit(none))
+    kind = dict(zip(names, by, strict=True))
+    counted = counted.select(which(lambda n: F.lit(kind[n]), "overall").alias("group_type"), which(F.col, "all").alias("group"), *base, "w_")
+    pairs = kept(counted)
+    most, keys = pairs.count(), ["group_type", "group", "feature"]
+    missing = pairs.groupBy(*keys).agg((F.sum(F.when(F.col("x_").isNull(), F.col("w_")).otherwise(0)) / F.sum("w_")).alias("missing_share"))
+    full = pairs.where("x_ is not null and t_ is not null")
+    lifted = full.where("t_ > -1").withColumn("lt_", F.log1p("t_"))
+    both = {"pearson_log": ("x_", "lt_"), "spearman_log": ("rx_", "rt_")}
+    if full.where("t_ <= -1").isEmpty():
+        out = _weighted_corr(_ranked(lifted, keys, most), keys, "w_", {"pearson": ("x_", "t_"), "spearman": ("rx_", "rt_")} | both)
+    else:
+        plain = _weighted_corr(_ranked(full, keys, most), keys, "w_", {"pearson": ("x_", "t_"), "spearman": ("rx_", "rt_")})
+        out = plain.join(_weighted_corr(_ranked(lifted, keys, most), keys, "w_", both).drop("n"), keys, "left")
+    out = out.where(F.col("n") >= least).join(missing, keys)
+    return out.select(*keys, "n", "missing_share", "pearson", "spearman", "pearson_log", "spearman_log", F.abs("spearman_log").alias("abs_spearman_log"))
+
+
 def correlation_table(df: DataFrame, target: str, features: list[str], least: int = 20) -> DataFrame:
     """(feature, n, missing_share, four coefficients, abs_spearman_log) of features against a target and its log1p."""
-    rows = df.withColumn("log_target_", F.log1p(target))
-    counts = rows.agg(F.count("*").alias("rows_"), *[F.count(f).alias(f) for f in features]).unpivot("rows_", features, "feature", "present_")
-    share = counts.select("feature", F.when(F.col("rows_") > 0, 1 - F.col("present_") / F.col("rows_")).alias("missing_share"))
-    out = share
-    for t, end in ((target, ""), ("log_target_", "_log")):
-        out = out.join(pearson_table(rows, t, features, least).withColumnRenamed("pearson", f"pearson{end}").drop(*(["n"] if end else [])), "feature")
-        out = out.join(spearman_table(rows, t, features).withColumnRenamed("spearman", f"spearman{end}").drop("n"), "feature")
-    return out.withColumn("abs_spearman_log", F.abs("spearman_log"))
+    return correlation_sets(df, target, features, None, least).drop("group_type", "group")

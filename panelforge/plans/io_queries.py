@@ -213,12 +213,12 @@ def joined_distinct(spark, sf_dir):
     return table(spark, sf_dir, "events").withColumn("kind", F.col("user_id") % 5).groupBy("event_type").agg(S.joined_values("kind").alias("kinds"))
 
 
-@query("""SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, round(l_quantity - 273.15, 6) AS temperature_2m_min_c, round(l_quantity + 1 - 273.15, 6) AS temperature_2m_max_c, round(l_quantity - 1 - 273.15, 6) AS dewpoint_temperature_2m_c, round(greatest(l_tax - 0.04, 0) * 1000, 6) AS runoff_mm, round((l_tax - 0.04) * 1000, 6) AS potential_evaporation_mm_signed, round(greatest(l_extendedprice - 20000, 0) / 1e6, 6) AS solar_radiation_mj_m2 FROM lineitem""")
+@query("""SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, round(l_quantity - 273.15, 6) AS temperature_2m_min_c, round(l_quantity + 1 - 273.15, 6) AS temperature_2m_max_c, round(l_quantity - 1 - 273.15, 6) AS dewpoint_temperature_2m_c, round(greatest(l_tax - 0.04, 0) * 1000, 6) AS runoff_mm, round((l_tax - 0.04) * 1000, 6) AS potential_evaporation_mm_signed, round(greatest(l_extendedprice - 20000, 0) / 1e6, 9) AS solar_radiation_mj_m2 FROM lineitem""")
 def weather_units_more(spark, sf_dir):
     """Least and greatest temperature, dew point, runoff, signed evaporation and radiation."""
     c, keys = F.col, ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"]
     raw = table(spark, sf_dir, "lineitem").select(*keys, c("l_quantity").alias("temperature_2m_min"), (c("l_quantity") + 1).alias("temperature_2m_max"), (c("l_quantity") - 1).alias("dewpoint_temperature_2m"), (c("l_tax") - 0.04).alias("runoff"), (c("l_tax") - 0.04).alias("potential_evaporation"), (c("l_extendedprice") - 20000).alias("solar_radiation"))
-    return S.weather_units(raw).select(*keys, *[r6(c(x), x) for x in ("temperature_2m_min_c", "temperature_2m_max_c", "dewpoint_temperature_2m_c", "runoff_mm", "potential_evaporation_mm_signed", "solar_radiation_mj_m2")])
+    return S.weather_units(raw).select(*keys, *[r6(c(x), x) for x in ("temperature_2m_min_c", "temperature_2m_max_c", "dewpoint_temperature_2m_c", "runoff_mm", "potential_evaporation_mm_signed")], F.round("solar_radiation_mj_m2", 9).alias("solar_radiation_mj_m2"))
 
 
 @query("SELECT vec_id, CASE WHEN vec_id % 3 <> 0 THEN round((1000 * label + 500) / 10000.0, 6) END AS red, CASE WHEN vec_id % 3 <> 0 THEN round((500 * label) / 10000.0, 6) END AS nir FROM embeddings")

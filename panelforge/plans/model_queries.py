@@ -7,10 +7,10 @@ from functools import reduce
 
 from pyspark.sql import functions as F
 
-from ..models import forecast, linear, trees
+from ..models import boosting, forecast, linear, trees
 from ..operators import columns, kriging, stats
 from ..session import shared_dir, table
-from .base import KEYS, query
+from .base import KEYS, query, r6
 from .panel_queries import filled_panel, rounded
 from .spatial_queries import POINTS, points
 
@@ -130,30 +130,55 @@ def saved_model(spark, sf_dir):
     return line.select(F.round(F.col("b") - F.col("a"), 6).alias("slope"), F.round("a", 4).alias("intercept"))
 
 
+_STUMP = """WITH r AS (SELECT CASE WHEN l_linenumber % 3 <> 0 THEN l_quantity END AS x, l_extendedprice AS y FROM lineitem), b AS (SELECT avg(y) AS base, var_pop(y) AS spread, count(*) AS h, sum(CASE WHEN x IS NULL THEN 1 ELSE 0 END) AS hm FROM r),
+v AS (SELECT x, sum(base - y) AS g, count(*) AS h FROM r, b GROUP BY 1), m AS (SELECT coalesce(sum(g), 0) AS gm FROM v WHERE x IS NULL),
+c AS (SELECT lead(x) OVER (ORDER BY x) AS cut, sum(g) OVER (ORDER BY x) AS gl, sum(h) OVER (ORDER BY x) AS hl FROM v WHERE x IS NOT NULL),
+s AS (SELECT cut, d AS missing_left, gl + d * gm AS gl, hl + d * hm AS hl, b.h - hl - d * hm AS hr, -(gl + d * gm) AS gr, spread, b.h AS h FROM c, m, b, (SELECT unnest([0, 1]) AS d)),
+k AS (SELECT *, (gl * gl / (hl + 1) + gr * gr / (hr + 1)) / 2 AS gain FROM s WHERE hl >= 1 AND hr >= 1)
+SELECT cut, missing_left, round(gain / (h * spread / 2), 6) AS gain_share, round(-gl / (hl + 1), 3) AS left_value, round(-gr / (hr + 1), 3) AS right_value FROM k ORDER BY gain DESC LIMIT 1"""
+
+
+@query(_STUMP)
+def gbt_stump(spark, sf_dir):
+    """The first split of a boosted tree on a column with nulls: cut, side of the nulls, share of the variance it takes, leaves."""
+    rows = table(spark, sf_dir, "lineitem").select(F.when(F.col("l_linenumber") % 3 != 0, F.col("l_quantity")).alias("x"), F.col("l_extendedprice").alias("y"))
+    model = boosting.fit(rows, ["x"], F.col("y"), boosting.Params(rounds=1, rate=1.0, depth=1))
+    tree, cuts = model.trees[0], model.cuts[0]
+    cut = cuts[tree.bin[0] - 1] if tree.bin[0] <= len(cuts) else None
+    spread = rows.agg((F.count("y") * F.var_pop("y") / 2).alias("s"))
+    return spread.select(F.lit(cut).cast("double").alias("cut"), F.lit(1 - tree.default[0]).alias("missing_left"), r6(F.lit(tree.gain[0]) / F.col("s"), "gain_share"), F.lit(round(tree.value[1], 3)).alias("left_value"), F.lit(round(tree.value[2], 3)).alias("right_value"))
+
+
+def gappy_lines(spark, sf_dir):
+    """Line items with nulls in two features, as they come from sensors."""
+    c = F.col
+    rows = table(spark, sf_dir, "lineitem").withColumns({"month": F.month("l_shipdate"), "year": F.year("l_shipdate")})
+    return rows.withColumns({"l_quantity": F.when(c("l_linenumber") % 5 != 0, c("l_quantity")), "l_tax": F.when(c("l_suppkey") % 4 != 0, c("l_tax"))})
+
+
+_INPUTS = ["l_quantity", "l_discount", "l_tax", "month"]
+
+
 @query()
 def gbt_regression(spark, sf_dir):
-    """Boosted regression trees on line items, scored on the last years."""
-    rows = table(spark, sf_dir, "lineitem").withColumn("month", F.month("l_shipdate"))
-    year = F.year("l_shipdate")
-    model = trees.fit_regression(rows.where(year < 2000), ["l_quantity", "l_discount", "l_tax", "month"], "l_extendedprice", validation=rows.where(year == 2000), iterations=50)
+    """Boosted regression trees on line items with nulls left in, stopped early on one year, scored on the last."""
+    rows, year = gappy_lines(spark, sf_dir), F.col("year")
+    model = trees.fit_regression(rows.where(year < 2000), _INPUTS, "l_extendedprice", rows.where(year == 2000), iterations=200, rate=0.3, patience=5)
     return stats.regression_scores("l_extendedprice", "prediction", log_r2=True)(trees.predict(model, rows.where(year > 2000), log_target=True))
 
 
 @query()
 def gbt_importance(spark, sf_dir):
-    """Feature importances of the regression trees."""
-    rows = table(spark, sf_dir, "lineitem").withColumn("month", F.month("l_shipdate"))
-    names = ["l_quantity", "l_discount", "l_tax", "month"]
-    return trees.importances(spark, trees.fit_regression(rows, names, "l_extendedprice", iterations=50), names)
+    """Feature importances of regression trees: mean gains of splits."""
+    return trees.importances(spark, trees.fit_regression(gappy_lines(spark, sf_dir), _INPUTS, "l_extendedprice", iterations=10, rate=0.3))
 
 
 @query()
 def gbt_classifier(spark, sf_dir):
     """Weighted boosted classification of expensive lines, as precision, recall and F1."""
-    rows = table(spark, sf_dir, "lineitem").withColumns({"label": (F.col("l_extendedprice") >= 50000).cast("double"), "weight": F.when(F.col("l_returnflag") == "N", 1.0).otherwise(0.4)})
-    year = F.year("l_shipdate")
-    model = trees.fit_classifier(rows.where(year < 2000), ["l_quantity", "l_discount", "l_tax"], "label", "weight")
-    scored = trees.predict(model, rows.where(year >= 2000))
+    rows = gappy_lines(spark, sf_dir).withColumns({"label": (F.col("l_extendedprice") >= 50000).cast("double"), "weight": F.when(F.col("l_returnflag") == "N", 1.0).otherwise(0.4)})
+    model = trees.fit_classifier(rows.where("year < 2000"), ["l_quantity", "l_discount", "l_tax"], "label", "weight", iterations=10, rate=0.3)
+    scored = trees.predict(model, rows.where("year >= 2000"))
     return scored.agg(*stats.classification_scores(F.col("label") == 1, F.col("prediction") == 1))
 
 

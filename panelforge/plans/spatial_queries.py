@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..operators import spatial as G, stats
+from ..operators import regions as Z, spatial as G, stats
 from ..session import table
 from .base import query, r6
 from .panel_queries import rounded
@@ -157,3 +157,50 @@ def distance_transform(spark, sf_dir):
     """Distance to the nearest marked cell, capped."""
     p = points(spark, sf_dir).select("vec_id", "label", F.col("lon").alias("x"), F.col("lat").alias("y"))
     return rounded(G.capped_distance(p.drop("label"), p.where("label = 1"), "vec_id", 0.05), "distance")
+
+
+#: Corners of a diamond and of a hole in it, around a place.
+_RINGS = (((0.15, 0.0), (0.0, 0.15), (-0.15, 0.0), (0.0, -0.15)), ((0.04, 0.04), (-0.04, 0.04), (-0.04, -0.04), (0.04, -0.04)))
+_EDGES = " UNION ALL ".join(f"SELECT vec_id AS region_id, lon + {a[0]} AS x0, lat + {a[1]} AS y0, lon + {b[0]} AS x1, lat + {b[1]} AS y1 FROM pts WHERE label = 0" for ring in _RINGS for a, b in zip(ring, ring[1:] + ring[:1], strict=True))
+_INSIDE = f"""WITH {POINTS}, e AS ({_EDGES}), c AS (SELECT region_id, p.vec_id, p.value, count(*) FILTER (((y0 > p.lat) <> (y1 > p.lat)) AND p.lon < (x1 - x0) * (p.lat - y0) / (y1 - y0) + x0) AS crossed,
+count(*) FILTER ((x1 - x0) * (p.lat - y0) = (y1 - y0) * (p.lon - x0) AND p.lon BETWEEN least(x0, x1) AND greatest(x0, x1) AND p.lat BETWEEN least(y0, y1) AND greatest(y0, y1)) AS touched FROM e CROSS JOIN pts p GROUP BY ALL),
+i AS (SELECT region_id, vec_id, value FROM c WHERE crossed % 2 = 1 OR touched > 0)"""
+
+
+def in_polygons(spark, sf_dir):
+    """Points with the polygon regions (diamonds with a hole) that they lie in."""
+    p = points(spark, sf_dir)
+    at = lambda d: F.struct((F.col("lon") + d[0]).alias("x"), (F.col("lat") + d[1]).alias("y"))
+    regions = p.where("label = 0").select(F.col("vec_id").alias("region_id"), F.array(*[F.array(*map(at, ring)) for ring in _RINGS]).alias("rings"))
+    return Z.points_in(p.select("vec_id", "value", F.col("lon").alias("x"), F.col("lat").alias("y")), regions, "region_id", 0.05)
+
+
+@query(f"{_INSIDE} SELECT region_id, vec_id FROM i")
+def polygon_join(spark, sf_dir):
+    """Points in polygon regions, found through covering cells and rays in border cells."""
+    return in_polygons(spark, sf_dir).select("region_id", "vec_id")
+
+
+@query(f"{_INSIDE} SELECT region_id, count(*) AS pixels, round(avg(value), 6) AS value_mean, round(stddev_pop(value), 6) AS value_stddev FROM i GROUP BY 1")
+def polygon_reduce(spark, sf_dir):
+    """Statistics of the pixels of each polygon region."""
+    return in_polygons(spark, sf_dir).groupBy("region_id").agg(F.count("*").alias("pixels"), r6(F.avg("value"), "value_mean"), r6(F.stddev_pop("value"), "value_stddev"))
+
+
+@query(f"WITH {POINTS} SELECT vec_id FROM pts WHERE lon BETWEEN -0.1 AND 0.2 AND lat BETWEEN -0.05 AND 0.3")
+def bounds_filter(spark, sf_dir):
+    """Points of a closed box."""
+    p = points(spark, sf_dir).select("vec_id", F.col("lon").alias("x"), F.col("lat").alias("y"))
+    return Z.within_bounds(p, -0.1, -0.05, 0.2, 0.3).select("vec_id")
+
+
+@query(f"""WITH {POINTS}, seg AS (SELECT lon AS x0, lat AS y0, lon + 0.2 AS x1, lat + 0.1 AS y1 FROM pts WHERE label = 1), n AS (SELECT *, greatest(CAST(ceil(greatest(abs(x1 - x0), abs(y1 - y0)) * 2 / 0.01::DOUBLE) AS INT), 1) AS n FROM seg),
+m AS (SELECT DISTINCT CAST(floor((x0 + (x1 - x0) * i / n) / 0.01::DOUBLE) AS BIGINT) AS cx, CAST(floor((y0 + (y1 - y0) * i / n) / 0.01::DOUBLE) AS BIGINT) AS cy FROM (SELECT *, unnest(range(0, n + 1)) AS i FROM n)),
+p AS (SELECT vec_id, CAST(floor(lon / 0.01::DOUBLE) AS BIGINT) AS px, CAST(floor(lat / 0.01::DOUBLE) AS BIGINT) AS py FROM pts) SELECT vec_id, round(least(sqrt(min((px - cx) ** 2 + (py - cy) ** 2)), 16) * 0.01::DOUBLE, 6) AS distance FROM p CROSS JOIN m GROUP BY 1""")
+def line_distances(spark, sf_dir):
+    """Distance of each point's cell to the nearest cell of any line, at most 16 cells."""
+    p = points(spark, sf_dir)
+    at = lambda dx, dy: F.struct((F.col("lon") + dx).alias("x"), (F.col("lat") + dy).alias("y"))
+    lines = p.where("label = 1").select("vec_id", F.array(at(0.0, 0.0), at(0.2, 0.1)).alias("path"))
+    out = Z.line_distances(p.select("vec_id", F.col("lon").alias("x"), F.col("lat").alias("y")), lines, "vec_id", "path", 0.01, 16)
+    return rounded(out.select("vec_id", "distance"), "distance")

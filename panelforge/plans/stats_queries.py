@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..operators import columns, panel as P, rollup as R, stats, windows
+from ..operators import columns, panel as P, ranges, rollup as R, stats, windows
 from ..session import table
 from .base import DAILY, FILLED, KEYS, PANEL, W, daily, day_text, panel, query, r6
 from .panel_queries import SCORES, filled_panel, rounded
@@ -50,7 +50,10 @@ def overview_kpis(spark, sf_dir):
 
 @query("SELECT l_returnflag, l_linestatus, round(median(l_extendedprice), 6) AS median_price, count(DISTINCT l_suppkey) AS suppliers, count(DISTINCT l_partkey) AS parts FROM lineitem GROUP BY 1, 2")
 def medians_and_distinct(spark, sf_dir):
-    return table(spark, sf_dir, "lineitem").groupBy("l_returnflag", "l_linestatus").agg(r6(F.median("l_extendedprice"), "median_price"), F.count_distinct("l_suppkey").alias("suppliers"), F.count_distinct("l_partkey").alias("parts"))
+    """Exact medians by selection, and distinct counts."""
+    lines, keys = table(spark, sf_dir, "lineitem"), ["l_returnflag", "l_linestatus"]
+    counts = lines.groupBy(*keys).agg(F.count_distinct("l_suppkey").alias("suppliers"), F.count_distinct("l_partkey").alias("parts"))
+    return ranges.quantiles(lines, ["l_extendedprice"], [0.5], keys).select(*keys, r6(F.col("value"), "median_price")).join(counts, keys)
 
 
 @query("""SELECT l_suppkey, strftime(l_shipdate, '%Y-%m') AS year_month, min(CAST(l_shipdate AS DATE))::VARCHAR AS date, round(sum(l_quantity), 6) AS quantity_sum, max(l_extendedprice) AS price_max, min(l_extendedprice) AS price_min, round(avg(l_discount), 6) AS discount_mean,
@@ -170,7 +173,7 @@ def persistence_lookup(spark, sf_dir):
 
 @query("SELECT event_type, count(value) AS count, round(avg(value), 6) AS mean, round(stddev_samp(value), 6) AS std, min(value) AS min, round(quantile_cont(value, 0.25), 6) AS q25, round(quantile_cont(value, 0.5), 6) AS q50, round(quantile_cont(value, 0.75), 6) AS q75, max(value) AS max FROM events GROUP BY 1")
 def describe_exact(spark, sf_dir):
-    return rounded(table(spark, sf_dir, "events").groupBy("event_type").agg(*stats.describe("value")), "mean", "std", "q25", "q50", "q75")
+    return rounded(stats.describe(table(spark, sf_dir, "events"), "value", ["event_type"]), "mean", "std", "q25", "q50", "q75")
 
 
 @query("""WITH c AS (SELECT count(*) FILTER (toxic = 1 AND quality = 0) AS tp, count(*) FILTER (toxic = 0 AND quality = 0) AS fp, count(*) FILTER (toxic = 1 AND quality = 1) AS fn FROM labels)
@@ -286,6 +289,26 @@ def correlation_table(spark, sf_dir):
     return rounded(out, "pearson", "spearman", "pearson_log", "spearman_log", "abs_spearman_log")
 
 
+_SETS = (("overall", "'all'"), ("season", "CASE WHEN month(l_shipdate) IN (12, 1, 2, 3, 4, 5) THEN 'dry' ELSE 'wet' END"), ("flag", "l_returnflag"))
+
+
+def _set_sql(kind: str, group: str, feature: str) -> str:
+    rows = f"SELECT {group} AS g, CASE WHEN l_linenumber % 3 <> 0 THEN {feature} END AS x, l_extendedprice AS t FROM lineitem"
+    ranks = f"SELECT g, x, t, {_rank('x', 'g')} AS a, {_rank('t', 'g')} AS b FROM ({rows}) WHERE x IS NOT NULL"
+    share = f"SELECT g, avg(CAST(x IS NULL AS INTEGER)) AS missing_share FROM ({rows}) GROUP BY 1"
+    return f"""SELECT '{kind}' AS group_type, g AS "group", '{feature}' AS feature, n, round(missing_share, 6) AS missing_share, round(p, 6) AS pearson, round(s, 6) AS spearman, round(pl, 6) AS pearson_log, round(s, 6) AS spearman_log, round(abs(s), 6) AS abs_spearman_log
+FROM (SELECT g, count(*) AS n, corr(x, t) AS p, corr(a, b) AS s, corr(x, ln(1 + t)) AS pl FROM ({ranks}) GROUP BY 1) JOIN ({share}) USING (g)"""
+
+
+@query(" UNION ALL ".join(_set_sql(k, g, f) for k, g in _SETS for f in _FEATURES))
+def correlation_sets(spark, sf_dir):
+    """Support, missing share and four coefficients over all rows, by season and by flag, from one scan."""
+    season = F.when(F.month("l_shipdate").isin(12, 1, 2, 3, 4, 5), "dry").otherwise("wet")
+    rows = table(spark, sf_dir, "lineitem").withColumns({"season_": season} | {f: F.when(F.col("l_linenumber") % 3 != 0, F.col(f)) for f in _FEATURES})
+    out = stats.correlation_sets(rows, "l_extendedprice", list(_FEATURES), {"season": "season_", "flag": "l_returnflag"})
+    return rounded(out, "missing_share", "pearson", "spearman", "pearson_log", "spearman_log", "abs_spearman_log")
+
+
 @query("SELECT count(*) AS raw, count(*) FILTER (c_acctbal > 0) AS water, count(*) FILTER (c_acctbal > 0 AND c_nationkey < 10) AS near_river, count(*) FILTER (c_acctbal > 0 AND c_nationkey < 10 AND c_mktsegment <> 'BUILDING') AS mapped FROM customer")
 def grid_audit(spark, sf_dir):
     """Rows left after each filter of a grid, in one pass."""
