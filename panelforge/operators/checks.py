@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -33,14 +35,25 @@ def require_one_coordinate(df: DataFrame, key: str, lon: str, lat: str) -> DataF
     return df
 
 
+def once(df: DataFrame, keys: list[str]) -> DataFrame:
+    """df, whose plan fails as soon as a key (null counts as one) turns up in a second row.
+
+    The count is a window over the keys, whose shuffle and sort a join on the same keys uses again, so the
+    contract needs no job of its own.
+    """
+    n = F.count(F.lit(1)).over(Window.partitionBy(*keys))
+    shown = F.concat_ws(", ", *[F.coalesce(F.col(k).cast("string"), F.lit("null")) for k in keys])
+    told = F.when(F.col("n_rows_") == 1, True).otherwise(F.raise_error(F.concat(F.lit("duplicate key "), shown)))
+    return df.withColumn("n_rows_", n).where(told).drop("n_rows_")
+
+
 def join_one_to_one(left: DataFrame, right: DataFrame, keys: list[str], how: str = "left") -> DataFrame:
-    return require_unique(left, keys).join(require_unique(right, keys), keys, how)
+    """Equi-join of two frames that hold each key once; a repeated key fails the job that meets it."""
+    return once(left, keys).join(once(right, keys), keys, how)
 
 
 def join_many_to_one(left: DataFrame, right: DataFrame, left_keys: list[str], right_keys: list[str]) -> DataFrame:
-    """Left join to a table with one row for each key; the right key columns are dropped."""
-    from functools import reduce
-
-    require_unique(right, right_keys)
-    on = reduce(lambda a, b: a & b, [left[a] == right[b] for a, b in zip(left_keys, right_keys, strict=True)])
-    return left.join(right, on, "left").drop(*[right[b] for b in right_keys])
+    """Left join to a table with one row for each key (more fail the job); the right key columns are dropped."""
+    named = once(right, right_keys).withColumnsRenamed({b: f"{b}__right" for b in right_keys})
+    on = reduce(lambda a, b: a & b, [left[a] == named[f"{b}__right"] for a, b in zip(left_keys, right_keys, strict=True)])
+    return left.join(named, on, "left").drop(*[f"{b}__right" for b in right_keys])

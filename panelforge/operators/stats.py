@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import kept
-from .checks import join_one_to_one
 from .ranges import quantiles, running_totals
 
 
@@ -186,11 +185,21 @@ def classification_scores(truth: Column, guess: Column) -> list[Column]:
 
 
 def ensemble(frames: list[DataFrame], keys: list[str], value: str) -> DataFrame:
-    """Inner join of predictions, renamed by position, with their mean; a key that a frame repeats is an error."""
-    named = [f.select(*keys, F.col(value).alias(f"{value}_{i}")) for i, f in enumerate(frames)]
-    joined = reduce(lambda a, b: join_one_to_one(a, b, keys, "inner"), named)
-    mean = reduce(lambda a, b: a + b, [F.col(f"{value}_{i}") for i in range(len(frames))]) / len(frames)
-    return joined.withColumn(f"{value}_mean", mean)
+    """(keys, a value of each frame by position, their mean) of the keys that all frames have; a key that a frame repeats is an error.
+
+    The frames are stacked and gathered by key in one shuffle; a second row of one frame and key fails the job.
+    """
+    stacked = reduce(lambda a, b: a.unionByName(b), [f.select(*keys, F.lit(i).alias("frame_"), F.col(value).alias("value_")) for i, f in enumerate(frames)])
+    mine = lambda i: F.col("frame_") == i
+    names = [f"{value}_{i}" for i in range(len(frames))]
+    rows = stacked.where(reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys]))
+    met = rows.groupBy(*keys).agg(*[F.max(F.when(mine(i), F.col("value_"))).alias(n) for i, n in enumerate(names)], *[F.count_if(mine(i)).alias(f"{n}__n") for i, n in enumerate(names)])
+    shown = F.concat_ws(", ", *[F.col(k).cast("string") for k in keys])
+    most = reduce(F.greatest, [F.col(f"{n}__n") for n in names]) if len(names) > 1 else F.col(f"{names[0]}__n")
+    whole = reduce(lambda a, b: a & b, [F.col(f"{n}__n") == 1 for n in names])
+    fine = F.when(most > 1, F.raise_error(F.concat(F.lit("duplicate key "), shown)).cast("boolean")).otherwise(whole)
+    mean = reduce(lambda a, b: a + b, [F.col(n) for n in names]) / len(frames)
+    return met.where(fine).select(*keys, *names, mean.alias(f"{value}_mean"))
 
 
 def correlation_sets(df: DataFrame, target: str, features: list[str], by: dict[str, str] | None = None, least: int = 20) -> DataFrame:
