@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import math
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -14,6 +13,8 @@ from .ranges import medians
 KM_LON, KM_LAT = 111.32, 110.57
 #: Anchors that a neighbour join broadcasts at most.
 BLOCK = 2_000
+#: Anchors of a quadtree's leaf at most, while its places can still be told apart.
+LEAF = 64
 
 
 def project(df: DataFrame, lon: str, lat: str, groups: list[str] | None = None) -> DataFrame:
@@ -35,46 +36,70 @@ def finite_points(df: DataFrame, columns: list[str]) -> DataFrame:
 def neighbours(queries: DataFrame, anchors: DataFrame, query_key: str, value: str, k: int, by: list[str] | None = None) -> DataFrame:
     """(query_key, by, distance, value) of each query's k nearest anchors, of the same group if `by` is given.
 
-    Both frames have x_km and y_km; rows whose places are not finite take no part. At most BLOCK anchors
-    (counted) are broadcast. More are met through square cells: a query sees the anchors of the nine cells
-    around it, and is done once its k-th is no farther than a cell is wide; what is left sees cells twice
-    as wide, until they span everything.
+    Both frames have x_km and y_km; rows whose places are not finite, and null groups, take no part; a query is
+    told apart by its key and group. At most BLOCK anchors (counted) are broadcast. More are dealt to the leaves
+    of a quadtree that is as deep as they are dense, and a query meets the leaves near enough to hold a neighbour.
     """
     by = by or []
-    a = finite_points(anchors, ["x_km", "y_km"]).select(*by, F.col("x_km").alias("ax_"), F.col("y_km").alias("ay_"), F.col(value).alias("v_"))
-    q = finite_points(queries, ["x_km", "y_km"]).select(query_key, *by, "x_km", "y_km")
-    distance = F.sqrt((F.col("x_km") - F.col("ax_")) ** 2 + (F.col("y_km") - F.col("ay_")) ** 2)
-    rank = F.row_number().over(Window.partitionBy(query_key, *by).orderBy("distance", "v_"))
-    out = [query_key, *by, "distance", F.col("v_").alias("value")]
-    n = a.count()
+    a = finite_points(anchors, ["x_km", "y_km"]).select(*by, F.col("x_km").cast("double").alias("ax_"), F.col("y_km").cast("double").alias("ay_"), F.col(value).alias("v_"))
+    q = finite_points(queries, ["x_km", "y_km"]).select(query_key, *by, F.col("x_km").cast("double").alias("x_km"), F.col("y_km").cast("double").alias("y_km"))
+    n = a.limit(BLOCK + 1).count()
     if n <= BLOCK:
         pairs = q.join(F.broadcast(a), by) if by else q.crossJoin(F.broadcast(a))
-        return pairs.select(query_key, *by, distance.alias("distance"), "v_").withColumn("r_", rank).where(F.col("r_") <= k).select(*out)
-    a = kept(a)
-    low = a.agg(F.min("ax_"), F.max("ax_"), F.min("ay_"), F.max("ay_")).first()
-    far = q.agg(F.min("x_km"), F.max("x_km"), F.min("y_km"), F.max("y_km")).first()
-    if far[0] is None:
-        return q.select(query_key, *by, F.lit(0.0).alias("distance"), F.lit(None).cast(a.schema["v_"].dataType).alias("value")).where("false")
-    span = max(max(low[1], far[1]) - min(low[0], far[0]), max(low[3], far[3]) - min(low[2], far[2])) or 1.0
-    width = span / max(1.0, (n / max(k, 4)) ** 0.5)
-    left, found = q, []
-    while True:
-        last = width >= span
-        cell = lambda c: F.floor(F.col(c) / F.lit(width))  # noqa: B023, E731
-        near = a.withColumn("cx_", F.explode(F.sequence(cell("ax_") - 1, cell("ax_") + 1))).withColumn("cy_", F.explode(F.sequence(cell("ay_") - 1, cell("ay_") + 1)))
-        met = left.withColumns({"cx_": cell("x_km"), "cy_": cell("y_km")}).join(near, [*by, "cx_", "cy_"])
-        best = met.withColumn("distance", distance).withColumn("r_", rank).where(F.col("r_") <= k)
-        best = kept(best.select(query_key, *by, "distance", "v_", "r_"))
-        if last:
-            found.append(best)
-            break
-        done = best.where((F.col("r_") == k) & (F.col("distance") <= width)).select(query_key, *by)
-        found.append(best.join(done, [query_key, *by], "left_semi"))
-        left = kept(left.join(done, [query_key, *by], "left_anti"))
-        if left.isEmpty():
-            break
-        width = min(2 * width, span)
-    return reduce(lambda x, y: x.unionByName(y), found).select(*out)
+    else:
+        pairs = _near_pairs(q, a, query_key, k, by)
+    distance = F.sqrt((F.col("x_km") - F.col("ax_")) ** 2 + (F.col("y_km") - F.col("ay_")) ** 2)
+    rank = F.row_number().over(Window.partitionBy(query_key, *by).orderBy("distance", "v_"))
+    return pairs.select(query_key, *by, distance.alias("distance"), "v_").withColumn("r_", rank).where(F.col("r_") <= k).select(query_key, *by, "distance", F.col("v_").alias("value"))
+
+
+def _near_pairs(q: DataFrame, a: DataFrame, query_key: str, k: int, by: list[str]) -> DataFrame:
+    """Each query with all anchors of the quadtree's leaves that may hold one of its k nearest.
+
+    Of anchors at one place only the k of least value can count. Nodes of all levels are counted in one
+    aggregation; a leaf is the first node on the way down with few anchors. The smallest node around a query
+    with k anchors bounds the distance to its k-th; leaves no farther than that are found through the cells, as
+    wide as the bound, that its circle touches.
+    """
+    few = max(LEAF, 8 * k)
+    place = Window.partitionBy(*by, "ax_", "ay_").orderBy("v_")
+    a = kept(a.withColumn("r_", F.row_number().over(place)).where(F.col("r_") <= k).drop("r_"))
+    q = kept(q)
+    both = [*a.agg(F.min("ax_"), F.max("ax_"), F.min("ay_"), F.max("ay_")).first()], [*q.agg(F.min("x_km"), F.max("x_km"), F.min("y_km"), F.max("y_km")).first()]
+    low, high, bottom, top = (f(x for x in pair if x is not None) for f, pair in zip((min, max, min, max), zip(*both, strict=True), strict=True))
+    span = max(high - low, top - bottom) * (1 + 1e-9) or 1.0
+    deep = min(26, math.ceil(math.log(max(a.count() / few, 1), 4)) + 10)
+    width = lambda level: F.lit(span) / F.pow(F.lit(2.0), level)
+    cell = lambda x, origin, level: F.floor((x - F.lit(origin)) / width(level)).cast("long")
+    up = lambda c, levels: F.floor(F.col(c) / F.pow(F.lit(2.0), levels)).cast("long")
+    node, box = [*by, "level", "cx", "cy"], ["ax0", "ax1", "ay0", "ay1"]
+    a = a.withColumns({"fx_": cell(F.col("ax_"), low, F.lit(deep)), "fy_": cell(F.col("ay_"), bottom, F.lit(deep))})
+    fine = a.groupBy(*by, "fx_", "fy_").agg(F.count("*").alias("n_"), F.min("ax_").alias("ax0"), F.max("ax_").alias("ax1"), F.min("ay_").alias("ay0"), F.max("ay_").alias("ay1"))
+    every = fine.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(deep)))).withColumns({"cx": up("fx_", F.lit(deep) - F.col("level")), "cy": up("fy_", F.lit(deep) - F.col("level"))})
+    nodes = kept(every.groupBy(*node).agg(F.sum("n_").alias("n_"), *[(F.min if c[-1] == "0" else F.max)(c).alias(c) for c in box]))
+    parent = nodes.where(F.col("n_") > few).select(*by, (F.col("level") + 1).alias("level"), F.col("cx").alias("px_"), F.col("cy").alias("py_"))
+    child = nodes.where((F.col("n_") <= few) | (F.col("level") == deep)).withColumns({"px_": up("cx", F.lit(1)), "py_": up("cy", F.lit(1))})
+    leaves = kept(child.join(parent, [*by, "level", "px_", "py_"], "left_semi").unionByName(child.where((F.col("level") == 0) & (F.col("n_") <= few))).drop("px_", "py_"))
+    # every query's bound: the farthest corner of the smallest node around it that has k anchors
+    home = q.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(deep)))).withColumns({"cx": cell(F.col("x_km"), low, F.col("level")), "cy": cell(F.col("y_km"), bottom, F.col("level"))})
+    off = lambda c, a0, a1: F.greatest(F.abs(F.col(c) - F.col(a0)), F.abs(F.col(c) - F.col(a1)))
+    farthest = F.sqrt(off("x_km", "ax0", "ax1") ** 2 + off("y_km", "ay0", "ay1") ** 2) * (1 + 1e-9)
+    bound = home.join(nodes.where(F.col("n_") >= k), node).groupBy(query_key, *by).agg(F.min(farthest).alias("far_"))
+    around = q.join(bound, [query_key, *by], "left").withColumn("far_", F.coalesce("far_", F.lit(2.0 * span)))
+    at_most = F.greatest(F.lit(0), F.least(F.lit(deep), F.floor(F.log2(F.lit(span) / F.greatest(F.col("far_"), F.lit(span * 2.0**-30)))))).cast("int")
+    around = around.withColumn("own_", at_most).withColumn("level", F.explode(F.sequence(F.lit(0), F.col("own_"))))
+    side = lambda c, origin: F.explode(F.sequence(*[F.greatest(F.lit(0), F.least(cell(x, origin, F.col("level")), F.pow(F.lit(2.0), F.col("level")).cast("long") - 1)) for x in (F.col(c) - F.col("far_"), F.col(c) + F.col("far_"))]))
+    around = around.withColumn("cx", side("x_km", low)).withColumn("cy", side("y_km", bottom))
+    leaf = F.struct("level", "cx", "cy")
+    index = leaves.select(*by, *box, leaf.alias("leaf_"), F.explode(F.sequence(F.lit(0), F.col("level"))).alias("level"))
+    index = index.withColumns({"cx": F.floor(F.col("leaf_.cx") / F.pow(F.lit(2.0), F.col("leaf_.level") - F.col("level"))).cast("long"), "cy": F.floor(F.col("leaf_.cy") / F.pow(F.lit(2.0), F.col("leaf_.level") - F.col("level"))).cast("long")})
+    gap = lambda c, a0, a1: F.greatest(F.col(a0) - F.col(c), F.col(c) - F.col(a1), F.lit(0.0))
+    met = around.join(index, node).where((F.col("level") == F.col("own_")) | (F.col("level") == F.col("leaf_.level")))
+    met = met.where(F.sqrt(gap("x_km", "ax0", "ax1") ** 2 + gap("y_km", "ay0", "ay1") ** 2) <= F.col("far_")).select(query_key, *by, "x_km", "y_km", "leaf_")
+    levels = leaves.select(*by, "level", "cx", "cy")
+    dealt = a.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(deep)))).withColumns({"cx": up("fx_", F.lit(deep) - F.col("level")), "cy": up("fy_", F.lit(deep) - F.col("level"))})
+    dealt = kept(dealt.join(levels, node, "left_semi").select(*by, leaf.alias("leaf_"), "ax_", "ay_", "v_"))
+    return met.join(dealt, [*by, "leaf_"])
 
 
 def idw(near: DataFrame, query_key: str, name: str, power: float = 2.0, by: list[str] | None = None) -> DataFrame:

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from panelforge.operators import regions
+from panelforge.operators import regions, spatial
 
 
 def brute_inside(x, y, rings):
@@ -72,3 +72,36 @@ def test_lines_to_distances(spark):
     points = spark.createDataFrame([(1, 5.2, 0.3), (2, 5.2, 4.1), (3, 30.0, 0.0), (4, None, 1.0)], "p long, x double, y double")
     got = {r.p: r.distance for r in regions.line_distances(points, lines, "id", "path", 2.0, 4).select("p", F.round("distance", 9).alias("distance")).collect()}
     assert got == {1: 0.0, 2: 4.0, 3: 8.0, 4: None}
+
+
+@pytest.mark.parametrize(("k", "by"), [(1, False), (5, False), (3, True)])
+def test_neighbours_in_a_dense_city_equal_brute_force(spark, monkeypatch, k, by):
+    """Nine of ten anchors in a thousandth of the width, a third of them at one place, queries near and far."""
+    monkeypatch.setattr(spatial, "BLOCK", 50)
+    monkeypatch.setattr(spatial, "LEAF", 8)
+    rng = np.random.default_rng(k)
+    anchors = [(int(g), *(float(x) for x in (rng.normal(0, 0.1, 2) if i % 10 else rng.uniform(-100, 100, 2))), i) for i, g in enumerate(rng.integers(0, 3, 600))]
+    anchors[::3] = [(g, 0.125, 0.25, i) for g, _, _, i in anchors[::3]]
+    queries = [(i, i % 4, *(float(x) for x in p)) for i, p in enumerate(np.concatenate([rng.normal(0, 0.2, (60, 2)), rng.uniform(-150, 150, (30, 2)), [[0.125, 0.25], [1e4, 1e4]]]))]
+    df = spark.createDataFrame(queries + [(1000, 0, None, 1.0), (1001, 0, float("nan"), 1.0)], "q long, g int, x_km double, y_km double").repartition(4)
+    an = spark.createDataFrame(anchors + [(0, float("inf"), 0.0, -1), (0, None, 0.0, -2)], "g int, x_km double, y_km double, v long").repartition(4)
+    out = spatial.neighbours(df, an, "q", "v", k, ["g"] if by else None)
+    got = sorted((r.q, round(r.distance, 9), r.value) for r in out.collect())
+    want = []
+    for q, g, x, y in queries:
+        mine = sorted((float(np.sqrt((x - ax) ** 2 + (y - ay) ** 2)), v) for h, ax, ay, v in anchors if not by or h == g)[:k]
+        want += [(q, round(d, 9), v) for d, v in mine]
+    assert got == sorted(want)
+
+
+def test_a_dense_city_is_many_leaves(spark, monkeypatch):
+    """90% of the anchors in one cell of a hundred: a query still meets few of them."""
+    monkeypatch.setattr(spatial, "BLOCK", 50)
+    monkeypatch.setattr(spatial, "LEAF", 8)
+    rng = np.random.default_rng(0)
+    city = [(*(float(x) for x in rng.uniform(0, 0.1, 2)), i) for i in range(1800)] + [(*(float(x) for x in rng.uniform(-5, 5, 2)), i) for i in range(200)]
+    an = spark.createDataFrame(city, "ax_ double, ay_ double, v_ long")
+    q = spark.createDataFrame([(i, *(float(x) for x in rng.uniform(0, 0.1, 2))) for i in range(100)], "q long, x_km double, y_km double")
+    pairs = spatial._near_pairs(q, an, "q", 1, [])
+    most = max(r["count"] for r in pairs.groupBy("q").count().collect())
+    assert most < 120
