@@ -9,7 +9,12 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.ranges import medians
+from ..operators.ranges import medians, quantiles
+
+
+def finite_double(c: str) -> Column:
+    """A column as doubles, null where it is not finite."""
+    return F.when(~F.isnan(F.col(c).cast("double")) & (F.abs(c) != float("inf")), F.col(c).cast("double"))
 
 
 def save_record(spark, record: dict, path: str) -> None:
@@ -36,7 +41,7 @@ class Scaler:
 
     @classmethod
     def fit(cls, df: DataFrame, columns: list[str], indicators: bool = False, population: bool = True) -> Scaler:
-        clean = [F.when(~F.isnan(F.col(c).cast("double")) & (F.abs(c) != float("inf")), F.col(c).cast("double")).alias(c) for c in columns]
+        clean = [finite_double(c).alias(c) for c in columns]
         rows = df.select(*clean)
         first = rows.agg(F.count("*").alias("n_"), *[F.count(c).alias(f"{c}__n") for c in columns]).first()
         median = dict.fromkeys(columns, 0.0) | medians(rows, columns)
@@ -52,7 +57,7 @@ class Scaler:
         return [*self.columns, *[f"{c}__null" for c in self.indicators]]
 
     def expressions(self) -> list[Column]:
-        raw = {c: F.coalesce(F.when(~F.isnan(F.col(c).cast("double")) & (F.abs(c) != float("inf")), F.col(c).cast("double")), F.lit(self.median[c])) for c in self.columns}
+        raw = {c: F.coalesce(finite_double(c), F.lit(self.median[c])) for c in self.columns}
         raw |= {f"{c}__null": F.col(c).isNull().cast("double") for c in self.indicators}
         return [((x - F.lit(self.mean[c])) / F.lit(self.std[c])).alias(c) for c, x in raw.items()]
 
@@ -90,53 +95,84 @@ class Ridge:
         return list(zip(self.scaler.outputs, map(float, self.weights), strict=True))
 
 
-def _total(rows: DataFrame, size: int, part) -> np.ndarray:
-    """The sum of part(X, y) (`size` numbers) over Arrow batches of rows (x_, y_): one partial sum leaves each task."""
+def _totals(rows: DataFrame, size: int, part) -> dict:
+    """fold -> the sum of part(fold, X, y) (`size` numbers) over Arrow batches of rows (fold_, x_, y_): one partial sum of each fold leaves a task."""
 
     def run(batches):
         import pyarrow as pa
+        import pyarrow.compute as pc
 
-        total = np.zeros(size)
+        totals: dict[int, np.ndarray] = {}
         for b in batches:
-            if b.num_rows:
-                y = b.column("y_").to_numpy(zero_copy_only=False)
-                total += part(np.asarray(b.column("x_").flatten(), np.float64).reshape(len(y), -1), y)
-        yield pa.RecordBatch.from_pydict({"s": [total.tolist()]})
-
-    sums = rows.select("x_", "y_").mapInArrow(run, "s array<double>").select(F.posexplode("s").alias("i", "v"))
-    out = np.zeros(size)
-    for r in sums.groupBy("i").agg(F.sum("v").alias("v")).collect():
-        out[r["i"]] = r["v"]
+            for f in pc.unique(b.column("fold_")).to_pylist():
+                mine = b.filter(pc.equal(b.column("fold_"), f))
+                y = mine.column("y_").to_numpy(zero_copy_only=False)
+                totals[f] = totals.get(f, 0) + part(f, np.asarray(mine.column("x_").flatten(), np.float64).reshape(len(y), -1), y)
+        yield pa.RecordBatch.from_pydict({"fold_": list(totals), "s": [t.tolist() for t in totals.values()]}, schema=pa.schema({"fold_": pa.int32(), "s": pa.list_(pa.float64())}))
+
+    sums = rows.select("fold_", "x_", "y_").mapInArrow(run, "fold_ int, s array<double>").select("fold_", F.posexplode("s").alias("i", "v"))
+    out: dict[int, np.ndarray] = {}
+    for r in sums.groupBy("fold_", "i").agg(F.sum("v").alias("v")).collect():
+        out.setdefault(r["fold_"], np.zeros(size))[r["i"]] = r["v"]
     return out
 
 
-def ridge(df: DataFrame, columns: list[str], target: str, alphas=None, indicators: bool = True, log_target: bool = True) -> Ridge:
-    """Ridge regression, alpha by leave-one-out error over all rows, the intercept free.
+def _by_fold(values: dict[int, float]) -> Column:
+    """The number of a row's fold; few folds, so that this is a literal map."""
+    return F.create_map(*[F.lit(x) for f, v in values.items() for x in (int(f), float(v))])[F.col("fold_")]
 
-    One pass gives the Gram matrix; a second gives every alpha's leave-one-out error at once, as in the
-    eigenbasis of the Gram matrix a row's leverages and residuals for all alphas are two small products.
+
+def ridges(df: DataFrame, fold: str, columns: list[str], target: str, alphas=None, indicators: bool = True, log_target: bool = True) -> dict[int, Ridge]:
+    """fold -> ridge regression on the rows of that fold, alpha by leave-one-out error, the intercept free.
+
+    All folds are fitted in the same passes: medians, moments, Gram matrices, then every alpha's leave-one-out
+    errors at once, as in the eigenbasis of a Gram matrix a row's leverages and residuals for all alphas are
+    two small products. Folds are few; a fold without targets has no model.
     """
     alphas = np.logspace(-3, 4, 40) if alphas is None else np.asarray(alphas, float)
-    rows = df.where(F.col(target).isNotNull())
-    scaler = Scaler.fit(rows, columns, indicators)
     y = F.log1p(target) if log_target else F.col(target).cast("double")
-    x = scaler.transform(rows.withColumn("y_", y), "x_").select("x_", "y_")
-    p = len(scaler.outputs)
-    sums = _total(x, 2 + p + p * p, lambda m, t: np.concatenate(([len(t), t.sum()], m.T @ t, (m.T @ m).ravel())))
-    n = sums[0]
-    if not n:
-        raise ValueError("no row has a target")
-    middle, b, g = sums[1] / n, sums[2 : 2 + p], sums[2 + p :].reshape(p, p)
-    values, vectors = np.linalg.eigh(g)
-    values = np.maximum(values, 0)
-    turned = vectors.T @ b
-    shrink = 1 / np.maximum(values[:, None] + alphas, 1e-300)
-
-    def errors(m, t):
+    rows = df.where(F.col(target).isNotNull()).select(F.col(fold).cast("int").alias("fold_"), *[finite_double(c).alias(c) for c in columns], y.alias("y_"))
+    first = {r["fold_"]: r for r in rows.groupBy("fold_").agg(F.count("*").alias("n_"), *[F.count(c).alias(f"{c}__n") for c in columns]).collect()}
+    if not first:
+        return {}
+    median = {f: dict.fromkeys(columns, 0.0) for f in first}
+    for r in quantiles(rows, columns, [0.5], ["fold_"]).collect():
+        median[r["fold_"]][r["column"]] = r["value"]
+    missing = {f: [c for c in columns if indicators and r[f"{c}__n"] < r["n_"]] for f, r in first.items()}
+    flagged = [c for c in columns if any(c in m for m in missing.values())]
+    named = {c: F.coalesce(F.col(c), _by_fold({f: m[c] for f, m in median.items()})) for c in columns} | {f"{c}__null": F.col(c).isNull().cast("double") for c in flagged}
+    filled = rows.select("fold_", "y_", *[x.alias(c) for c, x in named.items()])
+    second = {r["fold_"]: r for r in filled.groupBy("fold_").agg(*[F.avg(c).alias(f"{c}__m") for c in named], *[F.stddev_pop(c).alias(f"{c}__s") for c in named]).collect()}
+    mean, std = ({f: {c: r[f"{c}__{k}"] or none for c in named} for f, r in second.items()} for k, none in (("m", 0.0), ("s", 1.0)))
+    x = filled.select("fold_", "y_", F.array(*[(F.col(c) - _by_fold({f: mean[f][c] for f in first})) / _by_fold({f: std[f][c] for f in first}) for c in named]).alias("x_"))
+    p = len(named)
+    fits = {}
+    for f, sums in _totals(x, 2 + p + p * p, lambda _, m, t: np.concatenate(([len(t), t.sum()], m.T @ t, (m.T @ m).ravel()))).items():
+        values, vectors = np.linalg.eigh(sums[2 + p :].reshape(p, p))
+        turned = vectors.T @ sums[2 : 2 + p]
+        fits[f] = (sums[0], sums[1] / sums[0], vectors, turned, 1 / np.maximum(np.maximum(values, 0)[:, None] + alphas, 1e-300))
+
+    def errors(f, m, t):
+        n, middle, vectors, turned, shrink = fits[f]
         z = m @ vectors
         leverage = 1 / n + (z * z) @ shrink
         e = (t[:, None] - middle - (z * turned) @ shrink) / np.maximum(1 - leverage, 1e-12)
         return (e * e).sum(0)
 
-    best = int(np.argmin(_total(x, len(alphas), errors)))
-    return Ridge(scaler, vectors @ (turned * shrink[:, best]), float(middle), float(alphas[best]), log_target)
+    out = {}
+    for f, loss in (_totals(x, len(alphas), errors) if len(alphas) > 1 else dict.fromkeys(fits, np.zeros(1))).items():
+        _, middle, vectors, turned, shrink = fits[f]
+        best = int(np.argmin(loss))
+        keep = [i for i, c in enumerate(named) if i < len(columns) or c[: -len("__null")] in missing[f]]
+        names = [list(named)[i] for i in keep]
+        scaler = Scaler(list(columns), median[f], {c: mean[f][c] for c in names}, {c: std[f][c] for c in names}, missing[f])
+        out[f] = Ridge(scaler, (vectors @ (turned * shrink[:, best]))[keep], float(middle), float(alphas[best]), log_target)
+    return out
+
+
+def ridge(df: DataFrame, columns: list[str], target: str, alphas=None, indicators: bool = True, log_target: bool = True) -> Ridge:
+    """Ridge regression on all rows that have a target: ridges() of one fold."""
+    found = ridges(df.withColumn("only_", F.lit(1)), "only_", columns, target, alphas, indicators, log_target)
+    if not found:
+        raise ValueError("no row has a target")
+    return found[1]

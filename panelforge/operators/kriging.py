@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..models.linear import Ridge, ridge
+from ..models.linear import Ridge, ridge, ridges
 from ..session import kept
 from . import spatial, stats
 from .splits import fold_parts
@@ -32,24 +32,22 @@ def past_only(day: str, target_day: str) -> Column:
     return F.col(day) < F.lit(target_day).cast("date")
 
 
-def _interpolated(queries: DataFrame, anchors: DataFrame, row: str, value: str, name: str, k: int, power: float, by: list[str]) -> DataFrame:
-    """(row, name): from anchors of the same group; each side is projected around its own median latitude there."""
-    sides = [spatial.project(df, "lon", "lat", by or None) for df in (queries, anchors)]
-    near = spatial.neighbours(*sides, row, value, k, by)
-    return spatial.idw(near, row, name, power, by).select(row, name)
-
-
-def station_means(rows: DataFrame, station: str, order: str, value: str) -> DataFrame:
-    """(station, lon, lat, value): each station's mean, at the place of its first row."""
+def station_means(rows: DataFrame, station: str, order: str, values: list[str], by: list[str] | None = None) -> DataFrame:
+    """(by, station, lon, lat, values): each station's means, at the place of its first row."""
     first = lambda c: F.min_by(c, order).alias(c)
-    return rows.groupBy(station).agg(first("lon"), first("lat"), F.avg(value).alias(value))
+    return rows.groupBy(*(by or []), station).agg(first("lon"), first("lat"), *[F.avg(v).alias(v) for v in values])
 
 
 def _corrected(queries: DataFrame, anchors: DataFrame, row: str, target: str, k: int, power: float, by: list[str]) -> DataFrame:
-    """queries (with pred_ridge) with residual_correction, pred_idw and pred_ridge_residual_idw from anchors (with residual_)."""
-    residual = _interpolated(queries, anchors, row, "residual_", "residual_correction", k, power, by)
-    plain = _interpolated(queries, anchors, row, target, "pred_idw", k, power, by)
-    out = queries.join(residual, row, "left").join(plain, row, "left")
+    """queries (with pred_ridge) with residual_correction, pred_idw and pred_ridge_residual_idw from anchors (with residual_).
+
+    Anchors are of the same group as the query, and each side is projected around its own median latitude there; a
+    query is told apart by its row and group.
+    """
+    out, (q, a) = queries, (spatial.project(df, "lon", "lat", by or None) for df in (queries, anchors))
+    for value, name in (("residual_", "residual_correction"), (target, "pred_idw")):
+        near = spatial.neighbours(q, a, row, value, k, by)
+        out = out.join(spatial.idw(near, row, name, power, by).select(row, *by, name), [row, *by], "left")
     return out.withColumn("pred_ridge_residual_idw", not_negative(F.col("pred_ridge") + F.coalesce("residual_correction", F.lit(0.0))))
 
 
@@ -81,23 +79,21 @@ def cross_validate(
         raise ValueError(f"unknown residuals {residuals}")
     fine = F.lit(True) if reliable is None else reliable
     train, valid, test = parts or (F.lit(True), F.lit(False), F.lit(True))
-    split = kept(fold_parts(rows.where(fine & F.col(target).isNotNull()), folds, station, n_folds, train, valid, test, require=("train", "test") if parts is None else ("train", "val", "test")))
-    out = []
-    for fold in sorted(r[0] for r in split.select("fold").distinct().collect()):
-        mine = split.where(F.col("fold") == fold)
-        fit = mine.where(F.col("part").isin(*fit_parts(mode)))
-        trend = not_negative(ridge(fit, features, target, alphas).predict())
-        held = folds.where(F.col("fold") == fold).select(station)
-        queries = mine.where("part = 'test'").withColumn("pred_ridge", trend)
-        if residuals == "contemporaneous":
-            anchors = rows.where(fine & F.col(target).isNotNull()).join(F.broadcast(held), station, "left_anti").withColumn("residual_", F.col(target) - trend)
-            done = _corrected(queries, anchors, row, target, k, power, [day])
-        else:
-            past = fit.withColumn("residual_", F.col(target) - trend)
-            anchors = station_means(past, station, day, "residual_").join(station_means(past, station, day, target).select(station, target), station)
-            done = _corrected(queries, anchors, row, target, k, power, [])
-        out.append(done.select("fold", row, station, day, F.col(target).alias("y_true"), "residual_correction", "pred_ridge", "pred_idw", "pred_ridge_residual_idw"))
-    return reduce(lambda a, b: a.unionByName(b), out)
+    known = rows.where(fine & F.col(target).isNotNull())
+    split = kept(fold_parts(known, folds, station, n_folds, train, valid, test, require=("train", "test") if parts is None else ("train", "val", "test")))
+    fit = split.where(F.col("part").isin(*fit_parts(mode)))
+    models = ridges(fit, "fold", features, target, alphas)
+    trend = reduce(lambda rest, f: F.when(F.col("fold") == f, not_negative(models[f].predict())).otherwise(rest), models, F.lit(None).cast("double"))
+    queries = split.where("part = 'test'").withColumn("pred_ridge", trend)
+    if residuals == "contemporaneous":
+        own = known.join(folds.select(station, F.col("fold").alias("own_")), station, "left").withColumn("fold", F.explode(F.array(*map(F.lit, sorted(models)))))
+        anchors = own.where(~F.col("own_").eqNullSafe(F.col("fold"))).drop("own_").withColumn("residual_", F.col(target) - trend)
+        done = _corrected(queries, kept(anchors), row, target, k, power, ["fold", day])
+    else:
+        past = fit.withColumn("residual_", F.col(target) - trend)
+        both = station_means(past, station, day, ["residual_", target], ["fold"])
+        done = _corrected(queries, kept(both), row, target, k, power, ["fold"])
+    return done.select("fold", row, station, day, F.col(target).alias("y_true"), "residual_correction", "pred_ridge", "pred_idw", "pred_ridge_residual_idw")
 
 
 def fold_scores(predictions: DataFrame) -> DataFrame:
