@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..operators import regions as Z, spatial as G, stats
-from ..session import table
+from ..session import shared_dir, table
+from ..sources import tiles as T
 from .base import query, r6
 from .panel_queries import rounded
 
@@ -204,3 +207,33 @@ def line_distances(spark, sf_dir):
     lines = p.where("label = 1").select("vec_id", F.array(at(0.0, 0.0), at(0.2, 0.1)).alias("path"))
     out = Z.line_distances(p.select("vec_id", F.col("lon").alias("x"), F.col("lat").alias("y")), lines, "vec_id", "path", 0.01, 16)
     return rounded(out.select("vec_id", "distance"), "distance")
+
+
+_TILES = """px AS (SELECT CAST(vec_id % 4 AS BIGINT) AS day, CAST(floor(CAST(embedding[1] AS DOUBLE) / 0.03::DOUBLE) AS BIGINT) AS cx, CAST(floor(CAST(embedding[2] AS DOUBLE) / 0.03::DOUBLE) AS BIGINT) AS cy, avg(CAST(embedding[3] AS DOUBLE)) AS red, avg(CAST(embedding[4] AS DOUBLE)) AS nir FROM embeddings GROUP BY 1, 2, 3),
+met AS (SELECT * FROM px WHERE day BETWEEN 1 AND 2 AND (cx + 0.5) * 0.03::DOUBLE BETWEEN -0.2 AND 0.25 AND (cy + 0.5) * 0.03::DOUBLE BETWEEN -0.3 AND 0.2 AND red > -0.2)"""
+
+
+@query(f"WITH {_TILES} SELECT cx, cy, count(*) AS images, round(median(red), 6) AS red, round(median(nir), 6) AS nir FROM met GROUP BY 1, 2")
+def tile_composite(spark, sf_dir):
+    """A raster collection of four days written as tiles, read again by box, days and bands, masked, and composed over time."""
+    e = lambda i, b: F.col("embedding")[i].cast("double").alias(b)
+    rows = table(spark, sf_dir, "embeddings").select(F.pmod("vec_id", F.lit(4)).alias("day"), e(0, "x"), e(1, "y"), e(2, "red"), e(3, "nir"), e(4, "swir"))
+    path = f"{shared_dir(spark)}/tiles-{uuid.uuid4().hex}"
+    T.write_tiles(T.make_tiles(rows, ["red", "nir", "swir"], 0.03, 4), path)
+    box, bands = (-0.2, -0.3, 0.25, 0.2), ["red", "nir"]
+    out = T.composite(T.pixels(T.read_tiles(spark, path, bands, box, ("1", "2")), bands, box, F.col("red") > -0.2), bands)
+    cell = lambda c: F.floor(F.col(c) / 0.03).cast("long")
+    return out.select(cell("x").alias("cx"), cell("y").alias("cy"), "images", r6(F.col("red"), "red"), r6(F.col("nir"), "nir"))
+
+
+@query(f"""WITH {POINTS}, m AS (SELECT *, 2020 + vec_id % 2 AS year, label + 1 AS month FROM pts), a0 AS (SELECT * FROM m WHERE value > 0), q0 AS (SELECT * FROM m WHERE value <= 0), {_xy('a', 'a0', 'year, month')}, {_xy('q', 'q0', 'year, month')},
+d AS (SELECT q.vec_id, year, month, sqrt((q.x - a.x) ** 2 + (q.y - a.y) ** 2) AS distance, a.value FROM q JOIN a USING (year, month)), k AS (SELECT * FROM d QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY distance, value) <= 3)
+SELECT vec_id, year, month, round(sum(value / distance ** 2) / sum(1 / distance ** 2), 6) AS estimate, round(min(distance), 6) AS nearest_km FROM k GROUP BY 1, 2, 3""")
+def knn_idw_by_month(spark, sf_dir):
+    """Neighbours of the same year and month: estimate and nearest distance, from one search."""
+    by = ["year", "month"]
+    p = points(spark, sf_dir).withColumns({"year": 2020 + F.col("vec_id") % 2, "month": F.col("label") + 1})
+    q, a = (G.project(p.where(c), "lon", "lat", by) for c in ("value <= 0", "value > 0"))
+    near = G.neighbours(q, a, "vec_id", "value", 3, by)
+    least = near.groupBy("vec_id").agg(r6(F.min("distance"), "nearest_km"))
+    return rounded(G.idw(near, "vec_id", "estimate", by=by), "estimate").join(least, "vec_id")
