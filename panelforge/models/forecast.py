@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import asdict, dataclass
 
 import numpy as np
@@ -9,9 +10,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import stats, windows
-from ..session import drop_kept, kept
+from ..session import drop_kept, kept, shared_dir
 from . import linear
 from .network import AdamW, Network
+from .search import Once, as_frame, search
 
 
 def samples(df: DataFrame, keys: list[str], day: str, value: str, target: str, lookback: int, horizon: int, train_end: str, valid_end: str) -> DataFrame:
@@ -31,18 +33,28 @@ def compare(df: DataFrame, keys: list[str], day: str, value: str, target: str, l
     return stats.regression_scores("target", "guess", ["split", "model"])(long)
 
 
-def tune(df: DataFrame, keys: list[str], day: str, value: str, target: str, trials: list[tuple[int, float]], horizon: int, train_end: str, valid_end: str) -> DataFrame:
-    """One row for each (lookback, alpha) trial, least validation error first; each trial is a few aggregations."""
-    out = []
-    for lookback, alpha in trials:
-        rows = kept(samples(df, keys, day, value, target, lookback, horizon, train_end, valid_end))
-        model = linear.ridge(rows.where("split = 'train'"), [f"x{i}" for i in range(lookback)], "target", alphas=[alpha])
-        score = stats.regression_scores("target", "guess", ["split"])(rows.withColumn("guess", model.predict()))
-        found = {r.split: r for r in score.collect()}
-        drop_kept(rows)
-        out.append((lookback, float(alpha), *(float(found[s].rmse) if s in found else None for s in ("val", "test"))))
+def tune(df: DataFrame, keys: list[str], day: str, value: str, target: str, trials: list[tuple[int, float]], horizon: int, train_end: str, valid_end: str, log: str | None = None) -> DataFrame:
+    """(trial, lookback, alpha, val_rmse, test_rmse) of ridge trials, least validation error first; see search().
+
+    Windows of a lookback are written once for all its trials; a log folder lets a restart go on.
+    """
     spark = df.sparkSession
-    return spark.createDataFrame(out, "lookback int, alpha double, val_rmse double, test_rmse double").orderBy(F.asc_nulls_last("val_rmse"))
+    rows_of = Once(lambda lookback: kept(samples(df, keys, day, value, target, lookback, horizon, train_end, valid_end)))
+
+    def run(trial: dict) -> dict:
+        lookback, rows = trial["lookback"], rows_of(trial["lookback"])
+        model = linear.ridge(rows.where("split = 'train'"), [f"x{i}" for i in range(lookback)], "target", alphas=[trial["alpha"]])
+        found = {r.split: r.rmse for r in stats.regression_scores("target", "guess", ["split"])(rows.withColumn("guess", model.predict())).collect()}
+        return {"val_rmse": found.get("val"), "test_rmse": found.get("test")}
+
+    named = [{"lookback": n, "alpha": float(a)} for n, a in trials]
+    done = search(spark, named, run, log or new_log(spark), "val_rmse")
+    drop_kept(*rows_of.made.values())
+    return as_frame(spark, done, "trial int, lookback int, alpha double, val_rmse double, test_rmse double")
+
+
+def new_log(spark) -> str:
+    return f"{shared_dir(spark)}/search-{uuid.uuid4().hex}"
 
 
 @dataclass(frozen=True)
@@ -188,7 +200,9 @@ def fit_network(df: DataFrame, keys: list[str], day: str, value: str, target: st
     rows = kept(rows.repartition(spec.tasks, *keys).sortWithinPartitions(F.xxhash64(*keys, "target_date")))
     entities = {}
     if spec.entity:
-        names = rows.where("split = 'train'").groupBy("e_").count().select("e_").orderBy("e_").limit(ENTITIES).collect()
+        names = rows.where("split = 'train'").groupBy("e_").count().select("e_").orderBy("e_").limit(ENTITIES + 1).collect()
+        if len(names) > ENTITIES:
+            raise ValueError(f"an embedding takes at most {ENTITIES} entities; give a coarser column")
         entities = {r[0]: i for i, r in enumerate(names)} | {"\0 other": len(names)}
     goal = F.col("y_true") - F.col("baseline") if spec.mode == "residual" else F.col("y_true")
     m = rows.where("split = 'train'").agg(F.avg(goal).alias("mean"), F.stddev_pop(goal).alias("std")).first()
@@ -240,14 +254,21 @@ def network_scores(df: DataFrame, keys: list[str], day: str, value: str, target:
     return stats.regression_scores("y_true", "guess", ["split", "model"])(long)
 
 
-def tune_networks(df: DataFrame, keys: list[str], day: str, value: str, target: str, trials: list[Spec], train_end: str, valid_end: str) -> DataFrame:
-    """(trial, lookback, hidden, rate, dropout, epochs, val_rmse, test_rmse), least validation error first; the test error never chooses."""
-    out = []
-    for i, spec in enumerate(trials):
-        fitted, rows = fit_network(df, keys, day, value, target, spec, train_end, valid_end)
+def tune_networks(df: DataFrame, keys: list[str], day: str, value: str, target: str, trials: list[Spec], train_end: str, valid_end: str, log: str | None = None) -> DataFrame:
+    """(trial, lookback, hidden, rate, dropout, epochs, val_rmse, test_rmse), least validation error first; the test error never chooses.
+
+    Trials are logged as search() does; a log folder lets a restart go on.
+    """
+    spark = df.sparkSession
+
+    def run(trial: dict) -> dict:
+        fitted, rows = fit_network(df, keys, day, value, target, trials[trial["number"]], train_end, valid_end)
         scored = stats.regression_scores("y_true", "y_pred", ["split"])(predict_network(fitted, rows, keys)).collect()
         found = {r.split: r.rmse for r in scored}
         drop_kept(rows)
-        out.append((i, spec.lookback, spec.hidden, spec.rate, spec.dropout, len(fitted.epochs) - 1, found.get("val"), found.get("test")))
-    schema = "trial int, lookback int, hidden int, rate double, dropout double, epochs int, val_rmse double, test_rmse double"
-    return df.sparkSession.createDataFrame(out, schema).orderBy(F.asc_nulls_last("val_rmse"), "trial")
+        return {"epochs": len(fitted.epochs) - 1, "val_rmse": found.get("val"), "test_rmse": found.get("test")}
+
+    named = [{"number": i, "lookback": t.lookback, "hidden": t.hidden, "rate": t.rate, "dropout": t.dropout} for i, t in enumerate(trials)]
+    done = search(spark, named, run, log or new_log(spark), "val_rmse")
+    out = [{k: v for k, v in r.items() if k != "number"} for r in done]
+    return as_frame(spark, out, "trial int, lookback int, hidden int, rate double, dropout double, epochs int, val_rmse double, test_rmse double")

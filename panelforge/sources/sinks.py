@@ -4,10 +4,9 @@ from __future__ import annotations
 
 import html
 import json
-import os
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.spatial import feature_json
@@ -44,9 +43,14 @@ def bounded_rows(df: DataFrame, most: int = REPORT_ROWS) -> list[dict]:
 
 
 def _write(path: str, text: str) -> None:
-    os.makedirs(os.path.dirname(os.path.abspath(path)), exist_ok=True)
-    with open(path, "w", encoding="utf-8") as f:
-        f.write(text)
+    """One small file through Hadoop's file system, so that remote paths work."""
+    spark = SparkSession.active()
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    out = target.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).create(target, True)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
 
 
 def write_record(record, path: str) -> None:
