@@ -1,7 +1,7 @@
 """Boosted trees over histograms, with missing values as they are.
 
 Rows become blocks of bin numbers, written once. A level of a tree is one job: every task adds up gradients
-by (node, feature, bin), Spark sums and scans them, and only the best split of each node reaches the driver.
+by (node, feature, bin), Spark sums them, and the driver, which sees these sums only, picks the splits.
 Nulls and NaN have a bin of their own, and each split learns the side they go to.
 """
 
@@ -12,7 +12,7 @@ from dataclasses import asdict, dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import drop_kept, kept
@@ -20,6 +20,8 @@ from .linear import load_record, save_record
 
 #: Trees after which the written margins are brought up to date.
 REFRESH = 8
+#: Sums by (node, feature, bin) that a job brings to the driver at most; more nodes than that take turns.
+CELLS = 1_000_000
 
 
 @dataclass
@@ -221,38 +223,35 @@ def _level(blocks: DataFrame, model: Booster, first: int, number: int, tree: Tre
         yield pa.RecordBatch.from_arrays([pa.array(a.astype(t)) for a, t in zip(out, (np.int32, np.int32, np.int32, float, float), strict=True)], ["node", "feature", "bin", "g", "h"])
 
     parts = blocks.mapInArrow(run, "node int, feature int, bin int, g double, h double")
-    found, loss = {}, (0.0, 0.0)
-    for r in best_splits(parts, p).collect():
-        if r["node"] < 0:
-            loss = (r["g"], r["h"])
-        else:
-            found[r["node"]] = r
+    sums = parts.groupBy("node", "feature", "bin").agg(F.sum("g").alias("g"), F.sum("h").alias("h")).toArrow()
+    node, feature, b, g, h = (sums.column(k).to_numpy() for k in ("node", "feature", "bin", "g", "h"))
+    told = np.flatnonzero(node < 0)
+    loss = (float(g[told[0]]), float(h[told[0]])) if len(told) else (0.0, 0.0)
+    table, mine = np.zeros((2, len(open_), len(chosen), width)), node >= 0
+    at = np.array([slot.get(v, 0) for v in node[mine]], int), np.searchsorted(chosen, feature[mine]), b[mine]
+    table[0][at], table[1][at] = g[mine], h[mine]
+    found = {v: best_split(table[:, k], chosen, p) for v, k in slot.items() if table[1, k].any()}
     return found, loss
 
 
-def best_splits(parts: DataFrame, p: Params) -> DataFrame:
-    """(node, feature, bin, default, gain, gl, hl, g, h) of the best split of each node from sums by (node, feature, bin).
+def best_split(sums: np.ndarray, chosen: list[int], p: Params) -> dict:
+    """feature, bin, default, gain, gl, hl, g, h of a node's best split, from sums of (g, h) by feature and bin.
 
     Bins up to `bin` go left; bin 0 holds the missing rows, which go left (default 0) or right (1), whichever
-    gains more. Ties go to the smaller feature, then bin, then left. A node without a split has gain null.
+    gains more. Ties go to the smaller feature, then bin, then left. Without a split the gain is None.
     """
-    by = Window.partitionBy("node", "feature")
-    sums = parts.repartition("node", "feature").groupBy("node", "feature", "bin").agg(F.sum("g").alias("g"), F.sum("h").alias("h"))
-    upto = by.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
-    missing = lambda c: F.coalesce(F.sum(F.when(F.col("bin") == 0, F.col(c))).over(by), F.lit(0.0))
-    scan = sums.select("node", "feature", "bin", *[x for c in "gh" for x in (F.sum(c).over(upto).alias(f"up_{c}"), F.sum(c).over(by).alias(f"all_{c}"), missing(c).alias(f"none_{c}"))])
-    score = lambda g, h: g * g / (h + F.lit(p.penalty))
-    sides = []
-    for default in (0, 1):
-        gl, hl = (F.col(f"up_{c}") - (F.col(f"none_{c}") if default else F.lit(0.0)) for c in "gh")
-        g, h = F.col("all_g"), F.col("all_h")
-        gain = (score(gl, hl) + score(g - gl, h - hl) - score(g, h)) / 2
-        fine = (F.col("bin") > 0) & (hl >= p.least_weight) & (h - hl >= p.least_weight) & (gain > max(p.least_gain, 1e-12)) & (F.col("feature") >= 0)
-        sides.append(F.when(fine, F.struct((-gain).alias("loss"), F.col("feature").alias("feature"), F.col("bin").alias("bin"), F.lit(default).alias("default"), gl.alias("gl"), hl.alias("hl"))))
-    best = F.least(*sides)
-    out = scan.groupBy("node", "feature").agg(F.min(best).alias("s"), F.max("all_g").alias("g"), F.max("all_h").alias("h"))
-    out = out.groupBy("node").agg(F.min("s").alias("s"), F.min_by(F.struct("g", "h"), "feature").alias("all"))
-    return out.select("node", "s.feature", "s.bin", "s.default", (-F.col("s.loss")).alias("gain"), "s.gl", "s.hl", "all.g", "all.h")
+    g, h = sums[0, 0].sum(), sums[1, 0].sum()
+    up = np.cumsum(sums, axis=2)[:, :, 1:]
+    left = np.stack([up, up - sums[:, :, :1]], axis=3)  # (g or h, feature, bin, default)
+    gl, hl = left
+    score = lambda a, b: a * a / (b + p.penalty)
+    gain = (score(gl, hl) + score(g - gl, h - hl) - score(g, h)) / 2
+    slack = 1e-9 * h  # sums in other orders differ by as much
+    gain[(hl < p.least_weight - slack) | (h - hl < p.least_weight - slack)] = -np.inf
+    f, b, d = np.unravel_index(np.argmax(gain), gain.shape)
+    if not gain[f, b, d] > max(p.least_gain, 1e-12):
+        return {"gain": None, "g": float(g), "h": float(h)}
+    return {"feature": chosen[f], "bin": int(b) + 1, "default": int(d), "gain": float(gain[f, b, d]), "gl": float(gl[f, b, d]), "hl": float(hl[f, b, d]), "g": float(g), "h": float(h)}
 
 
 def fit(rows: DataFrame, columns: list[str], target: Column, params: Params | None = None, weight: Column | None = None, held: Column | None = None) -> Booster:
@@ -283,7 +282,11 @@ def fit(rows: DataFrame, columns: list[str], target: Column, params: Params | No
         chosen = sorted(rng.choice(len(columns), many, replace=False).tolist())
         tree, open_, total = Tree(), [0], None
         for depth in range(p.depth):
-            found, loss = _level(blocks, model, first, number, tree, open_, chosen)
+            found, loss = {}, (0.0, 0.0)
+            many_nodes = max(1, CELLS // (many * (p.bins + 2)))
+            for k in range(0, len(open_), many_nodes):
+                some, told = _level(blocks, model, first, number, tree, open_[k : k + many_nodes], chosen)
+                found, loss = found | some, told if not k else loss
             if not depth and loss[1]:
                 total = loss[0] / loss[1]
             deeper = []

@@ -163,21 +163,21 @@ _INPUTS = ["l_quantity", "l_discount", "l_tax", "month"]
 def gbt_regression(spark, sf_dir):
     """Boosted regression trees on line items with nulls left in, stopped early on one year, scored on the last."""
     rows, year = gappy_lines(spark, sf_dir), F.col("year")
-    model = trees.fit_regression(rows.where(year < 2000), _INPUTS, "l_extendedprice", rows.where(year == 2000), iterations=200, rate=0.3, patience=5)
+    model = trees.fit_regression(rows.where(year < 2000), _INPUTS, "l_extendedprice", rows.where(year == 2000), iterations=200, rate=0.1, patience=10)
     return stats.regression_scores("l_extendedprice", "prediction", log_r2=True)(trees.predict(model, rows.where(year > 2000), log_target=True))
 
 
 @query()
 def gbt_importance(spark, sf_dir):
     """Feature importances of regression trees: mean gains of splits."""
-    return trees.importances(spark, trees.fit_regression(gappy_lines(spark, sf_dir), _INPUTS, "l_extendedprice", iterations=10, rate=0.3))
+    return trees.importances(spark, trees.fit_regression(gappy_lines(spark, sf_dir), _INPUTS, "l_extendedprice", iterations=30, rate=0.1))
 
 
 @query()
 def gbt_classifier(spark, sf_dir):
     """Weighted boosted classification of expensive lines, as precision, recall and F1."""
     rows = gappy_lines(spark, sf_dir).withColumns({"label": (F.col("l_extendedprice") >= 50000).cast("double"), "weight": F.when(F.col("l_returnflag") == "N", 1.0).otherwise(0.4)})
-    model = trees.fit_classifier(rows.where("year < 2000"), ["l_quantity", "l_discount", "l_tax"], "label", "weight", iterations=10, rate=0.3)
+    model = trees.fit_classifier(rows.where("year < 2000"), ["l_quantity", "l_discount", "l_tax"], "label", "weight", iterations=30, rate=0.1)
     scored = trees.predict(model, rows.where("year >= 2000"))
     return scored.agg(*stats.classification_scores(F.col("label") == 1, F.col("prediction") == 1))
 
