@@ -18,7 +18,8 @@ from pyspark.sql import DataFrame
 from .common import map_texts, worker_state
 
 NONE = np.iinfo(np.int32).max
-WIDTH = 1 << 20
+#: Bytes of words that a worker keeps between slices, beside their number.
+MOST_BYTES = 16 << 20
 
 
 class MergeRanks:
@@ -30,17 +31,20 @@ class MergeRanks:
             raise ValueError("the rank file lacks single bytes")
         self.token = dict(zip(self.ranks.values(), self.ranks, strict=True))
         self.byte_ids = np.array([self.ranks[bytes([b])] for b in range(256)], np.int64)
+        self.width = max(self.token) + 1  # a pair of ranks is one number below its square
+        if min(self.token) < 0 or self.width > NONE:
+            raise ValueError("ranks must be 0 to 2,147,483,646")
         pairs = {}
         for whole, rank in self.ranks.items():
             for cut in range(1, len(whole)):
                 a, b = self.ranks.get(whole[:cut]), self.ranks.get(whole[cut:])
                 if a is not None and b is not None:
-                    pairs[a * WIDTH + b] = rank
+                    pairs[a * self.width + b] = rank
         self.keys = np.array(sorted(pairs), np.int64)
         self.values = np.array([pairs[k] for k in self.keys.tolist()], np.int32)
 
     def rank_of(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        key = left * WIDTH + right
+        key = left * self.width + right
         at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
         return np.where(self.keys[at] == key, self.values[at], NONE)
 
@@ -175,7 +179,7 @@ class _Words(dict):
 
 
 class Encoder:
-    """Encodes slices of texts; keeps at most about `most_words` words between slices."""
+    """Encodes slices of texts; keeps at most about `most_words` words, of MOST_BYTES, between slices."""
 
     def __init__(self, lines: bytes, pattern: str, most_words: int):
         import regex
@@ -184,19 +188,21 @@ class Encoder:
         self.clear()
 
     def clear(self) -> None:
-        self.words = _Words()
+        self.words, self.bytes = _Words(), 0
         self.ids, self.starts, self.lengths = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def encode(self, texts: list[str]):
         """An array of ids for each text."""
-        if len(self.words) > self.most:
+        if len(self.words) > self.most or self.bytes > MOST_BYTES:
             self.clear()
         number = self.words.__getitem__
         rows = []
         for t in texts:
             found = self.find(t)
             rows.append(np.fromiter(map(number, found), np.int32, len(found)))
-        ids, lengths = self.table.replay([w.encode() for w in self.words.new])
+        new = [w.encode() for w in self.words.new]
+        self.bytes += sum(map(len, new))
+        ids, lengths = self.table.replay(new)
         self.words.new = []
         self.starts = np.concatenate((self.starts, len(self.ids) + np.cumsum(lengths) - lengths))
         self.lengths = np.concatenate((self.lengths, lengths))
@@ -220,7 +226,8 @@ def encode(
 
     With `with_decoded` the ids are turned back into bytes in column `decoded`. A null or empty text
     has no ids (an empty binary), equal ids of documents each keep their row, and other columns are not
-    read. Whole texts are encoded, whatever their length. `most_words` bounds a worker's cache only.
+    read. Whole texts are encoded, whatever their length. An empty table stays
+    empty. `most_words` bounds a worker's cache only.
     """
     with open(ranks_path, "rb") as f:
         lines = f.read()
@@ -249,7 +256,8 @@ def encode(
 
 
 def decode(encoded: DataFrame, ranks_path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
-    """(doc_id, decoded): the bytes of each row's ids; null ids decode to empty bytes. An unknown id raises."""
+    """(doc_id, decoded): the bytes of each row's ids; null ids decode to empty bytes, rows of any length and repeated ones each
+    give one row, an empty table stays empty, other columns are not read. An unknown id raises."""
     with open(ranks_path, "rb") as f:
         shared = encoded.sparkSession.sparkContext.broadcast(f.read())
 

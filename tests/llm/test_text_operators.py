@@ -133,6 +133,19 @@ def test_replay_with_ranks_out_of_order():
     assert [x.tolist() for x in np.split(ids, cuts)] == [table_.encode_word(w) for w in words]
 
 
+def test_ranks_of_any_size_tell_pairs_apart():
+    """Ranks beyond a million, and two pairs that a narrow packing would hold for one."""
+    ranks = {bytes([b]): b for b in range(256)} | {b"ab": 3_000_000, b"cd": (1 << 20) + 97, b"abc": 3_000_001, b"acd": 2_999_999}
+    lines = b"\n".join(base64.b64encode(t) + b" %d" % r for t, r in ranks.items())
+    table_ = byte_bpe.MergeRanks(lines)
+    rng = np.random.default_rng(6)
+    words = [bytes(rng.choice([97, 98, 99, 100], rng.integers(1, 12))) for _ in range(300)]
+    ids, n = table_.replay(words)
+    assert [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])] == [table_.encode_word(w) for w in words]
+    with pytest.raises(ValueError, match="ranks"):
+        byte_bpe.MergeRanks(lines + b"\n" + base64.b64encode(b"zz") + b" 2147483647")
+
+
 def brute_stats(t):
     w = WORDS.findall(t)
     seen, dup = set(), 0
