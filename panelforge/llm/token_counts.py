@@ -18,6 +18,10 @@ from pyspark.sql import functions as F
 from .common import map_texts, spaced_files, worker_state
 
 
+#: Bytes of the longest piece that a worker keeps.
+KEPT_PIECE = 64
+
+
 def frequent_pieces(sample: DataFrame, size: int = 65_536, text_col: str = "text") -> list[bytes]:
     """The `size` most frequent pieces of a sample; each task keeps its own `size` largest."""
 
@@ -52,7 +56,8 @@ def count_tokens(
 
     `tokenizer_path` is a JSON file of the `tokenizers` library whose pre-tokens hold no white space.
     `sample` seeds the broadcast table (at most `table_size` pieces; none: the table starts empty), and
-    a worker's cache holds at most `cache_size` pieces. A null text counts as empty (0 bytes, 0 tokens),
+    a worker's cache holds at most `cache_size` pieces of up to KEPT_PIECE bytes. A text of any length is counted whole, an
+    empty table stays empty. A null text counts as empty (0 bytes, 0 tokens),
     equal ids each keep their row, a null id stays null, and no other column is read.
     """
     from tokenizers import Tokenizer
@@ -84,6 +89,9 @@ def count_tokens(
                 missing = list(set(chain.from_iterable(words)).difference(lengths))
                 lengths.update(zip(missing, piece_lengths(missing, tokenizer), strict=True))
                 n_tokens += [sum(map(lengths.__getitem__, w)) for w in words]
+                for p in missing:
+                    if len(p) > KEPT_PIECE:
+                        del lengths[p]
             return {"doc_id": ids, "n_bytes": [len(t) for t in texts], "n_tokens": n_tokens, "over_limit": [n > max_tokens for n in n_tokens]}
 
         return count
