@@ -7,6 +7,8 @@ an edge or corner of any ring are inside.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -83,6 +85,18 @@ def points_in(points: DataFrame, regions: DataFrame, key: str, step: float, ring
     return met.where(F.col("edges_").isNull() | inside(x, y, F.col("edges_"))).drop("cx_", "cy_", "edges_")
 
 
+def buffers(places: DataFrame, key: str, lon: str, lat: str, metres: float, sides: int = 32) -> DataFrame:
+    """(key, rings): around each place, in degrees, a polygon of `sides` corners `metres` away; null places have none.
+
+    Corners stand at even angles from the east on; a degree is 110,570 m north and 111,320 m times the cosine
+    of the latitude east.
+    """
+    turn = [2 * math.pi * i / sides for i in range(sides)]
+    wide = F.lit(metres / 111_320.0) / F.cos(F.radians(lat))
+    ring = F.array(*[F.struct((F.col(lon) + wide * F.lit(math.cos(t))).alias("x"), (F.col(lat) + F.lit(metres / 110_570.0 * math.sin(t))).alias("y")) for t in turn])
+    return places.where(F.col(lon).isNotNull() & F.col(lat).isNotNull()).select(key, F.array(ring).alias("rings"))
+
+
 def within_bounds(points: DataFrame, west: float, south: float, east: float, north: float) -> DataFrame:
     """Points of a closed box; the conditions reach a scan of x and y."""
     return points.where(F.col("x").between(west, east) & F.col("y").between(south, north))

@@ -36,20 +36,42 @@ def csv_text_dates(spark, sf_dir):
     return out.select(F.col("o_orderkey").cast("long").alias("o_orderkey"), F.date_format("day", "yyyy-MM-dd").alias("day"))
 
 
-@query("""SELECT 'run-' || CAST(n_nationkey AS VARCHAR) AS run_id, n_nationkey % 7 + 1 AS horizon, CAST(n_nationkey AS BIGINT) AS best_epoch, n_nationkey / 10.0::DOUBLE AS val_rmse, CASE WHEN n_nationkey % 2 = 0 THEN 'compact' END AS feature_set
-FROM nation WHERE n_nationkey < 8 AND n_nationkey % 7 + 1 IN (1, 3)""")
+@query("""SELECT 'run=' || CAST(n_nationkey AS VARCHAR) AS run_id, n_nationkey % 7 + 1 AS horizon, CAST(n_nationkey AS BIGINT) AS best_epoch, n_nationkey / 10.0::DOUBLE AS val_rmse, CASE WHEN n_nationkey % 2 = 0 THEN 'compact' END AS feature_set
+FROM nation WHERE n_nationkey % 7 + 1 IN (1, 3)""")
 def run_records(spark, sf_dir):
-    """Run folders of JSON records, some without the newer fields, filtered by a field of the record."""
-    path = _new(spark)
-    for r in table(spark, sf_dir, "nation").where("n_nationkey < 8").select("n_nationkey").collect():
-        i = r[0]
-        record = spark.range(1).select(F.lit(i % 7 + 1).alias("horizon"), F.lit(i).alias("best_epoch"), F.struct(F.lit(i / 10.0).alias("rmse")).alias("val"))
-        record = record.withColumn("feature_set", F.lit("compact")) if i % 2 == 0 else record
-        record.coalesce(1).write.json(f"{path}/run-{i}")
+    """Run folders of JSON records, some without the newer fields, filtered by a field of the record; written by one job."""
+    path, i = _new(spark), F.col("n_nationkey")
+    record = table(spark, sf_dir, "nation").select(i.alias("run"), (i % 7 + 1).alias("horizon"), i.alias("best_epoch"), F.struct((i / 10.0).alias("rmse")).alias("val"), F.when(i % 2 == 0, "compact").alias("feature_set"))
+    record.write.partitionBy("run").json(path)
     runs = readers.read_runs(spark, f"{path}/*/*.json", "horizon int, best_epoch long, val struct<rmse:double>, feature_set string")
     return readers.with_horizon(runs, 1, 3).select("run_id", "horizon", "best_epoch", F.col("val.rmse").alias("val_rmse"), "feature_set")
 
 
+@query("SELECT o_orderpriority AS priority, CAST(count(*) AS VARCHAR) AS orders FROM orders GROUP BY 1")
+def report_rows(spark, sf_dir):
+    """The table of a Markdown report, read back from the file."""
+    path = f"{_new(spark)}/report.md"
+    counts = table(spark, sf_dir, "orders").groupBy(F.col("o_orderpriority").alias("priority")).agg(F.count("*").alias("orders"))
+    sinks.write_report("Orders", {"By priority": counts, "Note": "Counts of all orders."}, path)
+    cells = F.split("value", r"\s*\|\s*")
+    lines = spark.read.text(path).where("value like '| %' and value not like '| priority |%'")
+    return lines.select(cells[1].alias("priority"), cells[2].alias("orders"))
+
+
+_MONTHS = "m AS (SELECT strftime(o_orderdate, '%Y-%m') AS month, sum(o_totalprice) AS total FROM orders GROUP BY 1), r AS (SELECT *, row_number() OVER (ORDER BY month) - 1 AS i, count(*) OVER () AS n, min(total) OVER () AS low, max(total) OVER () AS high FROM m)"
+
+
+@query(f"WITH {_MONTHS} SELECT month AS label, CAST(n AS INTEGER) AS points FROM r WHERE i % CAST(ceil(n / 12) AS INTEGER) = 0 UNION ALL SELECT CAST(CAST(round(low) AS BIGINT) AS VARCHAR), CAST(n AS INTEGER) FROM r WHERE i = 0 UNION ALL SELECT CAST(CAST(round(high) AS BIGINT) AS VARCHAR), CAST(n AS INTEGER) FROM r WHERE i = 0")
+def chart_labels(spark, sf_dir):
+    """Labels of a line chart of monthly totals, read back from its file: thinned months, the axis' ends, and the points drawn."""
+    path = f"{_new(spark)}/chart.svg"
+    monthly = table(spark, sf_dir, "orders").groupBy(F.date_format("o_orderdate", "yyyy-MM").alias("month")).agg(F.round(F.sum("o_totalprice")).cast("long").alias("total")).orderBy("month")
+    sinks.write_text(sinks.line_chart(monthly, "month", "total", "Totals"), path)
+    svg = spark.read.text(path, wholetext=True)
+    drawn = F.size(F.split(F.regexp_extract("value", 'points="([^"]*)"', 1), " ")).cast("int")
+    return svg.select(F.explode(F.regexp_extract_all("value", F.lit('font-size="11"[^>]*>([^<]*)<'), 1)).alias("label"), drawn.alias("points"))
+
+
 @query("SELECT * FROM (VALUES ('A1', 106.5::DOUBLE, 9.5::DOUBLE), ('B2', 106.0, 10.25), ('C3', 105.75, NULL)) t(station_id, lon, lat)")
 def inline_stations(spark, sf_dir):
     """Places written out in code."""
@@ -193,7 +215,7 @@ def one_to_one_join(spark, sf_dir):
     return checks.join_one_to_one(lines, orders, ["l_orderkey"])
 
 
-_SEEN = "seen AS (SELECT strftime(o_orderdate, '%Y-%m') AS month FROM orders WHERE month(o_orderdate) % 2 = 0 AND year(o_orderdate) = 2024)"
+_SEEN = "seen AS (SELECT strftime(o_orderdate, '%Y-%m') AS month FROM orders)"
 
 
 @query(f"""{PANEL}, f AS (SELECT *, last_value(value IGNORE NULLS) OVER (PARTITION BY user_id, event_type ORDER BY day ROWS BETWEEN 3 PRECEDING AND CURRENT ROW) AS filled FROM panel), {_SEEN}
@@ -204,7 +226,7 @@ UNION ALL SELECT 'composite_months_missing', (SELECT coalesce(string_agg(m, ','
 def panel_overview(spark, sf_dir):
     """The overview of a panel and of the composites that should go with it."""
     df = filled_panel(spark, sf_dir).withColumns({"observed_": F.col("value").isNotNull(), "gap_": F.col("value").isNull() & F.col("filled").isNotNull(), "bad_": F.col("value") > 150})
-    seen = table(spark, sf_dir, "orders").where((F.month("o_orderdate") % 2 == 0) & (F.year("o_orderdate") == 2024)).select(F.date_format("o_orderdate", "yyyy-MM").alias("month"))
+    seen = table(spark, sf_dir, "orders").select(F.date_format("o_orderdate", "yyyy-MM").alias("month"))
     return stats.panel_overview(df, "user_id", "day", "observed_", "gap_", "bad_", ["low"], seen, "month")
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import uuid
 
 from pyspark.sql import functions as F
@@ -237,3 +238,18 @@ def knn_idw_by_month(spark, sf_dir):
     near = G.neighbours(q, a, "vec_id", "value", 3, by)
     least = near.groupBy("vec_id").agg(r6(F.min("distance"), "nearest_km"))
     return rounded(G.idw(near, "vec_id", "estimate", by=by), "estimate").join(least, "vec_id")
+
+
+_TURNS = [2 * math.pi * i / 12 for i in range(12)]
+_CORNER = lambda t: (f"lon + 8000.0::DOUBLE / 111320.0 / cos(radians(lat)) * {math.cos(t)!r}::DOUBLE", f"lat + {8000.0 / 110_570.0 * math.sin(t)!r}::DOUBLE")
+_BUFFER = " UNION ALL ".join("SELECT vec_id AS region_id, {} AS x0, {} AS y0, {} AS x1, {} AS y1 FROM pts WHERE label = 2".format(*_CORNER(a), *_CORNER(b)) for a, b in zip(_TURNS, _TURNS[1:] + _TURNS[:1], strict=True))
+
+
+@query(f"""WITH {POINTS}, e AS ({_BUFFER}), c AS (SELECT region_id, p.vec_id, p.value, count(*) FILTER (((y0 > p.lat) <> (y1 > p.lat)) AND p.lon < (x1 - x0) * (p.lat - y0) / (y1 - y0) + x0) AS crossed FROM e CROSS JOIN pts p GROUP BY ALL)
+SELECT region_id, count(*) AS pixels, round(avg(value), 6) AS value_mean FROM c WHERE crossed % 2 = 1 GROUP BY 1""")
+def buffer_reduce(spark, sf_dir):
+    """Means over the pixels within 8 km of each place, as a polygon of twelve corners in degrees."""
+    p = points(spark, sf_dir)
+    regions = Z.buffers(p.where("label = 2").withColumnRenamed("vec_id", "region_id"), "region_id", "lon", "lat", 8000.0, 12)
+    found = Z.points_in(p.select("value", F.col("lon").alias("x"), F.col("lat").alias("y")), regions, "region_id", 0.05)
+    return found.groupBy("region_id").agg(F.count("*").alias("pixels"), r6(F.avg("value"), "value_mean"))

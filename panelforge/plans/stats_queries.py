@@ -104,7 +104,7 @@ def grouped_correlations(spark, sf_dir):
 def correlation_group_summary(spark, sf_dir):
     """Correlations summarised by feature group."""
     corr = rounded(stats.spearman_table(table(spark, sf_dir, "lineitem"), "l_extendedprice", list(_FEATURES), ["l_returnflag"]), "spearman")
-    named = corr.withColumn("kind", F.when(F.col("feature") == "l_quantity", "amount").otherwise("rate"))
+    named = corr.withColumn("kind", columns.group_of({"amount": ["l_quantity"]}, "rate"))
     return rounded(stats.correlation_groups(named, "kind", "spearman"), "median_abs", "max_abs")
 
 

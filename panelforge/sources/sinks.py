@@ -53,6 +53,11 @@ def _write(path: str, text: str) -> None:
         out.close()
 
 
+def write_text(text: str, path: str) -> None:
+    """A small text, such as a chart, as one file."""
+    _write(path, text)
+
+
 def write_record(record, path: str) -> None:
     """A JSON document: a dict, or the rows of a small frame."""
     value = bounded_rows(record) if isinstance(record, DataFrame) else record
@@ -97,7 +102,7 @@ def _scaled(values: list[float | None], low: float, high: float) -> list[float |
 
 
 def line_chart(df: DataFrame, label: str, value: str, title: str, width: int = 900, height: int = 320, labels: int = 12) -> str:
-    """An SVG line over the rows' order; nulls break the line and labels are thinned."""
+    """An SVG line over the rows' order; nulls break the line, labels are thinned, and the axis shows the least and greatest value."""
     rows = bounded_rows(df.select(label, value))
     xs = _scaled([float(i) for i in range(len(rows))], 50.0, width - 20.0)
     ys = _scaled([None if r[value] is None else float(r[value]) for r in rows], height - 50.0, 40.0)
@@ -110,7 +115,14 @@ def line_chart(df: DataFrame, label: str, value: str, title: str, width: int = 9
     lines = "".join(f'<polyline fill="none" stroke="#1f6f8b" stroke-width="2" points="{" ".join(r)}"/>' for r in runs if r)
     step = max(1, -(-len(rows) // labels))
     ticks = "".join(f'<text x="{xs[i]:.1f}" y="{height - 20}" font-size="11" text-anchor="middle">{html.escape(str(rows[i][label]))}</text>' for i in range(0, len(rows), step))
-    return _svg(title, width, height, lines + ticks)
+    known = [float(r[value]) for r in rows if r[value] is not None]
+    ends = [(min(known), height - 50), (max(known), 40)] if known else []
+    axis = "".join(f'<text x="45" y="{y + 4}" font-size="11" text-anchor="end">{_short(v)}</text><line x1="50" x2="{width - 20}" y1="{y}" y2="{y}" stroke="#dddddd"/>' for v, y in ends)
+    return _svg(title, width, height, axis + lines + ticks)
+
+
+def _short(v: float) -> str:
+    return str(int(v)) if v == int(v) else f"{v:.4g}"
 
 
 def bar_chart(df: DataFrame, label: str, value: str, title: str, width: int = 900, row: int = 24) -> str:
