@@ -122,7 +122,10 @@ class Booster:
 
     @classmethod
     def load(cls, spark, path: str) -> Booster:
-        r = load_record(spark, path)
+        return cls.of(load_record(spark, path))
+
+    @classmethod
+    def of(cls, r: dict) -> Booster:
         return cls(r["columns"], r["cuts"], r["base"], [Tree(**t) for t in r["trees"]], Params(**r["params"]))
 
 
@@ -254,11 +257,15 @@ def best_split(sums: np.ndarray, chosen: list[int], p: Params) -> dict:
     return {"feature": chosen[f], "bin": int(b) + 1, "default": int(d), "gain": float(gain[f, b, d]), "gl": float(gl[f, b, d]), "hl": float(hl[f, b, d]), "g": float(g), "h": float(h)}
 
 
-def fit(rows: DataFrame, columns: list[str], target: Column, params: Params | None = None, weight: Column | None = None, held: Column | None = None) -> Booster:
+def fit(rows: DataFrame, columns: list[str], target: Column, params: Params | None = None, weight: Column | None = None, held: Column | None = None, checkpoint: str | None = None) -> Booster:
     """Trees on all rows that have a target; rows where `held` is true only stop early (params.patience > 0).
 
     Null, NaN and constant columns are fine; a null weight counts as 0 and such a row teaches nothing; no row
     with a target is an error. Training is the same on every run up to the order of sums of doubles.
+
+    With `checkpoint`, a folder, the trees so far and the best count of them are saved there after every
+    REFRESH trees; a run that finds them goes on from there (other columns or parameters are an error), and
+    the finished model is saved in its place.
     """
     p = params or Params()
     if p.loss not in ("squared", "logistic"):
@@ -274,12 +281,19 @@ def fit(rows: DataFrame, columns: list[str], target: Column, params: Params | No
     mean = sums["y"] / sums["w"]
     base = mean if p.loss == "squared" else math.log(max(mean, 1e-6) / max(1 - mean, 1e-6))
     cuts = find_cuts(taught, columns, p.bins)
-    blocks = _blocks(rows, columns, target, w, held, cuts, base)
     model, first, best = Booster(list(columns), cuts, base, [], p), 0, (math.inf, 0)
-    rng = np.random.default_rng(p.seed)
+    if checkpoint and (found := _resumed(rows.sparkSession, checkpoint)):
+        saved, best, over = found
+        if (saved.columns, saved.params) != (model.columns, p):
+            raise ValueError(f"{checkpoint} holds trees of other columns or parameters")
+        if over:
+            return saved
+        model = saved
+        base, cuts = model.base, model.cuts
+    blocks = _blocks(rows, columns, target, w, held, cuts, base)
     many = max(1, math.ceil(p.column_share * len(columns)))
-    for number in range(p.rounds + (p.patience > 0)):
-        chosen = sorted(rng.choice(len(columns), many, replace=False).tolist())
+    for number in range(len(model.trees), p.rounds + (p.patience > 0)):
+        chosen = sorted(np.random.default_rng((p.seed, number)).choice(len(columns), many, replace=False).tolist())
         tree, open_, total = Tree(), [0], None
         for depth in range(p.depth):
             found, loss = {}, (0.0, 0.0)
@@ -313,12 +327,44 @@ def fit(rows: DataFrame, columns: list[str], target: Column, params: Params | No
             fresh = _refreshed(blocks, model, first)
             drop_kept(blocks)
             blocks, first = fresh, len(model.trees)
+            if checkpoint:
+                _save(rows.sparkSession, checkpoint, model, best, False)
     drop_kept(blocks)
     if p.patience and best[0] < math.inf:
         del model.trees[best[1] :]
+    if checkpoint:
+        _save(rows.sparkSession, checkpoint, model, best, True)
     return model
 
 
+def _save(spark, path: str, model: Booster, best: tuple[float, int], over: bool) -> None:
+    """One numbered record each time; the one before stays until the new one is whole."""
+    n = max(_numbers(spark, path), default=0) + 1
+    save_record(spark, {"model": asdict(model), "best": None if best[0] == math.inf else best, "over": over}, f"{path}/state-{n:06d}")
+    for old in _numbers(spark, path):
+        if old < n - 1:
+            files(spark, path)[0].delete(files(spark, f"{path}/state-{old:06d}")[1], True)
+
+
+def files(spark, path: str):
+    """(Hadoop file system, path) of a folder."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()), at
+
+
+def _numbers(spark, path: str) -> list[int]:
+    system, at = files(spark, f"{path}/state-*/_SUCCESS")
+    return [int(str(s.getPath().getParent().getName())[-6:]) for s in system.globStatus(at) or []]
+
+
+def _resumed(spark, path: str) -> tuple[Booster, tuple[float, int], bool] | None:
+    numbers = _numbers(spark, path)
+    if not numbers:
+        return None
+    r = load_record(spark, f"{path}/state-{max(numbers):06d}")
+    return Booster.of(r["model"]), tuple(r["best"]) if r["best"] else (math.inf, 0), r["over"]
+
+
 def _refreshed(blocks: DataFrame, model: Booster, first: int) -> DataFrame:
     f, shared = len(model.columns), blocks.sparkSession.sparkContext.broadcast(model)
 

@@ -8,13 +8,16 @@ from pyspark.sql import functions as F
 from .boosting import Booster, Params, fit
 
 
-def fit_regression(df: DataFrame, columns: list[str], target: str, validation: DataFrame | None = None, iterations: int = 2500, rate: float = 0.03, depth: int = 4, share: float = 0.8, columns_share: float = 0.8, patience: int = 60, seed: int = 42) -> Booster:
-    """Trees on log1p of the target, with rows and columns drawn for each tree; a validation frame stops them early."""
+def fit_regression(df: DataFrame, columns: list[str], target: str, validation: DataFrame | None = None, iterations: int = 2500, rate: float = 0.03, depth: int = 4, share: float = 0.8, columns_share: float = 0.8, patience: int = 60, seed: int = 42, checkpoint: str | None = None) -> Booster:
+    """Trees on log1p of the target, with rows and columns drawn for each tree; a validation frame stops them early.
+
+    The trees of least validation error are kept; with `checkpoint` a restart goes on (see fit()).
+    """
     rows = df.withColumn("held_", F.lit(False))
     if validation is not None:
         rows = rows.unionByName(validation.withColumn("held_", F.lit(True)))
     p = Params(rounds=iterations, rate=rate, depth=depth, row_share=share, column_share=columns_share, patience=patience if validation is not None else 0, seed=seed)
-    return fit(rows, columns, F.log1p(target), p, held=F.col("held_"))
+    return fit(rows, columns, F.log1p(target), p, held=F.col("held_"), checkpoint=checkpoint)
 
 
 def fit_classifier(df: DataFrame, columns: list[str], label: str, weight: str, iterations: int = 800, rate: float = 0.03, depth: int = 4, share: float = 0.8, columns_share: float = 0.8, seed: int = 42) -> Booster:

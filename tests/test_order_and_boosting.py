@@ -156,3 +156,32 @@ def test_rows_and_columns_are_drawn_alike_on_every_run(spark):
     draws = np.mean([boosting._drawn(k, 10_000, 3, boosting.Params(row_share=0.3)).mean() for k in range(5)])
     assert abs(draws - 0.3) < 0.02
     assert all(len({f for f in t.feature if f >= 0}) <= 2 for t in a.trees)
+
+
+def test_a_killed_fit_goes_on_from_its_checkpoint(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(boosting, "REFRESH", 2)
+    x, y, w = gappy(150)
+    df, path = as_frame(spark, x, y, w).coalesce(1).cache(), str(tmp_path / "fit")
+    p = boosting.Params(rounds=5, depth=2, row_share=0.7, column_share=0.7)
+    whole = boosting.fit(df, ["a", "b", "c"], F.col("y"), p)
+    level, calls = boosting._level, []
+
+    def failing(*args):
+        calls.append(args[3])
+        if args[3] == 3:
+            raise RuntimeError("lost")
+        return level(*args)
+
+    monkeypatch.setattr(boosting, "_level", failing)
+    with pytest.raises(RuntimeError):
+        boosting.fit(df, ["a", "b", "c"], F.col("y"), p, checkpoint=path)
+    calls.clear()
+    monkeypatch.setattr(boosting, "_level", lambda *args: calls.append(args[3]) or level(*args))
+    again = boosting.fit(df, ["a", "b", "c"], F.col("y"), p, checkpoint=path)
+    assert set(calls) == {2, 3, 4} and [t.feature for t in again.trees] == [t.feature for t in whole.trees]
+    assert all(abs(a - b) < 1e-9 for s, t in zip(again.trees, whole.trees, strict=True) for a, b in zip(s.value, t.value, strict=True))
+    calls.clear()
+    assert boosting.fit(df, ["a", "b", "c"], F.col("y"), p, checkpoint=path) == again and not calls
+    with pytest.raises(ValueError, match="other columns"):
+        boosting.fit(df, ["a", "b"], F.col("y"), p, checkpoint=path)
+    df.unpersist()
