@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -58,6 +59,25 @@ def shared_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+_SCOPES: list[list[DataFrame]] = []
+
+
+@contextmanager
+def scope():
+    """Deletes what kept() writes inside it when it ends: for a result that is written or collected there.
+
+    Queries return frames that still read their kept tables, so whoever runs one sets the scope. Scopes nest, and
+    belong to the driver's session, not to a thread.
+    """
+    mine: list[DataFrame] = []
+    _SCOPES.append(mine)
+    try:
+        yield
+    finally:
+        _SCOPES.remove(mine)
+        drop_kept(*mine)
+
+
 def kept(df: DataFrame) -> DataFrame:
     """The rows of df, written once to the shared folder and read back: a short lineage that survives lost executors."""
     import uuid
@@ -66,6 +86,8 @@ def kept(df: DataFrame) -> DataFrame:
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._kept_path = path
+    if _SCOPES:
+        _SCOPES[-1].append(out)
     return out
 
 

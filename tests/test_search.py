@@ -47,3 +47,16 @@ def test_records_and_reports_are_written_through_spark(spark, tmp_path):
     sinks.write_record({"é": 1}, path)
     sinks.write_record({"é": 2}, path)
     assert (tmp_path / "deep/er/record.json").read_text(encoding="utf-8") == '{\n  "é": 2\n}'
+
+
+def test_a_scope_drops_what_was_kept_inside_it(spark):
+    from panelforge.session import kept, scope
+
+    outer = kept(spark.range(3))
+    with scope():
+        a = kept(spark.range(5))
+        with scope():
+            b = kept(a)
+            assert b.count() == 5
+        assert not search.there(spark, b._kept_path) and search.there(spark, a._kept_path)
+    assert not search.there(spark, a._kept_path) and outer.count() == 3
