@@ -72,10 +72,19 @@ def chart_labels(spark, sf_dir):
     return svg.select(F.explode(F.regexp_extract_all("value", F.lit('font-size="11"[^>]*>([^<]*)<'), 1)).alias("label"), drawn.alias("points"))
 
 
-@query("SELECT * FROM (VALUES ('A1', 106.5::DOUBLE, 9.5::DOUBLE), ('B2', 106.0, 10.25), ('C3', 105.75, NULL)) t(station_id, lon, lat)")
+_PLACES = [("A1", 0.1, 0.0), ("B2", -0.2, 0.15), ("C3", 0.3, None), ("D4", -0.05, -0.25)]
+
+
+@query(f"""WITH s AS (SELECT * FROM (VALUES {', '.join(f"('{i}', {x}::DOUBLE, {'NULL' if y is None else y})" for i, x, y in _PLACES)}) t(station_id, lon, lat)), p AS (SELECT vec_id, CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) AS y FROM embeddings),
+d AS (SELECT vec_id, station_id FROM p CROSS JOIN s WHERE lat IS NOT NULL QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY sqrt((x - lon) ** 2 + (y - lat) ** 2), station_id) = 1) SELECT station_id, lon, CAST(lat AS DOUBLE) AS lat, count(vec_id) AS points FROM s LEFT JOIN d USING (station_id) GROUP BY 1, 2, 3""")
 def inline_stations(spark, sf_dir):
-    """Places written out in code."""
-    return readers.stations(spark, [("A1", 106.5, 9.5), ("B2", 106.0, 10.25), ("C3", 105.75, None)])
+    """Places written out in code, each with the points that it is the nearest of; one has no latitude."""
+    places = readers.stations(spark, _PLACES)
+    e = lambda i, name: F.col("embedding")[i].cast("double").alias(name)
+    points = table(spark, sf_dir, "embeddings").select("vec_id", e(0, "x_km"), e(1, "y_km"))
+    near = G.neighbours(points, places.withColumnsRenamed({"lon": "x_km", "lat": "y_km"}), "vec_id", "station_id", 1)
+    counts = near.groupBy(F.col("value").alias("station_id")).agg(F.count("*").alias("points"))
+    return places.join(counts, "station_id", "left").fillna(0, ["points"])
 
 
 @query("SELECT upper(replace(c_name, '#', '')) AS key, round(c_acctbal, 2) AS lat, CAST(c_nationkey AS DOUBLE) AS lon FROM customer")
@@ -113,35 +122,46 @@ def partitioned_write(spark, sf_dir):
     return spark.read.parquet(path).where("l_returnflag = 'A'").groupBy("l_returnflag").agg(F.count("*").alias("n"))
 
 
-@query("SELECT column_name AS feature FROM (DESCRIBE lineitem) WHERE regexp_matches(column_name, 'price|date$|^l_tax')")
+@query(" UNION ALL ".join(f"SELECT '{c}' AS feature, count(*) - count({c}) AS missing_rows, count({c}) AS non_missing_rows, CAST(min({c}) AS DOUBLE) AS least FROM lineitem" for c in ("l_extendedprice", "l_tax")))
 def feature_list(spark, sf_dir):
-    """Columns chosen by a pattern, as a text file of names."""
-    path = _new(spark)
-    sinks.write_list(spark, columns.matching(table(spark, sf_dir, "lineitem"), "price|date$|^l_tax"), path)
-    return spark.read.text(path).select(F.col("value").alias("feature"))
+    """Columns chosen by a pattern, written as a text file of names, and the profile of the columns that the file names."""
+    path, df = _new(spark), table(spark, sf_dir, "lineitem")
+    sinks.write_list(spark, columns.matching(df, "price|^l_tax"), path)
+    chosen = df.select(*[r[0] for r in spark.read.text(path).collect()])
+    least = chosen.agg(*[F.min(c).cast("double").alias(c) for c in chosen.columns]).unpivot([], chosen.columns, "feature", "least")
+    return stats.missingness(chosen).select(F.col("column").alias("feature"), "missing_rows", "non_missing_rows").join(least, "feature")
 
 
 _SETS = {"salinity": ["l_quantity", "l_linenumber"], "weather": ["l_quantity", "l_linenumber", "l_tax"], "multisource": ["l_quantity", "l_linenumber", "l_tax", "l_discount"], "compact": ["l_quantity", "l_linenumber", "l_tax", "l_extendedprice"]}
 
 
-@query(" UNION ALL ".join(f"SELECT '{s}' AS feature_set, {i} AS place, '{c}' AS feature, '{'amount' if c in ('l_quantity', 'l_extendedprice') else 'rate' if c in ('l_tax', 'l_discount') else 'other'}' AS kind" for s, cs in _SETS.items() for i, c in enumerate(cs)))
+@query(" UNION ALL ".join(f"SELECT '{s}' AS feature_set, {i} AS place, '{c}' AS feature, '{'amount' if c in ('l_quantity', 'l_extendedprice') else 'rate' if c in ('l_tax', 'l_discount') else 'other'}' AS kind, round(avg({c}), 6) AS mean, count({c}) AS n FROM lineitem" for s, cs in _SETS.items() for i, c in enumerate(cs)))
 def feature_sets(spark, sf_dir):
-    """Named feature sets in order, of the columns that exist, each with its group."""
+    """Named feature sets in order, of the columns that exist, each with its group, mean and support over all rows."""
     df = table(spark, sf_dir, "lineitem")
     rows = [(s, i, c) for s in _SETS for i, c in enumerate(columns.feature_set(df, s, ["l_quantity"], ["l_linenumber", "no_such"], ["l_tax"], ["l_discount"], ["l_extendedprice", "l_tax"]))]
+    used = sorted({c for _, _, c in rows})
+    sums = df.agg(*[F.struct(F.avg(c).alias("mean"), F.count(c).alias("n")).alias(c) for c in used]).unpivot([], used, "feature", "s")
     kind = columns.group_of({"amount": ["l_quantity", "l_extendedprice"], "rate": ["l_tax", "l_discount"]})
-    return spark.createDataFrame(rows, "feature_set string, place int, feature string").withColumn("kind", kind)
+    named = spark.createDataFrame(rows, "feature_set string, place int, feature string").withColumn("kind", kind)
+    return named.join(F.broadcast(sums), "feature").select("feature_set", "place", "feature", "kind", r6(F.col("s.mean"), "mean"), "s.n")
+
+
+_BRANCHES = (("all", "residual", "l_quantity,l_tax", "l_suppkey,l_discount"), ("no_composite", "residual", "l_quantity,l_tax", "l_suppkey"), ("history_only", "residual", "l_quantity", "l_suppkey"), ("without_history", "direct", "l_linenumber,l_tax", "l_suppkey,l_discount"))
 
 
-@query("""SELECT * FROM (VALUES ('all', 'residual', 'l_quantity,l_tax', 'l_suppkey,l_discount'), ('no_composite', 'residual', 'l_quantity,l_tax', 'l_suppkey'), ('history_only', 'residual', 'l_quantity', 'l_suppkey'), ('without_history', 'direct', 'l_linenumber,l_tax', 'l_suppkey,l_discount')) t(ablation, mode, dynamic, context)""")
+@query(" UNION ALL ".join(f"SELECT '{a}' AS ablation, '{m}' AS mode, '{d}' AS dynamic, '{c}' AS context, count(*) AS n, round(avg(({d.replace(',', ' + ')}) / {len(d.split(','))}.0::DOUBLE), 6) AS dynamic_mean, round(avg(({c.replace(',', ' + ')}) / {len(c.split(','))}.0::DOUBLE), 6) AS context_mean FROM lineitem" for a, m, d, c in _BRANCHES))
 def branch_columns(spark, sf_dir):
-    """Columns of the dynamic and the context branch under each ablation."""
+    """Columns of the dynamic and the context branch under each ablation, and the means of what each branch would read."""
     df = table(spark, sf_dir, "lineitem")
-    rows = []
-    for name in ("all", "no_composite", "history_only", "without_history"):
+    rows, sums = [], []
+    for name, *_ in _BRANCHES:
         dynamic, context, mode = columns.branches(df, ["l_quantity", "absent"], ["l_linenumber"], ["l_tax"], ["l_suppkey"], ["l_discount"], **({} if name == "all" else {name: True}))
         rows.append((name, mode, ",".join(dynamic), ",".join(context)))
-    return spark.createDataFrame(rows, "ablation string, mode string, dynamic string, context string")
+        sums.append(F.struct(F.count("*").alias("n"), F.avg(S.row_mean(dynamic)).alias("d"), F.avg(S.row_mean(context)).alias("c")).alias(name))
+    means = df.agg(*sums).unpivot([], [r[0] for r in rows], "ablation", "s")
+    named = spark.createDataFrame(rows, "ablation string, mode string, dynamic string, context string")
+    return named.join(F.broadcast(means), "ablation").select(*named.columns, "s.n", r6(F.col("s.d"), "dynamic_mean"), r6(F.col("s.c"), "context_mean"))
 
 
 @query("SELECT 'orders' AS set_name, o_orderkey AS w_o_orderkey, o_custkey AS w_o_custkey FROM orders WHERE o_orderkey IS NOT NULL AND o_custkey IS NOT NULL")

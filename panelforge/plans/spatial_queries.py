@@ -151,9 +151,17 @@ def geojson_features(spark, sf_dir):
     return table(spark, sf_dir, "supplier").select("s_suppkey", G.feature_json(F.col("s_nationkey").cast("long"), F.col("s_suppkey"), ["s_name"]).alias("feature"))
 
 
-@query("""SELECT 'g_' || CAST(round(500000.0 + i * 5000.0) AS BIGINT) || '_' || CAST(round(1000000.0 + j * 5000.0) AS BIGINT) AS grid_id, 500000.0::DOUBLE + i * 5000.0::DOUBLE AS x, 1000000.0::DOUBLE + j * 5000.0::DOUBLE AS y FROM range(40) a(i), range(30) b(j)""")
+@query(f"""WITH {POINTS}, c AS (SELECT CAST(floor(lon * 100000 / 5000) AS BIGINT) AS i, CAST(floor(lat * 100000 / 5000) AS BIGINT) AS j FROM pts), b AS (SELECT min(i) AS i0, max(i) AS i1, min(j) AS j0, max(j) AS j1 FROM c),
+g AS (SELECT i, unnest(generate_series(j0, j1)) AS j FROM (SELECT unnest(generate_series(i0, i1)) AS i, j0, j1 FROM b)), n AS (SELECT i, j, count(*) AS n FROM c GROUP BY 1, 2)
+SELECT 'g_' || CAST(i * 5000 AS VARCHAR) || '_' || CAST(j * 5000 AS VARCHAR) AS grid_id, i * 5000.0::DOUBLE AS x, j * 5000.0::DOUBLE AS y, coalesce(n, 0) AS points FROM g LEFT JOIN n USING (i, j)""")
 def grid_generator(spark, sf_dir):
-    return G.grid_points(spark, 500000.0, 1000000.0, 5000.0, 40, 30)
+    """A regular grid over the box of all points (a degree as 100 km), with the points of each cell."""
+    cell = lambda c: F.floor(F.col(c) * 100000 / 5000).cast("long")
+    p = points(spark, sf_dir).select(cell("lon").alias("i"), cell("lat").alias("j"))
+    low_i, high_i, low_j, high_j = p.agg(F.min("i"), F.max("i"), F.min("j"), F.max("j")).first()
+    grid = G.grid_points(spark, low_i * 5000.0, low_j * 5000.0, 5000.0, high_i - low_i + 1, high_j - low_j + 1)
+    counts = p.groupBy((F.col("i") * 5000.0).alias("x"), (F.col("j") * 5000.0).alias("y")).agg(F.count("*").alias("points"))
+    return grid.join(counts, ["x", "y"], "left").fillna(0, ["points"]).select("grid_id", "x", "y", "points")
 
 
 @query(f"WITH {POINTS} SELECT p.vec_id, round(least(min(sqrt((p.lon - r.lon) ** 2 + (p.lat - r.lat) ** 2)), 0.05), 6) AS distance FROM pts p CROSS JOIN (SELECT * FROM pts WHERE label = 1) r GROUP BY 1")
