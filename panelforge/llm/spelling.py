@@ -300,7 +300,7 @@ def near_in_group(left: list[str], right: list[str] | None, length: int) -> Iter
                 one, two = placed(w), [g + _PLACES[(p + 1) % 50_000] for p, g in enumerate(gs)]
                 for x in index.near(w, list(zip(one, two, strict=True)), length - 1):
                     yield w, x
-            elif first is left and second is not None:
+            elif len(w) == length and first is left and second is not None:
                 for x in index.near(w, [(p,) for p in placed(w)], length - 1):
                     yield w, x
 
