@@ -440,6 +440,9 @@ def test_registered_queries_meet_their_contracts(spark):
         "op8_quality_classifier": "doc_id score kept",
         "op9_nearest": "query_id rank vec_id score",
         "op10_quality_rules": "doc_id n_words word_chars n_symbols n_dup_lines n_repeat_words base_failed kept",
+        "op11_spelling": "word form root n n_near form_n",
+        "op12_token_files": "doc_id start n_tokens ids_crc32",
+        "op13_dual_tree": "vec_id cluster distance cluster_inertia inertia centroid_sha256",
     }
     assert set(columns) == set(QUERIES)
     for name, wanted in columns.items():
@@ -453,8 +456,15 @@ def test_registered_queries_meet_their_contracts(spark):
             assert one.turns_sha256 == hashlib.sha256(f"user\n{said}\nassistant\n{said}\n".encode()).hexdigest()
         elif name == "op9_nearest":
             assert {r.query_id % 50 for r in rows} == {0} and Counter(r.query_id for r in rows).most_common()[-1][1] == 5
+        elif name == "op11_spelling":
+            assert len({r.word for r in rows}) == len(rows) and all(r.n >= 3 and len(r.word) >= 5 for r in rows)
+        elif name == "op13_dual_tree":
+            assert len(rows) == table(spark, SMALL, "embeddings").count() and {r.cluster for r in rows} <= set(range(16))
         else:
             assert len(rows) == docs
+        if name in ("op11_spelling", "op12_token_files", "op13_dual_tree"):
+            kinds = dict(got.dtypes)
+            assert all(kinds[c] == ("string" if c in ("word", "form", "root", "centroid_sha256") else "int" if c == "cluster" else "bigint") for c in wanted.split())
         if name == "op2_toxicity":
             assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) for r in rows)
 
