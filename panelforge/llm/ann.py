@@ -1,4 +1,4 @@
-"""Nearest neighbours: balanced posting lists, then an exact scan of what they did not show.
+"""Nearest neighbours through balanced posting lists, at a wanted recall or exactly.
 
 Centroids, a bounded number, come from a size-penalised k-means over a bounded sample. Every vector is indexed: it goes to
 its nearest centroid's list and, near a boundary, to further ones. Centroids are found by beam search
@@ -6,8 +6,9 @@ on an in-memory neighbour graph, and a query probes the lists whose centroids ar
 its nearest. Long lists are split, so that no task gets more of one than its share; scores are exact
 cosines in double precision on the original vectors.
 
-The k-th score that the lists give a query is a floor: the scan meets blocks of queries with every vector
-and passes on what reaches the floor, so the result is exact and few rows are shuffled for it.
+With a wanted recall the lists alone answer: how much farther a centroid may be is measured on the sample. A
+query that meets fewer than k others in its lists is the exact scan's. Without one the k-th score that a few lists
+give a query is a floor: the scan meets blocks of queries with every vector and passes on what reaches the floor.
 """
 
 from __future__ import annotations
@@ -23,6 +24,10 @@ from .common import least_hashed
 
 #: Bytes of query vectors that the scan broadcasts at once, rows that it multiplies at once, and pairs that it scores at once.
 SCAN_BYTES, SCAN_ROWS, SCAN_PAIRS = 32 << 20, 2_048, 1 << 16
+#: Vectors, and queries, of a list that meet in one task; pairs of query and list that leave a worker at once.
+BLOCK, COPIES = 2_048, 16_384
+#: Distances that differ by less are equal (single precision).
+SLACK = 1e-6
 
 
 @dataclass
@@ -41,6 +46,25 @@ class Centroids:
             at[a : a + 512], far[a : a + 512] = self._search(x[a : a + 512], width)
         return at, far
 
+    def within(self, x: np.ndarray, ratio: float) -> tuple[np.ndarray, np.ndarray]:
+        """(row, centroid) of all centroids at most `ratio` times as far as the row's nearest; the beam widens while its last is still as near."""
+        k, width = len(self.points), 32
+        rows, found = np.arange(len(x)), ([], [])
+        while len(rows):
+            if width * 4 >= k:  # a beam as wide as that meets nearly all
+                far = np.maximum(2 - 2 * x[rows] @ self.points.T, 0)
+                at, limit = np.broadcast_to(np.arange(k), far.shape), far.min(1, keepdims=True)
+            else:
+                at, far = self.nearest(x[rows], width)
+                limit = far[:, :1]
+            near = np.isfinite(far) & (np.sqrt(far) <= ratio * np.maximum(np.sqrt(limit), SLACK) + SLACK)
+            done = np.ones(len(rows), bool) if width * 4 >= k else ~near[:, -1]
+            i, j = np.nonzero(near & done[:, None])
+            found[0].append(rows[i])
+            found[1].append(at[i, j])
+            rows, width = rows[~done], width * 4
+        return tuple(np.concatenate([np.zeros(0, np.int64), *f]) for f in found)
+
     def _search(self, x: np.ndarray, width: int):
         """A beam of the nearest found; each hop opens four of it and meets their neighbours once."""
         n, k = len(x), len(self.points)
@@ -130,6 +154,96 @@ def _listed(rows: DataFrame, shared, width: int, ratio: float) -> DataFrame:
     return rows.mapInArrow(run, "list int, place int, vec_id bigint, v array<double>")
 
 
+def measured_ratio(index: Centroids, sample: np.ndarray, k: int, recall: float, replicas: int, boundary: float, queries: int = 500) -> float:
+    """The distance ratio at which lists hold `recall` of the k nearest within the sample, over its first `queries` rows.
+
+    Neighbours in a sample are farther apart than in the whole table, so the ratio errs to the wide side.
+    """
+    unit = (sample / np.linalg.norm(sample, axis=1, keepdims=True)).astype(np.float32)
+    n = min(queries, len(unit))
+    if len(unit) <= k:
+        return np.inf
+    score = unit[:n] @ unit.T
+    score[np.arange(n), np.arange(n)] = -np.inf
+    near = np.argpartition(-score, k - 1, 1)[:, :k]
+    far = np.sqrt(np.maximum(2 - 2 * unit[:n] @ index.points.T, 0))
+    at, to = index.nearest(unit[near.ravel()], replicas)
+    held = np.isfinite(to) & (np.sqrt(to) <= boundary * np.sqrt(to[:, :1]) + SLACK)
+    asks = np.repeat(np.arange(n), k)
+    read = np.where(held, far[asks[:, None], at], np.inf).min(1)
+    return float(np.quantile((read - SLACK) / np.maximum(far.min(1)[asks], SLACK), recall, method="higher"))
+
+
+def _copies(rows: DataFrame, shared, ratio: float) -> DataFrame:
+    """(list, vec_id, v) for each list within `ratio` of a vector's nearest, however many."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            for a in range(0, b.num_rows, 512):
+                piece = b.slice(a, 512)
+                v = _matrix(piece.column("v"))
+                i, c = shared.value.within((v / np.linalg.norm(v, axis=1, keepdims=True)).astype(np.float32), ratio)
+                for s in range(0, len(i), COPIES):
+                    part = piece.take(pa.array(i[s : s + COPIES]))
+                    yield pa.RecordBatch.from_arrays([pa.array(c[s : s + COPIES].astype(np.int32)), part.column("vec_id"), part.column("v")], ["list", "vec_id", "v"])
+
+    return rows.mapInArrow(run, "list int, vec_id bigint, v array<double>")
+
+
+def _through_lists(rows: DataFrame, is_query, shared, ratio: float, k: int, size: int, replicas: int, boundary: float) -> DataFrame:
+    """(query_id, rank, vec_id, score) of what the lists within `ratio` hold; queries that find fewer than k there are scanned for.
+
+    Both sides of a list are cut into blocks of BLOCK rows, and every block of queries meets every block of vectors.
+    """
+    spark = rows.sparkSession
+    posted = _listed(rows, shared, replicas, boundary).select("list", "vec_id", "v")
+    queries = _copies(rows.where(is_query), shared, ratio)
+    of = lambda df, name: df.groupBy("list").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias(name))
+    blocks = of(posted, "parts").join(of(queries, "turns"), "list").collect()  # one row for each list, max_lists at most
+    blocks = F.broadcast(spark.createDataFrame(blocks, "list int, parts int, turns int"))
+    dealt = lambda n: F.pmod(F.xxhash64("vec_id", "v"), F.col(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    posted = posted.join(blocks, "list").select("list", dealt("parts").alias("part"), each("turns").alias("turn"), "vec_id", "v")
+    queries = queries.join(blocks, "list").select("list", each("parts").alias("part"), dealt("turns").alias("turn"), "vec_id", "v")
+    keys = ("list", "part", "turn")
+    found = kept(_ranked(queries.groupBy(*keys).cogroup(posted.groupBy(*keys)).applyInArrow(_scores(k), "query_id bigint, vec_id bigint, score double"), k))
+    full = found.where(F.col("rank") == k).select(F.col("query_id").alias("vec_id"))
+    short = kept(rows.where(is_query).join(full, "vec_id", "left_anti").select("vec_id", "v", F.lit(float("-inf")).alias("floor"), F.lit(0).cast("long").alias("last")))
+    if short.isEmpty():
+        drop_kept(short)
+        return found.select("query_id", "rank", "vec_id", "score")
+    return _ranked(found.select("query_id", "vec_id", "score").unionByName(_scan(rows, short, k, size)), k)
+
+
+def _scores(k: int):
+    """The function of a cogroup of queries and vectors: (query_id, vec_id, score) of each query's k best there."""
+
+    def score(left, right):
+        import pyarrow as pa
+
+        out = ([], [], [])
+        if left.num_rows and right.num_rows:
+            q, p = _matrix(left.column("v")), _matrix(right.column("v"))
+            q_id, p_id = (np.asarray(t.column("vec_id").combine_chunks()) for t in (left, right))
+            q_norm, p_norm = (np.sqrt((m * m).sum(1)) for m in (q, p))
+            rough = (q / q_norm[:, None]) @ (p / p_norm[:, None]).T
+            rough[q_id[:, None] == p_id[None, :]] = -np.inf
+            keep = min(len(p), k * int(np.unique(p_id, return_counts=True)[1].max())) - 1  # rows that hold k ids
+            for i in range(len(q)):
+                floor = -np.partition(-rough[i], keep)[keep]
+                j = np.flatnonzero((rough[i] >= floor - 1e-9) & np.isfinite(rough[i]))
+                exact = (q[i] * p[j]).sum(1) / (q_norm[i] * p_norm[j])  # summed row by row: equal vectors score equally
+                best = _best(np.zeros(len(j), np.int64), p_id[j], exact, k) if len(j) else j
+                out[0].extend([q_id[i]] * len(best))
+                out[1].extend(p_id[j][best].tolist())
+                out[2].extend(exact[best].tolist())
+        return pa.table({"query_id": pa.array(out[0], pa.int64()), "vec_id": pa.array(out[1], pa.int64()), "score": pa.array(out[2], pa.float64())})
+
+    return score
+
+
 def _best(i: np.ndarray, ids: np.ndarray, exact: np.ndarray, k: int) -> np.ndarray:
     """Positions of the k best of each i, by score and then smaller id, each id once; in order of i and rank."""
     order = np.lexsort((-exact, ids, i))
@@ -218,6 +332,7 @@ def search(
     prune: float = 1.3,
     part: int = 256,
     parts_read: int = 64,
+    recall: float | None = None,
 ) -> DataFrame:
     """(query_id, rank, vec_id, score): each query's k nearest vectors, by cosine, ties to the smaller id.
 
@@ -225,8 +340,14 @@ def search(
     query's. Rows without id, and vectors that are null, zero, not finite, hold nulls or differ in
     length from the commonest length, take no part; ids that repeat give one result, their best.
     `sample_rows` (those of least hash) bound what fits the centroids, `max_lists` their number; all
-    rows are indexed, to at most `replicas` lists, and a query reads at most `probes` lists, which gives
-    its floor; then it meets all rows. Lists grow with the table and are cut into parts of about `part`
+    rows are indexed, to at most `replicas` lists.
+
+    With `recall` a query reads whole lists only, as many as the distance ratio asks for at which lists hold that share
+    of the neighbours in the sample; one that finds fewer than k there meets all rows. Neither the queries nor
+    the rows pass through the driver, but for such queries, in blocks.
+
+    Without `recall` the result is exact: a query reads at most `probes` lists, which gives its floor; then it meets
+    all rows. Lists grow with the table and are cut into parts of about `part`
     vectors; a query reads at most `parts_read` of its nearest list, half as many of the next, and so on,
     and what it does not read there the scan shows it. Fewer than k candidates: all. No usable vector:
     no rows. The driver holds the sample, and distances of 512 centroids to all at once.
@@ -241,6 +362,8 @@ def search(
     sample = least_hashed(rows, F.xxhash64(F.lit(9), "vec_id"), sample_rows, n, ("vec_id",)).toArrow()
     index = fit_centroids(_matrix(sample.column("v")), min(max_lists, max(1, n // per_list)))
     shared = spark.sparkContext.broadcast(index)
+    if recall is not None:
+        return _through_lists(rows, is_query, shared, measured_ratio(index, _matrix(sample.column("v")), k, recall, replicas, boundary), k, size, replicas, boundary)
     posted = _listed(rows, shared, replicas, boundary)
     queries = _listed(rows.where(is_query), shared, probes, prune)
     counts = posted.groupBy("list").agg(F.ceil(F.count("*") / F.lit(part)).cast("int").alias("parts"))
@@ -249,28 +372,7 @@ def search(
     read = F.least(F.col("parts"), F.greatest(F.lit(1), F.floor(F.lit(float(parts_read)) / F.pow(F.lit(2.0), F.col("place"))).cast("int")))
     queries = queries.join(counts, "list").select("list", F.explode(F.sequence(F.lit(0), read - 1)).alias("part"), "vec_id", "v")
 
-    def score(left, right):
-        import pyarrow as pa
-
-        out = ([], [], [])
-        if left.num_rows and right.num_rows:
-            q, p = _matrix(left.column("v")), _matrix(right.column("v"))
-            q_id, p_id = (np.asarray(t.column("vec_id").combine_chunks()) for t in (left, right))
-            q_norm, p_norm = (np.sqrt((m * m).sum(1)) for m in (q, p))
-            rough = (q / q_norm[:, None]) @ (p / p_norm[:, None]).T
-            rough[q_id[:, None] == p_id[None, :]] = -np.inf
-            for i in range(len(q)):
-                keep = min(k, len(p)) - 1
-                floor = -np.partition(-rough[i], keep)[keep]
-                j = np.flatnonzero((rough[i] >= floor - 1e-9) & np.isfinite(rough[i]))
-                exact = (q[i] * p[j]).sum(1) / (q_norm[i] * p_norm[j])  # summed row by row: equal vectors score equally
-                best = np.lexsort((p_id[j], -exact))[:k]
-                out[0].extend([q_id[i]] * len(best))
-                out[1].extend(p_id[j][best].tolist())
-                out[2].extend(exact[best].tolist())
-        return pa.table({"query_id": pa.array(out[0], pa.int64()), "vec_id": pa.array(out[1], pa.int64()), "score": pa.array(out[2], pa.float64())})
-
-    found = queries.groupBy("list", "part").cogroup(posted.groupBy("list", "part")).applyInArrow(score, "query_id bigint, vec_id bigint, score double")
+    found = queries.groupBy("list", "part").cogroup(posted.groupBy("list", "part")).applyInArrow(_scores(k), "query_id bigint, vec_id bigint, score double")
     floors = _ranked(found, k).where(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), F.col("score").alias("floor"), F.col("vec_id").alias("last"))
     asked = rows.where(is_query).join(floors, "vec_id", "left")
     asked = kept(asked.select("vec_id", "v", F.coalesce("floor", F.lit(float("-inf"))).alias("floor"), F.coalesce("last", F.lit(0)).cast("long").alias("last")))

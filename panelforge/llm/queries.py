@@ -72,7 +72,7 @@ def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 5 nearest vectors of every vector whose id is divisible by 50, among all rows."""
-    return ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, 5)
+    return ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, 5, per_list=512, boundary=1.02, recall=0.98)
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

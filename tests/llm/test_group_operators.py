@@ -327,6 +327,54 @@ def test_nearest_is_exact_beyond_the_lists_read(spark):
     assert got == brute_nearest(rows)
 
 
+def recall_of(got, want):
+    return np.mean([len(set(got[q]) & set(want[q])) / len(want[q]) for q in want])
+
+
+@pytest.mark.parametrize("clusters", [0, 40])
+def test_nearest_through_lists_alone(spark, monkeypatch, clusters):
+    """The wanted recall without any scan, on vectors with and without clusters; repeated rows and small blocks."""
+    rng = np.random.default_rng(23)
+    centres = rng.normal(size=(max(clusters, 1), 8)) * (clusters > 0)
+    rows = [(i, (centres[rng.integers(0, len(centres))] + 0.3 * rng.normal(size=8)).tolist()) for i in range(6000)]
+    df = spark.createDataFrame(rows + rows[::7], "vec_id long, embedding array<double>")
+    monkeypatch.setattr(ann, "BLOCK", 48)
+    monkeypatch.setattr(ann, "_scan", None)
+    got = defaultdict(list)
+    for r in ann.search(df, F.col("vec_id") % 50 == 0, 5, per_list=60, boundary=1.02, sample_rows=2000, recall=0.98).orderBy("query_id", "rank").collect():
+        got[r.query_id].append(r.vec_id)
+    want = brute_nearest(rows)
+    assert set(got) == set(want) and all(len(set(v)) == 5 for v in got.values()) and recall_of(got, want) >= 0.95
+
+
+def test_lists_within_a_ratio():
+    """The widening beam names the centroids that a full measurement names, but for a few."""
+    rng = np.random.default_rng(24)
+    index = ann.fit_centroids(rng.normal(size=(6_000, 12)), 900, rounds=3)
+    x = rng.normal(size=(300, 12))
+    x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    far = np.sqrt(np.maximum(2 - 2 * x @ index.points.T, 0))
+    for ratio in (1.0, 1.2, 1.6, np.inf):
+        true = set(zip(*(m.tolist() for m in np.nonzero(far <= ratio * far.min(1, keepdims=True) + ann.SLACK)), strict=True))
+        told = list(zip(*(m.tolist() for m in index.within(x, ratio)), strict=True))
+        assert len(set(told)) == len(told) and len(set(told) & true) > 0.9 * len(true)
+    assert all(len(m) == 0 for m in index.within(x[:0], 1.2))
+
+
+def test_nearest_of_isolated_queries_through_lists(spark):
+    """Queries whose lists hold fewer than 5 others meet all rows; fewer rows than 5: all."""
+    rng = np.random.default_rng(22)
+    rows = [(i, (np.eye(8)[0] + 0.05 * rng.normal(size=8)).tolist()) for i in range(1, 1200) if i % 50]
+    rows += [(50 * i, (-np.eye(8)[i] + 1e-9 * rng.normal(size=8)).tolist()) for i in range(1, 8)]  # alone
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    for frame, want in ((df, brute_nearest(rows)), (df.where("vec_id between 48 and 51"), brute_nearest(r for r in rows if 48 <= r[0] <= 51))):
+        got = defaultdict(list)
+        for r in ann.search(frame, F.col("vec_id") % 50 == 0, 5, per_list=10, recall=0.98).orderBy("query_id", "rank").collect():
+            got[r.query_id].append(r.vec_id)
+        assert got == want
+    assert ann.search(df.where("false"), F.col("vec_id") % 50 == 0, recall=0.98).count() == 0
+
+
 def test_nearest_of_isolated_queries(spark):
     """A query whose list holds fewer than 5 others still gets its 5 nearest of all rows."""
     rng = np.random.default_rng(22)
