@@ -2,7 +2,8 @@
 
 A linear classifier over document statistics gives each document log odds. Grouped aggregation over all
 documents gives hosts, and paths below them, their mean quality; a host is shrunk toward the global mean
-by a prior whose strength the spread between hosts tells, a path toward its host. The site's posterior
+by a prior whose strength the spread between hosts tells, a path toward its host by one that the spread
+of paths within their hosts tells (or by a given one). The site's posterior
 then shifts the document's log odds, so a sparse site hardly moves anything.
 """
 
@@ -77,13 +78,14 @@ def evidence(docs: DataFrame, model: Linear | None, host: Column, path: Column,
     return map_texts(rows, make, f"doc_id {kind}, hash bigint, host string, path string, log_odds double", "doc", "text", binary=True, extra=("hash", "host", "path"))
 
 
-def site_posteriors(rows: DataFrame, path_strength: float = 20.0) -> DataFrame:
-    """(host, path, n, s, hn, hs, strength, base, host_quality, path_quality) for each path of `rows` (host, path, log_odds).
+def site_posteriors(rows: DataFrame, path_strength: float | None = 20.0) -> DataFrame:
+    """(host, path, n, s, hn, hs, strength, base, below, host_quality, path_quality) for each path of `rows` (host, path, log_odds).
 
     n and s are the documents and summed quality of the path, hn and hs those of the host. The prior's
     strength comes from the variance of host means beyond what documents explain (method of moments,
     between 2 and 1000 documents); no host is gathered anywhere, only its sums, which combine before
-    they shuffle. Null hosts and paths are a site of their own; no rows in, no rows out.
+    they shuffle. `below`, the strength of a path's prior, is `path_strength`, or, where that is None, comes from the
+    paths of hosts with more than one in the same way (1000 if there are none). Null hosts and paths are a site of their own; no rows in, no rows out.
     """
     p = 1 / (1 + F.exp(-F.col("log_odds")))
     paths = rows.groupBy("host", "path").agg(F.count("*").alias("n"), F.sum(p).alias("s"))
@@ -96,22 +98,30 @@ def site_posteriors(rows: DataFrame, path_strength: float = 20.0) -> DataFrame:
     prior = spread.select("base", strength.alias("strength"))
     hosts = hosts.crossJoin(F.broadcast(prior)).select(F.col("host").alias("h"), "hn", "hs", "strength", "base")
     joined = paths.join(hosts, F.col("host").eqNullSafe(F.col("h"))).drop("h")
-    host_quality, path_quality = shrunken(path_strength)
+    if path_strength is None:
+        mean, alone = F.col("hs") / F.col("hn"), F.col("n") == F.col("hn")
+        free = mean * (1 - mean)
+        between = F.sum(F.col("n") * (F.col("s") / F.col("n") - mean) ** 2 - free * (1 - F.col("n") / F.col("hn")))
+        told = joined.where(~alone).agg((F.sum(F.col("n") * free) / F.greatest(between, F.sum("n") * 1e-9) - 1).alias("below"))
+        joined = joined.crossJoin(F.broadcast(told.select(F.least(F.greatest(F.coalesce("below", F.lit(1000.0)), F.lit(2.0)), F.lit(1000.0)).alias("below"))))
+    else:
+        joined = joined.withColumn("below", F.lit(float(path_strength)))
+    host_quality, path_quality = shrunken()
     return joined.withColumn("host_quality", host_quality).withColumn("path_quality", path_quality)
 
 
-def shrunken(path_strength: float, own: Column | None = None) -> tuple[Column, Column]:
+def shrunken(own: Column | None = None) -> tuple[Column, Column]:
     """Posterior qualities of host and path from the columns of site_posteriors, without the quality `own` of one document."""
     q, one = (F.lit(0.0), 0) if own is None else (own, 1)
     host = (F.col("hs") - q + F.col("strength") * F.col("base")) / (F.col("hn") - one + F.col("strength"))
-    return host, (F.col("s") - q + path_strength * host) / (F.col("n") - one + path_strength)
+    return host, (F.col("s") - q + F.col("below") * host) / (F.col("n") - one + F.col("below"))
 
 
 #: Parts that the documents of one site are dealt to when sites are too many to broadcast.
 SALTS = 32
 
 
-def classify(docs: DataFrame, model: Linear | None, host: Column | None = None, path: Column | None = None, site_weight: float = 0.5, threshold: float = 0.5, path_strength: float = 20.0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def classify(docs: DataFrame, model: Linear | None, host: Column | None = None, path: Column | None = None, site_weight: float = 0.5, threshold: float = 0.5, path_strength: float | None = 20.0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, hash, host, path, doc_score, host_quality, path_quality, score, kept) for each row of docs.
 
     host and path default to column source, and to source and lang. score is the logistic of the
@@ -119,7 +129,7 @@ def classify(docs: DataFrame, model: Linear | None, host: Column | None = None,
     mean; the posteriors are those of the site's other documents, so no document speaks twice. kept:
     score >= threshold. Null hosts and paths are a site of their own; a null text counts as empty; equal
     ids each keep their row; no rows in, no rows out; other columns are not read. Without a model all
-    documents score alike and are kept. A counted number of sites is broadcast; beyond it each site meets
+    documents score alike and are kept. `path_strength` None: estimated (see site_posteriors). A counted number of sites is broadcast; beyond it each site meets
     its documents in SALTS parts.
     """
     host = F.col("source") if host is None else host
@@ -134,7 +144,7 @@ def classify(docs: DataFrame, model: Linear | None, host: Column | None = None,
         sites = sites.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         same = same & (F.col("salt") == F.col("part"))
     logistic = lambda z: 1 / (1 + F.exp(-z))
-    host_quality, path_quality = shrunken(path_strength, logistic(F.col("log_odds")))
+    host_quality, path_quality = shrunken(logistic(F.col("log_odds")))
     joined = rows.join(sites, same).withColumn("host_quality", host_quality).withColumn("path_quality", path_quality)
     odds = lambda c: F.log(F.col(c) / (1 - F.col(c)))
     total = F.col("log_odds") + site_weight * (odds("path_quality") - odds("base"))

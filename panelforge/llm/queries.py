@@ -83,7 +83,7 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality of every document from its own evidence and the posteriors of its source and source/lang."""
     docs = table(spark, sf_dir, "documents")
-    out = quality_classifier.classify(docs, quality_classifier.train(docs, table(spark, sf_dir, "labels")))
+    out = quality_classifier.classify(docs, quality_classifier.train(docs, table(spark, sf_dir, "labels")), path_strength=None)
     return out.select("doc_id", "score", "kept", "doc_score", "host_quality", "path_quality", "host", "path")
 
 

@@ -251,6 +251,35 @@ def test_site_shrinkage(spark):
     assert abs(sites["new"].path_quality - sites["new"].base) < abs(p - sites["new"].base)
 
 
+def test_path_strength_from_moments(spark):
+    """Paths that differ within their hosts get a weak prior, paths that do not a strong one; equal to brute force."""
+    rng = np.random.default_rng(31)
+    schema = "host string, path string, log_odds double"
+    told = []
+    for spread in (2.0, 0.0):
+        rows = [(h, f"{h}/{i}", float(m + rng.choice([-3, 3]))) for h in "abc" for i in range(9) for m in [spread * rng.normal()] for _ in range(40)]
+        rows += [("alone", "alone/x", 1.0)] * 5 + [(None, None, 0.5), (None, "p", -0.5)]
+        sites = quality_classifier.site_posteriors(spark.createDataFrame(rows, schema), None).collect()
+        by_path, by_host = {}, {}
+        for h, p, z in rows:
+            by_path.setdefault((h, p), []).append(1 / (1 + np.exp(-z)))
+            by_host.setdefault(h, []).append(1 / (1 + np.exp(-z)))
+        top = low = 0.0
+        for (h, _), v in by_path.items():
+            n, hn, m = len(v), len(by_host[h]), np.mean(by_host[h])
+            if n < hn:
+                top += n * m * (1 - m)
+                low += n * (np.mean(v) - m) ** 2 - m * (1 - m) * (1 - n / hn)
+        want = min(max(top / max(low, 1e-9) - 1, 2.0), 1000.0)
+        assert {round(r.below, 6) for r in sites} == {round(want, 6)} and len(sites) == len(by_path)
+        for r in sites:
+            assert r.path_quality == pytest.approx((r.s + want * r.host_quality) / (r.n + want))
+        told.append(want)
+    assert told[0] < 20 < told[1]
+    one = quality_classifier.site_posteriors(spark.createDataFrame([("h", "p", 1.0)], schema), None).collect()
+    assert one[0].below == 1000 and quality_classifier.site_posteriors(spark.createDataFrame([], schema), None).count() == 0
+
+
 def brute_spans(t):
     mail, ip = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
     card, phone = re.compile(r"[0-9]([\x20-]?[0-9])+"), re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
