@@ -23,7 +23,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     whatever they are called; an empty table stays empty.
     """
     on_workers(spark)
-    scored = quality_classifier.classify(docs, quality_classifier.train(docs, table(spark, sf_dir, "labels")))
+    scored = quality_classifier.classify(docs, quality_classifier.train(docs, table(spark, sf_dir, "labels")), path_strength=None)
     return without(docs, kept(scored.where("not kept").select("doc_id", "hash")))
 
 
