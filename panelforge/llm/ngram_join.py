@@ -381,8 +381,8 @@ def join_groups(docs: DataFrame, width: int = 5, percent: int = 80, block: int =
     class, or equal to it.
     A text without words (or null) has no shingles and links with nothing; null ids keep their row and
     never become a component_id unless alone. Rows of equal id are separate documents that share a
-    name. Other columns are not read. `block` bounds the documents that one task compares with as many
-    others; larger groups are compared block by block. Token sets are told apart by two 64-bit
+    name. Other columns are not read. `block` bounds the documents, and WIDE_BYTES the bytes of token sets, that one task compares
+    with as many others; larger groups are compared block by block. Token sets are told apart by two 64-bit
     fingerprints: where different sets share the first, the second is their key.
     """
     census = kept(_census(docs, width, id_col, text_col))
@@ -398,17 +398,18 @@ def join_groups(docs: DataFrame, width: int = 5, percent: int = 80, block: int =
     ties = _ties(sigs, one, percent)
     loose = components(ties)
     drop_kept(ties)
-    sizes = kept(loose.groupBy("label").agg(F.count("*").alias("members")))
-    blocks = F.ceil(F.col("members") / F.lit(block)).cast("int")
-    placed = loose.join(sizes, "label").select(F.col("id").alias("key"), "label", blocks.alias("blocks"), F.pmod(F.xxhash64("id"), blocks).cast("int").alias("own"))
-    wanted = kept(placed.join(one, "key").select("key", "label", "blocks", "own", "id", "hash"))
+    texts = kept(loose.withColumnRenamed("id", "key").join(one, "key").select("key", "label", "n", "id", "hash"))
+    parts = F.ceil(F.greatest(F.count("*") / F.lit(block), F.sum(F.col("n").cast("long") * 8) / F.lit(WIDE_BYTES))).cast("int")
+    sizes = kept(texts.groupBy("label").agg(parts.alias("blocks")))
+    own = F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")
+    wanted = kept(texts.join(sizes, "label").select("key", "label", "blocks", own.alias("own"), "id", "hash"))
     toks = kept(_token_rows(docs, wanted, twins, width, id_col, text_col))
     # the first block of a group meets all of it
     partner = F.when(F.col("own") == 0, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("own"))
     first = toks.select("label", F.lit(0).alias("i"), F.explode(partner).alias("j"), "own", "key", "toks")
     links = kept(_verified(first, percent))
     found = components(links)
-    if not sizes.where(F.col("members") > block).isEmpty():
+    if not sizes.where("blocks > 1").isEmpty():
         rest = _rest(toks.where("blocks > 1 and own > 0"), found, block, percent)
         more = kept(_verified(rest, percent))
         drop_kept(found, *rest.kept_)
@@ -428,5 +429,5 @@ def join_groups(docs: DataFrame, width: int = 5, percent: int = 80, block: int =
         F.col("c.hash").alias("hash"),
         (empty | first).alias("first"),
     )
-    drop_kept(loose, sizes, wanted, toks, links, found, one)
+    drop_kept(loose, texts, sizes, wanted, toks, links, found, one)
     return out

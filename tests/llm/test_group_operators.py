@@ -121,6 +121,22 @@ def test_lookalikes_that_do_not_link_send_few_rows(spark):
     assert rest.count() < 5_000 * 5_000 / 150  # m * m / 64 was three times that
 
 
+def test_long_texts_of_one_group_are_dealt_by_bytes(spark, monkeypatch):
+    """Few sets that hold many bytes fill many blocks; the classes stay those of brute force."""
+    rng = np.random.default_rng(26)
+    monkeypatch.setattr(ngram_join, "WIDE_BYTES", 4_000)
+    base = [f"w{i}" for i in range(300)]
+    rows = [(i, " ".join(base[: 300 - int(rng.integers(0, 90))])) for i in range(24)] + [(90 + i, " ".join(f"v{i}x{j}" for j in range(200))) for i in range(3)]
+    calls, real = [], ngram_join._rest
+
+    def rest(toks, *more):
+        calls.append(toks.select("own").distinct().count())
+        return real(toks, *more)
+
+    monkeypatch.setattr(ngram_join, "_rest", rest)
+    assert joined(spark.createDataFrame(rows, "doc_id long, text string")) == Counter(brute_components(rows)) and calls[0] >= 8
+
+
 def test_join_edges(spark):
     docs = [(5, None), (6, ""), (6, ""), (7, "a b"), (8, "A  b"), (9, "a b c"), (None, "one two three four five six"), (3, "one two three four five six"), (2, "p q r s t u v w x y"), (1, "p q r s t u v w x y z"), (1, "other text here that is long enough"), (4, " ".join(f"k{i}" for i in range(50_000))), (11, " ".join(f"k{i}" for i in range(300_000))), (12, " ".join(f"k{i}" for i in range(299_000))), (10, "\x1ca b")]
     df = spark.createDataFrame(docs, "doc_id long, text string").withColumns({c: F.lit("clash") for c in ("key", "hash", "n", "id", "sig", "label", "text_hash")})
