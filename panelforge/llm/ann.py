@@ -198,17 +198,18 @@ def _through_lists(rows: DataFrame, is_query, shared, ratio: float, k: int, size
     Both sides of a list are cut into blocks of BLOCK rows, and every block of queries meets every block of vectors.
     """
     spark = rows.sparkSession
-    posted = _listed(rows, shared, replicas, boundary).select("list", "vec_id", "v")
+    lists = kept(_listed(rows, shared, replicas, boundary).select("list", "vec_id", "v"))
     queries = _copies(rows.where(is_query), shared, ratio)
     of = lambda df, name: df.groupBy("list").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias(name))
-    blocks = of(posted, "parts").join(of(queries, "turns"), "list").collect()  # one row for each list, max_lists at most
+    blocks = of(lists, "parts").join(of(queries, "turns"), "list").collect()  # one row for each list, max_lists at most
     blocks = F.broadcast(spark.createDataFrame(blocks, "list int, parts int, turns int"))
     dealt = lambda n: F.pmod(F.xxhash64("vec_id", "v"), F.col(n)).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    posted = posted.join(blocks, "list").select("list", dealt("parts").alias("part"), each("turns").alias("turn"), "vec_id", "v")
+    posted = lists.join(blocks, "list").select("list", dealt("parts").alias("part"), each("turns").alias("turn"), "vec_id", "v")
     queries = queries.join(blocks, "list").select("list", each("parts").alias("part"), dealt("turns").alias("turn"), "vec_id", "v")
     keys = ("list", "part", "turn")
     found = kept(_ranked(queries.groupBy(*keys).cogroup(posted.groupBy(*keys)).applyInArrow(_scores(k), "query_id bigint, vec_id bigint, score double"), k))
+    drop_kept(lists)
     full = found.where(F.col("rank") == k).select(F.col("query_id").alias("vec_id"))
     short = kept(rows.where(is_query).join(full, "vec_id", "left_anti").select("vec_id", "v", F.lit(float("-inf")).alias("floor"), F.lit(0).cast("long").alias("last")))
     if short.isEmpty():
