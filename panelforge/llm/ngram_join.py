@@ -29,7 +29,9 @@ from .components import components
 
 _SALTS = (np.random.default_rng(5).integers(1, 2**63, 64, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
 #: Frequent tokens that are listed at most; the least count of one; tokens that one slice of a task reports at most.
-LISTED, LEAST, REPORTED = 262_144, 8, 16_384
+LISTED, LEAST, REPORTED = 1 << 20, 8, 32_768
+#: Bits in which a task notes the tokens of its earlier slices; tokens below this are noted (prefixes end before).
+NOTED_BITS, NOTED_BELOW = 1 << 27, np.uint64(1 << 63)
 #: Documents of a bucket that are paired rather than tied to the first, less one; sets that are fetched by a broadcast at most.
 NEAR, FETCHED = 63, 500_000
 #: Sets of one signature that a slice sends on at most; sets and bytes of tokens in a block of a large group's second pass.
@@ -131,16 +133,39 @@ def signatures(toks: np.ndarray, listed: np.ndarray, order: np.ndarray, percent:
     return np.unique(np.concatenate(out))
 
 
+class _Noted:
+    """Which low tokens a task met in its earlier slices: two bits for each, so now and then one is wrongly told."""
+
+    def __init__(self):
+        self.bits = np.zeros(NOTED_BITS // 8, np.uint8)
+
+    def met(self, toks: np.ndarray) -> np.ndarray:
+        """Whether each token was noted before; those below NOTED_BELOW are noted now."""
+        low = toks < NOTED_BELOW
+        out = np.zeros(len(toks), bool)
+        places = [(h % np.uint64(NOTED_BITS)).astype(np.int64) for h in (toks[low], _mix(toks[low]))]
+        out[low] = np.logical_and.reduce([self.bits[at >> 3] >> (at & 7).astype(np.uint8) & 1 for at in places])
+        for at in places:
+            np.bitwise_or.at(self.bits, at >> 3, np.uint8(1) << (at & 7).astype(np.uint8))
+        return out
+
+
 def _census(docs: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame:
-    """One row for each document (kind 0: id, n tokens, key and check fingerprints, hash of the text) and for tokens that a slice repeats (kind 1: n times, key)."""
+    """One row for each document (kind 0: id, n tokens, key and check fingerprints, hash of the text) and for tokens that a slice or, below NOTED_BELOW, a task repeats (kind 1: n times, key).
+
+    A token that many texts of a large table share stands once in most slices, so slices alone would not tell of it.
+    """
 
     def make():
+        noted = _Noted()
+
         def run(ids, texts, hashes):
             sets = [tokens(t, width) for t in texts]
             n, key, check = [len(s) for s in sets], [fingerprint(s) for s in sets], [fingerprint(s, 1) for s in sets]
             once = {k: s for k, s in zip(key, sets, strict=True) if len(s)}
             found, times = np.unique(np.concatenate(list(once.values())), return_counts=True) if once else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-            found, times = found[times > 1], times[times > 1]
+            again = noted.met(found) | (times > 1)
+            found, times = found[again], times[again]
             if len(found) > REPORTED:
                 top = np.argsort(-times, kind="stable")[:REPORTED]
                 found, times = found[top], times[top]
@@ -164,8 +189,8 @@ def _vertices(census: DataFrame) -> DataFrame:
 
 def _listed(census: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """At most LISTED frequent tokens, sorted, and their places by count: a bounded summary."""
-    top = census.where("kind = 1").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST).orderBy(F.desc("n"), "key").limit(LISTED).collect()
-    keys = np.array([r[0] for r in top], np.int64).view(np.uint64)
+    top = census.where("kind = 1").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST).orderBy(F.desc("n"), "key").limit(LISTED).select("key").toArrow()
+    keys = top.column("key").to_numpy().view(np.uint64)
     by = np.argsort(keys)
     return keys[by], (len(keys) - 1 - np.arange(len(keys)))[by]
 
@@ -403,13 +428,15 @@ def join_groups(docs: DataFrame, width: int = 5, percent: int = 80, block: int =
     sizes = kept(texts.groupBy("label").agg(parts.alias("blocks")))
     own = F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")
     wanted = kept(texts.join(sizes, "label").select("key", "label", "blocks", own.alias("own"), "id", "hash"))
-    toks = kept(_token_rows(docs, wanted, twins, width, id_col, text_col))
+    few = _token_rows(docs, wanted.where("blocks = 1"), twins, width, id_col, text_col)  # read once, so not written
+    one_block = few.select("label", F.lit(0).alias("i"), F.lit(0).alias("j"), "own", "key", "toks")
+    toks = kept(_token_rows(docs, wanted.where("blocks > 1"), twins, width, id_col, text_col))
     # the first block of a group meets all of it
     partner = F.when(F.col("own") == 0, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("own"))
     first = toks.select("label", F.lit(0).alias("i"), F.explode(partner).alias("j"), "own", "key", "toks")
-    links = kept(_verified(first, percent))
+    links = kept(_verified(one_block, percent).unionByName(_verified(first, percent)))
     found = components(links)
-    if not sizes.where("blocks > 1").isEmpty():
+    if not toks.isEmpty():
         rest = _rest(toks.where("blocks > 1 and own > 0"), found, block, percent)
         more = kept(_verified(rest, percent))
         drop_kept(found, *rest.kept_)

@@ -533,6 +533,22 @@ def test_registered_queries_meet_their_contracts(spark):
             assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) for r in rows)
 
 
+def test_a_token_that_stands_once_in_each_slice_is_listed_and_ties_no_unrelated_texts(spark, monkeypatch):
+    real = ngram_join.map_texts
+    monkeypatch.setattr(ngram_join, "map_texts", lambda *a, **k: real(*a, **k, limit=1))  # every text is a slice
+    monkeypatch.setattr(ngram_join, "NEAR", 5)
+    common = " ".join(f"c{i}" for i in range(24))
+    rows = [(i, common + " " + " ".join(f"w{i}x{j}" for j in range(24))) for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    listed, _ = ngram_join._listed(ngram_join._census(df, 5, "doc_id", "text"))
+    shared = ngram_join.tokens(common.encode())
+    assert set(shared[shared < ngram_join.NOTED_BELOW].tolist()) <= set(listed.tolist())
+    census = ngram_join._census(df, 5, "doc_id", "text")
+    sigs = ngram_join._signed(df, ngram_join._listed(census), frozenset(), 5, 80, "doc_id", "text")
+    assert ngram_join._ties(sigs, ngram_join._vertices(census), 80).isEmpty()
+    assert {r.component_id for r in ngram_join.join_groups(df).collect()} == set(range(40))
+
+
 @pytest.mark.parametrize("name", ["op3_chat_format", "op5_mixing", "op7_ngram_join"])
 def test_twins(spark, name):
     import oracle
