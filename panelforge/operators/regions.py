@@ -85,6 +85,41 @@ def points_in(points: DataFrame, regions: DataFrame, key: str, step: float, ring
     return met.where(F.col("edges_").isNull() | inside(x, y, F.col("edges_"))).drop("cx_", "cy_", "edges_")
 
 
+def _finite(points: DataFrame) -> DataFrame:
+    return points.where("x is not null and y is not null and abs(x) < double('infinity') and abs(y) < double('infinity')")
+
+
+def fitting_step(points: DataFrame, step: float, full: int = 128, halvings: int = 4) -> float:
+    """step, halved (at most `halvings` times) until the fullest cell would hold about `full` points if they spread evenly in it."""
+    cells = _finite(points).groupBy(_cell(F.col("x"), step), _cell(F.col("y"), step)).count()
+    most = cells.agg(F.max("count")).first()[0] or 0
+    while most > full and halvings:
+        step, most, halvings = step / 2, most / 4, halvings - 1
+    return step
+
+
+def reduce_in(points: DataFrame, regions: DataFrame, key: str, value: str, step: float, rings: str = "rings") -> DataFrame:
+    """(key, pixels, mean, stddev): count of the points (x, y, value) in each region, and mean and population deviation of their values.
+
+    Cells that lie wholly inside a region give it their count and moments, one row however many points they
+    hold; only points of border cells meet regions one by one. Moments are taken around the mean of all values.
+    """
+    step = fitting_step(points, step)
+    fine = _finite(points).select(F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"), F.col(value).cast("double").alias("v_"))
+    centre = fine.where("abs(v_) < double('infinity')").agg(F.avg("v_")).first()[0] or 0.0
+    fine = fine.select("x", "y", (F.col("v_") - F.lit(centre)).alias("v_"), _cell(F.col("x"), step).alias("cx_"), _cell(F.col("y"), step).alias("cy_"))
+    cells = cover(regions, key, step, rings).withColumnsRenamed({"cx": "cx_", "cy": "cy_", "edges": "edges_"})
+    sums = [F.sum("v_").alias("s_"), F.sum(F.col("v_") * F.col("v_")).alias("q_")]
+    whole = fine.groupBy("cx_", "cy_").agg(F.count("*").alias("pixels"), F.count("v_").alias("n_"), *sums)
+    whole = cells.where("edges_ is null").join(whole, ["cx_", "cy_"]).select(key, "pixels", "n_", "s_", "q_")
+    met = fine.join(cells.where("edges_ is not null"), ["cx_", "cy_"]).where(inside(F.col("x"), F.col("y"), F.col("edges_")))
+    both = whole.unionByName(met.groupBy(key).agg(F.count("*").alias("pixels"), F.count("v_").alias("n_"), *sums))
+    out = both.groupBy(key).agg(F.sum("pixels").alias("pixels"), F.sum("n_").alias("n_"), F.sum("s_").alias("s_"), F.sum("q_").alias("q_"))
+    mean = F.when(F.col("n_") > 0, F.col("s_") / F.col("n_"))
+    spread = F.when(F.col("n_") > 0, F.sqrt(F.greatest(F.col("q_") / F.col("n_") - mean * mean, F.lit(0.0))))
+    return out.select(key, "pixels", (mean + F.lit(centre)).alias("mean"), spread.alias("stddev"))
+
+
 def buffers(places: DataFrame, key: str, lon: str, lat: str, metres: float, sides: int = 32) -> DataFrame:
     """(key, rings): around each place, in degrees, a polygon of `sides` corners `metres` away; null places have none.
 

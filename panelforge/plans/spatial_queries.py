@@ -179,24 +179,29 @@ count(*) FILTER ((x1 - x0) * (p.lat - y0) = (y1 - y0) * (p.lon - x0) AND p.lon B
 i AS (SELECT region_id, vec_id, value FROM c WHERE crossed % 2 = 1 OR touched > 0)"""
 
 
-def in_polygons(spark, sf_dir):
-    """Points with the polygon regions (diamonds with a hole) that they lie in."""
-    p = points(spark, sf_dir)
+def diamonds(p):
+    """Polygon regions (diamonds with a hole) around the points of label 0."""
     at = lambda d: F.struct((F.col("lon") + d[0]).alias("x"), (F.col("lat") + d[1]).alias("y"))
-    regions = p.where("label = 0").select(F.col("vec_id").alias("region_id"), F.array(*[F.array(*map(at, ring)) for ring in _RINGS]).alias("rings"))
-    return Z.points_in(p.select("vec_id", "value", F.col("lon").alias("x"), F.col("lat").alias("y")), regions, "region_id", 0.05)
+    return p.where("label = 0").select(F.col("vec_id").alias("region_id"), F.array(*[F.array(*map(at, ring)) for ring in _RINGS]).alias("rings"))
+
+
+def pixels(p):
+    return p.select("vec_id", "value", F.col("lon").alias("x"), F.col("lat").alias("y"))
 
 
 @query(f"{_INSIDE} SELECT region_id, vec_id FROM i")
 def polygon_join(spark, sf_dir):
     """Points in polygon regions, found through covering cells and rays in border cells."""
-    return in_polygons(spark, sf_dir).select("region_id", "vec_id")
+    p = points(spark, sf_dir)
+    return Z.points_in(pixels(p), diamonds(p), "region_id", 0.05).select("region_id", "vec_id")
 
 
 @query(f"{_INSIDE} SELECT region_id, count(*) AS pixels, round(avg(value), 6) AS value_mean, round(stddev_pop(value), 6) AS value_stddev FROM i GROUP BY 1")
 def polygon_reduce(spark, sf_dir):
     """Statistics of the pixels of each polygon region."""
-    return in_polygons(spark, sf_dir).groupBy("region_id").agg(F.count("*").alias("pixels"), r6(F.avg("value"), "value_mean"), r6(F.stddev_pop("value"), "value_stddev"))
+    p = points(spark, sf_dir)
+    found = Z.reduce_in(pixels(p), diamonds(p), "region_id", "value", 0.05)
+    return found.select("region_id", "pixels", r6(F.col("mean"), "value_mean"), r6(F.col("stddev"), "value_stddev"))
 
 
 @query(f"WITH {POINTS} SELECT vec_id FROM pts WHERE lon BETWEEN -0.1 AND 0.2 AND lat BETWEEN -0.05 AND 0.3")
@@ -259,5 +264,5 @@ def buffer_reduce(spark, sf_dir):
     """Means over the pixels within 8 km of each place, as a polygon of twelve corners in degrees."""
     p = points(spark, sf_dir)
     regions = Z.buffers(p.where("label = 2").withColumnRenamed("vec_id", "region_id"), "region_id", "lon", "lat", 8000.0, 12)
-    found = Z.points_in(p.select("value", F.col("lon").alias("x"), F.col("lat").alias("y")), regions, "region_id", 0.05)
-    return found.groupBy("region_id").agg(F.count("*").alias("pixels"), r6(F.avg("value"), "value_mean"))
+    found = Z.reduce_in(pixels(p), regions, "region_id", "value", 0.05)
+    return found.select("region_id", "pixels", r6(F.col("mean"), "value_mean"))

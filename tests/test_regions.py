@@ -105,3 +105,17 @@ def test_a_dense_city_is_many_leaves(spark, monkeypatch):
     pairs = spatial._near_pairs(q, an, "q", 1, [])
     most = max(r["count"] for r in pairs.groupBy("q").count().collect())
     assert most < 120
+
+
+def test_reduced_regions_equal_their_points_and_full_cells_are_halved(spark):
+    rng = np.random.default_rng(3)
+    rows = [(float(x), float(y), None if i % 7 == 0 else float(v)) for i, (x, y, v) in enumerate(rng.uniform(0, 4, (1500, 3)) + [0, 0, 1e6])]
+    points = spark.createDataFrame([*rows, (None, 1.0, 2.0)], "x double, y double, v double")
+    ring = lambda a, b: [{"x": a, "y": a}, {"x": b, "y": a}, {"x": b, "y": b}, {"x": a, "y": b}]
+    frame = spark.createDataFrame([(1, [ring(0.1, 3.9), ring(1.0, 2.0)]), (2, [ring(2.2, 3.1)]), (3, [ring(9.0, 9.5)])], RINGS)
+    assert regions.fitting_step(points, 2.0) == 1.0 and regions.fitting_step(points.limit(50), 2.0) == 2.0
+    plain = regions.points_in(points, frame, "region", 1.0).groupBy("region").agg(F.count("*").alias("pixels"), F.avg("v").alias("mean"), F.stddev_pop("v").alias("stddev"))
+    got, want = (sorted(map(tuple, d.collect())) for d in (regions.reduce_in(points, frame, "region", "v", 2.0), plain))
+    assert [r[:2] for r in got] == [r[:2] for r in want] and len(got) == 2
+    assert np.allclose([r[2:] for r in got], [r[2:] for r in want], rtol=1e-9)
+    assert regions.reduce_in(points.where("false"), frame, "region", "v", 2.0).count() == 0
