@@ -149,6 +149,27 @@ def test_pieces_equal_the_library(byte_level, texts):
     assert n.tolist() == [len(w) for w in want] and ids.tolist() == [i for w in want for i in w]
 
 
+def test_new_pieces_are_joined_for_the_library(byte_level):
+    """Thousands of new words take a few calls' texts, not one text each; odd ends, long words and repeats come out the same."""
+    encode, library = token_files.PieceEncoder(byte_level[0].tokenizer.to_str()), byte_level[1]
+    words = [f"w{k:x}q{k * 7919 % 104729:x}" + (",", ".", "", "!?", " ", "\n", "\nx", "\u0300")[k % 8] for k in range(6000)] + ["y" * 70 + str(k) for k in range(50)]
+    texts = [" ".join(words[k : k + 50]) for k in range(0, len(words), 50)] + ["", " a", "a ", ",", "\n"]
+    told = []
+
+    class Counted:
+        def encode_batch_fast(self, asked, **how):
+            told.extend(asked)
+            return library.encode_batch_fast(asked, **how)
+
+    encode.tokenizer = Counted()
+    ids, n = encode([t.encode() for t in texts])
+    want = [library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert n.tolist() == [len(w) for w in want] and ids.tolist() == [i for w in want for i in w]
+    assert len(told) < 1000
+    again, _ = encode([t.encode() for t in texts])
+    assert again.tolist() == ids.tolist() and len(encode.known.n) == len(encode.known.number)
+
+
 def test_other_tokenizers_are_refused():
     with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as f, pytest.raises(ValueError, match="byte-level"):
         token_files.PieceEncoder(f.read())
