@@ -4,7 +4,7 @@ A worker gathers the distinct pre-tokens of a large slice of the corpus, lays th
 linked array and keeps an index from the rank of a token pair to the positions where it stands. Ranks
 are then replayed in ascending order, each over all words at once, and only the two neighbours of a
 merged pair are looked up again. Every document is then assembled from its words' ids, so there is no
-shuffle at all, and words stay known to the worker (a bounded number) for later slices.
+shuffle at all, and words stay known to the worker (a bounded number) for later slices of its task.
 """
 
 from __future__ import annotations
@@ -251,8 +251,12 @@ def encode(
 
         return run
 
+    def done():
+        for encoder in filter(None, [worker_state("byte_bpe").get("encoder")]):
+            encoder.clear()  # workers take turns, and the idle ones count too
+
     kind = docs.schema[id_col].dataType.simpleString()
-    return map_texts(docs, make, f"doc_id {kind}, n_tokens bigint, ids binary" + ", decoded binary" * with_decoded, id_col, text_col, limit=5 << 20, owner="byte_bpe")
+    return map_texts(docs, make, f"doc_id {kind}, n_tokens bigint, ids binary" + ", decoded binary" * with_decoded, id_col, text_col, limit=5 << 20, owner="byte_bpe", done=done)
 
 
 def decode(encoded: DataFrame, ranks_path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:

@@ -81,6 +81,25 @@ def test_frequent_pieces(spark):
     assert token_counts.frequent_pieces(df, 2) == [b"a", b"b"]
 
 
+def test_byte_bpe_workers_keep_no_words_between_tasks(spark, docs):
+    """Idle workers count towards an executor's memory: after a task only the rank table stays."""
+    rows = byte_bpe.encode(docs.limit(50).coalesce(1), RANKS, public.PATTERN)
+
+    def held(batches):
+        import pyarrow as pa
+
+        from panelforge.llm.common import worker_state
+
+        for _ in batches:
+            pass
+        encoder = worker_state("byte_bpe").get("encoder")
+        yield pa.RecordBatch.from_pydict({"words": [len(encoder.words) if encoder else -1], "ids": [len(encoder.ids) if encoder else 0]})
+
+    before = len(rows.collect())
+    found = spark.range(0, 64, 1, 64).mapInArrow(held, "words bigint, ids bigint").collect()
+    assert before == 50 and max(r.words for r in found) == 0 and max(r.ids for r in found) == 0
+
+
 def test_byte_bpe_equals_library(edges, nothing, docs, tik):
     for df in (edges, docs):
         want = Counter()
