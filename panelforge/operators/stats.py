@@ -128,23 +128,37 @@ def average_ranks(df: DataFrame, groups: list[str], value: str, name: str) -> Da
     return df.join(value_ranks(df, groups, value, name), [*groups, value])
 
 
+#: Rows of a table that a join broadcasts at most.
+BROADCAST_ROWS = 200_000
+
+
+def _small(df: DataFrame) -> DataFrame:
+    """df, written, and marked for broadcast if it is counted small: a join then moves no row of the other side, and no frequent key gathers in one task."""
+    df = kept(df)
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+
+
 def _ranked(pairs: DataFrame, keys: list[str], most: int) -> DataFrame:
     """pairs (keys, x_, t_, w_; keys not null) with rx_ and rt_, the mean ranks of both sides; a pair counts w_ times."""
     x, t = value_ranks(pairs, keys, "x_", "rx_", "w_", most), value_ranks(pairs, keys, "t_", "rt_", "w_", most)
-    return pairs.join(x, [*keys, "x_"]).join(t, [*keys, "t_"])
+    return pairs.join(_small(x), [*keys, "x_"]).join(_small(t), [*keys, "t_"])
+
 
+def _rank_corr(pairs: DataFrame, keys: list[str], most: int, named: dict[str, tuple[str, str]]) -> DataFrame:
+    """(keys, n, a coefficient by name) of pairs and of their ranks rx_ and rt_, around weighted means; null without spread.
 
-def _weighted_corr(rows: DataFrame, keys: list[str], w: str, pairs: dict[str, tuple[str, str]]) -> DataFrame:
-    """(keys, n, a coefficient by name) of pairs of columns without nulls, around their weighted means; null without spread."""
-    names = sorted({c for p in pairs.values() for c in p})
-    weight = F.col(w)
-    means = rows.groupBy(*keys).agg(*[(F.sum(weight * F.col(c)) / F.sum(weight)).alias(f"{c}__m") for c in names])
-    met = rows.join(means, keys) if keys else rows.crossJoin(F.broadcast(means))
+    n ranks with shared ties have the mean (n + 1) / 2, so means need no ranks and the ranked rows are read once.
+    """
+    names, w = sorted({c for p in named.values() for c in p}), F.col("w_")
+    plain = [c for c in names if c not in ("rx_", "rt_")]
+    means = pairs.groupBy(*keys).agg(F.sum(w).alias("n"), *[(F.sum(w * F.col(c)) / F.sum(w)).alias(f"{c}__m") for c in plain])
+    means = means.withColumns({f"{c}__m": (F.col("n") + 1) / 2 for c in names if c not in plain}).drop("n")
+    met = _ranked(pairs, keys, most).join(_small(means), keys)
     off = lambda c: F.col(c) - F.col(f"{c}__m")
-    products = {(a, b) for p in pairs.values() for a, b in (p, (p[0], p[0]), (p[1], p[1]))}
-    sums = met.groupBy(*keys).agg(F.sum(weight).alias("n"), *[F.sum(weight * off(a) * off(b)).alias(f"{a}*{b}") for a, b in sorted(products)])
+    products = {(a, b) for p in named.values() for a, b in (p, (p[0], p[0]), (p[1], p[1]))}
+    sums = met.groupBy(*keys).agg(F.sum(w).alias("n"), *[F.sum(w * off(a) * off(b)).alias(f"{a}*{b}") for a, b in sorted(products)])
     s = lambda a, b: F.col(f"`{a}*{b}`")
-    out = [F.when((s(a, a) > 0) & (s(b, b) > 0), s(a, b) / F.sqrt(s(a, a) * s(b, b))).alias(name) for name, (a, b) in pairs.items()]
+    out = [F.when((s(a, a) > 0) & (s(b, b) > 0), s(a, b) / F.sqrt(s(a, a) * s(b, b))).alias(name) for name, (a, b) in named.items()]
     return sums.select(*keys, "n", *out)
 
 
@@ -159,7 +173,7 @@ def spearman_table(df: DataFrame, target: str, features: list[str], groups: list
     long = df.select(*groups, F.col(target).cast("double").alias("t_"), *[F.col(f).cast("double").alias(f) for f in features])
     long = long.unpivot([*groups, "t_"], features, "feature", "x_").where("x_ is not null and t_ is not null")
     pairs = kept(long.groupBy(*keys, "x_", "t_").agg(F.count("*").alias("w_")))
-    return _weighted_corr(_ranked(pairs, keys, pairs.count()), keys, "w_", {"spearman": ("rx_", "rt_")})
+    return _rank_corr(pairs, keys, pairs.count(), {"spearman": ("rx_", "rt_")})
 
 
 def correlation_groups(table: DataFrame, group: str, value: str) -> DataFrame:
@@ -226,10 +240,10 @@ def correlation_sets(df: DataFrame, target: str, features: list[str], by: dict[s
     lifted = full.where("t_ > -1").withColumn("lt_", F.log1p("t_"))
     both = {"pearson_log": ("x_", "lt_"), "spearman_log": ("rx_", "rt_")}
     if full.where("t_ <= -1").isEmpty():
-        out = _weighted_corr(_ranked(lifted, keys, most), keys, "w_", {"pearson": ("x_", "t_"), "spearman": ("rx_", "rt_")} | both)
+        out = _rank_corr(lifted, keys, most, {"pearson": ("x_", "t_"), "spearman": ("rx_", "rt_")} | both)
     else:
-        plain = _weighted_corr(_ranked(full, keys, most), keys, "w_", {"pearson": ("x_", "t_"), "spearman": ("rx_", "rt_")})
-        out = plain.join(_weighted_corr(_ranked(lifted, keys, most), keys, "w_", both).drop("n"), keys, "left")
+        plain = _rank_corr(full, keys, most, {"pearson": ("x_", "t_"), "spearman": ("rx_", "rt_")})
+        out = plain.join(_rank_corr(lifted, keys, most, both).drop("n"), keys, "left")
     out = out.where(F.col("n") >= least).join(missing, keys)
     return out.select(*keys, "n", "missing_share", "pearson", "spearman", "pearson_log", "spearman_log", F.abs("spearman_log").alias("abs_spearman_log"))
 
