@@ -187,17 +187,35 @@ def _epoch(rows: DataFrame, fitted: Fitted, state: np.ndarray, epoch: int, step:
     return total[:-4] / max(n, 1), {"loss": loss / max(n, 1), "rmse": float((squares / held) ** 0.5) if held else float("nan")}
 
 
-def fit_network(df: DataFrame, keys: list[str], day: str, value: str, target: str, spec: Spec, train_end: str, valid_end: str) -> tuple[Fitted, DataFrame]:
-    """A network trained on all training windows, and the written windows.
+def _columns_kept(df: DataFrame, keys: list[str], day: str, value: str, target: str, specs: list[Spec]) -> DataFrame:
+    """What networks read of a panel, written once: scaling and windows pass over it several times."""
+    read = [c for s in specs for c in (*s.dynamic, *s.context, *([s.entity] if s.entity else []))]
+    return kept(df.select(*dict.fromkeys([*keys, day, value, target, *read])))
+
+
+def _scaler(df: DataFrame, day: str, spec: Spec, train_end: str) -> linear.Scaler:
+    return linear.Scaler.fit(df.where(F.col(day) <= F.lit(train_end).cast("date")), [*spec.dynamic, *spec.context])
+
+
+def _windows(df: DataFrame, keys: list[str], day: str, value: str, target: str, spec: Spec, scaler: linear.Scaler, train_end: str, valid_end: str) -> DataFrame:
+    rows = network_samples(df, keys, day, value, target, spec, scaler, train_end, valid_end)
+    return kept(rows.repartition(spec.tasks, *keys).sortWithinPartitions(F.xxhash64(*keys, "target_date")))
+
+
+def fit_network(df: DataFrame, keys: list[str], day: str, value: str, target: str, spec: Spec, train_end: str, valid_end: str, made: tuple[linear.Scaler, DataFrame] | None = None) -> tuple[Fitted, DataFrame]:
+    """A network trained on all training windows, and the written windows; made: scaler and windows, where trials share them.
 
     Each epoch is one job: tasks train on their own windows from the common weights, and the weights are
     averaged; only the weights travel. The rate halves when the validation error has not fallen for a
     third of the patience (3 epochs at least), training stops after `patience` such epochs, and the
     weights of the least validation error are kept (without validation windows: the last).
     """
-    scaler = linear.Scaler.fit(df.where(F.col(day) <= F.lit(train_end).cast("date")), [*spec.dynamic, *spec.context])
-    rows = network_samples(df, keys, day, value, target, spec, scaler, train_end, valid_end)
-    rows = kept(rows.repartition(spec.tasks, *keys).sortWithinPartitions(F.xxhash64(*keys, "target_date")))
+    if made is None:
+        panel = _columns_kept(df, keys, day, value, target, [spec])
+        scaler = _scaler(panel, day, spec, train_end)
+        made = scaler, _windows(panel, keys, day, value, target, spec, scaler, train_end, valid_end)
+        drop_kept(panel)
+    scaler, rows = made
     entities = {}
     if spec.entity:
         names = rows.where("split = 'train'").groupBy("e_").count().select("e_").orderBy("e_").limit(ENTITIES + 1).collect()
@@ -257,18 +275,25 @@ def network_scores(df: DataFrame, keys: list[str], day: str, value: str, target:
 def tune_networks(df: DataFrame, keys: list[str], day: str, value: str, target: str, trials: list[Spec], train_end: str, valid_end: str, log: str | None = None) -> DataFrame:
     """(trial, lookback, hidden, rate, dropout, epochs, val_rmse, test_rmse), least validation error first; the test error never chooses.
 
-    Trials are logged as search() does; a log folder lets a restart go on.
+    Trials are logged as search() does; a log folder lets a restart go on. The panel is written once, its scaling is
+    fitted once for all trials of the same columns, and windows are written once for all that read the same ones.
     """
     spark = df.sparkSession
+    panel = Once(lambda _: _columns_kept(df, keys, day, value, target, trials))
+    scaler = Once(lambda like: _scaler(panel(None), day, like, train_end))
+    windows_of = Once(lambda like: _windows(panel(None), keys, day, value, target, like, scaler(Spec(like.dynamic, like.context)), train_end, valid_end))
 
     def run(trial: dict) -> dict:
-        fitted, rows = fit_network(df, keys, day, value, target, trials[trial["number"]], train_end, valid_end)
+        spec = trials[trial["number"]]
+        like = Spec(spec.dynamic, spec.context, spec.entity, spec.lookback, spec.horizon, spec.mode, tasks=spec.tasks)
+        made = scaler(Spec(spec.dynamic, spec.context)), windows_of(like)
+        fitted, rows = fit_network(df, keys, day, value, target, spec, train_end, valid_end, made)
         scored = stats.regression_scores("y_true", "y_pred", ["split"])(predict_network(fitted, rows, keys)).collect()
         found = {r.split: r.rmse for r in scored}
-        drop_kept(rows)
         return {"epochs": len(fitted.epochs) - 1, "val_rmse": found.get("val"), "test_rmse": found.get("test")}
 
     named = [{"number": i, "lookback": t.lookback, "hidden": t.hidden, "rate": t.rate, "dropout": t.dropout} for i, t in enumerate(trials)]
     done = search(spark, named, run, log or new_log(spark), "val_rmse")
+    drop_kept(*windows_of.made.values(), *panel.made.values())
     out = [{k: v for k, v in r.items() if k != "number"} for r in done]
     return as_frame(spark, out, "trial int, lookback int, hidden int, rate double, dropout double, epochs int, val_rmse double, test_rmse double")

@@ -389,3 +389,35 @@ def test_branches_refuse_mixed_ablations(spark):
     df = spark.createDataFrame([(1, 2)], "a int, b int")
     with pytest.raises(ValueError):
         columns.branches(df, ["a"], [], [], [], ["b"], no_composite=True, without_history=True)
+
+
+def test_rank_correlations_move_no_pairs_to_frequent_values(spark):
+    """A frequent feature value (and the three groups of means) must not gather the pairs in one task: such tables are broadcast."""
+    rng = np.random.default_rng(5)
+    x, t = rng.integers(0, 3, 400), rng.normal(size=400).round(2)
+    df = spark.createDataFrame([(float(a), float(b)) for a, b in zip(x, t, strict=True)], "x double, t double")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = stats.spearman_table(df, "t", ["x"])
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        (row,) = out.collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    rank = lambda v: np.array([(v < a).sum() + ((v == a).sum() + 1) / 2 for a in v])
+    assert row.n == 400 and abs(row.spearman - np.corrcoef(rank(x), rank(t))[0, 1]) < 1e-12
+    assert "SortMergeJoin" not in plan and plan.count("BroadcastHashJoin") >= 3
+
+
+def test_trials_of_networks_share_panel_and_windows(spark, monkeypatch):
+    import datetime
+
+    day = lambda i: datetime.date(2024, 1, 1) + datetime.timedelta(i)
+    df = spark.createDataFrame([(k, day(i), float((k + i) % 5)) for k in range(4) for i in range(30)], "k int, day date, v double")
+    written, plain = [], forecast.kept
+    monkeypatch.setattr(forecast, "kept", lambda rows: written.append(rows.columns) or plain(rows))
+    trials = [forecast.Spec(dynamic=("v",), lookback=n, hidden=h, epochs=1) for n, h in ((3, 2), (3, 3), (4, 2), (3, 4))]
+    out = forecast.tune_networks(df, ["k"], "day", "v", "v", trials, "2024-01-15", "2024-01-22").collect()
+    assert len(out) == 4 and len(written) == 3  # the panel, and windows of two lookbacks
+    alone = forecast.fit_network(df, ["k"], "day", "v", "v", trials[1], "2024-01-15", "2024-01-22")[0]
+    assert {r.trial: r.val_rmse for r in out}[1] == pytest.approx(min(e[2] for e in alone.epochs), rel=1e-9)
