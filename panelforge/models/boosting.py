@@ -1,7 +1,9 @@
 """Boosted trees over histograms, with missing values as they are.
 
-Rows become blocks of bin numbers, written once. A level of a tree is one job: every task adds up gradients
-by (node, feature, bin), Spark sums them, and the driver, which sees these sums only, picks the splits.
+Rows become blocks, written once; rows of a block with equal bin numbers are one cell, and as trees cannot tell
+them apart, margins, leaves and gradients are worked out by cell, from sums over its drawn rows. A level of a tree
+is one job: every task adds up gradients by (node, feature, bin), Spark sums them, and the driver, which sees these
+sums only, picks the splits.
 Nulls and NaN have a bin of their own, and each split learns the side they go to.
 """
 
@@ -22,6 +24,8 @@ from .linear import load_record, save_record
 REFRESH = 8
 #: Sums by (node, feature, bin) that a job brings to the driver at most; more nodes than that take turns.
 CELLS = 1_000_000
+#: Rows and bytes of a block at most.
+BLOCK_ROWS, BLOCK_BYTES = 1 << 20, 32 << 20
 
 
 @dataclass
@@ -146,52 +150,74 @@ def find_cuts(rows: DataFrame, columns: list[str], bins: int) -> list[list[float
 
 
 def _blocks(rows: DataFrame, columns: list[str], target: Column, weight: Column | None, held: Column | None, cuts: list[list[float]], base: float) -> DataFrame:
-    """Blocks (block, n, bins, y, w, held, margin), each an array as bytes; rows without a target are left out."""
+    """Blocks (block, n, cell, bins, y, w, held, margin), each an array as bytes; rows without a target are left out.
+
+    bins and margin are those of the block's cells, cell is the number of each row's.
+    """
     f = len(columns)
     shown = [F.col(c).cast("double").alias(f"f{k}") for k, c in enumerate(columns)]
     y = target.cast("double")
     rows = rows.where(y.isNotNull() & ~F.isnan(y)).select(*shown, y.alias("y"), (weight if weight is not None else F.lit(1.0)).cast("double").alias("w"), F.coalesce(held if held is not None else F.lit(False), F.lit(False)).alias("held"))
+    most = max(1, min(BLOCK_ROWS, BLOCK_BYTES // (2 * f + 29)))
+
+    def block(number, parts):
+        bins, *rest = (np.concatenate(p, axis=-1) for p in zip(*parts, strict=True))
+        cell, first = cells_of(bins, [len(c) + 2 for c in cuts])
+        arrays = [cell.astype(np.uint32), bins[:, first], *rest, np.full(len(first), base)]
+        return pa.RecordBatch.from_pydict({"block": [number], "n": [len(cell)]} | {k: [a.tobytes()] for k, a in zip(("cell", "bins", "y", "w", "held", "margin"), arrays, strict=True)})
 
     def run(batches):
         from pyspark import TaskContext
 
-        number = TaskContext.get().partitionId() << 32
-        for b in batches:
-            if not b.num_rows:
-                continue
-            x = [b.column(k).to_numpy(zero_copy_only=False).astype(float) for k in range(f)]
-            bins = binned(x, cuts)
-            arrays = [bins, b.column("y").to_numpy(zero_copy_only=False).astype(float), b.column("w").to_numpy(zero_copy_only=False).astype(float), b.column("held").to_numpy(zero_copy_only=False).astype(np.uint8), np.full(b.num_rows, base)]
-            yield pa.RecordBatch.from_pydict({"block": [number], "n": [b.num_rows]} | {k: [a.tobytes()] for k, a in zip(("bins", "y", "w", "held", "margin"), arrays, strict=True)})
-            number += 1
-
-    return kept(rows.mapInArrow(run, "block bigint, n bigint, bins binary, y binary, w binary, held binary, margin binary"))
+        number, parts, n = TaskContext.get().partitionId() << 32, [], 0
+        for whole in batches:
+            for at in range(0, whole.num_rows, most):
+                b = whole.slice(at, most)
+                if n + b.num_rows > most:
+                    yield block(number, parts)
+                    number, parts, n = number + 1, [], 0
+                column = lambda k, b=b: b.column(k).to_numpy(zero_copy_only=False)
+                parts.append((binned([column(k).astype(float) for k in range(f)], cuts), column("y").astype(float), column("w").astype(float), column("held").astype(np.uint8)))
+                n += b.num_rows
+        if n:
+            yield block(number, parts)
+
+    return kept(rows.mapInArrow(run, "block bigint, n bigint, cell binary, bins binary, y binary, w binary, held binary, margin binary"))
+
+
+def cells_of(bins: np.ndarray, widths: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """For each row (of bins by feature, rows second) the number of its distinct tuple of bins, and a row of each tuple."""
+    key, size = np.zeros(bins.shape[1], np.int64), 1
+    for b, width in zip(bins, widths, strict=True):
+        if size * width >= 2**62:
+            seen, key = np.unique(key, return_inverse=True)
+            size = len(seen)
+        key, size = key * width + b, size * width
+    _, first, cell = np.unique(key, return_index=True, return_inverse=True)
+    return cell, first
 
 
 def _opened(batches, f: int):
     for b in batches:
         for r in b.to_pylist():
             get = lambda k, kind: np.frombuffer(r[k], kind)  # noqa: B023, E731
-            yield r, get("bins", np.uint16).reshape(f, -1), get("y", float), get("w", float), get("held", np.uint8).astype(bool), get("margin", float)
+            yield r, get("cell", np.uint32), get("bins", np.uint16).reshape(f, -1), get("y", float), get("w", float), get("held", np.uint8).astype(bool), get("margin", float)
 
 
 def _drawn(block: int, n: int, tree: int, p: Params) -> np.ndarray:
-    """Which rows of a block a tree sees: a hash of (seed, tree, block, row), the same on every retry."""
+    """Which rows of a block a tree sees: a generator seeded by (seed, tree, block), the same on every retry."""
     if p.row_share >= 1:
         return np.ones(n, bool)
-    with np.errstate(over="ignore"):
-        h = np.arange(n, dtype=np.uint64) + np.uint64(block) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(tree * 1_000_003 + p.seed) * np.uint64(0xC2B2AE3D27D4EB4F)
-        for k in (0xBF58476D1CE4E5B9, 0x94D049BB133111EB):
-            h = (h ^ (h >> np.uint64(30))) * np.uint64(k)
-        h ^= h >> np.uint64(31)
-    return h < np.uint64(int(p.row_share * (2**64 - 1)))
+    bits = np.random.Generator(np.random.SFC64((p.seed, tree, block))).integers(0, 2**32, n, np.uint32)
+    return bits < np.uint32(int(p.row_share * (2**32 - 1)))
 
 
-def _gradients(y, w, margin, loss: str):
+def _gradients(wy, w, margin, loss: str):
+    """Sums of gradients and curvatures of cells, from their sums of w * y and w (squared loss: y and margin around any one value)."""
     if loss == "logistic":
         q = 1 / (1 + np.exp(-margin))
-        return w * (q - y), w * np.maximum(q * (1 - q), 1e-16)
-    return w * (margin - y), w
+        return q * w - wy, w * np.maximum(q * (1 - q), 1e-16)
+    return margin * w - wy, w
 
 
 def _level(blocks: DataFrame, model: Booster, first: int, number: int, tree: Tree, open_: list[int], chosen: list[int]) -> tuple[dict, tuple[float, float]]:
@@ -206,14 +232,18 @@ def _level(blocks: DataFrame, model: Booster, first: int, number: int, tree: Tre
         loss = np.zeros(2)
         where = np.full(len(tree.feature), -1)
         where[list(slot)] = list(slot.values())
-        for r, bins, y, w, held, margin in _opened(batches, f):
+        centre = model.base if p.loss == "squared" else 0.0
+        for r, cell, bins, y, w, held, margin in _opened(batches, f):
             margin = margin + model.added(bins, first)
             if held.any() and len(open_) == 1 and open_[0] == 0:
-                e = (margin - y)[held] ** 2 if p.loss == "squared" else np.logaddexp(0, np.where(y > 0.5, -margin, margin))[held]
+                m, t = margin[cell[held]], y[held]
+                e = (m - t) ** 2 if p.loss == "squared" else np.logaddexp(0, np.where(t > 0.5, -m, m))
                 loss += (w[held] @ e, w[held].sum())
+            seen = np.where(_drawn(r["block"], r["n"], number, p) & ~held, w, 0.0)
+            wy, weight = (np.bincount(cell, v, len(margin)) for v in (seen * (y - centre), seen))
             at = where[tree.leaves(bins, p.depth)]
-            use = (at >= 0) & ~held & _drawn(r["block"], r["n"], number, p)
-            g, h = _gradients(y[use], w[use], margin[use], p.loss)
+            use = (at >= 0) & (weight != 0)
+            g, h = _gradients(wy[use], weight[use], margin[use] - centre, p.loss)
             at = at[use] * width
             for k, c in enumerate(chosen):
                 place = at + bins[c][use]
@@ -369,7 +399,7 @@ def _refreshed(blocks: DataFrame, model: Booster, first: int) -> DataFrame:
     f, shared = len(model.columns), blocks.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        for r, bins, _, _, _, margin in _opened(batches, f):
+        for r, _, bins, _, _, _, margin in _opened(batches, f):
             yield pa.RecordBatch.from_pylist([r | {"margin": (margin + shared.value.added(bins, first)).tobytes()}])
 
     return kept(blocks.mapInArrow(run, blocks.schema.simpleString()[7:-1].replace(":", " ")))

@@ -185,3 +185,19 @@ def test_a_killed_fit_goes_on_from_its_checkpoint(spark, tmp_path, monkeypatch):
     with pytest.raises(ValueError, match="other columns"):
         boosting.fit(df, ["a", "b"], F.col("y"), p, checkpoint=path)
     df.unpersist()
+
+
+def test_blocks_hold_each_tuple_of_bins_once(spark, monkeypatch):
+    """Margins and leaves are worked out for distinct tuples of bins, not for rows; blocks end at BLOCK_ROWS, and trees are the same."""
+    x, y, w = gappy(400)
+    df = as_frame(spark, x % 3, y, w).coalesce(1)
+    p = boosting.Params(rounds=2, depth=2, rate=0.3)
+    whole = boosting.fit(df, ["a", "b", "c"], F.col("y"), p, weight=F.col("w"))
+    monkeypatch.setattr(boosting, "BLOCK_ROWS", 150)
+    rows = boosting._blocks(df, ["a", "b", "c"], F.col("y"), F.col("w"), None, whole.cuts, 0.0).orderBy("block").collect()
+    assert [r.n for r in rows] == [150, 150, 100] and all(len(r.margin) <= 8 * 4**3 for r in rows)
+    parts = boosting.fit(df, ["a", "b", "c"], F.col("y"), p, weight=F.col("w"))
+    assert all(s.feature == t.feature and np.allclose(s.value, t.value, atol=1e-9) for s, t in zip(whole.trees, parts.trees, strict=True))
+    wide = np.random.default_rng(1).integers(0, 3, (90, 50)).repeat(2, 1)
+    cell, first = boosting.cells_of(wide, [60_000] * 90)
+    assert len(first) == 50 and (wide[:, first][:, cell] == wide).all()
