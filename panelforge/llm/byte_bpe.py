@@ -20,6 +20,8 @@ from .common import map_texts, worker_state
 NONE = np.iinfo(np.int32).max
 #: Bytes of words that a worker keeps between slices, beside their number.
 MOST_BYTES = 16 << 20
+#: Bytes of text of one slice: new words take over ten times their bytes while they are merged.
+SLICE = 2 << 20
 
 
 class MergeRanks:
@@ -256,7 +258,7 @@ def encode(
             encoder.clear()  # workers take turns, and the idle ones count too
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return map_texts(docs, make, f"doc_id {kind}, n_tokens bigint, ids binary" + ", decoded binary" * with_decoded, id_col, text_col, limit=5 << 20, owner="byte_bpe", done=done)
+    return map_texts(docs, make, f"doc_id {kind}, n_tokens bigint, ids binary" + ", decoded binary" * with_decoded, id_col, text_col, limit=SLICE, owner="byte_bpe", done=done)
 
 
 def decode(encoded: DataFrame, ranks_path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:

@@ -100,6 +100,25 @@ def test_byte_bpe_workers_keep_no_words_between_tasks(spark, docs):
     assert before == 50 and max(r.words for r in found) == 0 and max(r.ids for r in found) == 0
 
 
+def test_byte_bpe_slices_bound_the_memory_of_new_words(docs, monkeypatch):
+    """A worker stands beside others in one executor; the slice that encode() asks for, a quarter of it new words, takes under 80 MB."""
+    import tracemalloc
+
+    asked = {}
+    monkeypatch.setattr(byte_bpe, "map_texts", lambda *args, **kwargs: asked.update(kwargs))
+    byte_bpe.encode(docs, RANKS, public.PATTERN)
+    with open(RANKS, "rb") as f:
+        encoder = byte_bpe.Encoder(f.read(), public.PATTERN, 150_000)
+    words = ["".join(w) for w in np.random.default_rng(3).choice(list("abcdefghijklmnopqrstuvwxyz"), (asked["limit"] // 32, 7))]
+    texts = [" ".join(words[i : i + 10_000]) for i in range(0, len(words), 10_000)] * 4
+    tracemalloc.start()
+    try:
+        assert sum(len(ids) > 0 for ids in encoder.encode(texts)) == len(texts)
+        assert tracemalloc.get_traced_memory()[1] < 80_000_000
+    finally:
+        tracemalloc.stop()
+
+
 def test_byte_bpe_equals_library(edges, nothing, docs, tik):
     for df in (edges, docs):
         want = Counter()
