@@ -239,8 +239,8 @@ def _level(blocks: DataFrame, model: Booster, first: int, number: int, tree: Tre
                 m, t = margin[cell[held]], y[held]
                 e = (m - t) ** 2 if p.loss == "squared" else np.logaddexp(0, np.where(t > 0.5, -m, m))
                 loss += (w[held] @ e, w[held].sum())
-            seen = np.where(_drawn(r["block"], r["n"], number, p) & ~held, w, 0.0)
-            wy, weight = (np.bincount(cell, v, len(margin)) for v in (seen * (y - centre), seen))
+            mine = _drawn(r["block"], r["n"], number, p) & ~held
+            wy, weight = (np.bincount(cell, np.where(mine, v, 0.0), len(margin)) for v in (w * (y - centre), w))
             at = where[tree.leaves(bins, p.depth)]
             use = (at >= 0) & (weight != 0)
             g, h = _gradients(wy[use], weight[use], margin[use] - centre, p.loss)
