@@ -8,12 +8,18 @@ an edge or corner of any ring are inside.
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Edges of a border cell that a compiled test of points holds.
+FEW = 4
+#: Points of a cell that pairs are made from, about, before cells are halved.
+PAIRED = 1_024
+
 
 def edges(regions: DataFrame, key: str, rings: str = "rings") -> DataFrame:
     """(key, x0, y0, x1, y1) of every edge; rings of under two places, edges to null or infinite places and edges without length are left out."""
@@ -29,60 +35,85 @@ def _cell(c: Column, step: float) -> Column:
     return F.floor(c / F.lit(step)).cast("long")
 
 
-def _row_edges(sides: DataFrame, step: float) -> DataFrame:
-    """edges by each row of cells (cy) that they touch."""
-    low, high = F.least("y0", "y1"), F.greatest("y0", "y1")
-    return sides.withColumn("cy", F.explode(F.sequence(_cell(low, step), _cell(high, step))))
-
-
 def cover(regions: DataFrame, key: str, step: float, rings: str = "rings") -> DataFrame:
-    """(key, cx, cy, edges) of the square cells that a region meets: edges is null in cells wholly inside.
+    """(key, cx, cy, edges, odd) of the square cells that a region meets: edges is null in cells wholly inside.
 
     Border cells carry the edges of their row of cells that end right of their left side: all that a ray
-    from the cell to the right can cross. Inside cells come from where the middle line of each row crosses
-    the rings, so the work grows with edges and cells, not with their product.
+    from the cell to the right can cross. Edges farther right that pass the row from side to side are crossed by
+    every such ray; only whether their number is odd is kept. Inside cells come from where the middle line of each
+    row crosses the rings, so the work grows with edges and cells, not with their product. The edges of a row of
+    cells meet in one row of the frame, which alone is shuffled.
     """
-    rows = _row_edges(edges(regions, key, rings), step)
-    x0, y0, x1, y1 = (F.col(c) for c in ("x0", "y0", "x1", "y1"))
-    y_low, y_high = F.col("cy") * F.lit(step), (F.col("cy") + 1) * F.lit(step)
-    at = lambda y: x0 + (x1 - x0) * (y - y0) / (y1 - y0)
-    flat = y0 == y1
-    a = F.when(flat, x0).otherwise(at(F.least(F.greatest(F.least(y0, y1), y_low), y_high)))
-    b = F.when(flat, x1).otherwise(at(F.least(F.greatest(F.greatest(y0, y1), y_low), y_high)))
+    low, high = F.least("y0", "y1"), F.greatest("y0", "y1")
+    rows = edges(regions, key, rings).withColumn("cy", F.explode(F.sequence(_cell(low, step), _cell(high, step))))
+    rows = rows.groupBy(key, "cy").agg(F.collect_list(F.struct("x0", "y0", "x1", "y1")).alias("row_"))
+    y_low, y_high, middle = F.col("cy") * F.lit(step), (F.col("cy") + 1) * F.lit(step), (F.col("cy") + 0.5) * F.lit(step)
     slack = F.lit(step * 1e-9)  # a cell that rounding might let an edge touch is a border cell
-    border = rows.select(key, "cy", F.explode(F.sequence(_cell(F.least(a, b) - slack, step), _cell(F.greatest(a, b) + slack, step))).alias("cx"))
-    border = border.select(key, "cx", "cy").distinct()
-    middle = (F.col("cy") + 0.5) * F.lit(step)
-    crossed = rows.where((F.least(y0, y1) <= middle) & (F.greatest(y0, y1) > middle)).select(key, "cy", at(middle).alias("x"))
-    spans = crossed.groupBy(key, "cy").agg(F.array_sort(F.collect_list("x")).alias("xs"))
-    between = F.explode(F.transform(F.sequence(F.lit(0), F.size("xs") - 2, F.lit(2)), lambda i: F.struct(F.get("xs", i).alias("a"), F.get("xs", i + 1).alias("b"))))
-    spans = spans.where(F.size("xs") > 1).select(key, "cy", between.alias("s"))
-    inner = spans.select(key, "cy", F.explode(F.sequence(_cell(F.col("s.a"), step), _cell(F.col("s.b"), step))).alias("cx")).distinct()
-    inner = inner.join(border, [key, "cx", "cy"], "left_anti").withColumn("edges", F.lit(None))
-    side = F.struct("x0", "y0", "x1", "y1")
-    by_row = rows.groupBy(key, "cy").agg(F.collect_list(side).alias("row_"))
-    local = border.join(by_row, [key, "cy"]).select(key, "cx", "cy", F.filter("row_", lambda e: F.greatest(e["x0"], e["x1"]) >= F.col("cx") * F.lit(step) - slack).alias("edges"))
-    return local.unionByName(inner.select(key, "cx", "cy", inner.edges.cast(local.schema["edges"].dataType).alias("edges")))
-
-
-def inside(x: Column, y: Column, sides: Column) -> Column:
-    """Whether a place is inside or on an edge, from the edges of its row: an array expression, no Python."""
-    on = lambda e: (((e["x1"] - e["x0"]) * (y - e["y0"]) == (e["y1"] - e["y0"]) * (x - e["x0"])) & x.between(F.least(e["x0"], e["x1"]), F.greatest(e["x0"], e["x1"])) & y.between(F.least(e["y0"], e["y1"]), F.greatest(e["y0"], e["y1"])))
-    crossing = lambda e: ((e["y0"] > y) != (e["y1"] > y)) & (x < (e["x1"] - e["x0"]) * (y - e["y0"]) / (e["y1"] - e["y0"]) + e["x0"])
-    return F.exists(sides, on) | (F.size(F.filter(sides, crossing)) % 2 == 1)
+    at = lambda e, y: e["x0"] + (e["x1"] - e["x0"]) * (y - e["y0"]) / (e["y1"] - e["y0"])
+    least, most = (lambda e, c: F.least(e[f"{c}0"], e[f"{c}1"])), (lambda e, c: F.greatest(e[f"{c}0"], e[f"{c}1"]))
+
+    def touched(e):
+        flat = e["y0"] == e["y1"]
+        a, b = (F.when(flat, x).otherwise(at(e, F.least(F.greatest(y, y_low), y_high))) for x, y in ((e["x0"], least(e, "y")), (e["x1"], most(e, "y"))))
+        return F.sequence(_cell(F.least(a, b) - slack, step), _cell(F.greatest(a, b) + slack, step))
+
+    passed = F.filter("row_", lambda e: (least(e, "y") <= middle) & (most(e, "y") > middle))
+    rows = rows.withColumns({"border_": F.array_distinct(F.flatten(F.transform("row_", touched))), "xs_": F.array_sort(F.transform(passed, lambda e: at(e, middle)))})
+    spans = F.transform(F.sequence(F.lit(0), F.size("xs_") - 2, F.lit(2)), lambda i: F.sequence(_cell(F.get("xs_", i), step), _cell(F.get("xs_", i + 1), step)))
+    inner = F.when(F.size("xs_") > 1, F.array_except(F.flatten(spans), "border_")).otherwise(F.array().cast("array<long>"))
+    beyond = lambda e, cx: (_cell(least(e, "x"), step) > cx + 1) & (_cell(least(e, "y"), step) < F.col("cy")) & (_cell(most(e, "y"), step) > F.col("cy"))
+    near = lambda cx: F.filter("row_", lambda e: (most(e, "x") >= cx * F.lit(step) - slack) & ~beyond(e, cx))
+    odd = lambda cx: F.size(F.filter("row_", lambda e: beyond(e, cx))) % 2 == 1
+    none = F.lit(None).cast("array<struct<x0:double,y0:double,x1:double,y1:double>>")
+    cell = lambda cx, sides, far: F.struct(cx.alias("cx"), sides.alias("edges"), far.alias("odd"))
+    cells = F.concat(F.transform("border_", lambda cx: cell(cx, near(cx), odd(cx))), F.transform(inner, lambda cx: cell(cx, none, F.lit(False))))
+    return rows.select(key, "cy", F.explode(cells).alias("c_")).select(key, "c_.cx", "cy", "c_.edges", "c_.odd")
+
+
+def _on(x: Column, y: Column, e: Column) -> Column:
+    return ((e["x1"] - e["x0"]) * (y - e["y0"]) == (e["y1"] - e["y0"]) * (x - e["x0"])) & x.between(F.least(e["x0"], e["x1"]), F.greatest(e["x0"], e["x1"])) & y.between(F.least(e["y0"], e["y1"]), F.greatest(e["y0"], e["y1"]))
+
+
+def _crossing(x: Column, y: Column, e: Column) -> Column:
+    return ((e["y0"] > y) != (e["y1"] > y)) & (x < (e["x1"] - e["x0"]) * (y - e["y0"]) / (e["y1"] - e["y0"]) + e["x0"])
+
+
+def inside(x: Column, y: Column, sides: Column, odd: Column) -> Column:
+    """Whether a place is inside or on an edge, from the edges and oddness of its cell: an array expression, no Python."""
+    return F.exists(sides, lambda e: _on(x, y, e)) | ((F.size(F.filter(sides, lambda e: _crossing(x, y, e))) % 2 == 1) != odd)
+
+
+def _flat(cells: DataFrame, keep: list[str]) -> DataFrame:
+    """cells of at most FEW edges with a column for each number of these; edges that are not there lie at infinity, where no place is on them and no ray crosses."""
+    flat = [F.coalesce(F.get("edges", F.lit(i))[c], F.lit(float("inf"))).alias(f"{c}_{i}_") for i in range(FEW) for c in ("x0", "y0", "x1", "y1")]
+    few = F.coalesce(F.size("edges") <= FEW, F.lit(True))
+    return cells.where(few).select(*keep, (F.col("edges").isNull() | F.col("odd")).alias("odd_"), *flat)
+
+
+def _inside_flat(x: Column, y: Column) -> Column:
+    """inside() of _flat's columns: compiled, as array functions with lambdas are not."""
+    each = [{c: F.col(f"{c}_{i}_") for c in ("x0", "y0", "x1", "y1")} for i in range(FEW)]
+    return reduce(lambda a, b: a | b, [_on(x, y, e) for e in each]) | reduce(lambda a, b: a != b, [_crossing(x, y, e) for e in each], F.col("odd_"))
 
 
 def points_in(points: DataFrame, regions: DataFrame, key: str, step: float, rings: str = "rings") -> DataFrame:
     """points (x, y and other columns) with the key of each region they lie in; one row for each such pair.
 
-    Points and regions meet by cell only; rays are cast in border cells. Places that are not finite, and null
-    regions, take no part; no points or regions give no rows. `key` is no column of points.
+    Points and regions meet by cell only; rays are cast in border cells. Cells are halved where they hold many
+    points, and are dealt to a number of tasks that the size of the tables does not lessen, as pairs are many more.
+    Places that are not finite, and null regions, take no part; no points or regions give no rows. `key` is no
+    column of points.
     """
-    fine = points.where("x is not null and y is not null and abs(x) < double('infinity') and abs(y) < double('infinity')")
-    cells = cover(regions, key, step, rings).withColumnsRenamed({"cx": "cx_", "cy": "cy_", "edges": "edges_"})
-    met = fine.withColumns({"cx_": _cell(F.col("x"), step), "cy_": _cell(F.col("y"), step)}).join(cells, ["cx_", "cy_"])
-    x, y = F.col("x").cast("double"), F.col("y").cast("double")
-    return met.where(F.col("edges_").isNull() | inside(x, y, F.col("edges_"))).drop("cx_", "cy_", "edges_")
+    spark, cell = points.sparkSession, ["cx_", "cy_"]
+    step = fitting_step(points, step, PAIRED)
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+    placed = _finite(points).withColumns({"cx_": _cell(F.col("x"), step), "cy_": _cell(F.col("y"), step)}).repartition(tasks, *cell)
+    cells, x, y = cover(regions, key, step, rings).withColumnsRenamed({"cx": "cx_", "cy": "cy_"}), F.col("x").cast("double"), F.col("y").cast("double")
+    few = placed.join(_flat(cells, [key, *cell]).repartition(tasks, *cell), cell).where(_inside_flat(x, y))
+    rest = cells.where(F.size("edges") > FEW).withColumnsRenamed({"edges": "edges_", "odd": "odd_"}).repartition(tasks, *cell)
+    many = placed.join(rest, cell).where(inside(x, y, F.col("edges_"), F.col("odd_")))
+    out = [*points.columns, key]
+    return few.select(*out).unionByName(many.select(*out))
 
 
 def _finite(points: DataFrame) -> DataFrame:
@@ -108,11 +139,11 @@ def reduce_in(points: DataFrame, regions: DataFrame, key: str, value: str, step:
     fine = _finite(points).select(F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"), F.col(value).cast("double").alias("v_"))
     centre = fine.where("abs(v_) < double('infinity')").agg(F.avg("v_")).first()[0] or 0.0
     fine = fine.select("x", "y", (F.col("v_") - F.lit(centre)).alias("v_"), _cell(F.col("x"), step).alias("cx_"), _cell(F.col("y"), step).alias("cy_"))
-    cells = cover(regions, key, step, rings).withColumnsRenamed({"cx": "cx_", "cy": "cy_", "edges": "edges_"})
+    cells = cover(regions, key, step, rings).withColumnsRenamed({"cx": "cx_", "cy": "cy_", "edges": "edges_", "odd": "odd_"})
     sums = [F.sum("v_").alias("s_"), F.sum(F.col("v_") * F.col("v_")).alias("q_")]
     whole = fine.groupBy("cx_", "cy_").agg(F.count("*").alias("pixels"), F.count("v_").alias("n_"), *sums)
     whole = cells.where("edges_ is null").join(whole, ["cx_", "cy_"]).select(key, "pixels", "n_", "s_", "q_")
-    met = fine.join(cells.where("edges_ is not null"), ["cx_", "cy_"]).where(inside(F.col("x"), F.col("y"), F.col("edges_")))
+    met = fine.join(cells.where("edges_ is not null"), ["cx_", "cy_"]).where(inside(F.col("x"), F.col("y"), F.col("edges_"), F.col("odd_")))
     both = whole.unionByName(met.groupBy(key).agg(F.count("*").alias("pixels"), F.count("v_").alias("n_"), *sums))
     out = both.groupBy(key).agg(F.sum("pixels").alias("pixels"), F.sum("n_").alias("n_"), F.sum("s_").alias("s_"), F.sum("q_").alias("q_"))
     mean = F.when(F.col("n_") > 0, F.col("s_") / F.col("n_"))

@@ -119,3 +119,28 @@ def test_reduced_regions_equal_their_points_and_full_cells_are_halved(spark):
     assert [r[:2] for r in got] == [r[:2] for r in want] and len(got) == 2
     assert np.allclose([r[2:] for r in got], [r[2:] for r in want], rtol=1e-9)
     assert regions.reduce_in(points.where("false"), frame, "region", "v", 2.0).count() == 0
+
+
+def test_pairs_of_one_cell_are_dealt_to_many_tasks_and_tested_in_compiled_code(spark):
+    """Adaptive execution gave the few input bytes to one task, however many pairs came from them, and cast every ray in array lambdas."""
+    rng = np.random.default_rng(5)
+    points = spark.createDataFrame([(i, float(x), float(y)) for i, (x, y) in enumerate(rng.uniform(0, 4, (3000, 2)))], "id long, x double, y double")
+    ring = lambda x, y, r: [{"x": x + r, "y": y}, {"x": x, "y": y + r}, {"x": x - r, "y": y}, {"x": x, "y": y - r}]
+    frame = spark.createDataFrame([(i, [ring(float(x), float(y), 1.5), ring(float(x), float(y), 0.5)]) for i, (x, y) in enumerate(rng.uniform(0, 4, (40, 2)))], RINGS)
+    pairs = regions.points_in(points, frame, "region", 4.0)
+    spread = [r["count"] for r in pairs.groupBy(F.spark_partition_id().alias("t")).count().collect()]
+    assert len(spread) >= 6 and max(spread) < sum(spread) / 2
+    cells = regions.cover(frame, "region", 0.25).where("edges is not null")
+    assert cells.where(F.size("edges") <= regions.FEW).count() > 0.8 * cells.count() and cells.where("odd").count() > 0
+
+
+def test_edges_beyond_a_cell_count_as_odd_or_even(spark):
+    """A comb: a cell has many teeth to its right, of which it carries none that pass its row and are over a cell away."""
+    teeth = [(x, y) for k in range(12) for x, y in ((k, 0.05), (k, 9.9), (k + 0.45, 9.9), (k + 0.45, 0.05))]
+    comb = [(-1.0, -1.0), *[(float(x), float(y)) for x, y in teeth], (13.0, -1.0)]
+    frame = spark.createDataFrame([(1, [[{"x": x, "y": y} for x, y in comb]])], RINGS)
+    places = [(float(x), float(y)) for x, y in np.random.default_rng(2).uniform(-2, 14, (1500, 2))]
+    points = spark.createDataFrame([(i, *p) for i, p in enumerate(places)], "id long, x double, y double")
+    got = sorted(r.id for r in regions.points_in(points, frame, "region", 0.6).collect())
+    assert got == [i for i, p in enumerate(places) if brute_inside(*p, [comb])]
+    assert max(len(r.edges) for r in regions.cover(frame, "region", 0.6).where("edges is not null and cy = 8").collect()) <= 6
