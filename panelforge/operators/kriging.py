@@ -38,16 +38,15 @@ def station_means(rows: DataFrame, station: str, order: str, values: list[str],
     return rows.groupBy(*(by or []), station).agg(first("lon"), first("lat"), *[F.avg(v).alias(v) for v in values])
 
 
-def _corrected(queries: DataFrame, anchors: DataFrame, row: str, target: str, k: int, power: float, by: list[str]) -> DataFrame:
+def _corrected(queries: DataFrame, anchors: DataFrame, row: str, target: str, k: int, power: float, by: list[str], nearest: str | None = None) -> DataFrame:
     """queries (with pred_ridge) with residual_correction, pred_idw and pred_ridge_residual_idw from anchors (with residual_).
 
     Anchors are of the same group as the query, and each side is projected around its own median latitude there; a
-    query is told apart by its row and group.
+    query is told apart by its row and group. One search serves both means, and the nearest anchor's distance if it has a name.
     """
-    out, (q, a) = queries, (spatial.project(df, "lon", "lat", by or None) for df in (queries, anchors))
-    for value, name in (("residual_", "residual_correction"), (target, "pred_idw")):
-        near = spatial.neighbours(q, a, row, value, k, by)
-        out = out.join(spatial.idw(near, row, name, power, by).select(row, *by, name), [row, *by], "left")
+    q, a = (spatial.project(df, "lon", "lat", by or None) for df in (queries, anchors))
+    means = spatial.idws(q, a, row, {"residual_": "residual_correction", target: "pred_idw"}, k, power, by, nearest)
+    out = queries.join(means, [row, *by], "left")
     return out.withColumn("pred_ridge_residual_idw", not_negative(F.col("pred_ridge") + F.coalesce("residual_correction", F.lit(0.0))))
 
 
@@ -115,9 +114,7 @@ def map_grid(stations: DataFrame, grid: DataFrame, features: list[str], target:
     if anchors.isEmpty():
         raise ValueError(f"no station has a value in the month of {target_day}")
     cells = grid.withColumn("pred_ridge", not_negative(model.predict()))
-    out = _corrected(cells, anchors, cell, target, k, power, [])
-    near = spatial.neighbours(spatial.project(grid, "lon", "lat"), spatial.project(anchors, "lon", "lat"), cell, target, 1)
-    out = out.join(near.select(cell, F.col("distance").alias("nearest_anchor_km")), cell, "left")
+    out = _corrected(cells, anchors, cell, target, k, power, [], "nearest_anchor_km")
     shown = out.select(cell, "lon", "lat", "pred_ridge", "residual_correction", "pred_ridge_residual_idw", not_negative(F.col("pred_idw")).alias("pred_idw"), "nearest_anchor_km", spatial.zone(F.col("nearest_anchor_km")).alias("zone"))
     return shown, model
 

@@ -144,3 +144,56 @@ def test_edges_beyond_a_cell_count_as_odd_or_even(spark):
     got = sorted(r.id for r in regions.points_in(points, frame, "region", 0.6).collect())
     assert got == [i for i, p in enumerate(places) if brute_inside(*p, [comb])]
     assert max(len(r.edges) for r in regions.cover(frame, "region", 0.6).where("edges is not null and cy = 8").collect()) <= 6
+
+
+def _lattice():
+    """Anchors on a lattice, two at each place, with two values of opposite order; queries on it, between its places and far off."""
+    anchors = [(i % 2, float(x), float(y), n, -float(n)) for n, (i, x, y) in enumerate((i, x, y) for x in range(6) for y in range(6) for i in (0, 1, 0, 1))]
+    queries = [(n, n % 2, *p) for n, p in enumerate([(2.0, 2.0), (2.5, 2.5), (2.5, 3.0), (0.0, 5.5), (90.0, -40.0), (3.0, 1.0)])]
+    return anchors, queries
+
+
+@pytest.mark.parametrize(("block", "by"), [(2000, []), (2000, ["g"]), (20, []), (20, ["g"])])
+def test_means_of_two_values_come_from_one_search_with_ties_by_each(spark, monkeypatch, block, by):
+    monkeypatch.setattr(spatial, "BLOCK", block)
+    monkeypatch.setattr(spatial, "LEAF", 8)
+    anchors, queries = _lattice()
+    an, q = spark.createDataFrame(anchors, "g int, x_km double, y_km double, v long, w double"), spark.createDataFrame(queries, "q long, g int, x_km double, y_km double")
+    out = spatial.idws(q, an, "q", {"v": "a", "w": "b"}, 5, 2.0, by, "near")
+    got = {r.q: (r.a, r.b, r.near) for r in out.collect()}
+    for n, g, x, y in queries:
+        mine = [(float(np.sqrt((x - ax) ** 2 + (y - ay) ** 2)), v, w) for h, ax, ay, v, w in anchors if not by or h == g]
+        for c in (1, 2):
+            near = sorted((m[0], m[c]) for m in mine)[:5]
+            exact = [v for d, v in near if d < 1e-9]
+            want = np.mean(exact) if exact else sum(v / d**2 for d, v in near) / sum(1 / d**2 for d, v in near)
+            assert abs(got[n][c - 1] - want) < 1e-9
+        assert abs(got[n][2] - min(mine)[0]) < 1e-12
+    for c in ("v", "w"):
+        apart = {r.q: r.e for r in spatial.idw(spatial.neighbours(q, an, "q", c, 5, by), "q", "e", by=by).collect()}
+        assert all(abs(apart[n] - got[n]["vw".index(c)]) < 1e-12 for n in apart) and len(apart) == len(queries)
+
+
+def test_few_anchors_are_no_rows_of_pairs(spark):
+    """Every pair of a query and one of up to 2,000 anchors was a row that a window sorted."""
+    anchors, queries = _lattice()
+    an, q = spark.createDataFrame(anchors, "g int, x_km double, y_km double, v string, w double"), spark.createDataFrame(queries, "q long, g int, x_km double, y_km double")
+    for by in ([], ["g"]):
+        near = spatial.neighbours(q, an, "q", "v", 3, by)
+        plan = near._jdf.queryExecution().executedPlan().toString()
+        assert "NestedLoop" not in plan and "Cartesian" not in plan and "MapInArrow" in plan
+        assert near.count() == 3 * len(queries)
+        assert spatial.neighbours(q, an.where("false"), "q", "v", 3, by).count() == 0
+
+
+def test_a_map_searches_once(spark, monkeypatch):
+    from panelforge.operators import kriging
+
+    calls, search = [], spatial._candidates
+    monkeypatch.setattr(spatial, "_candidates", lambda *a: calls.append(1) or search(*a))
+    rng = np.random.default_rng(1)
+    rows = [(i, f"2022-0{i % 5 + 1}-01", *(float(x) for x in rng.uniform(1, 2, 3))) for i in range(60)]
+    stations = spark.createDataFrame(rows, "s long, date string, lon double, lat double, y double").withColumn("date", F.col("date").cast("date"))
+    grid = spark.createDataFrame([(i, *(float(x) for x in p)) for i, p in enumerate(rng.uniform(1, 2, (20, 2)))], "grid_id long, lon double, lat double")
+    shown, _ = kriging.map_grid(stations, grid, ["lon"], "y", "2022-05-01", alphas=[0.0])
+    assert shown.where("pred_idw is not null and nearest_anchor_km is not null and residual_correction is not null").count() == 20 and len(calls) == 1
