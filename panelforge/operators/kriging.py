@@ -14,6 +14,8 @@ from .splits import fold_parts
 
 #: Names of the three predictions.
 MODELS = ("ridge", "idw", "ridge_residual_idw")
+#: Kinds of residuals: of the same day, and means of the past.
+RESIDUALS = ("contemporaneous", "historical")
 
 
 def not_negative(x: Column) -> Column:
@@ -74,8 +76,13 @@ def cross_validate(
     Contemporaneous residuals come from reliable rows of other stations on the same day; historical ones
     from the mean residual of each station that the trend was fitted on. A missing correction counts as 0.
     """
-    if residuals not in ("contemporaneous", "historical"):
-        raise ValueError(f"unknown residuals {residuals}")
+    return cross_validations(rows, folds, n_folds, features, target, row, station, day, reliable, parts, mode, (residuals,), k, power, alphas)[residuals]
+
+
+def cross_validations(rows, folds, n_folds, features, target, row="row_id", station="station_id", day="date", reliable=None, parts=None, mode="spatial", residuals=RESIDUALS, k=8, power=2.0, alphas=None) -> dict[str, DataFrame]:
+    """cross_validate() for several kinds of residuals, by kind: the folds are cut and the trends fitted once."""
+    if unknown := set(residuals) - set(RESIDUALS):
+        raise ValueError(f"unknown residuals {sorted(unknown)}")
     fine = F.lit(True) if reliable is None else reliable
     train, valid, test = parts or (F.lit(True), F.lit(False), F.lit(True))
     known = rows.where(fine & F.col(target).isNotNull())
@@ -84,15 +91,18 @@ def cross_validate(
     models = ridges(fit, "fold", features, target, alphas)
     trend = reduce(lambda rest, f: F.when(F.col("fold") == f, not_negative(models[f].predict())).otherwise(rest), models, F.lit(None).cast("double"))
     queries = split.where("part = 'test'").withColumn("pred_ridge", trend)
-    if residuals == "contemporaneous":
-        own = known.join(folds.select(station, F.col("fold").alias("own_")), station, "left").withColumn("fold", F.explode(F.array(*map(F.lit, sorted(models)))))
-        anchors = own.where(~F.col("own_").eqNullSafe(F.col("fold"))).drop("own_").withColumn("residual_", F.col(target) - trend)
-        done = _corrected(queries, kept(anchors), row, target, k, power, ["fold", day])
-    else:
-        past = fit.withColumn("residual_", F.col(target) - trend)
-        both = station_means(past, station, day, ["residual_", target], ["fold"])
-        done = _corrected(queries, kept(both), row, target, k, power, ["fold"])
-    return done.select("fold", row, station, day, F.col(target).alias("y_true"), "residual_correction", "pred_ridge", "pred_idw", "pred_ridge_residual_idw")
+    out = {}
+    for kind in residuals:
+        if kind == "contemporaneous":
+            own = known.join(folds.select(station, F.col("fold").alias("own_")), station, "left").withColumn("fold", F.explode(F.array(*map(F.lit, sorted(models)))))
+            anchors = own.where(~F.col("own_").eqNullSafe(F.col("fold"))).drop("own_").withColumn("residual_", F.col(target) - trend)
+            done = _corrected(queries, kept(anchors), row, target, k, power, ["fold", day])
+        else:
+            past = fit.withColumn("residual_", F.col(target) - trend)
+            both = station_means(past, station, day, ["residual_", target], ["fold"])
+            done = _corrected(queries, kept(both), row, target, k, power, ["fold"])
+        out[kind] = done.select("fold", row, station, day, F.col(target).alias("y_true"), "residual_correction", "pred_ridge", "pred_idw", "pred_ridge_residual_idw")
+    return out
 
 
 def fold_scores(predictions: DataFrame) -> DataFrame:

@@ -61,12 +61,13 @@ out AS (SELECT e.fold, e.row_id, e.station_id, CAST(e.date AS VARCHAR) AS date,
 FROM every e LEFT JOIN r USING (fold, row_id) LEFT JOIN p USING (fold, row_id) WHERE held)"""
 
 
-def kriged(spark, sf_dir, mode="spatial", residuals="contemporaneous", features=("lon",), alphas=(0.0,)):
+def kriged(spark, sf_dir, mode="spatial", residuals=("contemporaneous",), features=("lon",), alphas=(0.0,)):
+    """Held-out predictions by kind of residuals."""
     rows = readings(spark, sf_dir)
     folds = rows.select("station_id").distinct().withColumn("fold", (F.col("station_id") % 4 + 1).cast("int"))
     year = F.col("year")
     parts = (year != 2022, year == 2022, F.lit(True)) if mode == "spatial" else (year < 2021, year == 2021, year == 2022)
-    return kriging.cross_validate(rows, folds, 4, list(features), "y", parts=parts, mode=mode, residuals=residuals, alphas=alphas)
+    return kriging.cross_validations(rows, folds, 4, list(features), "y", parts=parts, mode=mode, residuals=residuals, alphas=alphas)
 
 
 _SIX = ("y_true", "residual_correction", "pred_ridge", "pred_idw", "pred_ridge_residual_idw")
@@ -75,14 +76,14 @@ _SIX = ("y_true", "residual_correction", "pred_ridge", "pred_idw", "pred_ridge_r
 @query(f"{_KRIGING} SELECT fold, row_id, station_id, date, {', '.join(f'round({c}, 6) AS {c}' for c in _SIX)} FROM out")
 def regression_kriging(spark, sf_dir):
     """Held-out stations: a trend of one feature without penalty, and residuals of the same day's other stations."""
-    return rounded(kriged(spark, sf_dir).withColumn("date", F.date_format("date", "yyyy-MM-dd")), *_SIX)
+    return rounded(kriged(spark, sf_dir)["contemporaneous"].withColumn("date", F.date_format("date", "yyyy-MM-dd")), *_SIX)
 
 
 @query(f"""{_KRIGING}, long AS (SELECT fold, 'ridge' AS model, y_true AS t, pred_ridge AS p FROM out UNION ALL SELECT fold, 'idw', y_true, pred_idw FROM out UNION ALL SELECT fold, 'ridge_residual_idw', y_true, pred_ridge_residual_idw FROM out)
 SELECT fold, model, count(*) AS n, round(sqrt(avg((p - t) ** 2)), 6) AS rmse, round(avg(abs(p - t)), 6) AS mae, round(avg(p - t), 6) AS bias, round(1 - sum((ln(1 + p) - ln(1 + t)) ** 2) / (count(*) * var_pop(ln(1 + t))), 6) AS r2 FROM long WHERE p IS NOT NULL GROUP BY 1, 2""")
 def kriging_scores(spark, sf_dir):
     """Scores of trend, interpolation and both, by fold."""
-    return rounded(kriging.fold_scores(kriged(spark, sf_dir)), "rmse", "mae", "bias", "r2")
+    return rounded(kriging.fold_scores(kriged(spark, sf_dir)["contemporaneous"]), "rmse", "mae", "bias", "r2")
 
 
 @query()
@@ -90,8 +91,8 @@ def kriging_modes(spark, sf_dir):
     """Means over folds of penalised trends: spatial and spatiotemporal folds, residuals of the day and of the past."""
     out = []
     for mode in ("spatial", "spatiotemporal"):
-        for residuals in ("contemporaneous", "historical"):
-            scores = kriging.fold_scores(kriged(spark, sf_dir, mode, residuals, ("lon", "lat"), None))
+        for residuals, held_out in kriged(spark, sf_dir, mode, kriging.RESIDUALS, ("lon", "lat"), None).items():
+            scores = kriging.fold_scores(held_out)
             out.append(stats.fold_means(scores, ["model"], ["rmse", "mae", "bias", "r2"]).select(F.lit(mode).alias("folds_of"), F.lit(residuals).alias("residuals"), "*"))
     return reduce(lambda a, b: a.unionByName(b), out)
 

@@ -197,3 +197,14 @@ def test_a_map_searches_once(spark, monkeypatch):
     grid = spark.createDataFrame([(i, *(float(x) for x in p)) for i, p in enumerate(rng.uniform(1, 2, (20, 2)))], "grid_id long, lon double, lat double")
     shown, _ = kriging.map_grid(stations, grid, ["lon"], "y", "2022-05-01", alphas=[0.0])
     assert shown.where("pred_idw is not null and nearest_anchor_km is not null and residual_correction is not null").count() == 20 and len(calls) == 1
+
+
+def test_kinds_of_residuals_share_folds_and_trends(spark, monkeypatch):
+    from panelforge.operators import kriging
+    from panelforge.plans import model_queries
+
+    calls, fit, search = [], kriging.ridges, spatial._candidates
+    monkeypatch.setattr(kriging, "ridges", lambda *a: calls.append("fit") or fit(*a))
+    monkeypatch.setattr(spatial, "_candidates", lambda *a: calls.append("search") or search(*a))
+    assert model_queries.kriging_modes(spark, "/root/testdata/sf0.001").count() == 12
+    assert calls.count("fit") == 2 and calls.count("search") == 4
