@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import kept
+from . import ranges
 from .ranges import quantiles, running_totals
 
 
@@ -138,42 +142,148 @@ def _small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
 
 
-def _ranked(pairs: DataFrame, keys: list[str], most: int) -> DataFrame:
-    """pairs (keys, x_, t_, w_; keys not null) with rx_ and rt_, the mean ranks of both sides; a pair counts w_ times."""
-    x, t = value_ranks(pairs, keys, "x_", "rx_", "w_", most), value_ranks(pairs, keys, "t_", "rt_", "w_", most)
-    return pairs.join(_small(x), [*keys, "x_"]).join(_small(t), [*keys, "t_"])
+def _met(a: DataFrame, b: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """a with the other columns of b, joined on keys that may be null."""
+    on = reduce(lambda x, y: x & y, [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys])
+    return a.alias("a").join(b.alias("b"), on, how).select("a.*", *[F.col(f"b.{c}").alias(c) for c in b.columns if c not in keys])
 
 
-def _rank_corr(pairs: DataFrame, keys: list[str], most: int, named: dict[str, tuple[str, str]]) -> DataFrame:
-    """(keys, n, a coefficient by name) of pairs and of their ranks rx_ and rt_, around weighted means; null without spread.
+def _by_set(df: DataFrame, sets: list[list[str]], names: list[str], *columns: str, own: str | None = None) -> DataFrame:
+    """df once for each set of key columns, with set_ and nulls in place of the names outside the set; own: a name whose column number set_ is taken."""
+    kinds = dict(df.dtypes)
+    pick = lambda s: [F.col(n) if n in s else F.lit(None).cast(kinds[n]).alias(n) for n in names]
+    mine = lambda i: [F.col(f"r{i}_").alias(own)] if own else []
+    return reduce(lambda x, y: x.unionByName(y), [df.select(F.lit(i).alias("set_"), *pick(s), *columns, *mine(i)) for i, s in enumerate(sets)])
 
-    n ranks with shared ties have the mean (n + 1) / 2, so means need no ranks and the ranked rows are read once.
+
+def _value_counts(rows: DataFrame, names: list[str], features: list[str]) -> DataFrame:
+    """(names, feature, x_, all_, w_, lw_), written: the rows of each value, those with a target, and those with one above -1."""
+    long = rows.unpivot([*names, "t_"], features, "feature", "x_")
+    return kept(long.groupBy(*names, "feature", "x_").agg(F.count("*").alias("all_"), F.count("t_").alias("w_"), F.count_if(F.col("t_") > -1).alias("lw_")))
+
+
+def _pieces(sets: list[list[str]], names: list[str], values: dict[str | None, tuple[str, list[str]]]):
+    """Function of the batches of one range of t_, none null: (set_, names, feature, lo_, n_, means, products around them) by key and piece.
+
+    values: feature -> its column and its columns of ranks, one for each set; feature None: the column "feature" is a key.
+    The rows of a key are cut where its first value of t_ ends and its last begins, as neighbouring ranges may share these. So pieces
+    of one lo_ are ties, others are apart, and the mean rank of a piece follows from the n_ of all pieces. a: rank inside the piece.
+    """
+
+    def run(batches):
+        whole = pa.Table.from_batches(list(batches))
+        if not whole.num_rows:
+            return
+        numbers = lambda c: whole[c].fill_null(0).to_numpy()
+        t = numbers("t_") + 0.0
+        log = np.log1p(np.where(t > -1, t, np.nan))
+        by_t = np.argsort(t, kind="stable")
+        for i, keys in enumerate(sets):
+            code = np.zeros(len(t), np.int64)
+            for k in keys:
+                one = pc.dictionary_encode(whole[k].combine_chunks(), null_encoding="encode").indices.to_numpy()
+                code = np.unique(code * (one.max() + 1) + one, return_inverse=True)[1]
+            order = by_t[np.argsort(code[by_t], kind="stable")]
+            for feature, (column, ranks) in values.items():
+                at = order[whole[column].is_valid().to_numpy()[order]]
+                if not len(at):
+                    continue
+                key, v = code[at], {"t": t[at], "l": log[at], "x": numbers(column)[at], "r": numbers(ranks[i])[at]}
+                same = (v["t"][1:] == v["t"][:-1]) | (np.isnan(v["t"][1:]) & np.isnan(v["t"][:-1]))
+                start = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | ~same])  # a run of equal t_ begins
+                ties = np.diff(np.r_[start, len(at)])
+                first = np.r_[True, key[start][1:] != key[start][:-1]]
+                cut = first | np.r_[first[1:], True] | np.r_[False, first[:-1]]
+                begin = start[cut]
+                n = np.diff(np.r_[begin, len(at)])
+                v["a"] = np.repeat(start - begin[np.cumsum(cut) - 1] + (ties + 1) / 2, ties)
+                means = {c: np.add.reduceat(w, begin) / n for c, w in v.items()}
+                off = {c: w - np.repeat(means[c], n) for c, w in v.items()}
+                sums = [np.add.reduceat(off[p] * off[q], begin) for p, q in _PRODUCTS]
+                rows = pa.array(at[begin])
+                group = [whole[k].combine_chunks().take(rows) if k in keys else pa.nulls(len(n), whole.schema.field(k).type) for k in names]
+                label = whole["feature"].combine_chunks().take(rows) if feature is None else pa.array([feature] * len(n), pa.string())
+                arrays = [pa.array(np.full(len(n), i, np.int32)), *group, label, pa.array(v["t"][begin]), pa.array(n), *[pa.array(means[c]) for c in _MEANS], *[pa.array(s) for s in sums]]
+                yield pa.RecordBatch.from_arrays(arrays, ["set_", *names, "feature", "lo_", "n_", *_MEANS, *[f"{p}{q}" for p, q in _PRODUCTS]])
+
+    def quiet(batches):
+        with np.errstate(invalid="ignore", over="ignore"):
+            yield from run(batches)
+
+    return quiet
+
+
+#: Means and products that a piece tells: target, its log1p, feature, the feature's rank, and the target's rank inside.
+_MEANS = ("t", "l", "x", "r")
+_PRODUCTS = (("a", "a"), ("r", "a"), ("t", "t"), ("x", "t"), ("l", "l"), ("x", "l"))
+
+
+def _in_ranges(rows: DataFrame, width: int, sets: list[list[str]], names: list[str], values: dict, look=lambda df: df) -> DataFrame:
+    """_pieces of written rows, dealt by t_ to ranges of about RANGE values; a frequent t_ is split by the row's number. look: joins that move no row."""
+    parts = max(1, -(-rows.count() * width // ranges.RANGE))
+    dealt = rows.withColumn("salt_", F.pmod(F.monotonically_increasing_id(), F.lit(1 << 16)).cast("int")).repartitionByRange(parts, "t_", "salt_").drop("salt_")
+    told = ", ".join(["set_ int", *[f"`{n}` {dict(rows.dtypes)[n]}" for n in names], "feature string, lo_ double, n_ bigint", *[f"{c} double" for c in (*_MEANS, *[p + q for p, q in _PRODUCTS])]])
+    return look(dealt).mapInArrow(_pieces(sets, names, values), told)
+
+
+def _coefficients(rows: DataFrame, counts: DataFrame, sets: list[list[str]], names: list[str]) -> DataFrame:
+    """(set_, names, feature, n, pearson, spearman, pearson_log) of written rows (names, t_, a column by feature; t_ not null).
+
+    counts: (names, feature, x_, w_; x_ not null) of these rows. Values of features are ranked in each set from their counts. Rows are dealt by
+    the target to ranges once, as they are, for all features and sets; ranks of features are looked up there, ranks of the target are counted, and
+    a range leaves sums only, so no rank of the target is joined to a row. Features of more values than a broadcast holds are dealt as rows (feature, x_)
+    that were joined to their ranks before. Coefficients are null without spread.
     """
-    names, w = sorted({c for p in named.values() for c in p}), F.col("w_")
-    plain = [c for c in names if c not in ("rx_", "rt_")]
-    means = pairs.groupBy(*keys).agg(F.sum(w).alias("n"), *[(F.sum(w * F.col(c)) / F.sum(w)).alias(f"{c}__m") for c in plain])
-    means = means.withColumns({f"{c}__m": (F.col("n") + 1) / 2 for c in names if c not in plain}).drop("n")
-    met = _ranked(pairs, keys, most).join(_small(means), keys)
-    off = lambda c: F.col(c) - F.col(f"{c}__m")
-    products = {(a, b) for p in named.values() for a, b in (p, (p[0], p[0]), (p[1], p[1]))}
-    sums = met.groupBy(*keys).agg(F.sum(w).alias("n"), *[F.sum(w * off(a) * off(b)).alias(f"{a}*{b}") for a, b in sorted(products)])
-    s = lambda a, b: F.col(f"`{a}*{b}`")
-    out = [F.when((s(a, a) > 0) & (s(b, b) > 0), s(a, b) / F.sqrt(s(a, a) * s(b, b))).alias(name) for name, (a, b) in named.items()]
-    return sums.select(*keys, "n", *out)
+    most, keys = counts.count(), ["set_", *names, "feature"]
+    ranked = counts.select(*names, "feature", "x_", "w_")
+    for i, s in enumerate(sets):
+        ranked = _met(ranked, _small(value_ranks(counts, [*s, "feature"], "x_", f"r{i}_", "w_", most)), [*s, "feature", "x_"])
+    ranked = kept(ranked)
+    each, held, few, many = [f"r{i}_" for i in range(len(sets))], 0, [], []
+    for r in ranked.groupBy("feature").count().orderBy("count").collect():
+        held += r["count"]
+        (few if held <= BROADCAST_ROWS else many).append(r["feature"])
+
+    def look(df: DataFrame) -> DataFrame:
+        for j, f in enumerate(few):
+            mine = ranked.where(F.col("feature") == f).select(*names, F.col("x_").alias(f), *[F.col(c).alias(f"{c}{j}") for c in each])
+            df = _met(df, F.broadcast(mine), [*names, f], "left")
+        return df
+
+    told = []
+    if few:
+        some = rows.select(*names, "t_", *few).where(F.coalesce(*[F.col(f) for f in few]).isNotNull())
+        told.append(_in_ranges(some, len(few), sets, names, {f: (f, [f"{c}{j}" for c in each]) for j, f in enumerate(few)}, look))
+    if many:
+        long = rows.unpivot([*names, "t_"], many, "feature", "x_").where("x_ is not null")
+        long = kept(_met(long, ranked.where(F.col("feature").isin(many)).drop("w_"), [*names, "feature", "x_"]))
+        told.append(_in_ranges(long, 1, [[*s, "feature"] for s in sets], names, {None: ("x_", each)}))
+    own = _by_set(ranked, sets, names, "feature", "x_", "w_", own="rx_")
+    w, mid = F.col("w_"), (F.col("n") + 1) / 2
+    x_means = own.groupBy(*keys).agg(F.sum(w).alias("n"), (F.sum(w * F.col("x_")) / F.sum(w)).alias("mx_"), (F.min("x_") < F.max("x_")).alias("x_spread"))
+    if not told:
+        return x_means.select(*keys, "n", *[F.lit(None).cast("double").alias(c) for c in ("pearson", "spearman", "pearson_log")])
+    pieces, n = kept(reduce(lambda a, b: a.unionByName(b), told)), F.col("n_")
+    t_means = pieces.groupBy(*keys).agg((F.sum(n * F.col("t")) / F.sum(n)).alias("mt_"), (F.sum(n * F.col("l")) / F.sum(n)).alias("ml_"), (F.min("lo_") < F.max("lo_")).alias("t_spread"))
+    means = _small(_met(x_means, _small(t_means), keys))
+    x_sums = _met(own, means.select(*keys, "n", "mx_"), keys).groupBy(*keys).agg(F.sum(w * (F.col("x_") - F.col("mx_")) ** 2).alias("xx"), F.sum(w * (F.col("rx_") - mid) ** 2).alias("rr"))
+    placed = _met(pieces, _small(value_ranks(pieces, keys, "lo_", "rt_", "n_", pieces.count())), [*keys, "lo_"])
+    off = {"t": F.col("t") - F.col("mt_"), "l": F.col("l") - F.col("ml_"), "x": F.col("x") - F.col("mx_"), "r": F.col("r") - mid, "a": F.col("rt_") - mid}
+    sums = _met(placed, means, keys).groupBy(*keys).agg(F.max("n").alias("n"), (F.max("x_spread") & F.max("t_spread")).alias("spread"), *[F.sum(F.col(p + q) + n * off[p] * off[q]).alias(p + q) for p, q in _PRODUCTS])
+    out = lambda a, b, name: F.when(F.col("spread") & (F.col(a + a) > 0) & (F.col(b + b) > 0), F.col(a + b) / F.sqrt(F.col(a + a) * F.col(b + b))).alias(name)
+    return _met(sums, _small(x_sums), keys).select(*keys, "n", out("x", "t", "pearson"), out("r", "a", "spearman"), out("x", "l", "pearson_log"))
 
 
 def spearman_table(df: DataFrame, target: str, features: list[str], groups: list[str] | None = None) -> DataFrame:
-    """(groups, feature, n, spearman): Pearson of average ranks among each feature's complete pairs.
+    """(groups, feature, n, spearman): Pearson of average ranks among each feature's complete pairs; null groups are groups.
 
-    The pairs are written once, as (feature, x, target, times); both rankings and the weighted correlation
-    come from that table, so the source is scanned once and a frequent pair is one row.
+    The rows are written once; values are counted and ranked, and the target's ranks are counted in ranges.
     """
     groups = groups or []
-    keys = [*groups, "feature"]
-    long = df.select(*groups, F.col(target).cast("double").alias("t_"), *[F.col(f).cast("double").alias(f) for f in features])
-    long = long.unpivot([*groups, "t_"], features, "feature", "x_").where("x_ is not null and t_ is not null")
-    pairs = kept(long.groupBy(*keys, "x_", "t_").agg(F.count("*").alias("w_")))
-    return _rank_corr(pairs, keys, pairs.count(), {"spearman": ("rx_", "rt_")})
+    names = [f"g{i}_" for i in range(len(groups))]
+    rows = kept(df.select(*[F.col(g).alias(n) for n, g in zip(names, groups, strict=True)], F.col(target).cast("double").alias("t_"), *[F.col(f).cast("double").alias(f) for f in features]).where("t_ is not null"))
+    counts = _value_counts(rows, names, features).where("x_ is not null")
+    return _coefficients(rows, counts, [names], names).select(*[F.col(n).alias(g) for n, g in zip(names, groups, strict=True)], "feature", "n", "spearman")
 
 
 def correlation_groups(table: DataFrame, group: str, value: str) -> DataFrame:
@@ -219,33 +329,30 @@ def ensemble(frames: list[DataFrame], keys: list[str], value: str) -> DataFrame:
 def correlation_sets(df: DataFrame, target: str, features: list[str], by: dict[str, str] | None = None, least: int = 20) -> DataFrame:
     """(group_type, group, feature, n, missing_share, four coefficients, abs_spearman_log) over all rows and in each group.
 
-    by: group_type -> column. One scan makes all groupings: pairs are counted under GROUPING SETS and written;
-    shares, ranks and coefficients come from that table. Ranks of log1p(target) are those of the target, unless a
+    by: group_type -> column. The rows are written once, values of features are counted once for all groupings, and one pass over ranges of
+    the target makes the sums of all features and groupings. Ranks of log1p(target) are those of the target, unless a
     target is at or below -1, which has none: then they are taken anew. Null groups are groups ("null");
     features with under `least` complete pairs in a group are left out of it.
     """
     by = by or {}
     names = [f"g{i}_" for i in range(len(by))]
-    long = df.select(*[F.coalesce(F.col(c).cast("string"), F.lit("null")).alias(n) for n, c in zip(names, by.values(), strict=True)], F.col(target).cast("double").alias("t_"), *[F.col(f).cast("double").alias(f) for f in features])
-    long = long.unpivot([*names, "t_"], features, "feature", "x_")
-    base = ["feature", "x_", "t_"]
-    counted = long.groupingSets([base, *[[*base, n] for n in names]], *base, *names).agg(F.count("*").alias("w_"), *[F.grouping(n).alias(f"off_{n}") for n in names])
-    which = lambda pick, none: reduce(lambda rest, n: F.when(F.col(f"off_{n}") == 0, pick(n)).otherwise(rest), names, F.lit(none))
-    kind = dict(zip(names, by, strict=True))
-    counted = counted.select(which(lambda n: F.lit(kind[n]), "overall").alias("group_type"), which(F.col, "all").alias("group"), *base, "w_")
-    pairs = kept(counted)
-    most, keys = pairs.count(), ["group_type", "group", "feature"]
-    missing = pairs.groupBy(*keys).agg((F.sum(F.when(F.col("x_").isNull(), F.col("w_")).otherwise(0)) / F.sum("w_")).alias("missing_share"))
-    full = pairs.where("x_ is not null and t_ is not null")
-    lifted = full.where("t_ > -1").withColumn("lt_", F.log1p("t_"))
-    both = {"pearson_log": ("x_", "lt_"), "spearman_log": ("rx_", "rt_")}
-    if full.where("t_ <= -1").isEmpty():
-        out = _rank_corr(lifted, keys, most, {"pearson": ("x_", "t_"), "spearman": ("rx_", "rt_")} | both)
+    rows = kept(df.select(*[F.coalesce(F.col(c).cast("string"), F.lit("null")).alias(n) for n, c in zip(names, by.values(), strict=True)], F.col(target).cast("double").alias("t_"), *[F.col(f).cast("double").alias(f) for f in features]))
+    sets, keys = [[], *[[n] for n in names]], ["set_", *names, "feature"]
+    counts = _value_counts(rows, names, features)
+    gone = F.sum(F.when(F.col("x_").isNull(), F.col("all_")).otherwise(0))
+    missing = _by_set(counts, sets, names, "feature", "x_", "all_").groupBy(*keys).agg((gone / F.sum("all_")).alias("missing_share"))
+    pairs = counts.where("x_ is not null and w_ > 0")
+    full, whole = rows.where("t_ is not null"), pairs.where("w_ > lw_").isEmpty()
+    out = _coefficients(full, pairs, sets, names)
+    if whole:
+        out = out.withColumn("spearman_log", F.col("spearman"))
     else:
-        plain = _rank_corr(full, keys, most, {"pearson": ("x_", "t_"), "spearman": ("rx_", "rt_")})
-        out = plain.join(_rank_corr(lifted, keys, most, both).drop("n"), keys, "left")
-    out = out.where(F.col("n") >= least).join(missing, keys)
-    return out.select(*keys, "n", "missing_share", "pearson", "spearman", "pearson_log", "spearman_log", F.abs("spearman_log").alias("abs_spearman_log"))
+        lifted = _coefficients(full.where("t_ > -1"), pairs.where("lw_ > 0").withColumn("w_", F.col("lw_")), sets, names)
+        out = _met(out.drop("pearson_log"), _small(lifted.select(*keys, "pearson_log", F.col("spearman").alias("spearman_log"))), keys, "left")
+    out = _met(out.where(F.col("n") >= least), _small(missing), keys)
+    kind = reduce(lambda rest, i: F.when(F.col("set_") == i + 1, list(by)[i]).otherwise(rest), range(len(by)), F.lit("overall"))
+    out = out.select(kind.alias("group_type"), F.coalesce(*[F.col(n) for n in names], F.lit("all")).alias("group"), "feature", "n", "missing_share", "pearson", "spearman", "pearson_log", "spearman_log")
+    return out.withColumn("abs_spearman_log", F.abs("spearman_log"))
 
 
 def correlation_table(df: DataFrame, target: str, features: list[str], least: int = 20) -> DataFrame:

@@ -67,6 +67,42 @@ def test_correlation_sets_equal_pandas(spark, few, low):
             assert (a is None) == bool(np.isnan(b)) and (a is None or abs(a - b) < 1e-9)
 
 
+def test_correlation_sets_write_rows_and_counts_but_no_pairs(spark, monkeypatch):
+    """Pairs of each feature and grouping were written and joined to ranks of the target; now no table is longer than the rows."""
+    rng = np.random.default_rng(8)
+    frame = pd.DataFrame({"s": rng.choice(["dry", "wet"], 600), "c": rng.choice(["near", "far"], 600), "t": rng.normal(size=600), **{f: rng.integers(0, 3, 600) * 0.1 for f in "abd"}})
+    written, kept = [], stats.kept
+    monkeypatch.setattr(stats, "kept", lambda df: written.append(kept(df)) or written[-1])
+    out = stats.correlation_sets(spark.createDataFrame(frame), "t", ["a", "b", "d"], {"season": "s", "coast": "c"})
+    got = {(r.group_type, r.group, r.feature): r.spearman for r in out.collect()}
+    assert max(df.count() for df in written) == 600 and sum(df.count() for df in written) < 1500
+    assert len(got) == 15 and abs(got["season", "dry", "b"] - frame[frame.s == "dry"][["b", "t"]].corr("spearman").b.t) < 1e-12
+
+
+@pytest.mark.parametrize("broadcast", [200_000, 12])
+def test_a_target_held_by_half_of_the_rows_is_split_and_ranked_whole(spark, monkeypatch, broadcast):
+    """Ties cross ranges; with 12 rows of broadcast the values of b, then of a, are joined to rows. Null groups are groups."""
+    monkeypatch.setattr(ranges, "RANGE", 100)
+    monkeypatch.setattr(stats, "BROADCAST_ROWS", broadcast)
+    rng = np.random.default_rng(9)
+    frame = pd.DataFrame({"g": rng.choice(["x", "y", None], 600), "t": np.where(rng.random(600) < 0.5, 7.0, rng.integers(-40, 40, 600) / 4), "a": rng.integers(0, 2, 600) * 0.1, "b": rng.normal(size=600), "k": 0.1})
+    frame.loc[::7, "a"] = np.nan
+    df = spark.createDataFrame(frame.astype(object).where(frame.notna(), None), "g string, t double, a double, b double, k double")
+    got = {(r.g, r.feature): r for r in stats.spearman_table(df, "t", ["a", "b", "k"], ["g"]).collect()}
+    assert len(got) == 9 and all(got[g, "k"].spearman is None for g in ("x", "y", None))
+    for g, part in frame.fillna({"g": "null"}).groupby("g"):
+        for f in "ab":
+            r, both = got[None if g == "null" else g, f], part.dropna(subset=[f])
+            assert r.n == len(both) and abs(r.spearman - both[[f, "t"]].corr("spearman").loc[f, "t"]) < 1e-12
+
+
+def test_pieces_of_a_frequent_target_stay_small(spark, monkeypatch):
+    monkeypatch.setattr(ranges, "RANGE", 100)
+    rows = stats.kept(spark.range(2000).select(F.lit(7.0).alias("t_"), (F.col("id") % 3).cast("double").alias("x"), F.lit(1.0).alias("r")))
+    pieces = stats._in_ranges(rows, 1, [[]], [], {"x": ("x", ["r"])}).collect()
+    assert sum(p.n_ for p in pieces) == 2000 and max(p.n_ for p in pieces) < 400
+
+
 def gappy(n=300):
     rng = np.random.default_rng(5)
     x = np.where(rng.random((3, n)) < 0.2, np.nan, rng.integers(0, 12, (3, n)).astype(float))
